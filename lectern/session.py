@@ -7,9 +7,9 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g") -> SparkSession:
+def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: str = "8g", shared: str | None = None) -> SparkSession:
     """A session for tests and benches; on a cluster use the session the cluster gives."""
-    return (
+    builder = (
         SparkSession.builder.master(f"local[{cores}]")
         .appName("lectern")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
@@ -18,8 +18,10 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
     )
+    if shared:
+        builder = builder.config("spark.checkpoint.dir", shared)
+    return builder.getOrCreate()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,13 +34,13 @@ def shared_dir(spark: SparkSession) -> str:
 
     A temporary folder is made and set only where the setting is absent, as in local tests.
     """
-    found = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    set_dir = context._jsc.sc().getCheckpointDir()
+    found = spark.conf.get("spark.checkpoint.dir", None) or (set_dir.get() if set_dir.isDefined() else None)
     if not found:
         found = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(found)
+    if set_dir.isEmpty():
+        context.setCheckpointDir(found)
     return found.rstrip("/")
 
 
