@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, quality_rules, secret_scan, sharding
+from lectern.llm import decontaminate, ngram_join, quality_rules, secret_scan, sharding
 from lectern.llm.queries_sql import ORACLE
 from lectern.session import table
 
@@ -16,6 +16,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest_columns(secret_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.link_groups(table(spark, sf_dir, "documents"), ngram_join.Rule(k=3, percent=90))
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return quality_rules.judge(docs, quality_rules.fit_on(docs, table(spark, sf_dir, "labels")))
