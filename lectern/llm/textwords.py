@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 CHUNK_BYTES = 2 << 20
+CHUNK_ROWS = 2048
 #: Fixed odd multipliers of the hashes.
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -115,7 +116,7 @@ def words_of(buf: np.ndarray, offs: np.ndarray, is_word: np.ndarray, lower: bool
 
 
 def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CHUNK_BYTES) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
-    """Slices of the batches with about `size` bytes of text: rows, bytes, offsets."""
+    """Slices of the batches with about `size` bytes of text and at most CHUNK_ROWS rows: rows, bytes, offsets."""
     for batch in batches:
         column = batch.column(batch.schema.get_field_index(text))
         lens = np.asarray(pc.binary_length(column).fill_null(0)).astype(np.int64)
@@ -123,7 +124,7 @@ def chunks(batches: Iterator[pa.RecordBatch], text: str = "text", size: int = CH
         at = 0
         while at < len(lens):
             base = ends[at - 1] if at else 0
-            to = max(at + 1, int(np.searchsorted(ends, base + size, "right")))
+            to = max(at + 1, min(at + CHUNK_ROWS, int(np.searchsorted(ends, base + size, "right"))))
             part = batch.slice(at, to - at)
             yield part, *string_bytes(part.column(part.schema.get_field_index(text)))
             at = to
