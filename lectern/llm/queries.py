@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, knn_quality, ngram_join, quality_rules, secret_scan, sharding, warc
+from lectern.llm import decontaminate, knn_quality, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, warc
 from lectern.llm.queries_sql import ORACLE
 from lectern.session import shared_dir, table
 
@@ -47,6 +47,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_sampling.digests(table(spark, sf_dir, "documents"), piece_sampling.load())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
