@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, knn_quality, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, warc
+from lectern.llm import decontaminate, knn_quality, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, site_tree, warc
 from lectern.llm.queries_sql import ORACLE
 from lectern.session import shared_dir, table
 
@@ -47,6 +47,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest_columns(decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op9_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = site_tree.extract(table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.digests(table(spark, sf_dir, "documents"), piece_sampling.load())
 
