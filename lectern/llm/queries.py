@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, knn_quality, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, site_tree, warc
+from lectern.llm import decontaminate, knn_quality, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, site_tree, transcripts, warc
 from lectern.llm.queries_sql import ORACLE
 from lectern.session import shared_dir, table
 
@@ -37,6 +37,15 @@ def op5_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("key").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
 
 
+def op6_transcript_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transcripts written from all conversations; the model learns from four fifths of them, all are parsed."""
+    written = transcripts.as_transcript(table(spark, sf_dir, "conversations"))
+    lines = transcripts.lines_of(written, "conv_id", ["turn"], "text", "role")
+    model = transcripts.fit(lines.filter(F.crc32(F.col("_key").cast("string").cast("binary")) % 5 != 0))
+    found = transcripts.turns(transcripts.parse(lines, model))
+    return found.select(F.col("_key").alias("conv_id"), "turn", "role", "n_lines", transcripts.rendered(F.col("role"), F.col("text")).alias("rendered"))
+
+
 def op7_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     space = knn_quality.fit_on(docs, table(spark, sf_dir, "labels"))
