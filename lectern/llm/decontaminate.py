@@ -104,7 +104,7 @@ def extended(words: Words, text_of: np.ndarray, doc_at: np.ndarray, item_at: np.
                 yield text, item, a + s, a + e
 
 
-def _rows(part: pa.RecordBatch, words: Words, spans: Iterator[tuple[int, int, int, int]], ids: list[str], key: str) -> pa.RecordBatch:
+def _rows(part: pa.RecordBatch, words: Words, spans: Iterator[tuple[int, int, int, int]], ids: list[str], carried: list[str]) -> pa.RecordBatch:
     marks = np.zeros(len(words.hash) + 1, np.int64)
     items: dict[int, set[str]] = {}
     for text, item, s, e in spans:
@@ -116,25 +116,25 @@ def _rows(part: pa.RecordBatch, words: Words, spans: Iterator[tuple[int, int, in
     n_hit = hit[words.first[1:]] - hit[words.first[:-1]]
     rows = len(part)
     return pa.RecordBatch.from_arrays(
-        [part.column(part.schema.get_field_index(key)), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(items.get(i, ())) for i in range(rows)], pa.list_(pa.string()))],
-        [key, "n_words", "n_hit", "items"],
+        [*(part.column(part.schema.get_field_index(c)) for c in carried), pa.array(words.counts, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([sorted(items.get(i, ())) for i in range(rows)], pa.list_(pa.string()))],
+        [*carried, "n_words", "n_hit", "items"],
     )
 
 
-def _schema(df: DataFrame, key: str) -> str:
-    return f"{key} {df.schema[key].dataType.simpleString()}, n_words long, n_hit long, items array<string>"
+def _schema(df: DataFrame, carried: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in carried) + ", n_words long, n_hit long, items array<string>"
 
 
-def broadcast_hits(docs: DataFrame, index: Index, key: str = "doc_id", text: str = "text") -> DataFrame:
+def broadcast_hits(docs: DataFrame, index: Index, carried: list[str], text: str = "text") -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = shared.value
         for part, buf, offs in chunks(batches, text):
             words = words_of(buf, offs, ALNUM)
-            yield _rows(part, words, ix.spans(words), ix.ids, key)
+            yield _rows(part, words, ix.spans(words), ix.ids, carried)
 
-    return docs.select(key, text).mapInArrow(run, _schema(docs, key))
+    return docs.select(*dict.fromkeys([*carried, text])).mapInArrow(run, _schema(docs, carried))
 
 
 def _prints(df: DataFrame, key: str, text: str, gram: int, span: int) -> DataFrame:
@@ -150,7 +150,7 @@ def _prints(df: DataFrame, key: str, text: str, gram: int, span: int) -> DataFra
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, print long")
 
 
-def exchange_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", gram: int = GRAM, span: int = SPAN) -> DataFrame:
+def exchange_hits(docs: DataFrame, benchmark: DataFrame, carried: list[str], key: str = "doc_id", text: str = "text", item: str = "item_id", gram: int = GRAM, span: int = SPAN) -> DataFrame:
     """The same for a benchmark too large to broadcast: fingerprints meet in a shuffled join, then documents meet
     the items they share a fingerprint with, are indexed one document at a time and extended.
 
@@ -190,9 +190,10 @@ def exchange_hits(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", te
             words = words_of(buf, offs, ALNUM)
             found = part.column(part.schema.get_field_index("_items"))[0].as_py() or []
             ix = Index([x["_item"] for x in found], [x["_text"] for x in found], gram, span)
-            yield _rows(part, words, ix.spans(words), ix.ids, key)
+            yield _rows(part, words, ix.spans(words), ix.ids, carried)
 
-    return ids.join(matched, key, "left").mapInArrow(run, _schema(docs, key))
+    whole = docs.select(*dict.fromkeys([*carried, key, text]))
+    return whole.join(matched, key, "left").mapInArrow(run, _schema(docs, carried))
 
 
 def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -203,13 +204,14 @@ def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_words long")
 
 
-def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", max_bytes: int = MAX_BROADCAST_BYTES) -> DataFrame:
-    """key, n_words, n_hit (words inside shared spans), items (sorted distinct ids with shared spans)."""
+def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", max_bytes: int = MAX_BROADCAST_BYTES, carry: list[str] | None = None) -> DataFrame:
+    """The key (or the columns to `carry`), n_words, n_hit (words inside shared spans), items (sorted distinct ids with shared spans)."""
+    carried = list(carry or [key])
     size = benchmark.agg(F.sum(F.octet_length(F.col(text)) + 64)).first()[0] or 0
     if size > max_bytes:
-        return exchange_hits(docs, benchmark, key, text, item)
+        return exchange_hits(docs, benchmark, carried, key, text, item)
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text)).collect()
-    return broadcast_hits(docs, Index([r[0] for r in rows], [r[1] for r in rows]), key, text)
+    return broadcast_hits(docs, Index([r[0] for r in rows], [r[1] for r in rows]), carried, text)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

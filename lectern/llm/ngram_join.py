@@ -14,7 +14,8 @@
    still hold different components. No pair is given up, and a dense group settles after the first two.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; texts of fewer than
-k words are one shingle; repeated rows share an id and a component; ties go to the smallest id; ids must be integers and not null.
+k words are one shingle; repeated rows share an id and a component; ties go to the smallest id; ids must be integers; a row with a null id
+links nothing, and its component is that of an equal set, else null.
 """
 
 from __future__ import annotations
@@ -263,7 +264,7 @@ def link_groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "t
     kind = docs.schema[key].dataType
     profiles = store.put("profiles", _profiles(docs, rule, key, text))
     name = ["_n", "_s1", "_s2"]
-    reps = profiles.filter("_n > 0").groupBy(*name).agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"), F.count(F.lit(1)).alias("_copies"))
+    reps = profiles.filter("_n > 0 and _id is not null").groupBy(*name).agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"), F.count(F.lit(1)).alias("_copies"))
     reps = store.put("reps", reps)
 
     # blocks: representatives that share keys
@@ -309,3 +310,18 @@ def link_groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "t
     named = reps.join(comp, "_rep", "left").filter("_copies > 1 or _root is not null").select(*name, F.coalesce("_root", "_rep").alias("_root"))
     out = profiles.select("_id", *name).join(named, name, "left")
     return out.select(F.col("_id").cast(kind).alias(key), F.col("_n").alias("n_shingles"), F.coalesce("_root", "_id").cast(kind).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with one row of each group of linked documents, that of the smallest id; rows without text or id stay.
+
+    Only rows whose id falls in the bucket of a doubtful id take part in the shuffled join; the table of buckets is bounded.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(ID_BUCKETS))
+    found = _Store(docs).put("found", link_groups(docs, rule, key, text).select(F.col(key).alias("_id"), F.col("component_id").alias("_root")))
+    doubt = found.filter("_id is not null").groupBy("_id").agg((F.min("_root") != F.col("_id")).alias("_gone"), F.count(F.lit(1)).alias("_rows")).filter("_gone or _rows > 1")
+    wanted = F.broadcast(doubt.select(bucket(F.col("_id")).alias("_bucket")).distinct())  # at most ID_BUCKETS rows
+    marked = docs.withColumn("_bucket", bucket(F.col(key)))
+    sure = marked.join(wanted, "_bucket", "left_anti")
+    some = marked.join(wanted, "_bucket", "left_semi").join(doubt.select(F.col("_id").alias(key), "_gone"), key, "left").filter("_gone is null or not _gone").dropDuplicates([key])
+    return sure.select(*docs.columns).unionByName(some.select(*docs.columns))

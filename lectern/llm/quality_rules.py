@@ -189,10 +189,10 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     return fit(labelled_sample(docs, labels, "quality", key, text, max_docs))
 
 
-def judge(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "text", min_share: float = MIN_CONTENT_SHARE) -> DataFrame:
-    """All columns of `docs` but `text`, the counts, base_failed, content_share (of words) and kept."""
+def judge(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "text", min_share: float = MIN_CONTENT_SHARE, with_text: bool = False) -> DataFrame:
+    """All columns of `docs`, but `text` only if wanted, the counts, base_failed, content_share (of words) and kept."""
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    others = [c for c in docs.columns if c != text]
+    others = [c for c in docs.columns if (with_text or c != text) and c not in {*names, "base_failed", "content_share", "kept"}]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, text):
