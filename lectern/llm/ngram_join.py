@@ -37,9 +37,9 @@ SPARE = 2
 #: Size classes for the number of parts; the ratio of neighbouring bounds must exceed 100 / percent.
 CLASS_RATIO = 1.5
 #: Bounds of a tile, in shingles and in sets.
-TILE_SHINGLES, TILE_SETS = 400_000, 4096
+TILE_SHINGLES, TILE_SETS = 3_000_000, 4096
 LEAF, FANOUT = 16, 8
-ID_BUCKETS = 1 << 18
+ID_BUCKETS = 1 << 22
 
 
 @dataclass(frozen=True)
