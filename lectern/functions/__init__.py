@@ -1 +1,13 @@
-"""Part of lectern."""
+"""Column expressions by subject."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body(value)` with `value` evaluated once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions import let
+
 # Types of acts, months, legal items.
 ACT_TYPES = {
     "decizie": "decizi[ae]|решени[ея]",
@@ -77,14 +79,21 @@ def act_date(text: Column) -> Column:
         parts = [(figures, group(figures, 2).try_cast("int")), (named, F.try_element_at(month, F.lower(group(named, 2))))]
         return [F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), group(p, 3).try_cast("int").alias("y"), m.alias("m"), group(p, 1).try_cast("int").alias("d")) for p, m in parts]
 
-    spots = F.array(*found(text), *found(F.regexp_replace(text, "[-_]+", " ")))
-    valid = F.filter(spots, lambda s: (s["at"] > 0) & s["y"].between(1990, 2100) & s["m"].between(1, 12) & s["d"].between(1, 31))
-    best = F.array_min(valid)
-    return F.when(best.isNotNull(), F.format_string("%04d-%02d-%02d", best["y"], best["m"], best["d"]))
+    def earliest(v: Column) -> Column:
+        spots = F.array(*found(v["t"]), *found(v["u"]))
+        return F.array_min(F.filter(spots, lambda s: (s["at"] > 0) & s["y"].between(1990, 2100) & s["m"].between(1, 12) & s["d"].between(1, 31)))
+
+    both = let(text, lambda t: F.struct(t.alias("t"), F.regexp_replace(t, "[-_]+", " ").alias("u")))
+    shown = lambda b: F.when(b.isNotNull(), F.format_string("%04d-%02d-%02d", b["y"], b["m"], b["d"]))
+    return let(both, lambda v: let(earliest(v), shown))
 
 
 def legal_item(text: Column) -> Column:
     """struct<level,label> of the legal item that a text begins; null if it begins none, or with a date."""
+    return let(text, _legal_item)
+
+
+def _legal_item(text: Column) -> Column:
     item = F.lit(None).cast("struct<level:int,label:string>")
     for level, pattern, label, bare in reversed(LEGAL_ITEMS):
         p = "(?iuU)" + pattern
