@@ -1 +1,97 @@
-"""Registered queries."""
+"""Answer assembly and the whole of hybrid retrieval."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.operators import answers, corpus, ranking
+from lectern.plans.retrieve import retrieve
+from lectern.queries.retrieval import _LINES
+from lectern.registry import query
+from lectern.session import table
+
+
+@query("""
+WITH RECURSIVE c AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS i, doc_id, n_chars::BIGINT AS size FROM documents),
+r(source, i, used, taken, n) AS (
+  SELECT source, i, size, true, 1 FROM c WHERE i = 1
+  UNION ALL SELECT c.source, c.i, CASE WHEN r.used + c.size <= 6500 THEN r.used + c.size ELSE r.used END, r.used + c.size <= 6500, r.n + CASE WHEN r.used + c.size <= 6500 THEN 1 ELSE 0 END FROM r JOIN c ON c.source = r.source AND c.i = r.i + 1
+)
+SELECT r.source, n::INT AS source_no, doc_id, size FROM r JOIN c ON c.source = r.source AND c.i = r.i WHERE taken
+""")
+def source_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.col("n_chars").cast("long").alias("size"))
+    return answers.greedy_budget(docs, "source", "doc_id", "doc_id", "size", 6500)
+
+
+@query(rf"""
+WITH {_LINES}, k AS (SELECT *, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS k FROM lines),
+o AS (SELECT *, row_number() OVER (PARTITION BY source, k ORDER BY doc_id, idx) AS n FROM k WHERE regexp_matches(k, '\p{{L}}'))
+SELECT source, doc_id, idx, 'S' || doc_id || '.L' || idx AS ref FROM o WHERE n = 1
+""")
+def shown_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.lines(table(spark, sf_dir, "documents"), keep=("source",))
+    return answers.shown_lines(rows, "source", "doc_id", "idx", "line").select("source", "doc_id", "idx", "ref")
+
+
+@query("""
+WITH s AS (SELECT o_custkey AS answer_id, o_orderkey AS sentence, ['S' || (o_orderkey % 5), 'S' || (o_orderkey % 7), 'S' || (o_orderkey % 5)] AS refs FROM orders),
+l AS (SELECT DISTINCT o_custkey AS answer_id, 'S' || (o_orderkey % 4) AS ref, 'quote ' || (o_orderkey % 4 % 2) AS quote, 'site' AS site FROM orders),
+r AS (SELECT answer_id, sentence, ref, min(pos) AS pos FROM (SELECT answer_id, sentence, unnest(refs) AS ref, unnest(range(len(refs))) AS pos FROM s) GROUP BY ALL),
+k AS (SELECT r.*, quote, site FROM r JOIN l USING (answer_id, ref)),
+f AS (SELECT answer_id, quote, site, row_number() OVER (PARTITION BY answer_id ORDER BY min((sentence, pos)), quote, site)::INT AS citation FROM k GROUP BY answer_id, quote, site)
+SELECT answer_id, sentence, ref, citation FROM k JOIN f USING (answer_id, quote, site)
+""")
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences with refs made of orders; some name lines that were not shown."""
+    o = table(spark, sf_dir, "orders")
+    name = lambda n: F.concat(F.lit("S"), F.col("o_orderkey") % n)
+    sentences = o.select(F.col("o_custkey").alias("answer_id"), F.col("o_orderkey").alias("sentence"), F.array(name(5), name(7), name(5)).alias("refs"))
+    lines = o.select(F.col("o_custkey").alias("answer_id"), name(4).alias("ref"), F.concat(F.lit("quote "), F.col("o_orderkey") % 4 % 2).alias("quote"), F.lit("site").alias("site")).distinct()
+    return answers.cited(sentences, lines)
+
+
+@query("SELECT conv_id, turn, text, true AS done, len(string_split(text, ' '))::BIGINT AS deltas FROM conversations WHERE role = 'assistant'")
+def replayed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers cut into events and put together again."""
+    said = table(spark, sf_dir, "conversations").filter("role = 'assistant'").withColumn("answer_id", F.struct("conv_id", "turn"))
+    stream = answers.events(said, "answer_id", "text")
+    counts = stream.filter("event = 'delta'").groupBy("answer_id").agg(F.count(F.lit(1)).alias("deltas"))
+    return answers.reduced(stream, "answer_id").join(counts, "answer_id").select("answer_id.conv_id", "answer_id.turn", "text", "done", "deltas")
+
+
+@query("""SELECT event_id, 'event: ' || event_type || chr(10) || 'data: {"id":' || event_id || ',"user":' || user_id || '}' || chr(10) || chr(10) AS frame FROM events""")
+def sse_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = F.to_json(F.struct(F.col("event_id").alias("id"), F.col("user_id").alias("user")))
+    return table(spark, sf_dir, "events").select("event_id", answers.frame(F.col("event_type"), data).alias("frame"))
+
+
+@query("""
+SELECT conv_id, CASE WHEN count(*) FILTER (role = 'system') >= 2 THEN 'conflict' WHEN count(*) FILTER (role = 'assistant') = 0 THEN 'not_found' WHEN count(*) FILTER (role = 'user') > count(*) FILTER (role = 'assistant') THEN 'partial' ELSE 'answered' END AS status FROM conversations GROUP BY conv_id
+""")
+def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = lambda role: F.count_if(F.col("role") == role)
+    c = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(n("system").alias("s"), n("assistant").alias("a"), n("user").alias("u"))
+    return c.select("conv_id", answers.status(F.col("s"), F.greatest(F.col("u") - F.col("a"), F.lit(0)), F.col("a")).alias("status"))
+
+
+@query()
+def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every twentieth vector as a question against documents: vectors of even ids are chunks and of odd ids lines, and texts of the
+    benchmark are matched through postings."""
+    v = table(spark, sf_dir, "embeddings")
+    docs = table(spark, sf_dir, "documents")
+    probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding")
+    chunk_list = ranking.batch_topk(probes, v.filter("vec_id % 2 = 0"), 30).select(F.col("probe").alias("query_id"), F.col("vec_id").alias("chunk_id"), "rank")
+    line_list = ranking.batch_topk(probes, v.filter("vec_id % 2 = 1"), 60).select(F.col("probe").alias("query_id"), F.col("vec_id").cast("string").alias("line_id"), (F.col("vec_id") - 1).alias("chunk_id"), "score", "rank")
+    asked = table(spark, sf_dir, "benchmark").select((F.col("item_id").cast("long") * 20).alias("query_id"), "text")
+    index = corpus.postings(docs, "doc_id")
+    found = corpus.matched(index, asked, "doc_id", "query_id")
+    texts = ranking.ranked(found, ["query_id"], F.desc(F.round("score", 9)), "doc_id").filter("rank <= 30")
+    text_list = texts.select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
+    lines = corpus.lines(docs).select(F.concat_ws(":", "doc_id", "idx").alias("line_id"), F.col("doc_id").alias("chunk_id"), "idx", "line")
+    line_texts = texts.filter("rank <= 10").select("query_id", F.concat_ws(":", "doc_id", F.lit(0)).alias("line_id"), F.col("doc_id").alias("chunk_id"), "score", "rank")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 == 0, "page").otherwise("file").alias("kind"), F.when(F.col("doc_id") % 3 == 1, "decizie").alias("doc_type"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"), "text", F.sha1("text").alias("content_hash"), F.lit(1).alias("page"))
+    out = retrieve(chunk_list, line_list, text_list, line_texts, chunks, lines)
+    return out.select("query_id", "position", "chunk_id", F.round("score", 12).alias("score"), F.size("matched").alias("n_matched"), "link")

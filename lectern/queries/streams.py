@@ -1 +1,29 @@
-"""Registered queries."""
+"""Streaming queries over the events table, run until all that is there is read."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lectern.registry import query
+from lectern.streaming import usage
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.source(spark, sf_dir, "events")
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS calls, round(sum(value), 6) AS value FROM events GROUP BY 1, 2")
+def stream_usage_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = usage.drained(usage.daily_usage(_events(spark, sf_dir)), "update", ["day", "event_type"])
+    return out.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "event_type", "calls", F.round("value", 6).alias("value"))
+
+
+@query("SELECT DISTINCT user_id FROM events")
+def stream_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.drained(usage.new_visitors(_events(spark, sf_dir)), "append")
+
+
+@query()
+def stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return usage.drained(usage.accepted(_events(spark, sf_dir), 3, 21600), "update")
