@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.session import checkpointed
+
 CHUNK_BYTES = 64 << 10
 REVISIT_BYTES = 100
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -149,7 +151,7 @@ def records(chunks: DataFrame) -> DataFrame:
     whole = head.filter("last").select("record_id", "key", "url", "record_type", "refers_to", "said_digest", F.octet_length("payload").cast("long").alias("_bytes"), F.sha2("payload", 256).alias("_digest"))
     ends = running_digests(chunks.filter("not (last and chunk_no = 1)")).filter("last").select("record_id", F.col("bytes_so_far").alias("_bytes"), F.col("digest_so_far").alias("_digest"))
     long = head.filter("not last").drop("last", "payload").join(ends, "record_id")
-    found = whole.unionByName(long)
+    found = checkpointed(whole.unionByName(long))  # narrow rows, so that archives are not read again for the join below
     responses = found.filter("record_type = 'response'")
     revisits = found.filter("record_type = 'revisit'").drop("_bytes", "_digest")
     # only responses that something refers to take part in the join
