@@ -71,13 +71,17 @@ def emails(text: Column) -> Column:
 
 def valid_phone(text: Column) -> Column:
     digits = F.regexp_replace(text, r"\D", "")
-    return (digits.startswith("0") & (F.length(digits) == 9)) | (digits.startswith("373") & (F.length(digits) == 11))
+    return digits.rlike("^0[1-9][0-9]{7}$") | digits.rlike("^373[0-9]{8}$")
 
 
 def phones(text: Column) -> Column:
-    """Distinct valid phone numbers in order, trailing punctuation removed."""
-    found = F.transform(F.regexp_extract_all(text, F.lit(PHONE), F.lit(0)), lambda p: F.regexp_replace(p, r"[\s.-]+$", ""))
-    return F.array_distinct(F.filter(found, valid_phone))
+    """Distinct valid phone numbers in order, as written. A match goes on by groups of digits until it has a whole number."""
+    more = r"(?:[\s.-]{0,2}\d{2,3})"
+    form = PHONE.removeprefix("(?U)")
+    found = F.regexp_extract_all(text, F.lit(rf"(?U)\(?{form}{more}{{0,3}}"), F.lit(0))
+    cuts = lambda m: F.array(*[F.regexp_replace(F.regexp_extract(m, rf"(?U)^\(?{form}{more}{{{n}}}", 0), r"^[ .-]+|[ .-]+$", "") for n in range(4)])
+    shortest = F.transform(found, lambda m: F.get(F.filter(cuts(m), valid_phone), 0))
+    return F.array_distinct(F.filter(shortest, lambda p: p.isNotNull()))
 
 
 def masked(text: Column) -> Column:

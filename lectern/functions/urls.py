@@ -87,11 +87,17 @@ def under_prefix(path: Column, prefix: Column) -> Column:
 
 
 def deep_link(url: Column, kind: Column, text: Column, page: Column) -> Column:
-    """A link to the page of a file or to the first words of a passage on a web page."""
-    start = F.array_join(F.slice(F.split(F.trim(text), r"(?U)\s+"), 1, 8), " ")
-    shown = F.concat(url, F.lit("#:~:text="), F.replace(F.url_encode(start), F.lit("+"), F.lit("%20")))
-    paged = F.concat(url, F.lit("#page="), F.coalesce(page, F.lit(1)))
-    return F.when((kind == "file") & (extension(url) == ".pdf"), paged).when((kind == "file") | (start == ""), url).otherwise(shown)
+    """A link to the page of a paged file, or to the first eight words of a passage on a web page. `kind` is not needed to tell them apart."""
+    paged = (page > 0) & ~F.lower(part(url, "path")).rlike(r"(?:\.html?|/)$")
+    is_pdf = (extension(url) == ".pdf") | F.coalesce(paged & (kind == "file"), F.lit(False))
+    start = F.array_join(F.slice(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), 1, 8), " ")
+    quoted = F.replace(F.replace(F.url_encode(start), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    return (
+        F.when(url == "", "")
+        .when(is_pdf, F.concat(url, F.lit("#page="), F.when(page > 0, page).otherwise(1)))
+        .when(start == "", url)
+        .otherwise(F.concat(url, F.lit("#:~:text="), quoted))
+    )
 
 
 def links(html: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.operators import answers, corpus, ranking
+from lectern.functions import questions, urls
+from lectern.operators import answers, contacts, corpus, ranking
+from lectern.operators.embedding import continued, embedded
 from lectern.plans.retrieve import retrieve
 from lectern.queries.retrieval import _LINES
 from lectern.registry import query
@@ -95,3 +97,66 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 == 0, "page").otherwise("file").alias("kind"), F.when(F.col("doc_id") % 3 == 1, "decizie").alias("doc_type"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"), "text", F.sha1("text").alias("content_hash"), F.lit(1).alias("page"))
     out = retrieve(chunk_list, line_list, text_list, line_texts, chunks, lines)
     return out.select("query_id", "position", "chunk_id", F.round("score", 12).alias("score"), F.size("matched").alias("n_matched"), "link")
+
+
+@query("""
+WITH r AS (SELECT source, doc_id, text FROM documents WHERE doc_id % 3 = 0),
+n AS (SELECT source, doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents),
+a AS (SELECT source, doc_id, doc_id AS o, false AS continuation FROM r UNION ALL
+  SELECT r.source, n.next, r.doc_id, true FROM r JOIN n ON n.source = r.source AND n.doc_id = r.doc_id WHERE r.doc_id % 2 = 0 AND n.next IS NOT NULL AND n.next % 3 <> 0)
+SELECT source, doc_id, continuation, row_number() OVER (PARTITION BY source ORDER BY o, continuation)::INT AS place FROM a
+""")
+def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third document as a result; those with an even id are made to end with a colon."""
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 2 == 0, "it follows:").otherwise("it ends.").alias("text"))
+    results = docs.filter("doc_id % 3 = 0").select(F.col("source").alias("q"), F.col("doc_id").alias("o"), "source", "doc_id", "text")
+    return continued(results, docs, "q", "o", "source", "doc_id", "text").select("source", "doc_id", "continuation", "place")
+
+
+@query("SELECT doc_id, sha1(text) AS content_hash, sha1(text) IN (SELECT sha1(text) FROM documents WHERE doc_id % 2 = 0) AS reused, 64 AS dims FROM documents")
+def embedding_reuse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    old = docs.filter("doc_id % 2 = 0").select(F.sha1("text").alias("content_hash"), F.array_repeat(F.lit(0.125).cast("float"), 64).alias("embedding"))
+    return embedded(docs, old).select("doc_id", "content_hash", "reused", F.size("embedding").alias("dims"))
+
+
+@query()
+def contact_cards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("site"), F.concat(F.lit("https://"), "source", F.lit("/"), "doc_id").alias("url"), F.lit("").alias("title"))
+    lines = corpus.lines(docs).select(F.col("doc_id").alias("chunk_id"), "idx", "line_id", "line")
+    found = contacts.deduplicated(contacts.cards(chunks, lines))
+    return found.select("contact_id", "site", "name", F.size("phone").alias("phones"), F.array_join("email", ",").alias("emails"))
+
+
+@query("""
+WITH u AS (SELECT conv_id, turn, text, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next, role FROM conversations),
+w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}\\p{Pc}]+'), lambda x: length(x) >= 4)) AS q, list_distinct(list_filter(regexp_extract_all(lower(next), '[\\p{L}\\p{N}\\p{M}\\p{Pc}]+'), lambda x: length(x) >= 4)) AS l FROM u WHERE role = 'user' AND next IS NOT NULL)
+SELECT conv_id, turn, CASE WHEN len(q) > 0 THEN round(len(list_intersect(q, l)) / len(q)::DOUBLE, 9) END AS share FROM w
+""".replace("\\\\", "\\"))
+def question_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = corpus.next_items(table(spark, sf_dir, "conversations"), "conv_id", "turn", "text").filter("role = 'user' and next_text is not null")
+    return rows.select("conv_id", "turn", F.round(questions.overlap(F.col("text"), F.col("next_text")), 9).alias("share"))
+
+
+@query("""
+SELECT o_orderkey, CASE WHEN o_orderdate <= TIMESTAMP '1995-06-17' THEN strftime(o_orderdate, '%Y-%m-%d') WHEN o_custkey % 2 = 0 THEN '1992-03-01' END AS recency FROM orders
+""")
+def recency_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest date up to a day in texts made of orders."""
+    text = F.concat(F.lit("din "), F.date_format("o_orderdate", "dd.MM.yyyy"), F.when(F.col("o_custkey") % 2 == 0, " și 1 martie 1992").otherwise(" și 45.13.1994"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", text.alias("t"))
+    return rows.select("o_orderkey", questions.latest_date(F.col("t"), F.lit("1995-06-17")).alias("recency"))
+
+
+def _case(column: str, rules: dict[str, str], fold: str = "") -> str:
+    return " ".join(f"WHEN regexp_matches({column}, '{fold}{p}') THEN '{n}'" for n, p in rules.items())
+
+
+@query(rf"""
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, substr(html, 1, 3000) AS t FROM pages)
+SELECT page_id, CASE {_case("host", questions.HOST_CATEGORIES)} {_case("t", questions.TEXT_CATEGORIES, "(?i)")} ELSE 'other' END AS category FROM h
+""")
+def site_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return pages.select("page_id", questions.category(urls.host(F.col("url")), F.substring("html", 1, 3000))["category"].alias("category"))

@@ -79,7 +79,7 @@ def test_retrieve_in_five_chunks(spark):
     ranks = lambda items: spark.createDataFrame([(1, c, i + 1) for i, c in enumerate(items)], "query_id long, chunk_id string, rank int")
     lines = spark.createDataFrame([(1, "l1", "c", 0.9, 1), (1, "l2", "a", 0.8, 2), (1, "l3", "c", 0.7, 3)], "query_id long, line_id string, chunk_id string, score double, rank int")
     text_lines = spark.createDataFrame([(1, "l1", "c", 5.0, 1), (1, "l9", "a", 0.85, 2)], "query_id long, line_id string, chunk_id string, score double, rank int")
-    chunk_rows = [(c, "file" if c in "ab" else "page", "decizie" if c == "b" else None, f"https://e.md/{c}.pdf", f"text of {c} with words", "same" if c in "bd" else c, 2) for c in "abcde"]
+    chunk_rows = [(c, "file" if c in "ab" else "page", "decizie" if c == "b" else None, f"https://e.md/{c}" + (".pdf" if c in "ab" else ".html"), f"text of {c} with words", "same" if c in "bd" else c, 2) for c in "abcde"]
     ch = spark.createDataFrame(chunk_rows, "chunk_id string, kind string, doc_type string, url string, text string, content_hash string, page int")
     all_lines = spark.createDataFrame([(f"{c}{i}", c, i, "x") for c in "abcde" for i in range(5)], "line_id string, chunk_id string, idx int, line string")
     got = retrieve(ranks("abd"), lines, ranks("dce"), text_lines, ch, all_lines).orderBy("position").collect()
@@ -90,7 +90,7 @@ def test_retrieve_in_five_chunks(spark):
     by = {r["chunk_id"]: r for r in got}
     assert [m["line_id"] for m in by["c"]["matched"]] == ["l1", "l3"] and [m["line_id"] for m in by["a"]["matched"]] == ["l9", "l2"]
     assert [m["line_id"] for m in by["e"]["matched"]] == ["e0", "e1", "e2"]
-    assert by["a"]["link"] == "https://e.md/a.pdf#page=2" and by["c"]["link"].startswith("https://e.md/c.pdf#:~:text=text%20of%20c")
+    assert by["a"]["link"] == "https://e.md/a.pdf#page=2" and by["c"]["link"].startswith("https://e.md/c.html#:~:text=text%20of%20c")
     shuffled = retrieve(ranks("abd").repartition(7), lines.repartition(3), ranks("dce"), text_lines, ch.repartition(5), all_lines).orderBy("position").collect()
     assert shuffled == got
 
@@ -200,3 +200,90 @@ def test_context_and_mentions(spark):
     got = [(r["idx"], r["gap"]) for r in corpus.with_context(lines, corpus.contains(F.col("line"), "hit"), 1).orderBy("idx").collect()]
     assert got == [(0, False), (1, False), (2, False), (4, True), (5, False)]
     assert [tuple(r) for r in corpus.mentions(lines, ["hit"]).collect()] == [(1, 1, "hit")]
+
+
+def test_contact_cards(spark):
+    from lectern.operators import contacts
+
+    lines = [
+        (1, 0, "Direcția Generală Arhitectură, Urbanism și Relații Funciare se ocupă de certificate."),
+        (1, 1, "Telefon: (022) 20-46-90, fax 0 22 20 17 07, anul 2013 - 2027"),
+        (1, 2, "Adresa: str. Columna 106, MD-2012. Program: luni-vineri 8.00-17.00."),
+        (2, 0, "e-mail: WWW.info@primaria.md"),
+        (3, 0, "fără contacte"),
+        (4, 0, "Scrieți la info@primaria.md"),
+    ]
+    df = spark.createDataFrame([(c, i, f"{c}:{i}", t) for c, i, t in lines], "chunk_id long, idx int, line_id string, line string")
+    chunks = spark.createDataFrame([(1, "a.md", "https://a.md/x", "T"), (2, "a.md", "https://a.md/long/page", ""), (3, "a.md", "https://a.md", ""), (4, "a.md", "https://a.md/contacte/longer/still", "")], "chunk_id long, site string, url string, title string")
+    got = contacts.cards(chunks, df).collect()
+    card = next(r for r in got if r["phone"])
+    assert card["name"] == "Direcția Generală Arhitectură, Urbanism și Relații Funciare"
+    assert card["phone"] == ["(022) 20-46-90", "0 22 20 17 07"] and card["hours"].startswith("Program") and "Columna" in card["address"]
+    assert card["line_ids"] == ["1:1", "1:2"] and len(got) == 3
+    once = contacts.deduplicated(contacts.cards(chunks, df)).filter("size(email) > 0").collect()
+    assert [(r["url"], r["email"]) for r in once] == [("https://a.md/contacte/longer/still", ["info@primaria.md"])]
+
+
+@pytest.mark.parametrize("size", [1, 2, 3, 7, 1000])
+def test_json_events_do_not_depend_on_cuts(size):
+    import json
+
+    from lectern.streaming.json_events import Reader
+
+    value = {"a": [1, -2.5, True, None, "x"], "s": 'q"\\ é 😀 \n', "e": {}, "sentences": [{"text": "One.", "refs": ["S1.L1"]}, {"text": "Two"}]}
+    text = json.dumps(value)
+    events, state = [], ""
+    for i in range(0, len(text), size):
+        reader = Reader(state)
+        events += reader.feed(text[i : i + size])
+        state = reader.state()
+    values = [(p, v) for k, p, v in events if k == "value"]
+    assert values == [("a/0", "1"), ("a/1", "-2.5"), ("a/2", "true"), ("a/3", "null"), ("a/4", "x"), ("s", value["s"]), ("sentences/0/text", "One."), ("sentences/0/refs/0", "S1.L1"), ("sentences/1/text", "Two")]
+    for path, v in values:
+        shown = "".join(x for k, p, x in events if k == "text" and p == path)
+        assert shown in ("", v) and (shown == v or not isinstance(v, str) or path.startswith("a/"))
+    assert [p for k, p, _ in events if k == "end"] == ["a", "e", "sentences/0/refs", "sentences/0", "sentences/1", "sentences", ""]
+
+
+def test_live_sentences(spark):
+    import json
+
+    from lectern.streaming import json_events
+
+    text = json.dumps({"sentences": [{"text": "One."}, {"text": "Two."}]})
+    pieces = [("x", i, text[i : i + 5]) for i in range(0, len(text), 5)] + [("y", 0, '{"sentences": [{"text": "Only')]
+    path = f"{shared_dir(spark)}/pieces-{uuid.uuid4().hex}"
+    spark.createDataFrame(pieces, "id string, seq long, piece string").repartition(3).write.parquet(path)
+    stream = spark.readStream.schema("id string, seq long, piece string").parquet(path)
+    found = usage.drained(json_events.events(stream), "append")
+    assert {r["id"]: r["sentences"] for r in json_events.live_sentences(found).collect()} == {"x": ["One.", "Two."]}
+    assert [r["value"] for r in found.filter("id = 'y'").collect()] == ["Only"]
+
+
+def test_embedding_reuse(spark):
+    from lectern.operators.embedding import embedded, hashing_embedder
+
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return hashing_embedder(texts)
+
+    rows = spark.createDataFrame([(1, "a b"), (2, "a b"), (3, "c"), (4, None)], "k int, text string")
+    cache = spark.createDataFrame([("84a516841ba77a5b4648de2cd0dfcb30ea46dbb4", [1.0])], "content_hash string, embedding array<float>")
+    got = {r["k"]: r for r in embedded(rows, cache, counted).collect()}
+    assert got[3]["reused"] and list(got[3]["embedding"]) == [1.0] and list(got[1]["embedding"]) == list(got[2]["embedding"])
+    assert calls.value <= 3 and sum(x * x for x in got[1]["embedding"]) == pytest.approx(1, abs=1e-5)
+
+
+def test_questions(spark):
+    from lectern.functions import questions as q
+
+    f = lambda text, g: spark.createDataFrame([(text,)], "x string").select(g(F.col("x"))).first()[0]
+    assert f("Cine este primarul?", q.asks_for_now) and not f("Cum obțin?", q.asks_for_now)
+    assert f("din cine e comisia", q.asks_for_members) and f("Bună ziua!", q.small_talk) and not f("Bună ziua, cât costă?", q.small_talk)
+    assert f("decizia 4/1 și dispoziția 251-d", q.act_numbers_asked) == ["4/1", "251-d"]
+    assert tuple(f("школа № 5", lambda c: q.category(F.lit("x.md"), c))) == ("education", "keywords")
+    assert tuple(f("", lambda c: q.category(F.lit("apacanal.md"), c))) == ("urban_utilities", "rule")
+    assert f("din 1 martie 2020 și 5.6.2019, 1 ianuarie 2999", lambda c: q.latest_date(c, F.lit("2024-01-01"))) == "2020-03-01"
+    assert f("12/14", lambda c: q.act_patterns(c, F.lit("2020-07-28"))) == ["nr. 12/14", "nr.12/14", "nr 12/14", "12/14 din 28.07.2020"]
