@@ -35,6 +35,10 @@ SMALL_TALK = (
 )
 ACT_NUMBER = r"(?iuU)\b\d+(?:/\d+(?:-\d+)?|-[a-zа-я]{1,2})\b"
 
+ROLE = r"(?iuU)\b(membr[ui]\w*|președint\w*|vicepreședint\w*|secretar\w*|coordonator\w*|член\w*|председател\w*|секретар\w*|заместител\w*)"
+NUMBERED_NAME = r"(?U)^\s*\d+[.)]\s+[A-ZĂÂÎȘȚА-ЯЁ][\w-]+\s+[A-ZĂÂÎȘȚА-ЯЁ][\w-]+\s*[,–—-]"
+NO_QUESTION_LINE = r"(?iu)^(pagin[aă]|pagina|anexa|articolul|capitolul|data|nr\.)"
+
 
 def category(host: Column, text: Column) -> Column:
     """struct<category,how>: the first rule whose pattern is in the host, else in the text, else other."""
@@ -90,3 +94,14 @@ def latest_date(text: Column, today: Column) -> Column:
     valid = F.filter(parts, lambda x: (x["y"] >= "1990") & x["m"].cast("int").between(1, 12) & x["d"].cast("int").between(1, 31))
     shown = F.transform(valid, lambda x: F.concat_ws("-", x["y"], F.lpad(x["m"], 2, "0"), F.lpad(x["d"], 2, "0")))
     return F.array_max(F.filter(shown, lambda t: t <= today))
+
+
+def is_roster(text: Column) -> Column:
+    """Whether a text lists people with their roles: three lines or more with a role, as table rows or numbered names."""
+    fits = lambda t: t.rlike(ROLE) & ((F.length(F.regexp_replace(t, r"[^|]", "")) >= 2) | t.rlike(NUMBERED_NAME))
+    return F.size(F.filter(F.split(F.coalesce(text, F.lit("")), "\n"), fits)) >= 3
+
+
+def asks_well(line: Column) -> Column:
+    """Whether a line can be asked about: neither short nor long, no page mark, not only figures."""
+    return F.length(line).between(50, 320) & ~line.rlike(NO_QUESTION_LINE) & ~line.rlike(r"^[0-9.\-\s:,]+$")

@@ -202,3 +202,30 @@ def last_marks(log: DataFrame, query: str, at: str, kind: str, rank: str) -> Dat
     last = log.groupBy(query).agg(F.max_by(F.struct(kind, rank), F.struct(at)).alias("_l")).select("_l.*")
     ok = F.col(kind) == "ok"
     return last.agg(F.count(F.lit(1)).alias("queries"), F.count_if(ok).alias("ok"), F.avg(ok.cast("double")).alias("ok_share"), F.avg(F.when(ok, F.col(rank))).alias("mean_rank"))
+
+
+def eta(progress: DataFrame, job: str, at: str, percent: str) -> DataFrame:
+    """job, at, eta in seconds for every report of a job: a new estimate only when the percent moves, half old and half new; else it counts down.
+
+    A job's reports are folded in order; there are as many as the job made.
+    """
+    start = F.min(at).over(Window.partitionBy(job))
+    packed = progress.withColumn("_s", start).groupBy(job).agg(F.array_sort(F.collect_list(F.struct(F.col(at).cast("double").alias("t"), F.col(percent).cast("double").alias("p"), F.col("_s").cast("double").alias("s")))).alias("_r"))
+    kind = "array<struct<t:double,eta:double>>"
+    zero = F.struct(F.lit(None).cast("double").alias("eta"), F.lit(-1.0).alias("p"), F.lit(0.0).alias("t"), F.array().cast(kind).alias("out"))
+
+    def step(a, x):
+        left = F.greatest(F.lit(0.0), a["eta"] - (x["t"] - a["t"]))
+        still = a["eta"].isNotNull() & (x["p"] <= a["p"] + 1e-9)
+        rate = F.when((x["p"] > 0) & (x["t"] > x["s"]), (100.0 - x["p"]) * (x["t"] - x["s"]) / x["p"])
+        moved = F.when(rate.isNotNull() & a["eta"].isNotNull(), 0.5 * rate + 0.5 * left).otherwise(rate)
+        now = F.when(still, left).otherwise(moved)
+        return F.struct(now.alias("eta"), F.when(still, a["p"]).otherwise(x["p"]).alias("p"), x["t"].alias("t"), F.concat(a["out"], F.array(F.struct(x["t"].alias("t"), now.alias("eta")))).alias("out"))
+
+    folded = F.aggregate("_r", zero, step, lambda a: a["out"])
+    return packed.select(job, F.explode(folded).alias("_x")).select(job, F.col("_x.t").alias(at), F.col("_x.eta").alias("eta"))
+
+
+def low_rated(feedback: DataFrame, most: int, rating: str, updated: str, n: int) -> DataFrame:
+    """The worst rated answers, the latest first among equals."""
+    return feedback.filter(F.col(rating) <= most).orderBy(rating, F.desc(updated)).limit(n)

@@ -235,3 +235,30 @@ def index_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.stratified(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 10, "doc_id", 7)
+
+
+@query(r"""
+WITH t AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+SELECT doc_id, count(*) AS n FROM t WHERE length(line) BETWEEN 50 AND 320 AND NOT regexp_matches(line, '(?i)^(pagin[aă]|pagina|anexa|articolul|capitolul|data|nr\.)') AND NOT regexp_matches(line, '^[0-9\.\-\s:,]+$') GROUP BY doc_id
+""".replace("\\\\", "\\"))
+def eval_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines of each document can be asked about."""
+    from lectern.functions.questions import asks_well
+    from lectern.operators.corpus import lines
+
+    return lines(table(spark, sf_dir, "documents")).filter(asks_well(F.col("line"))).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT user_id, event_id, value FROM events WHERE value <= 3 ORDER BY value, ts DESC, event_id LIMIT 25")
+def low_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events").withColumn("_u", F.struct("ts", (-F.col("event_id")).alias("i")))
+    return analytics.low_rated(e, 3, "value", "_u", 25).select("user_id", "event_id", "value")
+
+
+@query()
+def job_etas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders of a customer as reports of a job, its lines as progress."""
+    orders = table(spark, sf_dir, "orders").select("o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    n = F.count(F.lit(1)).over(Window.partitionBy("o_custkey"))
+    done = F.row_number().over(Window.partitionBy("o_custkey").orderBy("at"))
+    return analytics.eta(orders.select("o_custkey", "at", (100.0 * done / n).alias("percent")), "o_custkey", "at", "percent")

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.functions.vectors import dot
+from lectern.functions.vectors import mean
 from lectern.operators import corpus, ranking
+from lectern.plans import gather
 from lectern.registry import query
 from lectern.session import table
 
@@ -212,7 +213,27 @@ SELECT label, any_value(n) AS n, list_sum(list(x ORDER BY i)) AS squares FROM (
 """)
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mean vector of each label, as the rounded squares of its elements summed."""
-    from lectern.functions.vectors import mean
-
     v = table(spark, sf_dir, "embeddings").groupBy("label").agg(mean(F.col("embedding"), 64).alias("c"), F.count(F.lit(1)).alias("n"))
     return v.select("label", "n", F.aggregate(F.transform("c", lambda x: F.round(x * x, 9)), F.lit(0.0), lambda s, x: s + x).alias("squares"))
+
+
+_LIST = "SELECT p.vec_id AS query_id, e.vec_id AS chunk_id, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM embeddings e, embeddings p WHERE p.vec_id % 20 = 0 AND e.vec_id % 4 = {}"
+
+
+@query(f"""
+WITH u AS (SELECT *, 0.5::DOUBLE AS w, 0 AS place FROM ({_LIST.format(1)}) WHERE rank <= 10 UNION ALL SELECT *, 1.0::DOUBLE, 1 FROM ({_LIST.format("1 - 1")}) WHERE rank <= 10 UNION ALL SELECT *, 0.25::DOUBLE, 2 FROM ({_LIST.format("1 AND e.label < 5")}) WHERE rank <= 10),
+f AS (SELECT query_id, chunk_id, list_sum(list(w / (60 + rank) ORDER BY place)) AS score, min(place * 1000000 + rank) AS o FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) AS position FROM f),
+j AS (SELECT r.*, n_chars AS date, row_number() OVER (PARTITION BY query_id, sha1(text) ORDER BY position) AS copy FROM r JOIN documents ON doc_id = chunk_id),
+d AS (SELECT query_id, chunk_id, date, row_number() OVER (PARTITION BY query_id ORDER BY position)::INT AS position FROM j WHERE copy = 1),
+k AS (SELECT *, max(CASE WHEN position <= 12 THEN date END) OVER (PARTITION BY query_id) AS kept, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN position > 12 THEN date END DESC NULLS LAST, position) AS newest FROM d)
+SELECT query_id, chunk_id, position FROM k WHERE position <= 12 OR (newest = 1 AND date > kept)
+""")
+def gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three searches for every twentieth vector, fused by the weights of question and rewrites, the best and the newest picked; lengths stand in for dates."""
+    v = table(spark, sf_dir, "embeddings")
+    probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding")
+    found = lambda cond: ranking.batch_topk(probes, v.filter(cond), 10).select(F.col("probe").alias("query_id"), F.col("vec_id").alias("chunk_id"), "rank")
+    lists = {"question": found("vec_id % 4 = 1"), "ro": found("vec_id % 4 = 0"), "ru": found("vec_id % 4 = 1 and label < 5")}
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha1("text").alias("content_hash"), F.col("n_chars").alias("date"))
+    return gather.picked(gather.fused(lists), chunks).select("query_id", "chunk_id", "position")

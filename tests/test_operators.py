@@ -287,3 +287,30 @@ def test_questions(spark):
     assert tuple(f("", lambda c: q.category(F.lit("apacanal.md"), c))) == ("urban_utilities", "rule")
     assert f("din 1 martie 2020 și 5.6.2019, 1 ianuarie 2999", lambda c: q.latest_date(c, F.lit("2024-01-01"))) == "2020-03-01"
     assert f("12/14", lambda c: q.act_patterns(c, F.lit("2020-07-28"))) == ["nr. 12/14", "nr.12/14", "nr 12/14", "12/14 din 28.07.2020"]
+
+
+def test_fresh_acts_go_in_after_the_sixth(spark):
+    from lectern.plans import gather
+
+    row = lambda q, i, c, act=True: (q, c, f"h{c}", "2020", act, i)
+    schema = "query_id long, chunk_id string, content_hash string, date string, is_act boolean, position int"
+    chosen = spark.createDataFrame([row(1, i, f"c{i}") for i in range(1, 9)] + [row(2, 1, "x", False)], schema).withColumn("score", F.lit(1.0))
+    fresh = {
+        "later": spark.createDataFrame([row(1, 1, "c2"), row(1, 2, "n1"), row(1, 3, "n2"), row(1, 4, "n3"), row(1, 5, "n4"), row(2, 1, "y")], schema),
+        "newer": spark.createDataFrame([row(1, 1, "n1"), row(1, 2, "n5")], schema),
+        "fresh_terms": spark.createDataFrame([row(1, 1, "n6")], schema),
+    }
+    got = gather.refreshed(chosen, fresh, spark.createDataFrame([], "query_id long")).orderBy("query_id", "place").collect()
+    assert [r["chunk_id"] for r in got if r["query_id"] == 1] == ["c1", "c2", "c3", "c4", "c5", "c6", "n1", "n2", "n3", "n5", "c7", "c8"]
+    assert [r["chunk_id"] for r in got if r["query_id"] == 2] == ["x"]
+
+
+def test_rosters_and_etas(spark):
+    from lectern.functions.questions import is_roster
+
+    f = lambda t: spark.createDataFrame([(t,)], "x string").select(is_roster(F.col("x"))).first()[0]
+    assert f("| Ion | președinte |\n| Ana | secretar |\n| Dan | membru |") and f("1. Ion Rusu – președinte\n2. Ana Lupu – membru\n3. Dan Pop – membru")
+    assert not f("membru\nmembru\nmembru") and not f(None)
+    rows = [(1, 0.0, 0.0), (1, 10.0, 10.0), (1, 20.0, 10.0), (1, 30.0, 50.0)]
+    got = [r["eta"] for r in analytics.eta(spark.createDataFrame(rows, "j int, t double, p double"), "j", "t", "p").orderBy("t").collect()]
+    assert got == [None, 90.0, 80.0, pytest.approx(0.5 * 30 + 0.5 * 70)]
