@@ -12,13 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, ngram_join, piece_sampling, quality_rules, secret_scan
+from lectern.llm.clashes import filtered
 from lectern.session import shared_dir, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep; the line model is fitted on a bounded sample of labelled ones."""
     model = quality_rules.fit_on(docs, table(spark, sf_dir, "labels"))
-    return quality_rules.judge(docs, model, with_text=True).filter("kept").select(*docs.columns)
+    return filtered(docs, quality_rules.RESULTS, lambda d: quality_rules.judge(d, model, with_text=True), "kept")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +29,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of ten words, and no whole shorter item, with the benchmark."""
-    return decontaminate.find(docs, table(spark, sf_dir, "benchmark"), carry=docs.columns).filter("n_hit = 0").select(*docs.columns)
+    items = table(spark, sf_dir, "benchmark")
+    return filtered(docs, decontaminate.RESULTS, lambda d: decontaminate.find(d, items, carry=d.columns), "n_hit = 0")
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

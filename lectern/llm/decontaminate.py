@@ -26,6 +26,7 @@ from lectern.llm.textwords import ALNUM, Words, chunks, signed, string_bytes, wo
 SPAN = 10
 GRAM = 5
 MAX_BROADCAST_BYTES = 32 << 20
+RESULTS = ["n_words", "n_hit", "items"]
 
 
 def winnowed(words: Words, gram: int = GRAM, span: int = SPAN) -> tuple[np.ndarray, np.ndarray]:
@@ -206,7 +207,7 @@ def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", max_bytes: int = MAX_BROADCAST_BYTES, carry: list[str] | None = None) -> DataFrame:
     """The key (or the columns to `carry`), n_words, n_hit (words inside shared spans), items (sorted distinct ids with shared spans)."""
-    carried = list(carry or [key])
+    carried = [c for c in carry or [key] if c not in RESULTS]  # a carried column with the name of a result gives way
     size = benchmark.agg(F.sum(F.octet_length(F.col(text)) + 64)).first()[0] or 0
     if size > max_bytes:
         return exchange_hits(docs, benchmark, carried, key, text, item)

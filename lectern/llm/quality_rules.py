@@ -25,6 +25,8 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 MIN_CONTENT_SHARE = 0.5
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+RESULTS = [*COUNTS, "base_failed", "content_share", "kept"]
 
 LINE = np.ones(256, dtype=bool)
 LINE[10] = False
@@ -190,9 +192,11 @@ def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
 
 
 def judge(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "text", min_share: float = MIN_CONTENT_SHARE, with_text: bool = False) -> DataFrame:
-    """All columns of `docs`, but `text` only if wanted, the counts, base_failed, content_share (of words) and kept."""
-    names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    others = [c for c in docs.columns if (with_text or c != text) and c not in {*names, "base_failed", "content_share", "kept"}]
+    """All columns of `docs`, but `text` only if wanted, the counts, base_failed, content_share (of words) and kept.
+
+    A column of `docs` with the name of a result gives way to it."""
+    names = COUNTS
+    others = [c for c in docs.columns if (with_text or c != text) and c not in RESULTS]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, text):

@@ -198,9 +198,10 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[SECRET]") -> DataFra
         tail = F.substring(F.col(text), F.get(runs, F.size(runs) - 1)["end"] + 1, F.lit(2**31 - 1))
         return F.array_join(F.concat(kept, F.array(tail)), mark)
 
-    found = scan(df, text)
-    clean = F.when(F.size("secret_spans") > 0, let(merged(F.col("secret_spans")), cut)).otherwise(F.col(text))
-    return found.withColumn(text, clean).select(*columns)
+    t = F.coalesce(F.col(text), F.lit(""))
+    spans = F.array_sort(F.concat(base_spans(t), entropy_spans(t)))
+    clean = let(spans, lambda s: F.when(F.size(s) > 0, let(merged(s), cut)).otherwise(F.col(text)))
+    return df.withColumn(text, clean).select(*columns)
 
 
 def digest_columns(found: DataFrame) -> DataFrame:

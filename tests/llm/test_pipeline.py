@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from lectern.llm import ngram_join, piece_sampling, quality_rules
 from tests.llm import brute
@@ -46,3 +48,12 @@ def test_one_of_each_keeps_one_row(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, _gone string")
     got = ngram_join.one_of_each(df.withColumnRenamed("_gone", "source"), ngram_join.Rule()).collect()
     assert sorted(((r["doc_id"] or -1), r["source"]) for r in got) == [(-1, "f"), (1, "a"), (7, "c"), (8, "d"), (9, "e")]
+
+
+def test_columns_named_like_results_stay(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumns({"kept": F.lit("k"), "n_hit": F.lit("h"), "n_words": F.col("doc_id"), "secret_base": F.lit("s"), "component_id": F.lit(1), "_keys": F.lit(2)})
+    for _, stage in P.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        rows = docs.select("doc_id", "kept", "n_hit", "n_words", "component_id", "_keys").collect()
+        assert rows and all(tuple(r) == (r["doc_id"], "k", "h", r["doc_id"], 1, 2) for r in rows)
+    assert docs.filter("secret_base = 's'").count() == len(rows)
