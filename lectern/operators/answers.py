@@ -68,3 +68,33 @@ def reduced(stream: DataFrame, answer: str) -> DataFrame:
 def frame(event: Column, data: Column) -> Column:
     """A server-sent event."""
     return F.concat(F.lit("event: "), event, F.lit("\ndata: "), data, F.lit("\n\n"))
+
+
+def navigation_links(links: DataFrame, answer: str, url: str, order: str, n: int = 3) -> DataFrame:
+    """The first n distinct addresses of each answer, in order."""
+    first = links.groupBy(answer, url).agg(F.min(order).alias(order))
+    place = F.row_number().over(Window.partitionBy(answer).orderBy(order, url))
+    return first.withColumn("place", place).filter(F.col("place") <= n)
+
+
+def focus(citations: DataFrame, answer: str, kind: str, order: str, item: str) -> DataFrame:
+    """The citation to open first: the first of a file, else the first."""
+    return citations.groupBy(answer).agg(F.min_by(item, F.struct((F.col(kind) != "file").alias("k"), order)).alias(item))
+
+
+def untranslated(citations: DataFrame, lang: Column) -> DataFrame:
+    """Quotes in another language than the answer's that have no translation yet, each text once."""
+    return citations.filter((F.col("quote_lang") != lang) & (F.coalesce("translation", F.lit("")) == "")).select("quote", "quote_lang").distinct()
+
+
+def verified_contacts(found: DataFrame, lines: DataFrame, key: str) -> DataFrame:
+    """Contacts that the cited lines bear out: a phone by its digits (five or more), an e-mail by its text; others drop out.
+
+    found: key, phone, email; lines: key, texts (array).
+    """
+    digits = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"\D", "")
+    joined = found.join(lines, key)
+    phone = (F.length(digits(F.col("phone"))) >= 5) & F.exists("texts", lambda t: F.contains(digits(t), digits(F.col("phone"))))
+    email = F.exists("texts", lambda t: F.contains(F.lower(t), F.lower("email")))
+    ok = joined.withColumns({"phone": F.when(phone, F.col("phone")), "email": F.when(email, F.col("email"))})
+    return ok.filter("phone is not null or email is not null").drop("texts")

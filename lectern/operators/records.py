@@ -163,3 +163,39 @@ def work_left(sources: DataFrame, queue: DataFrame, files: DataFrame, pages: Dat
     for df, name in zip((queue, files, pages), names, strict=True):
         out = out.join(df.groupBy(key).agg(F.count(F.lit(1)).alias(name)), key, "left")
     return out.na.fill(0, names).withColumn("work", sum((F.col(n) for n in names[1:]), F.col(names[0])))
+
+
+def refreshed_suggestions(stored: DataFrame, chosen: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored suggestions after a round: new counts where chosen again, an earlier answer kept where none is new, others as they were.
+
+    Both hold the keys, asked_count and answer_id.
+    """
+    s = stored.select(*keys, F.col("asked_count").alias("_n"), F.col("answer_id").alias("_a"))
+    both = s.join(chosen.select(*keys, "asked_count", "answer_id"), keys, "full_outer")
+    return both.select(*keys, F.coalesce("asked_count", "_n").alias("asked_count"), F.coalesce("_a", "answer_id").alias("answer_id"))
+
+
+def grouped_decisions(rows: DataFrame, decisions: DataFrame, key: str, group: str) -> DataFrame:
+    """Groups of rows joined by stored decisions (key of a group's head, its new group); a head without a decision keeps its group."""
+    return rows.join(decisions.select(F.col(key).alias(group), F.col("decided").alias("_d")), group, "left").withColumn(group, F.coalesce("_d", group)).drop("_d")
+
+
+#: Stages of a job by kind, with the share of its time that each takes.
+PLANS = {
+    "full": [("crawl", 30), ("download", 20), ("parse", 30), ("chunk", 5), ("index", 15)],
+    "refresh": [("crawl", 30), ("download", 20), ("parse", 30), ("chunk", 5), ("index", 15)],
+    "check": [("detect", 40), ("download", 20), ("parse", 20), ("chunk", 5), ("index", 15)],
+    "backlog": [("download", 25), ("parse", 45), ("chunk", 5), ("index", 25)],
+}
+
+
+def percent(kind: Column, stage: Column, done: Column, total: Column) -> Column:
+    """How far a job is: the weight of its finished stages and the share done of the present one."""
+    out = F.lit(None).cast("double")
+    for name, steps in PLANS.items():
+        before = 0
+        for step, weight in steps:
+            share = F.when(total > 0, F.least(F.lit(1.0), done / total)).otherwise(0.0)
+            out = F.when((kind == name) & (stage == step), before + weight * share).otherwise(out)
+            before += weight
+    return out

@@ -160,3 +160,19 @@ SELECT page_id, CASE {_case("host", questions.HOST_CATEGORIES)} {_case("t", ques
 def site_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     return pages.select("page_id", questions.category(urls.host(F.col("url")), F.substring("html", 1, 3000))["category"].alias("category"))
+
+
+@query("""
+SELECT o_custkey, url, place FROM (SELECT o_custkey, url, row_number() OVER (PARTITION BY o_custkey ORDER BY o, url)::INT AS place FROM (SELECT o_custkey, 'u' || (o_orderkey % 9) AS url, min(o_orderkey) AS o FROM orders GROUP BY ALL)) WHERE place <= 3
+""")
+def navigation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", F.concat(F.lit("u"), F.col("o_orderkey") % 9).alias("url"), "o_orderkey")
+    return answers.navigation_links(o, "o_custkey", "url", "o_orderkey").select("o_custkey", "url", "place")
+
+
+@query("""
+SELECT o_custkey, arg_min(o_orderkey, (CASE WHEN o_orderstatus = 'F' THEN 0 ELSE 1 END, o_orderkey)) AS o_orderkey FROM orders GROUP BY 1
+""")
+def focus_citation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.col("o_orderkey").alias("o"), F.when(F.col("o_orderstatus") == "F", "file").otherwise("page").alias("kind"))
+    return answers.focus(o, "o_custkey", "kind", "o", "o_orderkey")

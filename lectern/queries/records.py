@@ -141,3 +141,25 @@ def source_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     job = F.when(F.col("c_nationkey") % 5 == 0, "running").when(F.col("c_nationkey") % 5 == 1, "queued").otherwise("none")
     status = records.source_status(F.col("c_acctbal") < -500, F.col("c_mktsegment") == "MACHINERY", job, F.col("c_acctbal") < 0, F.coalesce("n", F.lit(0)))
     return c.select("c_custkey", status.alias("status"))
+
+
+@query("""
+WITH s AS (SELECT c_custkey AS k, c_nationkey::BIGINT AS asked_count, CASE WHEN c_custkey % 2 = 0 THEN 'old' || c_custkey END AS answer_id FROM customer WHERE c_custkey % 3 <> 0),
+c AS (SELECT o_custkey AS k, count(*) AS asked_count, 'new' || max(o_orderkey) AS answer_id FROM orders GROUP BY 1)
+SELECT coalesce(s.k, c.k) AS k, coalesce(c.asked_count, s.asked_count) AS asked_count, coalesce(s.answer_id, c.answer_id) AS answer_id FROM s FULL JOIN c ON s.k = c.k
+""")
+def refreshed_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    stored = table(spark, sf_dir, "customer").filter(k % 3 != 0).select(k.alias("k"), F.col("c_nationkey").cast("long").alias("asked_count"), F.when(k % 2 == 0, F.concat(F.lit("old"), k)).alias("answer_id"))
+    chosen = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.count(F.lit(1)).alias("asked_count"), F.concat(F.lit("new"), F.max("o_orderkey")).alias("answer_id"))
+    return records.refreshed_suggestions(stored, chosen, ["k"])
+
+
+@query("""
+SELECT l_orderkey, l_linenumber, round(CASE l_linenumber % 4 WHEN 0 THEN 0 WHEN 1 THEN 25 WHEN 2 THEN 70 ELSE 75 END + [25, 45, 5, 25][(l_linenumber % 4 + 1)::INT] * least(1.0::DOUBLE, l_quantity / 40), 9) AS percent FROM lineitem
+""")
+def job_percents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("l_linenumber") % 4
+    stage = F.get(F.array(*[F.lit(s) for s, _ in records.PLANS["backlog"]]), n)
+    done = records.percent(F.lit("backlog"), stage, F.col("l_quantity"), F.lit(40.0))
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(done, 9).alias("percent"))

@@ -314,3 +314,11 @@ def test_rosters_and_etas(spark):
     rows = [(1, 0.0, 0.0), (1, 10.0, 10.0), (1, 20.0, 10.0), (1, 30.0, 50.0)]
     got = [r["eta"] for r in analytics.eta(spark.createDataFrame(rows, "j int, t double, p double"), "j", "t", "p").orderBy("t").collect()]
     assert got == [None, 90.0, 80.0, pytest.approx(0.5 * 30 + 0.5 * 70)]
+
+
+def test_contacts_need_cited_lines(spark):
+    found = spark.createDataFrame([(1, "(022) 20-15-00", "A@b.md"), (2, "12", None), (3, None, "x@y.md")], "k int, phone string, email string")
+    lines = spark.createDataFrame([(1, ["Tel. 022 201500", "scrieți la a@B.md"]), (2, ["12"]), (3, ["z@y.md"])], "k int, texts array<string>")
+    assert [tuple(r) for r in answers.verified_contacts(found, lines, "k").collect()] == [(1, "(022) 20-15-00", "A@b.md")]
+    quotes = spark.createDataFrame([("q", "ru", None), ("q", "ru", ""), ("r", "ro", None), ("s", "ru", "t")], "quote string, quote_lang string, translation string")
+    assert [tuple(r) for r in answers.untranslated(quotes, F.lit("ro")).collect()] == [("q", "ru")]
