@@ -1,12 +1,13 @@
 """N-gram Jaccard join by signature trees: all documents linked by shingle sets at or above a similarity.
 
-1. Every text becomes a set of 64-bit shingle hashes. Equal sets fall together at once (`_n`, two sums of
-   mixed hashes): one representative each goes on.
-2. Exact blocking. Sets with Jaccard p/100 differ in at most d = (100-p)(|A|+|B|)/(100+p) shingles. Cut by
+1. Every text becomes a set of 64-bit shingle hashes, its size, two sums that name it and a parity bitmap. Equal sets fall
+   together at once: one representative each goes on.
+2. Exact candidates. Sets with Jaccard p/100 differ in at most d = (100-p)(|A|+|B|)/(100+p) shingles. Cut by
    hash into d + 1 + SPARE parts, two such sets agree in more than SPARE parts, so they share the key of a part that
-   is not empty (a set with more than SPARE empty parts also gives keys for these). A common passage
-   gives no shared key unless a whole part agrees, so blocks hold near copies rather than everything that quotes one line.
-3. Representatives that share keys, directly or by others, form a block; blocks over a bound are cut into tiles.
+   is not empty (a set with more than SPARE empty parts also gives keys for these). Sets that share a key may be linked
+   only if their parity bitmaps differ in at most d bits; sets so joined, directly or by others, form a block. A group
+   that shares a key is compared with regard to components found so far; one of more than TILE_SETS is a block as it is.
+3. Blocks over a bound are cut into tiles.
 4. In each tile a signature tree (nodes: OR and AND of their members' token bitmaps, range of set sizes) is walked against
    itself; pairs of nodes whose greatest possible overlap is too small, or that are wholly in one component
    already, are dropped; pairs of members that remain are compared exactly.
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.components import components
@@ -101,8 +102,42 @@ def part_keys(s: np.ndarray, rule: Rule, bounds: list[int]) -> np.ndarray:
     return np.concatenate(keys)
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """Each bit tells whether an odd number of shingles fall on it; about a bit a shingle, 128 to 8192."""
+    bits = 128
+    while bits < len(s) and bits < 8192:
+        bits *= 2
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
+    """A parity bitmap at a smaller width; the difference of two folded ones is still at most that of their sets."""
+    while len(bitmap) > words:
+        bitmap = bitmap[: len(bitmap) // 2] ^ bitmap[len(bitmap) // 2 :]
+    return bitmap
+
+
 def _profiles(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
-    """_id, _n, _s1, _s2 (which name the set), _keys."""
+    """_id, _n, _s1, _s2 (which name the set), _sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offs in chunks(batches, text):
+            sets = shingle_sets(words_of(buf, offs, SPACED), rule.k)
+            total = np.concatenate([np.zeros(0, np.uint64), *sets])
+            at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(total + np.uint64(x)), dtype=np.uint64))) for x in (7, 13)]
+            s1, s2 = (signed(c[at[1:]] - c[at[:-1]]) for c in sums)
+            yield pa.RecordBatch.from_arrays(
+                [part.column(part.schema.get_field_index(key)).cast(pa.int64()), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.array([parity(s).tobytes() for s in sets], pa.binary())],
+                ["_id", "_n", "_s1", "_s2", "_sig"],
+            )
+
+    return docs.select(key, text).mapInArrow(run, "_id long, _n long, _s1 long, _s2 long, _sig binary")
+
+
+def _keys(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
+    """_rep, _key: one row for each blocking key of each set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bounds = rule.class_bounds(1 << 20)
@@ -112,18 +147,65 @@ def _profiles(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
             if top >= bounds[-3]:
                 bounds = rule.class_bounds(4 * top)
             keys = [part_keys(s, rule, bounds) if len(s) else np.zeros(0, np.uint64) for s in sets]
-            sizes = np.array([len(s) for s in sets], np.int64)
-            total = np.concatenate([np.zeros(0, np.uint64), *sets])
-            at = np.concatenate(([0], np.cumsum(sizes)))
-            sums = [np.concatenate(([np.uint64(0)], np.cumsum(mixed(total + np.uint64(x)), dtype=np.uint64))) for x in (7, 13)]
-            s1, s2 = (signed(c[at[1:]] - c[at[:-1]]) for c in sums)
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in keys]))).astype(np.int32)
-            yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index(key)).cast(pa.int64()), pa.array(sizes), pa.array(s1), pa.array(s2), pa.ListArray.from_arrays(pa.array(ends), pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *keys]))))],
-                ["_id", "_n", "_s1", "_s2", "_keys"],
-            )
+            ids = part.column(part.schema.get_field_index(key)).cast(pa.int64()).take(pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys])))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(signed(np.concatenate([np.zeros(0, np.uint64), *keys])))], ["_rep", "_key"])
+
+    return docs.select(key, text).mapInArrow(run, "_rep long, _key long")
+
+
+def _group_links(reps: np.ndarray, sizes: np.ndarray, sigs: list[np.ndarray], rule: Rule) -> list[tuple[int, int]]:
+    """Pairs that join the components of "may be linked" in one group, by sizes and parity bitmaps."""
+    words = min(map(len, sigs))
+    bits = np.stack([folded(x, words) for x in sigs])
+    root = np.arange(len(reps))
+    out: list[tuple[int, int]] = []
+    step = max(1, (1 << 20) // (len(reps) * words))
+    for a in range(0, len(reps), step):
+        if root.min() == root.max():
+            break
+        differ = np.bitwise_count(bits[a : a + step, None] ^ bits[None]).sum(2, dtype=np.int64)
+        total = sizes[a : a + step, None] + sizes[None]
+        may = differ * (100 + rule.percent) <= (100 - rule.percent) * total
+        for i, row in enumerate(may, a):
+            while len(js := np.flatnonzero(row & (root != root[i]))):
+                out.append((int(reps[i]), int(reps[js[0]])))
+                root[root == root[js[0]]] = root[i]
+    return out
 
-    return docs.select(key, text).mapInArrow(run, "_id long, _n long, _s1 long, _s2 long, _keys array<long>")
+
+def _may_link(shared: DataFrame, rule: Rule, most: int = TILE_SETS) -> DataFrame:
+    """_a, _b: edges whose components are the blocks. `shared`: _key, _rep, _n, _sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, members, lead = None, [], None
+
+        def close() -> list[tuple[int, int]]:
+            if lead is not None or len(members) < 2:
+                return []
+            return _group_links(np.array([m[0] for m in members]), np.array([m[1] for m in members]), [np.frombuffer(m[2], np.uint64) for m in members], rule)
+
+        for batch in batches:
+            out: list[tuple[int, int]] = []
+            for k, rep, n, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if k != now:
+                    out += close()
+                    now, members, lead = k, [], None
+                if lead is not None:
+                    out.append((lead, rep))
+                    continue
+                members.append((rep, n, sig))
+                if len(members) > most:  # a group too large to compare here is one block, cut into tiles later
+                    lead = members[0][0]
+                    out += [(lead, m[0]) for m in members[1:]]
+                    members = []
+            yield _edges(out)
+        yield _edges(close())
+
+    def _edges(out: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["_a", "_b"])
+
+    rows = shared.select("_key", "_rep", "_n", "_sig").repartition("_key").sortWithinPartitions("_key", "_rep")
+    return rows.mapInArrow(run, "_a long, _b long").distinct()
 
 
 def _sets(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
@@ -264,19 +346,29 @@ def link_groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "t
     kind = docs.schema[key].dataType
     profiles = store.put("profiles", _profiles(docs, rule, key, text))
     name = ["_n", "_s1", "_s2"]
-    reps = profiles.filter("_n > 0 and _id is not null").groupBy(*name).agg(F.min("_id").alias("_rep"), F.first("_keys").alias("_keys"), F.count(F.lit(1)).alias("_copies"))
+    reps = profiles.filter("_n > 0 and _id is not null").groupBy(*name).agg(F.min("_id").alias("_rep"), F.first("_sig").alias("_sig"), F.count(F.lit(1)).alias("_copies"))
     reps = store.put("reps", reps)
+    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BUCKETS))
 
-    # blocks: representatives that share keys
-    keyed = reps.select("_rep", F.explode("_keys").alias("_key"))
-    shared = keyed.groupBy("_key").agg(F.min("_rep").alias("_lead"), F.max("_rep").alias("_last")).filter("_lead < _last").select("_key", "_lead")
-    edges = store.put("edges", keyed.join(shared, "_key").filter("_rep != _lead").select("_rep", "_lead").distinct())
-    blocks = components(edges, "_rep", "_lead").select(F.col("node").alias("_id"), F.col("root").alias("_block"))
+    # keys of representatives; a bounded table of buckets of other copies keeps most texts out of a join
+    many_copies = reps.filter("_copies > 1")
+    others = profiles.select("_id", *name).join(many_copies.select(*name, "_rep"), name).filter("_id <> _rep")
+    doubtful = F.broadcast(others.select(bucket("_id").alias("_bucket")).distinct())  # at most ID_BUCKETS rows
+    marked = docs.filter(F.col(key).isNotNull()).select(key, text).withColumn("_bucket", bucket(key))
+    sure = marked.join(doubtful, "_bucket", "left_anti").select(key, text)
+    some = marked.join(doubtful, "_bucket", "left_semi").join(reps.select(F.col("_rep").cast(kind).alias(key)), key, "left_semi").select(key, text)
+    keyed = _keys(sure.unionByName(some), rule, key, text)
+
+    # keys that more than one has: one exchange, then groups are counted in sorted order (a large group spills, it is not collected)
+    alike = Window.partitionBy("_key")
+    shared = keyed.withColumn("_lo", F.min("_rep").over(alike)).withColumn("_hi", F.max("_rep").over(alike)).filter("_lo < _hi").select("_key", "_rep")
+    shared = store.put("shared", shared)
+    edges = store.put("edges", _may_link(shared.join(reps.select("_rep", "_n", "_sig"), "_rep"), rule, tile_sets))
+    blocks = components(edges, "_a", "_b").select(F.col("node").alias("_id"), F.col("root").alias("_block"))
     blocks = store.put("blocks", blocks.join(reps.select(F.col("_rep").alias("_id"), "_n"), "_id"))
     cuts = blocks.groupBy("_block").agg(F.greatest(F.ceil(F.sum("_n") / tile_shingles), F.ceil(F.count(F.lit(1)) / tile_sets)).cast("int").alias("_tiles"))
 
     # the sets of blocked representatives; a bounded table of id buckets keeps most other texts out of the join
-    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BUCKETS))
     wanted = F.broadcast(blocks.select(bucket("_id").alias("_bucket")).distinct())  # at most ID_BUCKETS rows
     some = docs.withColumn("_bucket", bucket(key)).join(wanted, "_bucket", "left_semi").select(key, text)
     sets = _sets(some, rule, key, text).join(blocks, "_id").dropDuplicates(["_id"]).join(cuts, "_block")
