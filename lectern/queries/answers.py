@@ -154,12 +154,12 @@ def _case(column: str, rules: dict[str, str], fold: str = "") -> str:
 
 
 @query(rf"""
-WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, substr(html, 1, 3000) AS t FROM pages)
+WITH h AS (SELECT page_id, lower(regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1)) AS host, html AS t FROM pages)
 SELECT page_id, CASE {_case("host", questions.HOST_CATEGORIES)} {_case("t", questions.TEXT_CATEGORIES, "(?i)")} ELSE 'other' END AS category FROM h
 """)
 def site_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return pages.select("page_id", questions.category(urls.host(F.col("url")), F.substring("html", 1, 3000))["category"].alias("category"))
+    return pages.select("page_id", questions.category(urls.host(F.col("url")), F.col("html"))["category"].alias("category"))
 
 
 @query("""
