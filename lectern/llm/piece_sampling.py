@@ -32,7 +32,8 @@ META = 0x2581
 SHIFT, FALLBACK = 2.7, 1e-6
 LONGEST = 16
 WIDE = 48  # longer units take the plain path; beyond this, products could leave the range of doubles
-BLOCK = 16_384
+CELLS = 1 << 20  # of a block's tables: units by positions by lengths of edges
+CHUNK_BYTES = 1 << 20
 _OTHER = 0x110000  # stands for a literal meta symbol; in no piece
 _B = np.uint64(0x9E3779B97F4A7C15)
 BYTES = -2  # marks a byte-fallback edge until it is spelled out
@@ -216,9 +217,15 @@ def segment(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, v: Vocabulary,
         inverse = rank[inverse]
         units = short[first[order]]
         by_unit = np.argsort(inverse, kind="stable")
-        bounds = np.searchsorted(inverse[by_unit], np.arange(0, len(units) + BLOCK, BLOCK))
-        for b, a in enumerate(range(0, len(units), BLOCK)):
-            block = units[a : a + BLOCK]
+        cuts = [0]
+        while cuts[-1] < len(units):
+            end = cuts[-1]
+            for width in (int(lens[units[end]]), 0):  # units come by length: the last one's width counts
+                end = min(len(units), cuts[-1] + max(1, CELLS // ((width or int(lens[units[end - 1]])) + 1) // LONGEST))
+            cuts.append(end)
+        bounds = np.searchsorted(inverse[by_unit], cuts)
+        for b, (a, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            block = units[a:end]
             n = lens[block]
             width = int(n.max())
             at = start[block][:, None] + np.arange(width)[None]
@@ -266,7 +273,7 @@ def encode(docs: DataFrame, v: Vocabulary, key: str = "doc_id", text: str = "tex
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in chunks(batches, text):
+        for part, buf, offs in chunks(batches, text, CHUNK_BYTES):
             ids, first = segment(buf, offs, key_hashes(_field(part, key)), shared.value, seed)
             yield pa.RecordBatch.from_arrays([*part.columns, pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids))], [*part.schema.names, "piece_ids"])
 
@@ -293,7 +300,7 @@ def digests(docs: DataFrame, v: Vocabulary, key: str = "doc_id", text: str = "te
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         voc = shared.value
-        for part, buf, offs in chunks(batches, text):
+        for part, buf, offs in chunks(batches, text, CHUNK_BYTES):
             ids, first = segment(buf, offs, key_hashes(_field(part, key)), voc, seed)
             back = spell(ids, voc)
             lengths = np.concatenate(([0], np.cumsum(voc.length[ids])))[first]
