@@ -2,16 +2,19 @@
 
 The DOMs of all pages of a host are merged by element path (tag, with class, id and role). Every merged node gets an
 importance: from its presentation, the entropy of the child layouts seen under it, and from its content, the entropy of
-the texts seen in it; a node that looks and reads the same on page after page has none. Elements that by their tag, role or class
-are navigation, headers, footers, sidebars, notices, adverts, forms or comments weigh nothing from the start, and
-what stands inside an article or main element weighs fully. A branch of low importance is removed from each page.
+the texts seen in it; a node that looks and reads the same on page after page has none. A block's importance is the least one
+of the nodes it stands in, times its prior weight, and blocks of low importance are removed from each page, inside articles too. Elements that by
+their tag or role are navigation, footers, asides, forms or dialogs weigh nothing from the start. Classes and ids
+that name a sidebar, header, notice and the like only lower the weight (NAMED), those of adverts, cookies and comments lower it further
+(UNWANTED); only whole class tokens count, and an outermost article or main element is free of the names around it. On a page with an article or main element
+the blocks outside of it weigh OUTSIDE. An article that is itself the same on page after page is a copy, not a template: its insides are not judged.
 
-Counts are grouped sums with partial aggregation, so a host may hold any share of all pages. Low nodes are few (one row for a host
-and path); up to MAX_BROADCAST_NODES of them, checked, go to the tasks, and more are joined by host.
+Counts are grouped sums with partial aggregation, so a host may hold any share of all pages. Nodes that can sink a block are few (one row for a
+host and path); up to MAX_BROADCAST_NODES of them, checked, go to the tasks, and more are joined by host.
 
 Defined results: null and empty html give an empty text; text outside any element counts as a block of the body; unclosed and stray tags are
 repaired; without an article or main element every block of a page that is not removed is main text; hosts with fewer than MIN_PAGES pages
-remove only what weighs nothing from the start; repeated rows count as pages of their own; only the three named columns are read.
+remove only what weighs too little from the start; repeated rows count as pages of their own; only the three named columns are read.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,6 +32,10 @@ MIN_PAGES = 3
 #: Shares of presentation and content in a node's importance, and the importance below which it goes.
 PRESENTATION_SHARE = 0.5
 LOW = 0.2
+#: Prior weights of blocks: outside the articles of a page that has some, in elements named like surroundings, and like adverts, cookies or comments.
+OUTSIDE = 0.6
+NAMED = 0.4
+UNWANTED = 0.1
 MAX_BROADCAST_NODES = 50_000
 
 # Elements by their meaning in HTML.
@@ -37,8 +44,11 @@ RAW = frozenset("script style textarea title noscript template iframe svg math".
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
 NOISE_TAGS = frozenset("nav footer aside form menu script style noscript template iframe svg math head title button select textarea input dialog object embed canvas".split())
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
-NOISE_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side aside rail widget widgets header masthead footer foot copyright cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe subscription signup login search comment comments discussion disqus reply replies respond share sharing social related recommended skip toolbar".split()
+NAMED_WORDS = frozenset(
+    "banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side aside rail widget widgets header masthead footer foot copyright notice notices overlay search reply replies respond share sharing social related recommended skip toolbar site-header site-footer main-nav main-menu nav-menu side-bar related-posts related-articles share-buttons social-share".split()
+)
+UNWANTED_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-container ad-banner banner-ad sponsor sponsored cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent consent gdpr popup modal newsletter newsletter-signup subscribe subscription signup login comment comments comment-list comment-form comments-area discussion disqus disqus_thread".split()
 )
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div article section main ul ol dl table td th nav footer header aside form blockquote".split())
@@ -46,7 +56,6 @@ SCOPES = frozenset("html body div article section main ul ol dl table td th nav
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<""", re.S)
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 _NAMED = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
-_WORD = re.compile(r"[a-z]+")
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 
@@ -56,25 +65,29 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def element(token: str) -> tuple[str, str, bool]:
-    """Name, name with its class, id and role, and whether it weighs nothing."""
+def element(token: str) -> tuple[str, str, float]:
+    """Name, name with its class, id and role, and its prior weight."""
     name = _TAG.match(token)[1].lower()
-    label, noise = name, name in NOISE_TAGS
+    label, weight = name, 0.0 if name in NOISE_TAGS else 1.0
     if len(token) > len(name) + 2:
         for key, a, b, c in _NAMED.findall(token):
             value, key = (a or b or c).lower(), key.lower()
             label += {"class": ".", "id": "#", "role": "@"}[key] + value
-            noise = noise or (value in NOISE_ROLES if key == "role" else name not in ("html", "body", "article", "main") and not NOISE_WORDS.isdisjoint(_WORD.findall(value)))
-    return name, label, noise
-
-
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """(path, text, noise, in article, in link) of each run of text, in page order; an empty path ends a block."""
-    # stack of (name, path, noise, article, link)
-    top = ("", "", False, False, False)
+            if key == "role":
+                weight = 0.0 if value in NOISE_ROLES else weight
+            elif name not in ("html", "body", "article", "main"):
+                words = value.split()
+                weight = min(weight, 1.0 if NAMED_WORDS.isdisjoint(words) else NAMED, 1.0 if UNWANTED_WORDS.isdisjoint(words) else UNWANTED)
+    return name, label, weight
+
+
+def blocks(page: str) -> Iterator[tuple[str, str, float, int, bool]]:
+    """(path, text, prior weight, length of the path of the article around it or 0, in link) of each run of text, in page order; an empty path ends a block."""
+    # stack of (name, path, weight, article, link)
+    top = ("", "", 1.0, 0, False)
     stack = [top]
     raw = ""
-    known: dict[str, tuple[str, str, bool]] = {}
+    known: dict[str, tuple[str, str, float]] = {}
     for m in _TOKEN.finditer(page):
         token = m[0]
         if token[0] != "<" or token == "<":
@@ -90,7 +103,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
                     continue
                 raw = ""
             if name in BLOCK:
-                yield "", "", False, False, False
+                yield "", "", 1.0, 0, False
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] == name:
                     del stack[i:]
@@ -104,11 +117,11 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         found = known.get(token)
         if found is None:
             found = known[token] = element(token)
-        name, label, noise = found
+        name, label, weight = found
         if name == "header" and not top[3]:
-            noise = True
+            weight = 0.0
         if name in BLOCK:
-            yield "", "", False, False, False
+            yield "", "", 1.0, 0, False
             closed = CLOSES.get(name) or ({"p"} if name not in ("br", "html", "body", "head") else ())
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i][0] in closed:
@@ -119,14 +132,20 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             top = stack[-1]
         if name in VOID or token.endswith("/>") and name in RAW:
             continue
-        top = (name, f"{top[1]}/{label}", top[2] or noise, top[3] or name in ("article", "main"), top[4] or name == "a")
+        path, article = f"{top[1]}/{label}", top[3]
+        if not article and name in ("article", "main"):
+            # names of classes around an article say nothing about it
+            article, weight = len(path), weight if top[2] else 0.0
+        else:
+            weight = min(weight, top[2])
+        top = (name, path, weight, article, top[4] or name == "a")
         stack.append(top)
         if name in RAW:
             raw = name
 
 
-def whole_blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
-    """(path, text, noise, in article, characters in links) of each block; texts decoded, white space made single."""
+def whole_blocks(page: str) -> list[tuple[str, str, float, int, int]]:
+    """(path, text, prior weight, length of the path of the article around it or 0, characters in links) of each block; texts decoded, white space made single."""
     out, parts, first, linked = [], [], None, 0
 
     def close() -> None:
@@ -135,18 +154,18 @@ def whole_blocks(page: str) -> list[tuple[str, str, bool, bool, int]]:
             if text:
                 out.append((first[0], text, first[1], first[2], linked))
 
-    for path, text, noise, article, link in blocks(page):
+    for path, text, weight, article, link in blocks(page):
         if not path and not text:
             close()
             parts, first, linked = [], None, 0
             continue
-        if first is not None and (noise, article) != first[1:]:  # an inline element that weighs nothing stands for itself
+        if first is not None and (weight, article) != first[1:]:  # an inline element that weighs less stands for itself
             close()
             parts, first, linked = [], None, 0
         if first is None:
-            first = (path or "/", noise, article)
+            first = (path or "/", weight, article)
         elif text.strip() and not "".join(parts).strip():
-            first = (path or "/", noise, article)
+            first = (path or "/", weight, article)
         parts.append(text)
         linked += len(text) * link
     close()
@@ -157,16 +176,16 @@ def _hash(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
 
-def observations(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """host, path, layout, content: for each page and each node outside articles and noise, hashes of its children's layout and of its text."""
+def observations(pages: DataFrame, url: str = "url", html: str = "html", low: float = LOW) -> DataFrame:
+    """host, path, layout, content: for each page and each node with blocks that can be important, hashes of its children's layout and of its text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple[str, str, int, int]] = []
             for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 nodes: dict[str, tuple[list[str], list[str]]] = {}
-                for path, text, noise, article, _ in whole_blocks(h or ""):
-                    if noise or article:
+                for path, text, weight, _, _ in whole_blocks(h or ""):
+                    if weight < low:
                         continue
                     at, child = path, "#text"
                     while at:
@@ -203,45 +222,51 @@ def style_tree(seen: DataFrame, min_pages: int = MIN_PAGES, share: float = PRESE
     return both.select("host", "path", "pages", F.when(F.col("pages") < min_pages, 1.0).otherwise(F.greatest(mixed, F.col("content"))).alias("importance"))
 
 
-def main_text(page: str | None, low: frozenset[str] | set[str] = frozenset()) -> str:
-    """The main text of one page, without the branches whose paths are `low`."""
+def main_text(page: str | None, scores: Mapping[str, float] | None = None, low: float = LOW) -> str:
+    """The main text of one page: its blocks whose prior weight times the least importance of a node around them (`scores`, 1 where none is given) is not low."""
+    found = whole_blocks(page or "")
+    outside = OUTSIDE if any(article and weight >= low for _, _, weight, article, _ in found) else 1.0
     kept = []
-    for path, text, noise, article, _ in whole_blocks(page or ""):
-        if noise or not article and low and any(path[:i] in low for i in [k for k, c in enumerate(path) if c == "/" and k] + [len(path)]):
-            continue
-        kept.append((article, text))
-    if any(a for a, _ in kept):
-        kept = [x for x in kept if x[0]]
-    return " ".join(t for _, t in kept)
+    for path, text, weight, article, _ in found:
+        importance = weight if article else weight * outside
+        # an article is judged from its own node inwards, and not at all if it is a copy
+        if scores and importance >= low and not (article and scores.get(path[:article], 1.0) < low):
+            nodes = [k for k, c in enumerate(path) if c == "/" and k >= max(article, 1)] + [len(path)]
+            importance *= min(scores.get(path[:i], 1.0) for i in nodes)
+        if importance >= low:
+            kept.append(text)
+    return " ".join(kept)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", low: float = LOW, max_nodes: int = MAX_BROADCAST_NODES) -> DataFrame:
     """key, url, text for every row of `pages`."""
-    poor = style_tree(observations(pages, url, html)).filter(F.col("importance") < low).select("host", "path")
+    # no block that the least weight can keep is sunk by more than this
+    most = low / min(w for w in (1.0, OUTSIDE, NAMED, NAMED * OUTSIDE, UNWANTED, UNWANTED * OUTSIDE, low) if w >= low) if low > 0 else 0.0
+    poor = style_tree(observations(pages, url, html, low)).filter(F.col("importance") < most).select("host", "path", "importance")
     rows = poor.limit(max_nodes + 1).collect()
     kinds = f"{key} {pages.schema[key].dataType.simpleString()}, {url} string, text string"
 
     if len(rows) <= max_nodes:
-        by_host: dict[str, set[str]] = {}
-        for host, path in rows:
-            by_host.setdefault(host, set()).add(path)
+        by_host: dict[str, dict[str, float]] = {}
+        for host, path, importance in rows:
+            by_host.setdefault(host, {})[path] = importance
         shared = pages.sparkSession.sparkContext.broadcast(by_host)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                texts = [main_text(h, shared.value.get(host_of(u), frozenset())) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+                texts = [main_text(h, shared.value.get(host_of(u)), low) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [key, url, "text"])
 
         return pages.select(key, url, html).mapInArrow(run, kinds)
 
-    # one list for a host, as long as the host's templates have low nodes
-    lists = poor.groupBy("host").agg(F.collect_list("path").alias("_low"))
+    # one list for a host, as long as the host's templates have such nodes
+    lists = poor.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("_low"))
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = pages.select(key, url, html, host.alias("host")).join(lists, "host", "left").select(key, url, html, "_low")
 
     def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(h, set(p or ())) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(h, {x["path"]: x["importance"] for x in p or ()}, low) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [key, url, "text"])
 
     return joined.mapInArrow(run_joined, kinds)

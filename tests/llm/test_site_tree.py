@@ -56,3 +56,34 @@ def test_pages_of_the_given_table(spark, sf):
         parts = re.split(r"</?(?:p|h1|br)\b[^>]*>", re.sub("<!--.*?-->", "", article, flags=re.S))
         cleaned = (re.sub(r"\s+", " ", html.unescape(re.sub("<[^>]*>", "", p))).strip() for p in parts)
         assert r["text"] == " ".join(c for c in cleaned if c)
+
+
+@pytest.mark.parametrize("max_nodes", [1000, 0])
+def test_entropy_decides_inside_and_outside_articles(spark, max_nodes):
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    cards = lambda i: f"<article class=card>card {words[i % 8]} {i}</article>"
+    page = lambda i: f"<body><div class=slogan>Always this</div><div class=body><p>body {words[i % 8]} {i}</p></div>{cards(i)}<div class=side>note {i}</div><div class=related>Same note</div></body>"
+    inner = lambda i: f"<body><article><h1>head {i}</h1><p>text {words[i % 8]} {i}</p><div class=box>Sign up here</div></article></body>"
+    rows = [(i, f"https://cards.example/{i}", page(i)) for i in range(8)] + [(100 + i, f"https://inner.example/{i}", inner(i)) for i in range(8)]
+    rows += [(200 + i, f"https://copies.example/{i}", inner(0)) for i in range(4)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in T.extract(pages, max_nodes=max_nodes).collect()}
+    for i in range(8):
+        assert got[i] == f"body {words[i]} {i} card {words[i]} {i} note {i}"
+        assert got[100 + i] == f"head {i} text {words[i]} {i}"
+    assert all(got[200 + i] == "head 0 text alpha 0 Sign up here" for i in range(4))  # copies tell nothing about a template
+
+
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ('<div class="layout has-sidebar"><article><p>kept</article></div>', "kept"),
+        ('<div id="page-with-sidebar"><p>kept</div>', "kept"),
+        ('<div class="sidebar"><div class="ad"><main><p>kept</main></div></div>', "kept"),
+        ('<article><div class="entry-header"><h1>Title</h1></div><div class="header"><h2>Sub</h2></div><p>kept</article>', "Title Sub kept"),
+        ('<div class="side">first<div class="notice">second</div><div class="comments">third</div></div>', "first second"),
+        ("<nav><article><p>gone</article></nav><p>kept", "kept"),
+    ],
+)
+def test_names_only_lower_the_weight(page, text):
+    assert T.main_text(page) == text
