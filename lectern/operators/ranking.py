@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,9 +45,27 @@ def batch_topk(probes: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id
     Probes and rows are packed into blocks; every pair of blocks meets once, as a matrix product that keeps k rows a probe, and
     a last window takes the best of the blocks. Work is rows times probes, in bounded pieces on all executors.
     """
+    order = Window.partitionBy("probe").orderBy(F.desc(F.round("score", 12)), key)
+    return _best_of_blocks(probes, vectors, k, key, vector, per_block).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def boosted_topk(probes: DataFrame, vectors: DataFrame, k: int, label: str, bonus: float, least: float, key: str = "vec_id", vector: str = "embedding", per_block: int = VECTORS_IN_BLOCK) -> DataFrame:
+    """probe, key, score, rank: the k best rows for every probe (probe, vector, label), exactly, where rows of the probe's label have a bonus; none scores below `least`.
+
+    The bonus is added inside the block products, so no row is left out before it counts. Scores are rounded to nine digits before the bonus.
+    """
+    found = _best_of_blocks(probes, vectors, k, key, vector, per_block, label, bonus)
+    score = F.round("score", 9) + F.when(F.col("_same"), bonus).otherwise(0.0)
+    order = Window.partitionBy("probe").orderBy(F.desc("score"), key)
+    return found.withColumn("score", score).filter(F.col("score") >= least).drop("_same").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def _best_of_blocks(probes: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, per_block: int, label: str | None = None, bonus: float = 0.0) -> DataFrame:
+    """probe, key, score (and, with a label, _same: of the probe's label): at least the k best rows of every pair of blocks."""
     n = max(1, -(-vectors.count() // per_block))
     m = max(1, -(-probes.count() // per_block))
-    packed = lambda df, i, blocks, name: df.filter(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(i), F.lit(blocks)).alias(name)).agg(F.collect_list(F.struct(F.col(i).alias("i"), F.col(vector).cast("array<double>").alias("v"))).alias(f"{name}s"))
+    fields = [F.col(label).alias("l")] if label else []
+    packed = lambda df, i, blocks, name: df.filter(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(i), F.lit(blocks)).alias(name)).agg(F.collect_list(F.struct(*fields, F.col(i).alias("i"), F.col(vector).cast("array<double>").alias("v"))).alias(f"{name}s"))
     left = packed(probes, "probe", m, "_p").withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
     pairs = left.join(packed(vectors, key, n, "_v"), "_v").select("_ps", "_vs")
 
@@ -58,16 +77,21 @@ def batch_topk(probes: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id
                     v = part.values.field("v")
                     ids.append((part.values.field("i"), np.asarray(v.flatten()).reshape(len(v), -1)))
                 (pi, p), (vi, v) = ids
-                score = p @ v.T
+                plain = score = p @ v.T
+                if label:
+                    known = pc.unique(b.values.field("l")).drop_null()
+                    one, other = (np.asarray(pc.index_in(part.values.field("l"), known).fill_null(none)) for part, none in ((a, -1), (b, -2)))
+                    same = one[:, None] == other[None, :]
+                    score = plain + bonus * same
                 top = np.argsort(-score, axis=1, kind="stable")[:, : max(k, 1)] if k >= v.shape[0] else np.argpartition(-score, k - 1, axis=1)[:, :k]
                 # all that tie with the last one kept go on, so the choice among ties is left to the window
                 least = np.take_along_axis(score, top, 1).min(1, keepdims=True)
-                r, c = np.nonzero(score >= least)
-                yield pa.RecordBatch.from_arrays([pi.take(pa.array(r)), vi.take(pa.array(c)), pa.array(score[r, c])], ["probe", key, "score"])
+                r, c = np.nonzero(score >= least - (2e-9 if label else 0))  # with a bonus, scores that round alike tie too
+                found = [pi.take(pa.array(r)), vi.take(pa.array(c)), pa.array(plain[r, c])]
+                yield pa.RecordBatch.from_arrays(found + ([pa.array(same[r, c])] if label else []), ["probe", key, "score"] + (["_same"] if label else []))
 
-    kinds = f"probe {probes.schema['probe'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
-    order = Window.partitionBy("probe").orderBy(F.desc(F.round("score", 12)), key)
-    return pairs.mapInArrow(run, kinds).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    kinds = f"probe {probes.schema['probe'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double" + (", _same boolean" if label else "")
+    return pairs.mapInArrow(run, kinds)
 
 
 def ranked(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:

@@ -180,12 +180,8 @@ SELECT probe, vec_id, position FROM (
 def nearest_with_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest rows with a bonus for one label, above a threshold, two a probe."""
     v = table(spark, sf_dir, "embeddings")
-    probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding")
-    near = ranking.batch_topk(probes, v.filter("vec_id % 20 <> 0"), 60)
-    label = v.select("vec_id", "label")
-    scored = near.join(label, "vec_id").join(label.select(F.col("vec_id").alias("probe"), F.col("label").alias("_own")), "probe")
-    boosted = scored.withColumn("score", F.round("score", 9) + F.when(F.col("label") == F.col("_own"), 0.05).otherwise(0.0)).filter("score >= 0.3")
-    out = ranking.ranked(boosted.drop("rank"), ["probe"], F.desc("score"), "vec_id").filter("rank <= 2")
+    probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding", "label")
+    out = ranking.boosted_topk(probes, v.filter("vec_id % 20 <> 0"), 2, "label", 0.05, 0.3)
     return out.select("probe", "vec_id", F.col("rank").alias("position"))
 
 
