@@ -6,7 +6,7 @@ k-gram on both, so joining the kept ones finds it; each hit is then extended wor
 diagonal and counts where at least SPAN words agree. An item of fewer words is one k-gram of its own length.
 
 A benchmark of up to `MAX_BROADCAST_BYTES` text (checked) goes to the tasks as an index and documents are
-read once, without a shuffle. A larger one is joined by fingerprint, `exchange_hits`.
+read once, without a shuffle. A larger one is joined by the hashes of whole spans, `exchange_hits`; both give the same rows.
 
 Defined results: null and empty texts have no words and no hits; an empty benchmark gives no
 hits; repeated rows are treated alike; a null item id counts as the empty string; only id and text columns are read.
@@ -14,18 +14,22 @@ hits; repeated rows are treated alike; a null item id counts as the empty string
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.llm.textwords import ALNUM, Words, chunks, signed, string_bytes, words_of
+from lectern.session import shared_dir
 
 SPAN = 10
 GRAM = 5
 MAX_BROADCAST_BYTES = 32 << 20
+#: The bitmap of stretches has 2 ** (64 - PRINT_SHIFT) bits, 8 MB.
+PRINT_SHIFT = 38
 RESULTS = ["n_words", "n_hit", "items"]
 
 
@@ -138,71 +142,80 @@ def broadcast_hits(docs: DataFrame, index: Index, carried: list[str], text: str
     return docs.select(*dict.fromkeys([*carried, text])).mapInArrow(run, _schema(docs, carried))
 
 
-def _prints(df: DataFrame, key: str, text: str, gram: int, span: int) -> DataFrame:
-    """key, n (words of a k-gram), print: one row for each kept fingerprint of a text, and for texts of fewer than `span` words their own."""
+def _windows(df: DataFrame, key: str, text: str, span: int, lengths: list[int] | None = None, bits: np.ndarray | None = None) -> DataFrame:
+    """key, at, n, print of stretches of n words: those of `span` words and short texts as a whole, or with `lengths` all stretches of so many words whose bit is set."""
+    shared = df.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, text):
             words = words_of(buf, offs, ALNUM)
-            at, prints = winnowed(words, gram, span)
-            rows = words.text_of[at]
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)).take(pa.array(rows)), pa.array(signed(prints))], [key, "print"])
-
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, print long")
-
-
-def exchange_hits(docs: DataFrame, benchmark: DataFrame, carried: list[str], key: str = "doc_id", text: str = "text", item: str = "item_id", gram: int = GRAM, span: int = SPAN) -> DataFrame:
-    """The same for a benchmark too large to broadcast: fingerprints meet in a shuffled join, then documents meet
-    the items they share a fingerprint with, are indexed one document at a time and extended.
-
-    Items of fewer than `span` words are matched through k-grams of each such length (at most span - 1 lengths).
+            text_of, counts = words.text_of, np.repeat(words.counts, words.counts)
+            left = np.repeat(words.first[1:], words.counts) - np.arange(len(words.hash))
+            for n in lengths if lengths is not None else range(1, span + 1):
+                g = words.grams(n)
+                ok = left[: len(g)] >= n
+                if lengths is None and n < span:
+                    ok &= counts[: len(g)] == n
+                at = np.flatnonzero(ok)
+                if shared is not None:
+                    at = at[(shared.value[g[at] >> np.uint64(PRINT_SHIFT + 6)] >> (g[at] >> np.uint64(PRINT_SHIFT) & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                rows = text_of[at]
+                keys = part.column(part.schema.get_field_index(key)).take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(at - words.first[rows], pa.int64()), pa.array(np.full(len(at), n), pa.int32()), pa.array(signed(g[at]))], [key, "at", "n", "print"])
+
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, at long, n int, print long")
+
+
+def _bits(prints: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size over the leading bits of `print`."""
+    lead = F.shiftrightunsigned("print", PRINT_SHIFT)
+    words = prints.select(F.shiftrightunsigned(lead, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {PRINT_SHIFT}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
+    out = np.zeros(1 << (64 - PRINT_SHIFT - 6), np.uint64)
+    out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
+    return out
+
+
+def exchange_hits(docs: DataFrame, benchmark: DataFrame, carried: list[str], text: str = "text", item: str = "item_id", span: int = SPAN) -> DataFrame:
+    """The same for a benchmark too large to broadcast.
+
+    A run of `span` or more equal words is a run of equal stretches of `span` words, and an item of fewer words is one stretch, so
+    the hit words of a document are those of its stretches that some item has too. These meet in a join with one row for each
+    stretch of the benchmark; no texts are exchanged, and ids only where a document really holds a stretch of the item. Stretches with the same items count once a
+    document. Rows have a number of their own, written with them, so ids may be null or repeated; a bitmap of fixed size keeps most other stretches out of the shuffle.
     """
-    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("_item"), F.col(text).alias("_text"))
-    ids = docs.select(F.col(key), F.col(text))
-    pairs = _prints(ids, key, text, gram, span).distinct().join(_prints(items, "_item", "_text", gram, span).distinct(), "print").select(key, "_item")
-
-    def lengths(n: int) -> DataFrame:
-        def grams(name: str, column: str, whole: bool):
-            def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-                for part, buf, offs in chunks(batches, column):
-                    words = words_of(buf, offs, ALNUM)
-                    g = words.grams(n)
-                    left = np.repeat(words.first[1:], words.counts) - np.arange(len(words.hash))
-                    ok = left[: len(g)] >= n
-                    if whole:
-                        ok &= np.repeat(words.counts, words.counts)[: len(g)] == n
-                    at = np.flatnonzero(ok)
-                    yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(name)).take(pa.array(words.text_of[at])), pa.array(signed(g[at]))], [name, "print"])
-
-            return run
-
-        kind = docs.schema[key].dataType.simpleString()
-        left = ids.mapInArrow(grams(key, text, False), f"{key} {kind}, print long").distinct()
-        right = items.mapInArrow(grams("_item", "_text", True), "_item string, print long").distinct()
-        return left.join(right, "print").select(key, "_item")
-
-    short = [r[0] for r in _counts(items, "_item", "_text").filter(F.col("n_words").between(1, span - 1)).select("n_words").distinct().collect()]
-    for n in short:
-        pairs = pairs.unionByName(lengths(n))
-    matched = pairs.distinct().join(items, "_item").groupBy(key).agg(F.collect_list(F.struct("_item", "_text")).alias("_items"))
+    spark = docs.sparkSession
+    base = f"{shared_dir(spark)}/decontaminate-{uuid.uuid4().hex}"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, buf, offs in chunks(batches, text, 1):
-            words = words_of(buf, offs, ALNUM)
-            found = part.column(part.schema.get_field_index("_items"))[0].as_py() or []
-            ix = Index([x["_item"] for x in found], [x["_text"] for x in found], gram, span)
-            yield _rows(part, words, ix.spans(words), ix.ids, carried)
-
-    whole = docs.select(*dict.fromkeys([*carried, key, text]))
-    return whole.join(matched, key, "left").mapInArrow(run, _schema(docs, carried))
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
 
+    columns = list(dict.fromkeys([*carried, text]))
 
-def _counts(df: DataFrame, key: str, text: str) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, text):
-            yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(key)), pa.array(words_of(buf, offs, ALNUM).counts, pa.int64())], [key, "n_words"])
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(words_of(buf, offs, ALNUM).counts, pa.int64())], [*columns, "n_words"])
+
+    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in columns) + ", n_words long"
+    rows = put("rows", docs.select(*columns).mapInArrow(counted, kinds).withColumn("__row", F.monotonically_increasing_id()))
 
-    return df.select(key, text).mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n_words long")
+    items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("_item"), F.col(text).alias("_text"))
+    prints = put("prints", _windows(items, "_item", "_text", span).select("n", "print", "_item").distinct())
+    # which items have a stretch, as a signature: their number and two sums of hashes
+    same = ["_c", "_x", "_y"]
+    sets = put("sets", prints.groupBy("n", "print").agg(F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("_item")).alias("_x"), F.bit_xor(F.xxhash64("_item", F.lit(1))).alias("_y")))
+    members = sets.groupBy(*same).agg(F.min(F.struct("n", "print")).alias("_r")).select(*same, "_r.*").join(prints, ["n", "print"]).select(*same, "_item")
+    lengths = sorted(r[0] for r in sets.select("n").distinct().collect())
+
+    matched = put("matched", _windows(rows, "__row", text, span, lengths, _bits(sets)).join(sets, ["n", "print"]).select("__row", "at", "n", *same))
+    ends = matched.groupBy("__row", "at").agg((F.col("at") + F.max("n")).alias("_end"))
+    before = F.max("_end").over(Window.partitionBy("__row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
+    new = F.greatest(F.lit(0), F.col("_end") - F.greatest("at", F.coalesce("_before", F.lit(0))))
+    hit = ends.withColumn("_before", before).groupBy("__row").agg(F.sum(new).alias("n_hit"))
+    named = matched.select("__row", *same).distinct().join(members, same).groupBy("__row").agg(F.array_sort(F.collect_set("_item")).alias("items"))
+    found = hit.join(named, "__row")
+    nothing = F.array().cast("array<string>")
+    return rows.select(*carried, "n_words", "__row").join(found, "__row", "left").select(*carried, "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.coalesce("items", nothing).alias("items"))
 
 
 def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", max_bytes: int = MAX_BROADCAST_BYTES, carry: list[str] | None = None) -> DataFrame:
@@ -210,7 +223,7 @@ def find(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str =
     carried = [c for c in carry or [key] if c not in RESULTS]  # a carried column with the name of a result gives way
     size = benchmark.agg(F.sum(F.octet_length(F.col(text)) + 64)).first()[0] or 0
     if size > max_bytes:
-        return exchange_hits(docs, benchmark, carried, key, text, item)
+        return exchange_hits(docs, benchmark, carried, text, item)
     rows = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")), F.col(text)).collect()
     return broadcast_hits(docs, Index([r[0] for r in rows], [r[1] for r in rows]), carried, text)
 
