@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator, Mapping
 
 import numpy as np
@@ -9,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lectern.session import shared_dir
+
 TIME_ZONE = "Europe/Chisinau"
 MILLION = 1_000_000
 
@@ -150,14 +153,33 @@ def leaders(rows: DataFrame, by: str, order: list[str], key: str, vector: str, t
 def gap_items(members: DataFrame, group: str, order: list[str], status: str, missing: Column, sites: Column, most_missing: int = 10) -> DataFrame:
     """For each group its size, worst status and the first distinct missing parts in order."""
     rank = F.when(F.col(status) == "not_found", 2).when(F.col(status) == "partial", 1).otherwise(0)
-    parts = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(*order, missing.alias("_m")))), lambda x: x["_m"])))
-    return members.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.max_by(status, rank).alias("status"), F.slice(parts, 1, most_missing).alias("missing"), F.array_sort(F.array_distinct(F.flatten(F.collect_set(sites)))).alias("sites"))
+    counts = members.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.max_by(status, rank).alias("status"))
+    # each part once, by its first place, and the first few of a group; no row holds a group's members
+    parts = members.select(F.col(group).alias("_g"), *[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)], missing.alias("_m"))
+    places = parts.select("_g", *[f"_o{i}" for i in range(len(order))], "_m", F.posexplode("_m").alias("_at", "_part")).groupBy("_g", "_part").agg(F.min(F.struct(*[f"_o{i}" for i in range(len(order))], "_m", "_at")).alias("_first"))
+    first = places.withColumn("_i", F.row_number().over(Window.partitionBy("_g").orderBy("_first"))).filter(F.col("_i") <= most_missing)
+    lists = first.groupBy("_g").agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_part"))), lambda x: x["_part"]).alias("missing"))
+    found = members.select(F.col(group).alias("_g2"), F.explode(sites).alias("_s")).distinct().groupBy("_g2").agg(F.array_sort(F.transform(F.collect_list(F.struct("_s")), lambda x: x["_s"])).alias("sites"))
+    out = counts.join(lists, F.col(group).eqNullSafe(F.col("_g")), "left").join(found, F.col(group).eqNullSafe(F.col("_g2")), "left")
+    return out.select(group, "n", "status", *[F.coalesce(c, F.array().cast(x.schema[c].dataType)).alias(c) for c, x in (("missing", lists), ("sites", found))])
+
 
+def nearest_rank(df: DataFrame, by: str, value: str, shares: Mapping[str, float]) -> DataFrame:
+    """by, and for each name of `shares` the element of the group's sorted values at round(p * (n - 1)), halves to even; nulls do not count.
 
-def nearest_rank(values: Column, p: float) -> Column:
-    """The element of a group's sorted values at round(p * (n - 1)), halves to even. For groups that fit a row."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.bround(F.lit(p) * (F.size(ordered) - 1), 0).cast("int"))
+    Distinct values are counted, dealt by range and written; a group may hold any share of the rows, and what is summed across ranges is one number for a group and range.
+    """
+    counts = df.groupBy(by, value).agg(F.count(value).alias("_c")).repartitionByRange(by, value).withColumn("_range", F.spark_partition_id())
+    path = f"{shared_dir(df.sparkSession)}/ranks-{uuid.uuid4().hex}"
+    counts.write.parquet(path)
+    counts = df.sparkSession.read.parquet(path)
+    sums = counts.groupBy(F.col(by).alias("_g"), F.col("_range").alias("_q")).agg(F.sum("_c").alias("_s"))
+    whole = Window.partitionBy("_g")
+    starts = sums.select("_g", "_q", (F.sum("_s").over(whole.orderBy("_q")) - F.col("_s")).alias("_from"), F.sum("_s").over(whole).alias("_n"))
+    end = F.col("_from") + F.sum("_c").over(Window.partitionBy(by, "_range").orderBy(value))
+    rows = counts.join(starts, F.col(by).eqNullSafe(F.col("_g")) & (F.col("_range") == F.col("_q"))).withColumn("_end", end)
+    at = {name: F.bround(F.lit(p) * (F.col("_n") - 1), 0).cast("long") for name, p in shares.items()}
+    return rows.groupBy(by).agg(*[F.max(F.when((i < F.col("_end")) & (i >= F.col("_end") - F.col("_c")), F.col(value))).alias(name) for name, i in at.items()])
 
 
 def hits(ranks: DataFrame, rank: str = "rank") -> list[Column]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,14 +12,27 @@ from pyspark.sql import functions as F
 def greedy_budget(df: DataFrame, query: str, order: str, item: str, size: str, most: int) -> DataFrame:
     """Items of each question taken in order while they fit; one that does not is skipped and smaller ones may still fit; the first is always taken.
 
-    A question has a few dozen candidates, packed into one row and folded there.
+    What fits depends on what was taken before, so a question's items are streamed in order through one task, which holds the sum so far.
     """
-    packed = df.groupBy(query).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(item).alias("i"), F.col(size).cast("long").alias("s")))).alias("_c"))
-    kind = f"array<struct<o:{df.schema[order].dataType.simpleString()},i:{df.schema[item].dataType.simpleString()},s:bigint>>"
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(kind).alias("out"))
-    take = lambda a, x: F.struct((a["used"] + x["s"]).alias("used"), F.concat(a["out"], F.array(x)).alias("out"))
-    folded = F.aggregate("_c", start, lambda a, x: F.when((F.size(a["out"]) == 0) | (a["used"] + x["s"] <= most), take(a, x)).otherwise(a), lambda a: a["out"])
-    return packed.select(query, F.posexplode(folded).alias("_n", "_x")).select(query, (F.col("_n") + 1).alias("source_no"), F.col("_x.i").alias(item), F.col("_x.s").alias(size))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, used, taken = object(), 0, 0
+        for batch in batches:
+            rows, numbers = [], []
+            for i, (q, s) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                if q != now:
+                    now, used, taken = q, 0, 0
+                if taken == 0 or (used is not None and s is not None and used + s <= most):
+                    used = None if s is None else used + s
+                    taken += 1
+                    rows.append(i)
+                    numbers.append(taken)
+            kept = batch.take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(numbers, pa.int32()), kept.column(1), kept.column(2)], [query, "source_no", item, size])
+
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    rows = df.select(F.col(query).alias("_q"), F.col(item).alias("_i"), F.col(size).cast("long").alias("_s"), F.col(order).alias("_o")).repartition("_q").sortWithinPartitions("_q", "_o", "_i", "_s")
+    return rows.select("_q", "_i", "_s").mapInArrow(run, f"`{query}` {kind(query)}, source_no int, `{item}` {kind(item)}, `{size}` long")
 
 
 def shown_lines(lines: DataFrame, query: str, source: str, number: str, text: str) -> DataFrame:

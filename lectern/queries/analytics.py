@@ -186,7 +186,7 @@ WITH o AS (SELECT event_type, list(value ORDER BY value) AS v FROM events GROUP
 SELECT event_type, v[(round_even(0.5 * (len(v) - 1), 0) + 1)::INT] AS p50, v[(round_even(0.95 * (len(v) - 1), 0) + 1)::INT] AS p95 FROM o
 """)
 def nearest_rank_percentile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(analytics.nearest_rank(F.col("value"), 0.5).alias("p50"), analytics.nearest_rank(F.col("value"), 0.95).alias("p95"))
+    return analytics.nearest_rank(table(spark, sf_dir, "events"), "event_type", "value", {"p50": 0.5, "p95": 0.95})
 
 
 @query("SELECT day, count(*) AS visitors FROM (SELECT user_id, min(ts)::DATE AS day FROM events GROUP BY user_id) GROUP BY day")

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate
-from lectern.operators import ranking
+from lectern.operators import analytics, answers, ranking
 from lectern.queries import retrieval
 
 
@@ -47,3 +48,16 @@ def test_both_ways_of_decontamination_agree(spark):
     broadcast, exchanged = ({r["__n"]: r for r in decontaminate.find(d, b, max_bytes=m, carry=d.columns).collect()} for m in (1 << 20, 0))
     assert len(exchanged) == len(docs) and exchanged == broadcast
     assert exchanged[1]["n_hit"] > 50 and exchanged[4]["items"] == ["short"]
+
+
+def test_large_groups_are_not_packed_into_rows(spark):
+    df = spark.range(3000).select(F.when(F.col("id") % 3 < 2, "hot").alias("g"), "id", (F.col("id") * 7919 % 1000).cast("double").alias("v"), F.lit(1).alias("size"), F.lit("ok").alias("status"))
+    ranks = analytics.nearest_rank(df, "g", "v", {"p50": 0.5, "p95": 0.95})
+    gaps = analytics.gap_items(df, "g", ["id"], "status", F.array(F.col("v").cast("int")), F.array("status"), 3)
+    budget = answers.greedy_budget(df, "g", "id", "id", "size", 2)
+    values = {g: sorted(r["v"] for r in df.collect() if r["g"] == g) for g in ("hot", None)}
+    assert {r["g"]: (r["p50"], r["p95"]) for r in ranks.collect()} == {g: tuple(v[round(p * (len(v) - 1))] for p in (0.5, 0.95)) for g, v in values.items()}
+    assert {r["g"]: (r["n"], r["missing"], r["sites"]) for r in gaps.collect()} == {"hot": (2000, [0, 919, 757], ["ok"]), None: (1000, [838, 595, 352], ["ok"])}
+    assert sorted((r["g"] or "", r["source_no"], r["id"]) for r in budget.collect()) == [("", 1, 2), ("", 2, 5), ("hot", 1, 0), ("hot", 2, 1)]
+    for plan in (ranks, budget):
+        assert "collect_list" not in plan._jdf.queryExecution().toString()
