@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate
 from lectern.operators import analytics, answers, ranking
 from lectern.queries import retrieval
 
@@ -38,18 +37,6 @@ def test_boosted_topk_is_exact(spark, per_block):
         assert [got.get((p, k + 1)) for k in range(3)] == [i if -s >= 0.3 else None for s, i in scores[:3]]
 
 
-def test_both_ways_of_decontamination_agree(spark):
-    passage = [f"p{i}" for i in range(40)]
-    items = [(f"i{i}", " ".join(passage[: 10 + i])) for i in range(25)] + [("short", "x"), (None, "a b c"), ("twice", "u v w"), ("twice", " ".join(f"t{i}" for i in range(12)))]
-    text = " ".join(["start", *passage[3:20], "mid", "a b c", *passage, "end"])
-    docs = [(None, text, 1), (None, "nothing", 2), (7, "", 3), (8, "x", 4), (9, text, 5), (9, "u v w u v w", 6), (10, None, 7), (11, " ".join(passage[:9]), 8)]
-    d = spark.createDataFrame(docs, "doc_id long, text string, __n int").coalesce(1)
-    b = spark.createDataFrame(items, "item_id string, text string")
-    broadcast, exchanged = ({r["__n"]: r for r in decontaminate.find(d, b, max_bytes=m, carry=d.columns).collect()} for m in (1 << 20, 0))
-    assert len(exchanged) == len(docs) and exchanged == broadcast
-    assert exchanged[1]["n_hit"] > 50 and exchanged[4]["items"] == ["short"]
-
-
 def test_large_groups_are_not_packed_into_rows(spark):
     df = spark.range(3000).select(F.when(F.col("id") % 3 < 2, "hot").alias("g"), "id", (F.col("id") * 7919 % 1000).cast("double").alias("v"), F.lit(1).alias("size"), F.lit("ok").alias("status"))
     ranks = analytics.nearest_rank(df, "g", "v", {"p50": 0.5, "p95": 0.95})
