@@ -1,63 +1,92 @@
 """Main text of pages by a site style tree.
 
-The DOMs of all pages of a host are merged by element path (tag, with class, id and role). Every merged node gets an
-importance: from its presentation, the entropy of the child layouts seen under it, and from its content, the entropy of
-the texts seen in it; a node that looks and reads the same on page after page has none. A block's importance is the least one
-of the nodes it stands in, times its prior weight, and blocks of low importance are removed from each page, inside articles too. Elements that by
-their tag or role are navigation, footers, asides, forms or dialogs weigh nothing from the start. Classes and ids
-that name a sidebar, header, notice and the like only lower the weight (NAMED), those of adverts, cookies and comments lower it further
-(UNWANTED); only whole class tokens count, and an outermost article or main element is free of the names around it. On a page with an article or main element
-the blocks outside of it weigh OUTSIDE. An article that is itself the same on page after page is a copy, not a template: its insides are not judged.
-
-Counts are grouped sums with partial aggregation, so a host may hold any share of all pages. Nodes that can sink a block are few (one row for a
-host and path); up to MAX_BROADCAST_NODES of them, checked, go to the tasks, and more are joined by host.
-
-Defined results: null and empty html give an empty text; text outside any element counts as a block of the body; unclosed and stray tags are
-repaired; without an article or main element every block of a page that is not removed is main text; hosts with fewer than MIN_PAGES pages
-remove only what weighs too little from the start; repeated rows count as pages of their own; only the three named columns are read.
+The DOMs of all pages of a host are merged by element path (tag with class, id and role; digits in these count alike). Every merged node
+gets an importance from 0 to 1: half of it from its presentation, the entropy of the child layouts seen under it, half from its content,
+the entropy of the texts seen in it. A node that looks and reads the same on page after page has none; one with a fixed layout and changing
+texts, such as a menu, an advert or a footer, has about half. A node seen on fewer than MIN_PAGES pages counts as UNKNOWN.
+
+A block of text stays if its prior weight times the importance of its branch is not below LOW. The importance of a branch is the least one of the
+nodes that the block stands in; inside an article or main element it is WITHIN times that of the nodes from there inwards, in proportion to the
+importance of the article itself, and an article that is itself the same on page after page is a copy, not a template: its insides are not judged.
+Prior weights: SURROUNDINGS for elements that by tag or role are navigation, footers, asides, forms or dialogs, NAMED for whole class
+tokens or ids that name a sidebar, header, notice and the like, UNWANTED for those of adverts and cookies, REMARKS for those of reader comments (which
+vary as much as articles do, so that entropy can't tell them apart), OUTSIDE for blocks outside the articles of a page that has some, LINKS for blocks outside
+articles that are mostly links, 1 else. An outermost article or main element is free of the names around it. Text of scripts, styles, titles and controls is no text of a page.
+
+Each page is parsed once; blocks and nodes are written to the shared folder. Counts are grouped sums with partial aggregation, so a host may
+hold any share of all pages. The importances of at most MAX_BROADCAST_NODES nodes, those with the most pages, go to the tasks as two arrays; those of further
+nodes (none of which has more than one part in MAX_BROADCAST_NODES of all rows) come by a join, a list a page and no longer than the page's own nodes.
+
+Defined results: null and empty html give an empty text; text outside any element counts as a block of the page; unclosed and stray tags are
+repaired; a tag that never ends is text, and after it quotes no longer protect a `>`; without an article or main element all blocks are judged alike; repeated
+rows count as pages of their own; an empty table gives no rows; only the three named columns are read. Parsing takes time and memory in proportion to the page.
 """
 
 from __future__ import annotations
 
-import hashlib
 import html as entities
 import re
+import uuid
 from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lectern.session import shared_dir
+
 MIN_PAGES = 3
-#: Shares of presentation and content in a node's importance, and the importance below which it goes.
+#: Share of presentation (the rest is content) in a node's importance, the importance of nodes on too few pages, and the one below which a block goes.
 PRESENTATION_SHARE = 0.5
+UNKNOWN = 0.5
 LOW = 0.2
-#: Prior weights of blocks: outside the articles of a page that has some, in elements named like surroundings, and like adverts, cookies or comments.
+#: Prior weights.
 OUTSIDE = 0.6
+WITHIN = 0.66
+LINKS = 0.5
 NAMED = 0.4
-UNWANTED = 0.1
-MAX_BROADCAST_NODES = 50_000
+SURROUNDINGS = 0.3
+UNWANTED = 0.3
+REMARKS = 0.1
+MAX_BROADCAST_NODES = 1_000_000
+OUT_BYTES = 4 << 20
 
 # Elements by their meaning in HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math".split())
 BLOCK = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead tr ul".split())
-NOISE_TAGS = frozenset("nav footer aside form menu script style noscript template iframe svg math head title button select textarea input dialog object embed canvas".split())
-NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+SILENT_TAGS = frozenset("script style noscript template iframe svg math head title button select textarea input object embed canvas".split())
+SURROUNDING_TAGS = frozenset("nav footer aside form menu dialog".split())
+SURROUNDING_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 NAMED_WORDS = frozenset(
-    "banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side aside rail widget widgets header masthead footer foot copyright notice notices overlay search reply replies respond share sharing social related recommended skip toolbar site-header site-footer main-nav main-menu nav-menu side-bar related-posts related-articles share-buttons social-share".split()
+    "banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side aside rail widget widgets header masthead footer foot copyright notice notices overlay search share sharing social related recommended skip toolbar site-header site-footer main-nav main-menu nav-menu side-bar related-posts related-articles share-buttons social-share".split()
 )
 UNWANTED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-container ad-banner banner-ad sponsor sponsored cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent consent gdpr popup modal newsletter newsletter-signup subscribe subscription signup login comment comments comment-list comment-form comments-area discussion disqus disqus_thread".split()
+    "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-container ad-banner banner-ad sponsor sponsored cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent consent gdpr popup modal newsletter newsletter-signup subscribe subscription signup login".split()
 )
-CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
+REMARKS_WORDS = frozenset("comment comments comment-list comment-form comments-area reply replies respond discussion disqus disqus_thread".split())
+CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div article section main ul ol dl table td th nav footer header aside form blockquote".split())
-
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|</?[a-zA-Z](?:[^>"']|"[^"]*"|'[^']*')*>|[^<]+|<""", re.S)
-_TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_NAMED = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+_ANY_P = {"p"}
+
+_REST = r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>?|[^<]++|<"
+#: Tokens while quoted values protect a `>`, after a tag that never ended, and after the last `>`.
+_TOKENS = (
+    re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+)*+)>|""" + _REST, re.S),
+    re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>|" + _REST, re.S),
+    re.compile("()()().++", re.S),
+)
+_BEGINS = re.compile("</?[a-zA-Z]")
+_ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
+_NAMES = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+_DIGITS = re.compile(r"\d+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
+_MASK, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
+_TEXT = xxhash.xxh64_intdigest(b"#text")
 
 
 def host_of(url: str | None) -> str:
@@ -65,208 +94,309 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
-def element(token: str) -> tuple[str, str, float]:
-    """Name, name with its class, id and role, and its prior weight."""
-    name = _TAG.match(token)[1].lower()
-    label, weight = name, 0.0 if name in NOISE_TAGS else 1.0
-    if len(token) > len(name) + 2:
-        for key, a, b, c in _NAMED.findall(token):
+def element(name: str, attributes: str) -> tuple[str, float, float]:
+    """Name with class, id and role, and the prior weights by tag and role, and by names."""
+    label, by_tag, by_name = name, 0.0 if name in SILENT_TAGS else SURROUNDINGS if name in SURROUNDING_TAGS else 1.0, 1.0
+    if attributes:
+        for key, a, b, c in _NAMES.findall(attributes):
             value, key = (a or b or c).lower(), key.lower()
-            label += {"class": ".", "id": "#", "role": "@"}[key] + value
+            label += {"class": ".", "id": "#", "role": "@"}[key] + _DIGITS.sub("0", value)
             if key == "role":
-                weight = 0.0 if value in NOISE_ROLES else weight
+                by_tag = min(by_tag, SURROUNDINGS) if value in SURROUNDING_ROLES else by_tag
             elif name not in ("html", "body", "article", "main"):
-                words = value.split()
-                weight = min(weight, 1.0 if NAMED_WORDS.isdisjoint(words) else NAMED, 1.0 if UNWANTED_WORDS.isdisjoint(words) else UNWANTED)
-    return name, label, weight
+                for words, weight in ((NAMED_WORDS, NAMED), (UNWANTED_WORDS, UNWANTED), (REMARKS_WORDS, REMARKS)):
+                    if weight < by_name and not words.isdisjoint(value.split()):
+                        by_name = weight
+    return label, by_tag, by_name
+
+
+@dataclass
+class Parsed:
+    """Blocks of a page (text, prior weight, node) and its nodes: id, parent, outermost article (or -1), hashes of layout and of content. Parents come first."""
+
+    texts: list[str]
+    weights: list[float]
+    at: list[int]
+    ids: list[int]
+    parents: list[int]
+    articles: list[int]
+    layouts: list[int]
+    contents: list[int]
+
+
+class _Open:
+    """An open element."""
+
+    __slots__ = ("name", "by_tag", "by_name", "link", "node", "layout", "content")
 
+    def __init__(self, name: str, by_tag: float, by_name: float, link: bool, node: int):
+        self.name, self.by_tag, self.by_name, self.link, self.node, self.layout, self.content = name, by_tag, by_name, link, node, 0, 0
 
-def blocks(page: str) -> Iterator[tuple[str, str, float, int, bool]]:
-    """(path, text, prior weight, length of the path of the article around it or 0, in link) of each run of text, in page order; an empty path ends a block."""
-    # stack of (name, path, weight, article, link)
-    top = ("", "", 1.0, 0, False)
+
+def parse(page: str, host: str = "", low: float = LOW) -> Parsed:
+    root = xxhash.xxh64_intdigest(host.encode("utf-8", "replace"))
+    ids, parents, articles, layouts, contents = [root], [-1], [-1], [0], [0]
+    place = {root: 0}
+    top = _Open("", 1.0, 1.0, False, 0)
     stack = [top]
-    raw = ""
-    known: dict[str, tuple[str, str, float]] = {}
-    for m in _TOKEN.finditer(page):
-        token = m[0]
-        if token[0] != "<" or token == "<":
-            if not raw:
-                yield top[1], token, top[2], top[3], top[4]
-            continue
-        if token[1] in "!?":
-            continue
-        if token[1] == "/":
-            name = _TAG.match(token)[1].lower()
-            if raw:
-                if name != raw:
+    # for each open element that bounds implied closing: how many of each name are open inside of it, and how many such elements are open
+    inner: list[dict[str, int]] = [{}]
+    scopes = dict.fromkeys(SCOPES, 0)
+    blocks: list[tuple[str, float, int, int, int]] = []  # text, weight, node, characters in links, characters
+    parts: list[str] = []
+    first: tuple[int, float, int] | None = None  # node, weight, article
+    blank, linked = True, 0
+
+    def flush() -> None:
+        nonlocal first, blank, linked
+        if not blank:
+            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
+            if text:
+                blocks.append((text, first[1], first[0], linked, sum(map(len, parts))))
+        parts.clear()
+        first, blank, linked = None, True, 0
+
+    def pop() -> _Open:
+        gone = stack.pop()
+        if gone.name in SCOPES:
+            inner.pop()
+            scopes[gone.name] -= 1
+        else:
+            inner[-1][gone.name] -= 1
+        if gone.content:
+            node = gone.node
+            layouts[node] = (layouts[node] * _STEP + gone.layout) & _MASK
+            contents[node] = (contents[node] * _STEP + gone.content) & _MASK
+            stack[-1].content = (stack[-1].content * _STEP + gone.content) & _MASK
+        return gone
+
+    def close(name: str) -> None:
+        if scopes[name] if name in SCOPES else inner[-1].get(name, 0):
+            while pop().name != name:
+                pass
+
+    def close_any(names: set[str]) -> None:
+        # up to the next bound, which may be one of them itself
+        while True:
+            found = names if stack[-1].name in names else {n for n in names if inner[-1].get(n, 0)}
+            if not found:
+                return
+            while pop().name not in found:
+                pass
+
+    way, pos, size = 0, 0, len(page)
+    known: dict[tuple[str, str], tuple[int, float, float]] = {}
+    while pos < size:
+        m = _TOKENS[way].match(page, pos)
+        name = m[2]
+        if not name:
+            start, pos = pos, m.end()
+            if page[start] == "<":
+                if way < 2 and _BEGINS.match(page, start):
+                    way, pos = way + 1, start  # a tag that never ends
                     continue
-                raw = ""
+                if pos - start > 1 and way < 2:
+                    continue  # a comment or declaration
+            text = page[start:pos]
+            solid = not text.isspace()
+            weight = min(top.by_tag, top.by_name)
+            here = (top.node, weight, articles[top.node])
+            if first is not None and here[1:] != first[1:]:  # an inline element that weighs otherwise stands for itself
+                flush()
+            if first is None or blank and solid:
+                first = here
+            if solid:
+                blank = False
+                top.layout = (top.layout * _STEP + _TEXT) & _MASK
+                top.content = (top.content * _STEP + (xxhash.xxh64_intdigest(" ".join(text.split())) | 1)) & _MASK
+            parts.append(text)
+            if top.link:
+                linked += len(text)
+            continue
+        pos = m.end()
+        name, ending = name.lower(), m[1]
+        if ending:
             if name in BLOCK:
-                yield "", "", 1.0, 0, False
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES and name not in SCOPES:
-                    break
+                flush()
+            close(name)
             top = stack[-1]
             continue
-        if raw:
-            continue
-        found = known.get(token)
+        attributes = m[3]
+        found = known.get((name, attributes))
         if found is None:
-            found = known[token] = element(token)
-        name, label, weight = found
-        if name == "header" and not top[3]:
-            weight = 0.0
+            label, by_tag, by_name = element(name, attributes)
+            found = known[name, attributes] = (xxhash.xxh64_intdigest(label), by_tag, by_name)
+        label, by_tag, by_name = found
         if name in BLOCK:
-            yield "", "", 1.0, 0, False
-            closed = CLOSES.get(name) or ({"p"} if name not in ("br", "html", "body", "head") else ())
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i][0] in closed:
-                    del stack[i:]
-                    break
-                if stack[i][0] in SCOPES:
-                    break
+            flush()
+            closed = CLOSES.get(name)
+            if closed:
+                close_any(closed)
+            elif name not in ("br", "html", "body", "head") and inner[-1].get("p", 0):
+                close_any(_ANY_P)
             top = stack[-1]
-        if name in VOID or token.endswith("/>") and name in RAW:
+        top.layout = (top.layout * _STEP + label) & _MASK
+        if name in VOID or name in RAW and attributes.endswith("/"):
             continue
-        path, article = f"{top[1]}/{label}", top[3]
-        if not article and name in ("article", "main"):
-            # names of classes around an article say nothing about it
-            article, weight = len(path), weight if top[2] else 0.0
-        else:
-            weight = min(weight, top[2])
-        top = (name, path, weight, article, top[4] or name == "a")
+        article = articles[top.node]
+        if name == "header" and article < 0:
+            by_tag = SURROUNDINGS if by_tag > SURROUNDINGS else by_tag
+        path = ((ids[top.node] ^ label) * _STEP + label) & _MASK
+        node = place.get(path)
+        if node is None:
+            node = place[path] = len(ids)
+            ids.append(path)
+            parents.append(top.node)
+            articles.append(node if article < 0 and name in ("article", "main") else article)
+            layouts.append(0)
+            contents.append(0)
+        if articles[node] != node:  # the names of classes around an article say nothing about it
+            by_name = min(by_name, top.by_name)
+        top = _Open(name, min(by_tag, top.by_tag), by_name, top.link or name == "a", node)
         stack.append(top)
+        if name in SCOPES:
+            inner.append({})
+            scopes[name] += 1
+        else:
+            inner[-1][name] = inner[-1].get(name, 0) + 1
         if name in RAW:
-            raw = name
+            m = _ENDS[name].search(page, pos)
+            pos = m.start() if m else size
+    flush()
+    while len(stack) > 1:
+        pop()
+    layouts[0], contents[0] = stack[0].layout, stack[0].content
 
+    # nodes with text only; where a node has some, so have those around it
+    kept = [i for i, c in enumerate(contents) if c]
+    new = {i: k for k, i in enumerate(kept)} | {-1: -1}
+    outside = OUTSIDE if any(articles[node] >= 0 and weight >= low for _, weight, node, _, _ in blocks) else 1.0
+    weights = [weight * (1.0 if articles[node] >= 0 else outside * (LINKS if 2 * links > chars else 1.0)) for _, weight, node, links, chars in blocks]
+    of = lambda values: [values[i] for i in kept]
+    return Parsed([b[0] for b in blocks], weights, [new[b[2]] for b in blocks], of(ids), [new[p] for p in of(parents)], [new[a] for a in of(articles)], of(layouts), of(contents))
 
-def whole_blocks(page: str) -> list[tuple[str, str, float, int, int]]:
-    """(path, text, prior weight, length of the path of the article around it or 0, characters in links) of each block; texts decoded, white space made single."""
-    out, parts, first, linked = [], [], None, 0
 
-    def close() -> None:
-        if first is not None:
-            text = _SPACE.sub(" ", entities.unescape("".join(parts))).strip()
-            if text:
-                out.append((first[0], text, first[1], first[2], linked))
+def _signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
 
-    for path, text, weight, article, link in blocks(page):
-        if not path and not text:
-            close()
-            parts, first, linked = [], None, 0
-            continue
-        if first is not None and (weight, article) != first[1:]:  # an inline element that weighs less stands for itself
-            close()
-            parts, first, linked = [], None, 0
-        if first is None:
-            first = (path or "/", weight, article)
-        elif text.strip() and not "".join(parts).strip():
-            first = (path or "/", weight, article)
-        parts.append(text)
-        linked += len(text) * link
-    close()
-    return out
 
+_COLUMNS = {"url": "string", "texts": "array<string>", "weights": "array<float>", "at": "array<int>", "ids": "array<bigint>", "parents": "array<int>", "articles": "array<int>", "layouts": "array<bigint>", "contents": "array<bigint>"}
 
-def _hash(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
 
+def _lists(parts: list[np.ndarray | list], kind: pa.DataType) -> pa.ListArray:
+    ends = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int32)
+    flat = [x for p in parts for x in p] if kind == pa.string() else np.concatenate([np.zeros(0, kind.to_pandas_dtype()), *parts])
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
 
-def observations(pages: DataFrame, url: str = "url", html: str = "html", low: float = LOW) -> DataFrame:
-    """host, path, layout, content: for each page and each node with blocks that can be important, hashes of its children's layout and of its text."""
+
+def parsed(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", low: float = LOW) -> DataFrame:
+    """key (as `page`), url, and the fields of `Parsed` as arrays, for every row."""
+
+    def batch_of(keys: pa.Array, urls: list[str | None], found: list[Parsed]) -> pa.RecordBatch:
+        ints = lambda name, kind: _lists([np.array(getattr(p, name), kind.to_pandas_dtype()) for p in found], kind)
+        hashes = lambda name: _lists([_signed(getattr(p, name)) for p in found], pa.int64())
+        columns = [keys, pa.array(urls, pa.string()), _lists([p.texts for p in found], pa.string()), ints("weights", pa.float32()), ints("at", pa.int32()), hashes("ids"), ints("parents", pa.int32()), ints("articles", pa.int32()), hashes("layouts"), hashes("contents")]
+        return pa.RecordBatch.from_arrays(columns, ["page", *_COLUMNS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows: list[tuple[str, str, int, int]] = []
-            for u, h in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                nodes: dict[str, tuple[list[str], list[str]]] = {}
-                for path, text, weight, _, _ in whole_blocks(h or ""):
-                    if weight < low:
-                        continue
-                    at, child = path, "#text"
-                    while at:
-                        layout, content = nodes.setdefault(at, ([], []))
-                        layout.append(child)
-                        content.append(text)
-                        at, _, child = at.rpartition("/")
-                host = host_of(u)
-                rows += [(host, p, _hash("\n".join(a)), _hash("\n".join(b))) for p, (a, b) in nodes.items()]
-                if len(rows) >= 8192:
-                    yield _table(rows)
-                    rows = []
-            yield _table(rows)
-
-    def _table(rows: list[tuple[str, str, int, int]]) -> pa.RecordBatch:
-        columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64()), strict=True)], ["host", "path", "layout", "content"])
-
-    return pages.select(url, html).mapInArrow(run, "host string, path string, layout long, content long")
+            keys, urls = batch.column(0), batch.column(1).to_pylist()
+            found, begin, size = [], 0, 0
+            for i, page in enumerate(batch.column(2)):
+                text = page.as_py() or ""
+                found.append(parse(text, host_of(urls[i]), low))
+                size += len(text)
+                if size > OUT_BYTES:
+                    yield batch_of(keys.slice(begin, len(found)), urls[begin : i + 1], found)
+                    found, begin, size = [], i + 1, 0
+            yield batch_of(keys.slice(begin, len(found)), urls[begin:], found)
+
+    kinds = ", ".join(f"{c} {t}" for c, t in _COLUMNS.items())
+    return pages.select(key, url, html).mapInArrow(run, f"page {pages.schema[key].dataType.simpleString()}, {kinds}")
+
+
+def observations(pages: DataFrame) -> DataFrame:
+    """node, layout, content: one row for each node of each page in `parsed`."""
+    return pages.select(F.explode(F.arrays_zip("ids", "layouts", "contents")).alias("o")).select(F.col("o.ids").alias("node"), F.col("o.layouts").alias("layout"), F.col("o.contents").alias("content"))
 
 
 def style_tree(seen: DataFrame, min_pages: int = MIN_PAGES, share: float = PRESENTATION_SHARE) -> DataFrame:
-    """host, path, pages, importance of every merged node."""
-
-    def entropy(column: str) -> DataFrame:
-        # entropy over the most that so many pages can have, from 0 (always the same) to 1 (always different)
-        counts = seen.groupBy("host", "path", column).agg(F.count(F.lit(1)).alias("c"))
-        sums = counts.groupBy("host", "path").agg(F.sum("c").alias("pages"), F.sum(F.col("c") * F.log("c")).alias("w"))
-        value = F.when(F.col("pages") > 1, (F.log("pages") - F.col("w") / F.col("pages")) / F.log("pages")).otherwise(1.0)
-        return sums.select("host", "path", "pages", F.greatest(F.lit(0.0), value).alias(column))
-
-    both = entropy("layout").join(entropy("content").drop("pages"), ["host", "path"])
-    mixed = share * F.col("layout") + (1 - share) * F.col("content")
-    return both.select("host", "path", "pages", F.when(F.col("pages") < min_pages, 1.0).otherwise(F.greatest(mixed, F.col("content"))).alias("importance"))
-
-
-def main_text(page: str | None, scores: Mapping[str, float] | None = None, low: float = LOW) -> str:
-    """The main text of one page: its blocks whose prior weight times the least importance of a node around them (`scores`, 1 where none is given) is not low."""
-    found = whole_blocks(page or "")
-    outside = OUTSIDE if any(article and weight >= low for _, _, weight, article, _ in found) else 1.0
-    kept = []
-    for path, text, weight, article, _ in found:
-        importance = weight if article else weight * outside
-        # an article is judged from its own node inwards, and not at all if it is a copy
-        if scores and importance >= low and not (article and scores.get(path[:article], 1.0) < low):
-            nodes = [k for k, c in enumerate(path) if c == "/" and k >= max(article, 1)] + [len(path)]
-            importance *= min(scores.get(path[:i], 1.0) for i in nodes)
-        if importance >= low:
-            kept.append(text)
-    return " ".join(kept)
+    """node, pages, importance of every merged node that `min_pages` pages or more have."""
+    both = seen.select("node", F.explode(F.array(F.struct(F.lit(share).alias("w"), F.lit(0).alias("kind"), F.col("layout").alias("value")), F.struct(F.lit(1 - share).alias("w"), F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("x"))
+    counts = both.groupBy("node", "x.kind", "x.w", "x.value").agg(F.count(F.lit(1)).alias("c"))
+    # entropy over the most that so many pages can have, from 0 (always the same) to 1 (always different)
+    sums = counts.groupBy("node").agg((F.sum("c") / 2).cast("long").alias("pages"), F.sum(F.col("w") * F.col("c") * F.log("c")).alias("s"))
+    value = (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")
+    return sums.filter(F.col("pages") >= max(2, min_pages)).select("node", "pages", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("importance"))
+
+
+def branches(importance: list[float], parents: list[int], articles: list[int], low: float = LOW) -> list[float]:
+    """The importance of the branch that ends at each node of a page."""
+    out: list[float] = []
+    for i, (value, parent, article) in enumerate(zip(importance, parents, articles, strict=True)):
+        if article < 0:
+            out.append(min(value, out[parent] if parent >= 0 else 1.0))
+        elif article == i or importance[article] < low:
+            out.append(WITHIN)
+        else:
+            out.append(min(out[parent], WITHIN * value / importance[article]))
+    return out
+
+
+def kept_text(texts: list[str], weights: list[float], at: list[int], branch: list[float], low: float = LOW) -> str:
+    return " ".join(t for t, w, n in zip(texts, weights, at, strict=True) if w * branch[n] >= low - 1e-6)
+
+
+def main_text(page: str | None, scores: Mapping[int, float] | None = None, low: float = LOW, host: str = "") -> str:
+    """The main text of one page, with the importances of nodes (UNKNOWN where none is given)."""
+    p = parse(page or "", host, low)
+    return kept_text(p.texts, p.weights, p.at, branches([(scores or {}).get(i, UNKNOWN) for i in p.ids], p.parents, p.articles, low), low)
 
 
 def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html", low: float = LOW, max_nodes: int = MAX_BROADCAST_NODES) -> DataFrame:
     """key, url, text for every row of `pages`."""
-    # no block that the least weight can keep is sunk by more than this
-    most = low / min(w for w in (1.0, OUTSIDE, NAMED, NAMED * OUTSIDE, UNWANTED, UNWANTED * OUTSIDE, low) if w >= low) if low > 0 else 0.0
-    poor = style_tree(observations(pages, url, html, low)).filter(F.col("importance") < most).select("host", "path", "importance")
-    rows = poor.limit(max_nodes + 1).collect()
-    kinds = f"{key} {pages.schema[key].dataType.simpleString()}, {url} string, text string"
-
-    if len(rows) <= max_nodes:
-        by_host: dict[str, dict[str, float]] = {}
-        for host, path, importance in rows:
-            by_host.setdefault(host, {})[path] = importance
-        shared = pages.sparkSession.sparkContext.broadcast(by_host)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = [main_text(h, shared.value.get(host_of(u)), low) for u, h in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [key, url, "text"])
-
-        return pages.select(key, url, html).mapInArrow(run, kinds)
-
-    # one list for a host, as long as the host's templates have such nodes
-    lists = poor.groupBy("host").agg(F.collect_list(F.struct("path", "importance")).alias("_low"))
-    host = F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
-    joined = pages.select(key, url, html, host.alias("host")).join(lists, "host", "left").select(key, url, html, "_low")
-
-    def run_joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = pages.sparkSession
+    base = f"{shared_dir(spark)}/site-tree-{uuid.uuid4().hex}"
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.option("compression", "zstd").parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    rows = put("parsed", parsed(pages, key, url, html, low).withColumn("row", F.monotonically_increasing_id()))
+    tree = put("tree", style_tree(observations(rows)))
+    found = tree.agg(F.count(F.lit(1)), F.sum("pages")).first()
+    # nodes with more than one part in max_nodes of all rows: fewer than max_nodes
+    many = tree if found[0] <= max_nodes else tree.filter(F.col("pages") * max_nodes > found[1])
+    table = many.select("node", F.col("importance").cast("float")).toArrow()
+    order = np.argsort(table["node"].to_numpy())
+    shared = spark.sparkContext.broadcast((table["node"].to_numpy()[order], table["importance"].to_numpy()[order]))
+    columns = ["page", "url", "texts", "weights", "at", "ids", "parents", "articles"]
+    if found[0] > max_nodes:
+        few = tree.filter(F.col("pages") * max_nodes <= found[1]).select("node", F.col("importance").cast("float").alias("importance"))
+        own = rows.select("row", F.explode("ids").alias("node")).join(few, "node").groupBy("row").agg(F.collect_list(F.struct("node", "importance")).alias("more"))
+        rows = rows.select("row", *columns).join(own, "row", "left").select(*columns, "more")
+    else:
+        rows = rows.select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nodes, values = shared.value
         for batch in batches:
-            texts = [main_text(h, {x["path"]: x["importance"] for x in p or ()}, low) for h, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            lists = batch.column(5)
+            ids = np.asarray(lists.flatten())
+            importance = np.full(len(ids), UNKNOWN)
+            if len(nodes):
+                place = np.minimum(np.searchsorted(nodes, ids), len(nodes) - 1)
+                importance = np.where(nodes[place] == ids, values[place], UNKNOWN)
+            ends = np.cumsum([0, *np.asarray(lists.value_lengths().fill_null(0))]).tolist()
+            texts = []
+            more = batch.column(8) if batch.num_columns > 8 else None
+            for i in range(batch.num_rows):
+                own = importance[ends[i] : ends[i + 1]].tolist()
+                if more is not None and more[i].is_valid:
+                    by_node = {x["node"]: x["importance"] for x in more[i].as_py()}
+                    own = [by_node.get(n, v) for n, v in zip(lists[i].as_py(), own, strict=True)]
+                text, weights, at, parents, articles = (batch.column(c)[i].as_py() for c in (2, 3, 4, 6, 7))
+                texts.append(kept_text(text, weights, at, branches(own, parents, articles, low), low))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], [key, url, "text"])
 
-    return joined.mapInArrow(run_joined, kinds)
+    return rows.mapInArrow(run, f"`{key}` {pages.schema[key].dataType.simpleString()}, `{url}` string, text string")

@@ -1,6 +1,9 @@
 from __future__ import annotations
 
+import collections
 import math
+import random
+import time
 
 import pytest
 
@@ -38,11 +41,108 @@ def test_repeated_branches_go(spark, max_nodes):
     assert got[99].startswith("Same words")  # one page tells nothing about its site
 
 
-def test_importance_is_normal_entropy(spark):
-    seen = [("h", "/p", 1, c) for c in (1, 1, 1, 2, 3)] + [("h", "/q", 1, 7)] * 5
-    tree = {r["path"]: r["importance"] for r in T.style_tree(spark.createDataFrame(seen, "host string, path string, layout long, content long")).collect()}
+def test_importance_is_half_layout_and_half_content(spark):
+    seen = [(1, 1, c) for c in (1, 1, 1, 2, 3)] + [(2, 1, 7)] * 5 + [(3, c, c) for c in range(4)] + [(4, 1, 1)] * 2
+    tree = {r["node"]: (r["pages"], r["importance"]) for r in T.style_tree(spark.createDataFrame(seen, "node long, layout long, content long")).collect()}
     want = (math.log(5) - 3 * math.log(3) / 5) / math.log(5)
-    assert tree["/p"] == pytest.approx(want) and tree["/q"] == 0
+    assert tree == {1: (5, pytest.approx(want / 2)), 2: (5, 0), 3: (4, 1)}
+
+
+def grown(r: random.Random, words: list[str], depth: int = 0) -> list:
+    """A random element: [tag and class, parts], a part being a text or an element."""
+    tag = r.choice(["div", "section", "article", "span"] if depth < 3 else ["h2", "span"])
+    parts: list = []
+    for _ in range(r.randint(1, 3)):
+        if depth < 4 and r.random() < 0.6:
+            parts.append(grown(r, words, depth + 1))
+        elif not parts or not isinstance(parts[-1], str):  # neighbouring texts would be one
+            parts.append(" ".join(r.choice(words) for _ in range(r.randint(1, 3))))
+    return [tag, r.choice(["", "a", "b", "ad", "side", "comments"]), parts]
+
+
+def spelled(e) -> str:
+    return e if isinstance(e, str) else f'<{e[0]}{f" class={e[1]}" if e[1] else ""}>{"".join(map(spelled, e[2]))}</{e[0]}>'
+
+
+def brute_site(pages: list[list]) -> list[str]:
+    """Texts of the pages of one host by whole paths, lists and counters."""
+    prior = {"ad": T.UNWANTED, "side": T.NAMED, "comments": T.REMARKS}
+    seen: dict[tuple, list] = {}
+    all_blocks = []
+    for page in pages:
+        nodes: dict[tuple, tuple[list, list]] = {}
+        blocks: list[list] = []  # path, weight, article path, texts
+        fresh = [True]
+
+        def visit(e, path, weight, article):
+            path = (*path, (e[0], e[1]))
+            if article is None and e[0] == "article":
+                article, weight = path, 1.0
+            elif e[0] != "article" or article is None or path != article:
+                weight = min(weight, 1.0 if e[0] == "article" else prior.get(e[1], 1.0))
+            block = e[0] != "span"
+            if block:
+                fresh[0] = True
+            mine = []
+            for part in e[2]:
+                if isinstance(part, str):
+                    mine.append(part)
+                    if fresh[0] or (blocks[-1][1], blocks[-1][2]) != (weight, article):
+                        blocks.append([path, weight, article, []])
+                        fresh[0] = False
+                    blocks[-1][3].append(part)
+                else:
+                    mine.append(visit(part, path, weight, article))
+            if block:
+                fresh[0] = True
+            layout, content = nodes.setdefault(path, ([], []))
+            layout.append(tuple("#" if isinstance(p, str) else (p[0], p[1]) for p in e[2]))
+            content.append(mine)
+            return mine
+
+        root = ["", "", page]
+        visit(root, (), 1.0, None)
+        all_blocks.append(blocks)
+        for path, (layout, content) in nodes.items():
+            seen.setdefault(path, []).append((repr(layout), repr(content)))
+
+    def entropy(values):
+        n = len(values)
+        return -sum(c / n * math.log(c / n) for c in collections.Counter(values).values()) / math.log(n)
+
+    importance = {p: (entropy([v[0] for v in vs]) + entropy([v[1] for v in vs])) / 2 for p, vs in seen.items() if len(vs) >= T.MIN_PAGES}
+    out = []
+    for blocks in all_blocks:
+        outside = T.OUTSIDE if any(article and weight >= T.LOW for _, weight, article, _ in blocks) else 1.0
+        kept = []
+        for path, weight, article, texts in blocks:
+            above = [path[:i] for i in range(1, len(path) + 1)]
+            if article is None:
+                branch = min(importance.get(p, T.UNKNOWN) for p in above) * outside
+            else:
+                own = importance.get(article, T.UNKNOWN)
+                branch = T.WITHIN * min([1.0, *(importance.get(p, T.UNKNOWN) / own for p in above if len(p) > len(article) and own >= T.LOW)])
+            if weight * branch >= T.LOW - 1e-6:
+                kept.append("".join(texts))
+        out.append(" ".join(kept))
+    return out
+
+
+@pytest.mark.parametrize("max_nodes", [1000, 5, 0])
+def test_against_a_tree_of_whole_paths(spark, max_nodes):
+    r = random.Random(11)
+    rows, want = [], {}
+    for site in range(8):
+        template = [grown(r, ["same", "menu"]), grown(r, ["fixed"])]
+        pages = [[*(template[:1] if r.random() < 0.9 else []), *(grown(r, [f"w{i}" for i in range(r.choice([2, 400]))]) for _ in range(r.randint(1, 3))), *template[1:]] for _ in range(r.choice([1, 2, 3, 12, 25]))]
+        pages += pages[:2]
+        for i, text in enumerate(brute_site(pages)):
+            rows.append((len(rows), f"http://h{site}.example/{i}", "".join(map(spelled, pages[i]))))
+            want[len(rows) - 1] = text
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    got = {x["page_id"]: x["text"] for x in T.extract(df, max_nodes=max_nodes).collect()}
+    assert got == want
+    assert sum(bool(t) for t in want.values()) > 10 and any(len(t) < len(h) / 3 for t, (_, _, h) in zip(want.values(), rows, strict=True))
 
 
 def test_pages_of_the_given_table(spark, sf):
@@ -69,7 +169,7 @@ def test_entropy_decides_inside_and_outside_articles(spark, max_nodes):
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r["page_id"]: r["text"] for r in T.extract(pages, max_nodes=max_nodes).collect()}
     for i in range(8):
-        assert got[i] == f"body {words[i]} {i} card {words[i]} {i} note {i}"
+        assert got[i] == f"body {words[i]} {i} card {words[i]} {i}"
         assert got[100 + i] == f"head {i} text {words[i]} {i}"
     assert all(got[200 + i] == "head 0 text alpha 0 Sign up here" for i in range(4))  # copies tell nothing about a template
 
@@ -87,3 +187,27 @@ def test_entropy_decides_inside_and_outside_articles(spark, max_nodes):
 )
 def test_names_only_lower_the_weight(page, text):
     assert T.main_text(page) == text
+
+
+@pytest.mark.parametrize("page", ['<a x="' * 170_000, "<div>" * 100_000 + "deep", "<b><div>" + "<i>" * 100_000 + "x" + "</b>" * 100_000, "<p>" * 200_000 + "</div>" * 100_000, "<!-- " * 200_000, "<a b='" * 100_000 + "<table><tr><td>" * 30_000, "word " * 400_000])
+def test_time_grows_with_the_page(page):
+    began = time.perf_counter()
+    T.main_text(page)
+    assert time.perf_counter() - began < 10
+
+
+def test_the_tree_sees_all_nodes_and_decides(spark, sf):
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    rows = T.parsed(pages)
+    assert T.observations(rows).count() > 5 * pages.count()
+    # a form that wraps changing pages is no form to drop; one that is the same on each page is
+    wrap = lambda i: f"<form id=page>{f'<p>line {i}' * (i + 1)}</form><form id=find>Search <b>here</b></form>"
+    df = spark.createDataFrame([(i, "http://f.example/", wrap(i)) for i in range(12)] + [(20, "http://f.example/", None), (21, None, "")], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in T.extract(df).collect()}
+    assert all(got[i] == " ".join([f"line {i}"] * (i + 1)) for i in range(12)) and got[20] == got[21] == ""
+
+
+def test_repeated_rows_extra_columns_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "http://r.example", "<p>a", 5)] * 2 + [(None, "http://r.example", "<p>b", 6)], "page_id long, url string, html string, text int")
+    assert sorted((r["page_id"] or 0, r["text"]) for r in T.extract(df).collect()) == [(0, "b"), (1, "a"), (1, "a")]
+    assert T.extract(df.limit(0)).count() == 0
