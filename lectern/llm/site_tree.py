@@ -1,7 +1,7 @@
 """Main text of pages by a site style tree.
 
 The DOMs of all pages of a host are merged by element path (tag with class, id and role; digits in these count alike). Every merged node
-gets an importance from 0 to 1: half of it from its presentation, the entropy of the child layouts seen under it, half from its content,
+gets an importance from 0 to 1: half of it from its presentation, the entropy of the layouts seen under it, half from its content,
 the entropy of the texts seen in it. A node that looks and reads the same on page after page has none; one with a fixed layout and changing
 texts, such as a menu, an advert or a footer, has about half. A node seen on fewer than MIN_PAGES pages counts as UNKNOWN.
 
@@ -168,6 +168,7 @@ def parse(page: str, host: str = "", low: float = LOW) -> Parsed:
             layouts[node] = (layouts[node] * _STEP + gone.layout) & _MASK
             contents[node] = (contents[node] * _STEP + gone.content) & _MASK
             stack[-1].content = (stack[-1].content * _STEP + gone.content) & _MASK
+            stack[-1].layout = (stack[-1].layout * _STEP + gone.layout) & _MASK
         return gone
 
     def close(name: str) -> None:

@@ -83,22 +83,25 @@ def brute_site(pages: list[list]) -> list[str]:
             block = e[0] != "span"
             if block:
                 fresh[0] = True
-            mine = []
+            mine, look = [], []
             for part in e[2]:
                 if isinstance(part, str):
                     mine.append(part)
+                    look.append("#")
                     if fresh[0] or (blocks[-1][1], blocks[-1][2]) != (weight, article):
                         blocks.append([path, weight, article, []])
                         fresh[0] = False
                     blocks[-1][3].append(part)
                 else:
-                    mine.append(visit(part, path, weight, article))
+                    inner = visit(part, path, weight, article)
+                    mine.append(inner[0])
+                    look.append((part[0], part[1], inner[1]))
             if block:
                 fresh[0] = True
             layout, content = nodes.setdefault(path, ([], []))
-            layout.append(tuple("#" if isinstance(p, str) else (p[0], p[1]) for p in e[2]))
+            layout.append(look)
             content.append(mine)
-            return mine
+            return mine, look
 
         root = ["", "", page]
         visit(root, (), 1.0, None)
