@@ -2,11 +2,12 @@
 
 Counting rules reject very short and self-repeating documents. Of the others, a linear-chain conditional random
 field labels every line as content or boilerplate by Viterbi decoding, and the share of words in
-content lines decides. The field is fitted on a bounded sample of labelled documents, whose lines all take the label of
-their document; without usable labels the stated DEFAULT weights hold.
+content lines decides. The field is fitted on a bounded sample of labelled documents; their labels are only a weak hint at those of
+their lines, see `fit`. Without labels of both kinds the stated DEFAULT weights hold.
 
-Defined results: null and empty texts have no words and fail the base rule; repeated rows are treated alike;
-lines without a word carry no label. Texts are read whole; memory is bounded by a chunk of texts, or by one longer text.
+Defined results: null and empty texts have no words and fail the base rule; repeated rows are treated alike; on equal scores of two paths a line
+is content; lines without a word carry no label; an empty table gives no rows; other columns are kept, except those with the name of a result.
+Texts are read whole; memory is bounded by a chunk of texts, or by one longer text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from lectern.llm.samples import labelled_sample
 from lectern.llm.textwords import SPACED, chunks, mixed, string_bytes, words_of
@@ -25,6 +26,9 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 REPEAT_WINDOW = 5
 MIN_CONTENT_SHARE = 0.5
+#: Bound of the fit, documents of each label, and what the label of a document adds to the log odds of its lines there.
+MAX_DOCS = 1000
+WEAK = 0.7
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 RESULTS = [*COUNTS, "base_failed", "content_share", "kept"]
 
@@ -139,56 +143,85 @@ def measure(buf: np.ndarray, offs: np.ndarray) -> Measured:
     return Measured(words.counts, per_text(in_words), per_text(symbols), dup, repeated[words.first[1:]] - repeated[words.first[:-1]], features, w1 - w0, line_first)
 
 
-def fit(sample: list[tuple[str, int]], rounds: int = 200, rate: float = 0.1, penalty: float = 1e-3, length: int = 64) -> LineModel:
-    """Maximum likelihood by forward-backward and Adam. Long texts give several sequences of `length` lines."""
-    if len({y for _, y in sample}) < 2:
+def _expected(score: np.ndarray, move: np.ndarray, real: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward over padded rows: the share of content of each line, and of each pair of states from a line to the next."""
+    rows, steps, _ = score.shape
+    score = np.where(real[..., None], score, 0)
+    alpha, beta = np.zeros_like(score), np.zeros_like(score)
+    alpha[:, 0] = score[:, 0]
+    for k in range(1, steps):
+        nxt = np.logaddexp(alpha[:, k - 1, :1] + move[0], alpha[:, k - 1, 1:] + move[1]) + score[:, k]
+        alpha[:, k] = np.where(real[:, k, None], nxt, alpha[:, k - 1])
+    for k in range(steps - 2, -1, -1):
+        after = score[:, k + 1] + beta[:, k + 1]
+        nxt = np.logaddexp(move[:, 0][None] + after[:, :1], move[:, 1][None] + after[:, 1:])
+        beta[:, k] = np.where(real[:, k + 1, None], nxt, 0)
+    z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
+    content = np.where(real, np.exp(alpha[..., 1] + beta[..., 1] - z[:, None]), 0)
+    pairs = np.exp(alpha[:, :-1, :, None] + move[None, None] + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * real[:, 1:, None, None]
+    return content, pairs
+
+
+def fit(lines: list[tuple[np.ndarray, int]], rounds: int = 3, steps: int = 60, rate: float = 0.1, penalty: float = 1e-3, length: int = 32) -> LineModel:
+    """The field from documents whose quality is known, but not that of their lines.
+
+    `lines`: (features of the lines of a document, its label). Expectation maximisation with the label as a weak constraint: the first round
+    takes every line to be as its document and fits single lines only; each further round finds by
+    forward-backward how far each line and each pair of neighbours is content under the field so far, with WEAK added to the log odds of lines of good documents and taken from
+    those of bad ones, and fits the field to that. Long documents give several sequences of `length` lines.
+    """
+    lines = [(x, y) for x, y in lines if len(x)]
+    if len({y for _, y in lines}) < 2:
         return LineModel(DEFAULT_EMIT, DEFAULT_MOVE)
-    m = measure(*string_bytes(pa.array([t for t, _ in sample], pa.large_string())))
-    pieces = [(a, min(a + length, b), y) for (a, b), (_, y) in zip(zip(m.first_line[:-1], m.first_line[1:], strict=True), sample, strict=True) for a in range(a, b, length)]
-    rows, steps = len(pieces), max((b - a for a, b, _ in pieces), default=0)
-    if not steps:
-        return LineModel(DEFAULT_EMIT, DEFAULT_MOVE)
-    x, real, y = np.zeros((rows, steps, len(FEATURES))), np.zeros((rows, steps), bool), np.zeros(rows, int)
-    for i, (a, b, label) in enumerate(pieces):
-        x[i, : b - a], real[i, : b - a], y[i] = m.features[a:b], True, label
+    pieces = [(x[a : a + length], y) for x, y in lines for a in range(0, len(x), length)]
+    pieces.sort(key=lambda p: -len(p[0]))
+    rows, most = len(pieces), len(pieces[0][0])
+    x, real, y = np.zeros((rows, most, len(FEATURES)), np.float32), np.zeros((rows, most), bool), np.array([p[1] for p in pieces])
+    for i, (part, _) in enumerate(pieces):
+        x[i, : len(part)], real[i, : len(part)] = part, True
     # both labels weigh the same in all
     weight = np.where(y == 1, 0.5 / max(1, real[y == 1].sum()), 0.5 / max(1, real[y == 0].sum()))
     scale = np.maximum(x[real].std(0), 1e-6)
     scale[0] = 1
     x /= scale
+    flat, owner = x[real].astype(float), np.nonzero(real)[0]
     theta = np.zeros(len(FEATURES) + 4)
-    m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
-    pairs = real[:, 1:]
-    for t in range(1, rounds + 1):
-        emit, move = theta[:-4], theta[-4:].reshape(2, 2)
-        score = np.stack([np.zeros((rows, steps)), x @ emit], 2)
-        score[~real] = 0
-        alpha = np.zeros((rows, steps, 2))
-        alpha[:, 0] = score[:, 0]
-        for k in range(1, steps):
-            nxt = np.logaddexp(alpha[:, k - 1, :1] + move[0], alpha[:, k - 1, 1:] + move[1]) + score[:, k]
-            alpha[:, k] = np.where(real[:, k, None], nxt, alpha[:, k - 1])
-        beta = np.zeros((rows, steps, 2))
-        for k in range(steps - 2, -1, -1):
-            after = score[:, k + 1] + beta[:, k + 1]
-            nxt = np.logaddexp(move[:, 0][None] + after[:, :1], move[:, 1][None] + after[:, 1:])
-            beta[:, k] = np.where(real[:, k + 1, None], nxt, 0)
-        z = np.logaddexp(alpha[:, -1, 0], alpha[:, -1, 1])
-        p1 = np.where(real, np.exp(alpha[..., 1] + beta[..., 1] - z[:, None]), 0)
-        grad = np.zeros_like(theta)
-        grad[:-4] = np.einsum("r,rs,rsf->f", weight, (y[:, None] - p1) * real, x)
-        joint = np.exp(alpha[:, :-1, :, None] + move[None, None] + (score[:, 1:] + beta[:, 1:])[:, :, None, :] - z[:, None, None, None]) * pairs[..., None, None]
-        seen = np.zeros((rows, 2, 2))
-        seen[np.arange(rows), y, y] = pairs.sum(1)
-        grad[-4:] = np.einsum("r,rij->ij", weight, seen - joint.sum(1)).ravel()
-        grad -= penalty * theta
-        m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        theta = theta + rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+    hint = np.where(y == 1, WEAK, -WEAK)[:, None]
+    for turn in range(rounds):
+        scores = lambda: np.stack([np.zeros((rows, most)), x @ theta[:-4].astype(np.float32)], 2)
+        if turn:
+            hinted = scores()
+            hinted[..., 1] += hint
+            want, pairs = _expected(hinted, theta[-4:].reshape(2, 2), real)
+            want_pairs = np.einsum("r,rsij->ij", weight, pairs)
+        else:
+            want = np.broadcast_to(y[:, None], real.shape) * real
+        m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
+        for t in range(1, steps + 1):
+            grad = np.zeros_like(theta)
+            if turn:
+                share, found = _expected(scores(), theta[-4:].reshape(2, 2), real)
+                grad[-4:] = (want_pairs - np.einsum("r,rsij->ij", weight, found)).ravel()
+            else:
+                share = real / (1 + np.exp(-np.clip(x @ theta[:-4].astype(np.float32), -30, 30)))
+            grad[:-4] = ((want - share)[real] * weight[owner]) @ flat
+            grad -= penalty * theta
+            m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
+            theta = theta + rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
     return LineModel(theta[:-4] / scale, theta[-4:].reshape(2, 2))
 
 
-def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = 1000) -> LineModel:
-    return fit(labelled_sample(docs, labels, "quality", key, text, max_docs))
+def fit_on(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", max_docs: int = MAX_DOCS, allowed: Column | None = None) -> LineModel:
+    """Fitted on at most `max_docs` documents of each label; their lines are measured in tasks and only features are collected."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offs in chunks(batches, text):
+            m = measure(buf, offs)
+            ends = pa.array((m.first_line * len(FEATURES)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(ends, pa.array(m.features.ravel().astype(np.float32)))], ["_n", "_label", "_lines"])
+
+    sample = labelled_sample(docs, labels, "quality", key, text, max_docs, allowed).mapInArrow(run, "_n int, _label int, _lines array<float>").toArrow().sort_by([("_label", "ascending"), ("_n", "ascending")])
+    return fit([(np.asarray(v.values).reshape(-1, len(FEATURES)), y) for v, y in zip(sample["_lines"], sample["_label"].to_pylist(), strict=True)])
 
 
 def judge(docs: DataFrame, model: LineModel, key: str = "doc_id", text: str = "text", min_share: float = MIN_CONTENT_SHARE, with_text: bool = False) -> DataFrame:

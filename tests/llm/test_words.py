@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import random
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, quality_rules
+from lectern.llm.textwords import string_bytes
 from tests.llm import brute
 
 
@@ -47,14 +50,55 @@ def test_viterbi_is_the_best_path():
         assert score(tuple(m.labels(x, np.array([0, 6])).tolist())) == pytest.approx(score(best))
 
 
-def test_fitted_model_keeps_good_documents(spark, sf):
+@pytest.fixture(scope="module")
+def fitted(spark):
+    """A model fitted without the held-out fifth, and that fifth judged, with labels."""
+    sf = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
-    model = quality_rules.fit_on(docs, labels)
-    rows = quality_rules.judge(docs, model).join(labels, "doc_id").filter("n_words >= 10").select("quality", "kept").collect()
-    good = [r for r in rows if r["quality"] == 1]
-    bad = [r for r in rows if r["quality"] == 0]
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    model = quality_rules.fit_on(docs, labels, allowed=~held)
+    return model, quality_rules.judge(docs.filter(held), model).join(labels, "doc_id").filter("not base_failed").collect()
+
+
+def test_held_out_documents(fitted):
+    good, bad = ([r for r in fitted[1] if r["quality"] == q] for q in (1, 0))
+    assert len(good) > 30 and len(bad) > 3
     assert sum(r["kept"] for r in good) >= 0.97 * len(good)
     assert sum(r["kept"] for r in bad) <= 0.2 * len(bad)
+    assert any(0 < r["content_share"] < 1 for r in bad)
+
+
+def test_lines_are_labelled_one_by_one(spark, fitted, sf):
+    import numpy as np
+
+    model = fitted[0]
+    prose = "The house on the hill was built by a man from the north, and his sons still live there with their wives."
+    menu = " | ".join(["home", "news", "about", "login", "help", "terms", "shop", "cart"])
+    shout = "BUY!! NOW!! CHEAP!! FREE!! BUY!! NOW!! CHEAP!! FREE!! BUY!! NOW!!"
+    rows = [(1, "\n".join([prose + " " + w for w in "one two three four".split()] + [menu + " " + w for w in "one two three four".split()])), (2, "\n".join([shout, prose + " a", prose + " b"])), (3, "\n".join([menu, prose, menu + " x"])), (4, prose)]
+    got = {r["doc_id"]: r["content_share"] for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    # four lines of 22 words of prose, four of 17 with bars (8 words, 8 bars, one more)
+    assert got[1] == pytest.approx(4 * 22 / (4 * 22 + 4 * 16), abs=0.02) and 0 < got[2] < 1 and 0 < got[3] < 1 and got[4] == 1
+    x = quality_rules.measure(*string_bytes(pa.array([rows[0][1]]))).features
+    assert model.labels(x, np.array([0, len(x)])).tolist() == [1] * 4 + [0] * 4
+
+
+def test_expected_shares_by_all_paths():
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    score, move, real = r.normal(size=(2, 5, 2)), r.normal(size=(2, 2)), np.array([[True] * 5, [True] * 3 + [False] * 2])
+    content, pairs = quality_rules._expected(score, move, real)
+    for row, n in ((0, 5), (1, 3)):
+        weights = {p: np.exp(sum(score[row, i, s] for i, s in enumerate(p)) + sum(move[a, b] for a, b in itertools.pairwise(p))) for p in itertools.product((0, 1), repeat=n)}
+        total = sum(weights.values())
+        for i in range(n):
+            assert content[row, i] == pytest.approx(sum(w for p, w in weights.items() if p[i]) / total)
+        for i, a, b in itertools.product(range(n - 1), (0, 1), (0, 1)):
+            assert pairs[row, i, a, b] == pytest.approx(sum(w for p, w in weights.items() if p[i : i + 2] == (a, b)) / total)
+        assert not content[row, n:].any() and not pairs[row, n - 1 :].any()
 
 
 def test_empty_tables_give_the_default_model(spark):
