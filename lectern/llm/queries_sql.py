@@ -40,7 +40,7 @@ scored AS (
 ),
 high AS (
   SELECT doc_id, i, "start" + j AS s, CASE WHEN lag(j) OVER (PARTITION BY doc_id, i ORDER BY j) >= j - {S.WINDOW} THEN 0 ELSE 1 END AS fresh
-  FROM scored WHERE digits >= 2 AND letters >= 1 AND total <= CASE WHEN hexes THEN {S.most_weight(S.WINDOW, S.MIN_BITS["hex"])} ELSE {S.most_weight(S.WINDOW, S.MIN_BITS["mixed"])} END
+  FROM scored WHERE NOT regexp_matches(w, '{S.PLACEHOLDER}') AND digits >= 2 AND letters >= 1 AND total <= CASE WHEN hexes THEN {S.most_weight(S.WINDOW, S.MIN_BITS["hex"])} ELSE {S.most_weight(S.WINDOW, S.MIN_BITS["mixed"])} END
 ),
 runs AS (SELECT doc_id, i, s, sum(fresh) OVER (PARTITION BY doc_id, i ORDER BY s) AS run FROM high),
 extra AS (SELECT doc_id, min(s) AS "start", max(s) + {S.WINDOW} AS "end", 3 AS ord, 'entropy' AS kind FROM runs GROUP BY doc_id, i, run),

@@ -6,8 +6,8 @@ sum(c * log2 c) over its character counts, in integer millionths of a bit, and u
 the character that enters and the one that leaves, so a candidate costs one pass.
 
 Defined results: a null text counts as empty; empty texts, texts without spans and empty tables give
-zero counts and empty strings; repeated rows give repeated results; every extra column is
-ignored by `scan_columns` and kept by `redact`. Everything is row-local, so no key can be hot.
+zero counts and empty strings; repeated rows give repeated results; of spans that begin at the same place the kind listed first comes
+first; extra columns are kept, but `scan` replaces columns named like its results. Everything is row-local, so no key can be hot.
 """
 
 from __future__ import annotations
@@ -32,9 +32,9 @@ ASSIGN_VALUE_MIN = 8
 WINDOW = 24
 CANDIDATE = r"[A-Za-z0-9+/_=-]{24,}"
 MIN_BITS = {"hex": 3.0, "mixed": 3.9}
-#: Candidates that match one of these are never reported by the entropy scan.
+#: Candidates that are wholly of one of these forms are never reported by the entropy scan, nor do windows count that hold a placeholder.
+PLACEHOLDER = r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh"
 ALLOW_LIST = (
-    r"(?i)example|sample|dummy|placeholder|changeme|xxxx|0123456789|abcdefgh",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[A-Za-z]+(?:[-_/][A-Za-z]+)*[-_/]?[0-9]{0,4}$",
 )
@@ -98,8 +98,8 @@ def located(text: Column, pattern: str) -> Column:
     return F.when(text.rlike(pattern), let(both, lambda b: let(pieces(b), placed))).otherwise(none)
 
 
-def _runs(hit: Column, window: int, bits: dict[str, float]) -> Column:
-    """Stretches of a candidate covered by windows of high entropy: array<struct<start,end>>."""
+def _runs(hit: Column, window: int, bits: dict[str, float], placeholder: str) -> Column:
+    """Stretches of a candidate covered by windows of high entropy without a placeholder: array<struct<start,end>>."""
     weights = F.array(*[F.lit(w) for w in weight_table(window)])
     codes = F.transform(F.split(hit, "", -1), lambda c: F.ascii(c))
     codes = F.filter(codes, lambda c: c > 0)
@@ -122,7 +122,8 @@ def _runs(hit: Column, window: int, bits: dict[str, float]) -> Column:
         last = F.get(a["runs"], F.size(a["runs"]) - 1)
         joined = F.concat(F.slice(a["runs"], 1, F.size(a["runs"]) - 1), F.array(F.struct(last["start"].alias("start"), end.alias("end"))))
         begun = F.concat(a["runs"], F.array(F.struct(begin.alias("start"), end.alias("end"))))
-        runs = F.when(full & high, F.when((F.size(a["runs"]) > 0) & (last["end"] >= begin), joined).otherwise(begun)).otherwise(a["runs"])
+        # looked for in windows of high entropy only
+        runs = F.when(full & high & ~F.substring(hit, begin + 1, F.lit(window)).rlike(placeholder), F.when((F.size(a["runs"]) > 0) & (last["end"] >= begin), joined).otherwise(begun)).otherwise(a["runs"])
         return F.struct(moved.alias("counts"), total.alias("total"), digits.alias("digits"), hexes.alias("hexes"), letters.alias("letters"), runs.alias("runs"))
 
     zero = F.lit(0)
@@ -133,8 +134,8 @@ def _runs(hit: Column, window: int, bits: dict[str, float]) -> Column:
     )
 
 
-def entropy_spans(text: Column, window: int = WINDOW, bits: dict[str, float] | None = None, allow: tuple[str, ...] = ALLOW_LIST) -> Column:
-    """Spans of high sliding-window entropy in candidates off the allow-list."""
+def entropy_spans(text: Column, window: int = WINDOW, bits: dict[str, float] | None = None, allow: tuple[str, ...] = ALLOW_LIST, placeholder: str = PLACEHOLDER) -> Column:
+    """Spans of high sliding-window entropy off the allow-list; a placeholder hides the windows that hold it, not the rest of the candidate."""
 
     def wanted(x: Column) -> Column:
         ok = x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")
@@ -145,7 +146,7 @@ def entropy_spans(text: Column, window: int = WINDOW, bits: dict[str, float] | N
     spans = F.flatten(
         F.transform(
             F.filter(located(text, CANDIDATE), wanted),
-            lambda x: F.transform(_runs(x["hit"], window, bits or MIN_BITS), lambda r: F.struct((x["start"] + r["start"]).alias("start"), F.lit(3).alias("ord"), (x["start"] + r["end"]).alias("end"), F.lit("entropy").alias("kind"))),
+            lambda x: F.transform(_runs(x["hit"], window, bits or MIN_BITS, placeholder), lambda r: F.struct((x["start"] + r["start"]).alias("start"), F.lit(3).alias("ord"), (x["start"] + r["end"]).alias("end"), F.lit("entropy").alias("kind"))),
         )
     )
     return spans.cast(_SPAN)
@@ -167,8 +168,7 @@ def base_spans(text: Column) -> Column:
 def scan(df: DataFrame, text: str = "text", allow: tuple[str, ...] = ALLOW_LIST) -> DataFrame:
     """`df` with `secret_base` and `secret_spans`, arrays of struct<start,ord,end,kind> sorted by start and kind."""
     t = F.coalesce(F.col(text), F.lit(""))
-    df = df.withColumn("secret_base", base_spans(t)).withColumn("secret_extra", entropy_spans(t, allow=allow))
-    return df.withColumn("secret_spans", F.array_sort(F.concat("secret_base", "secret_extra"))).drop("secret_extra")
+    return df.withColumn("secret_base", base_spans(t)).withColumn("secret_spans", F.array_sort(F.concat("secret_base", entropy_spans(t, allow=allow))))
 
 
 def as_text(spans: Column) -> Column:
