@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import checkpointed
+
 SHARDS = 40
 ROW_BYTES = 16
 #: Expected rows of a sub-bucket, at most.
@@ -64,6 +66,7 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
     subs = sub_buckets(df.count(), shards, sub_rows)
     k = _key(F.col(key))
     sub = (F.conv(F.substring(F.md5(k), 1, 8), 16, 10).cast("long") % subs).cast("int")
+    # digests are taken once, and rows without their texts written for the counts and the slots
     keyed = df.select(F.col(key), F.col(text), _best(k, weights).alias("_won"), sub.alias("_sub"))
     newer = _best(k, [grown_weight], shards)
     placed = keyed.select(
@@ -74,7 +77,8 @@ def assign(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int =
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         F.least(F.col("_won"), newer)["shard"].alias("grown_shard"),
     )
-    counts = keyed.groupBy(F.col("_won.shard").alias("shard"), "_sub").agg(F.count(F.lit(1)).alias("_n"))
+    placed = checkpointed(placed)
+    counts = placed.groupBy("shard", "_sub").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_sub").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "_sub", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
     within = Window.partitionBy("shard", "_sub").orderBy(key, "text_crc32", "size")
