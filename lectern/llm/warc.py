@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.llm.skew import joined_by_count
 from lectern.session import checkpointed
 
 CHUNK_BYTES = 64 << 10
@@ -46,13 +47,17 @@ def _records(pages: DataFrame, key: str, url: str, payload: str) -> DataFrame:
     base = base.withColumn("_bytes", F.octet_length("_payload").cast("long")).withColumn("_digest", F.sha2("_payload", 256))
     bucket = (F.conv(F.substring("_digest", 1, 8), 16, 10).cast("long") % DIGEST_BUCKETS).cast("int")
     base = base.withColumn("_bucket", bucket)
-    again = base.filter(F.col("_bytes") >= REVISIT_BYTES).groupBy("_digest", "_bytes", "_bucket").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
-    again = again.select("_digest", "_bytes", "_bucket", "_first")
+    # keys and digests alone say which rows are revisits
+    narrow = checkpointed(base.select("_key", "_bytes", "_digest", "_bucket"))
+    again = narrow.filter(F.col("_bytes") >= REVISIT_BYTES).groupBy("_digest", "_bytes", "_bucket").agg(F.min("_key").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    again = checkpointed(again)
     # a table of at most DIGEST_BUCKETS buckets keeps payloads without a copy out of the shuffled join
     wanted = F.broadcast(again.select("_bucket").distinct())
-    alone = base.join(wanted, "_bucket", "left_anti").withColumn("_first", F.lit(None).cast(pages.schema[key].dataType))
-    some = base.join(wanted, "_bucket", "left_semi").join(again.drop("_bucket"), ["_digest", "_bytes"], "left")
-    some = some.withColumn("_first", F.when(~F.col("_first").eqNullSafe(F.col("_key")), F.col("_first")))
+    none = F.lit(None).cast(pages.schema[key].dataType)
+    alone = base.join(wanted, "_bucket", "left_anti").withColumn("_first", none)
+    # the others meet their verdict by key and digest, so that a payload with very many copies is dealt over all tasks
+    revisits = joined_by_count(narrow.select("_key", "_digest"), again.select("_digest", "_first", "_n"), "_digest", "_n").filter("not _first <=> _key").select(F.col("_key").alias("_k"), F.col("_digest").alias("_d"), "_first").distinct()
+    some = base.join(wanted, "_bucket", "left_semi").join(revisits, F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_digest") == F.col("_d")), "left")
     columns = ["_key", "_url", "_payload", "_bytes", "_digest", "_first"]
     return alone.select(*columns).unionByName(some.select(*columns))
 
@@ -68,8 +73,9 @@ def write(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", p
     revisit = F.col("_first").isNotNull()
     body = F.when(revisit, F.lit("").cast("binary")).otherwise(F.col("_payload"))
     n = F.greatest(F.lit(1), F.ceil(F.octet_length(body) / chunk_bytes)).cast("int")
-    cut = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(body, i * chunk_bytes + 1, F.lit(chunk_bytes)))
-    rows = rows.select("*", n.alias("_chunks"), F.posexplode(cut).alias("_no", "_chunk")).drop("_payload")
+    # numbers first, then each row cuts its own chunk
+    rows = rows.withColumn("_chunks", n).withColumn("_no", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
+    rows = rows.withColumn("_chunk", F.substring(body, F.col("_no") * chunk_bytes + 1, F.lit(chunk_bytes))).drop("_payload")
     first, last, many = F.col("_no") == 0, F.col("_no") == F.col("_chunks") - 1, F.col("_chunks") > 1
     one_line = F.regexp_replace(F.coalesce("_url", F.lit("")), r"[\r\n]+", " ")
     header = F.concat_ws(
