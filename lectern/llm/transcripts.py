@@ -15,6 +15,7 @@ empty training table gives uniform scores; columns other than those named are no
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,8 +24,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import shared_dir
+
 ROLES = ("system", "user", "assistant")
 BLOCK_LINES = 2048
+SPAN = 1024
 #: Names that open a line, by what they hint at.
 MARKERS = {
     "system": ("system", "instructions", "context"),
@@ -144,13 +148,20 @@ def borders(matrices: list[np.ndarray]) -> list[int]:
 
 
 def _in_blocks(lines: DataFrame, block_lines: int) -> DataFrame:
-    """`_block` of every line: a range of its leading position, which keeps the order of the lines.
+    """`_block` of every line: its number in the transcript over `block_lines`, so a block has that many lines, whatever the sizes of turns.
 
-    A range takes so many positions that the position with the most lines would fill it to at most `block_lines`.
+    Numbers come from counts: those of ranges of SPAN leading positions, of positions in a range, and of lines at a position.
     """
-    lead = F.element_at("_at", 1)
-    most = lines.groupBy("_key", lead.alias("_lead")).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 1
-    return lines.withColumn("_block", F.floor(lead / max(1, block_lines // int(most))).cast("long"))
+    lines = lines.withColumn("_lead", F.element_at("_at", 1))
+    counts = lines.groupBy("_key", F.floor(F.col("_lead") / SPAN).alias("_range"), "_lead").agg(F.count(F.lit(1)).alias("_n"))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("_key", "_range").agg(F.sum("_n").alias("_n"))
+    ranges = ranges.select("_key", "_range", earlier(Window.partitionBy("_key").orderBy("_range")).alias("_before"))
+    base = counts.withColumn("_in", earlier(Window.partitionBy("_key", "_range").orderBy("_lead"))).join(ranges, ["_key", "_range"])
+    base = base.select("_key", "_lead", (F.col("_before") + F.col("_in")).alias("_base"))
+    at = F.row_number().over(Window.partitionBy("_key", "_lead").orderBy("_at", "_line")) - 1
+    numbered = lines.withColumn("_in", at).join(base, ["_key", "_lead"])
+    return numbered.withColumn("_block", F.floor((F.col("_base") + F.col("_in")) / block_lines).cast("long")).drop("_lead", "_in", "_base")
 
 
 def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[int]]]:
@@ -170,24 +181,29 @@ def _runs(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[i
         yield rest, [0, len(rest)]
 
 
+def _written(df: DataFrame) -> DataFrame:
+    """A table in the shared folder, for what is read more than once."""
+    path = f"{shared_dir(df.sparkSession)}/transcripts-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def parse(lines: DataFrame, model: Model, block_lines: int = BLOCK_LINES) -> DataFrame:
     """_key, _block, _row, _line, role (recovered) and opens (whether a turn begins) for every line of `lines_of`."""
     shared = lines.sparkSession.sparkContext.broadcast(model)
     kind = lines.schema["_key"].dataType.simpleString()
     n = len(ROLES)
     blocks = _in_blocks(lines.select("_key", "_at", "_line"), block_lines)
-    blocks = blocks.withColumn("_obs", observation(F.col("_line"))).withColumn("_mark", marker_kind(F.col("_line")))
-    firsts = blocks.groupBy("_key").agg(F.min("_block").alias("_least"))
+    blocks = _written(blocks.withColumn("_obs", observation(F.col("_line"))).withColumn("_mark", marker_kind(F.col("_line"))))
     sort = ["_key", "_block", "_at", "_line"]
 
     def reduce(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame, starts in _runs(frames):
-            obs, first = frame["_obs"].to_numpy(), (frame["_block"] == frame["_least"]).to_numpy()
+            obs, first = frame["_obs"].to_numpy(), (frame["_block"] == 0).to_numpy()
             heads = frame.iloc[starts[:-1]]
             yield pd.DataFrame({"_key": heads["_key"], "_block": heads["_block"], "_m": [reduced(obs[a:b], shared.value, first[a]).ravel().tolist() for a, b in zip(starts, starts[1:], strict=False)]})
 
-    narrow = blocks.join(firsts, "_key").select("_key", "_block", "_least", "_at", "_line", "_obs")
-    matrices = narrow.repartition("_key", "_block").sortWithinPartitions(*sort).select("_key", "_block", "_least", "_obs").mapInPandas(reduce, f"_key {kind}, _block long, _m array<double>")
+    matrices = blocks.repartition("_key", "_block").sortWithinPartitions(*sort).select("_key", "_block", "_obs").mapInPandas(reduce, f"_key {kind}, _block long, _m array<double>")
 
     def fix(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # one row a transcript; its list has one small matrix a block
@@ -215,7 +231,7 @@ def parse(lines: DataFrame, model: Model, block_lines: int = BLOCK_LINES) -> Dat
             yield pd.DataFrame({"_key": frame["_key"].to_numpy(), "_block": frame["_block"].to_numpy(), "_row": np.concatenate(rows), "_line": frame["_line"].to_numpy(), "role": np.array(ROLES)[states], "opens": opens})
 
     joined = blocks.join(fixed, ["_key", "_block"]).repartition("_key", "_block").sortWithinPartitions(*sort).drop("_at")
-    return joined.mapInPandas(decode, f"_key {kind}, _block long, _row int, _line string, role string, opens boolean")
+    return _written(joined.mapInPandas(decode, f"_key {kind}, _block long, _row int, _line string, role string, opens boolean"))
 
 
 def turns(parsed: DataFrame) -> DataFrame:

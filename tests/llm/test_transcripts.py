@@ -37,7 +37,7 @@ def test_markers(spark):
     assert [C.KINDS[k] for k in got] == ["user", "assistant", "assistant", "system", "user", "none", "none", "assistant", "none", "user"]
 
 
-@pytest.mark.parametrize("block_lines", [1, 4096])
+@pytest.mark.parametrize("block_lines", [1, 7, 4096])
 def test_roles_of_held_out_conversations(spark, sf, block_lines):
     talks = spark.read.parquet(f"{sf}/conversations.parquet")
     lines = C.lines_of(C.as_transcript(talks), "conv_id", ["turn"], "text", "role")
@@ -77,3 +77,36 @@ def test_turns_and_odd_rows(spark):
     assert got[0][3] == "hi\nthere" and got[1][3].startswith("yes")
     none = C.lines_of(df.limit(0), "conv_id", ["turn"], "text", "role")
     assert C.turns(C.parse(none, C.fit(none))).count() == 0
+
+
+def test_blocks_have_a_bounded_number_of_lines(spark):
+    rows = [(1, 0, "user", "User: hi"), (1, 1, "assistant", "\n".join(f"line {i}" for i in range(30_000))), (1, 2, "user", "thanks"), (1, 2, "user", "thanks")]
+    rows += [(k, t, "user", "a\nb") for k in (2, 3) for t in range(3000)]
+    df = spark.createDataFrame(rows, "conv_id int, turn int, role string, text string")
+    lines = C.lines_of(df, "conv_id", ["turn"], "text", "role")
+    got = C._in_blocks(lines, 100).groupBy("_key", "_block").count().collect()
+    assert max(r["count"] for r in got) == 100 and len(got) == 301 + 2 * 60
+    parsed = C.parse(lines, C.fit(lines), 100)
+    assert parsed.count() == 30_003 + 12_000
+    one = [r["_line"] for r in parsed.filter("_key = 1").orderBy("_block", "_row").collect()]
+    assert one == ["User: hi", *(f"line {i}" for i in range(30_000)), "thanks", "thanks"]
+
+
+def test_roles_without_markers(spark, sf):
+    """Unmarked transcripts: roles come from moves and kinds of lines alone, and must beat the commonest role."""
+    talks = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet")
+    plain = C.lines_of(talks, "conv_id", ["turn"], "text", "role")
+    m = C.fit(plain.filter("_key % 5 != 0"))
+    held = plain.filter("_key % 5 = 0")
+    truth = held.select("_key", "_at", "_line", "role").collect()
+    got = {}
+    for r in C.parse(held.drop("role"), m).collect():
+        got.setdefault(r["_key"], []).append((r["_block"], r["_row"], r["role"]))
+    right, roles = 0, {}
+    by_key = {}
+    for r in sorted(truth, key=lambda r: (r["_key"], list(r["_at"]), r["_line"])):
+        by_key.setdefault(r["_key"], []).append(r["role"])
+        roles[r["role"]] = roles.get(r["role"], 0) + 1
+    for key, want in by_key.items():
+        right += sum(w == g[2] for w, g in zip(want, sorted(got[key]), strict=True))
+    assert right >= max(roles.values())
