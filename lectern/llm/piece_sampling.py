@@ -1,8 +1,8 @@
 """Sampled SentencePiece segmentation, by forward filtering and backward sampling, and lossless decoding.
 
 The lattice of a text has an edge for every vocabulary piece that matches and a byte-fallback edge for every
-character. No piece goes across the start of a run of spaces or touches a control character, so the lattice falls into
-units that are filtered on their own: a unit's forward sums are computed once for each distinct unit of a chunk, and every
+character. Where two neighbouring characters of a text are neighbours in no piece, no piece spans them, so the lattice falls into
+units that are filtered on their own, without loss: a unit's forward sums are computed once for each distinct unit of a chunk, and every
 occurrence samples its path backwards. The random number of a step is a hash of seed, row key and character position, so
 a row's segmentation does not depend on partitions, batches or neighbours.
 
@@ -10,15 +10,16 @@ Merge models store ranks, not probabilities: piece weights are taken as 1 / (ran
 meta symbol, and the meta symbol itself is written in bytes, so decoding gives back every text.
 
 Defined results: null and empty texts have no pieces and decode to the empty string; repeated rows with one key are segmented alike;
-a null key counts as the empty string; very long texts are whole units of work and are never cut; other columns are not read.
+a null key counts as the empty string; a draw that equals a bound of shares takes the longer piece; an empty table gives no rows; other columns are kept by
+`encode` and `decode`. Texts are read whole: a unit of any length is filtered in windows, with twelve bytes a character between them.
 """
 
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import mul
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,9 @@ from lectern.llm.textwords import chunks, mixed, powers, string_bytes, words_of
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = 0x2581
 SHIFT, FALLBACK = 2.7, 1e-6
-LONGEST = 16
-WIDE = 48  # longer units take the plain path; beyond this, products could leave the range of doubles
+WIDE = 48  # longer units are filtered in windows; beyond this, products could leave the range of doubles
+WINDOW, RESCALE = 4096, 1e100
+JOINED_BITS = 22
 CELLS = 1 << 20  # of a block's tables: units by positions by lengths of edges
 CHUNK_BYTES = 1 << 20
 _OTHER = 0x110000  # stands for a literal meta symbol; in no piece
@@ -39,6 +41,11 @@ _B = np.uint64(0x9E3779B97F4A7C15)
 BYTES = -2  # marks a byte-fallback edge until it is spelled out
 
 
+def neighbours(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A place in the bitmap of neighbouring characters."""
+    return ((a * 0x9E3779B1 ^ b * 0x85EBCA6B) >> 7) & ((1 << JOINED_BITS) - 1)
+
+
 @dataclass
 class Vocabulary:
     """Weights of pieces, found through hashes of all prefixes of pieces."""
@@ -77,6 +84,11 @@ class Vocabulary:
                 raise ValueError("the tables are too small for this vocabulary")
         for side in (0, 1):
             self.tables[side, list(held[side])] = list(held[side].values())
+        self.longest = max(map(len, self.pieces), default=1)
+        # neighbouring characters of pieces, as a bitmap over their hash: where two neighbours of a text are not in it, no piece spans them
+        self.joined = np.zeros(1 << JOINED_BITS, bool)
+        pairs = {p[i : i + 2] for p in self.pieces for i in range(len(p) - 1)}
+        self.joined[neighbours(np.array([ord(p[0]) for p in pairs], np.int64), np.array([ord(p[1]) for p in pairs], np.int64))] = True
         self.texts = {i: piece.replace("▁", " ").encode() for piece, (i, _) in self.pieces.items()}
         self.texts |= {self.first_byte + b: bytes([b]) for b in range(256)}
         parts = [self.texts.get(i, b"") for i in range(self.size)]
@@ -104,7 +116,7 @@ def load(path: str = MODEL, alpha: float = 1.0) -> Vocabulary:
     first = model.piece_to_id("<0x00>")
     usual = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
     weight = lambda i: (min(-model.get_score(i), float(n)) + SHIFT) ** -alpha
-    return Vocabulary({model.id_to_piece(i): (i, weight(i)) for i in usual if len(model.id_to_piece(i)) <= LONGEST}, first, n)
+    return Vocabulary({model.id_to_piece(i): (i, weight(i)) for i in usual}, first, n)
 
 
 def uniform(seed: int, keys: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -122,11 +134,10 @@ def key_hashes(keys: pa.Array) -> np.ndarray:
     return out
 
 
-def _filtered(codes: np.ndarray, lens: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
-    """For units (rows of `codes`): shares[u, j, l - 1], the running share of paths into j whose last edge has up to l characters,
-    and edges[u, j, l - 1], the piece of that edge."""
+def _lattice(codes: np.ndarray, lens: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """For units (rows of `codes`): weight[u, j, l - 1] and edges[u, j, l - 1] of the piece of l characters that ends before position j, 0 and -1 if there is none."""
     n, width = codes.shape
-    most = min(LONGEST, width)
+    most = min(v.longest, width)
     weight = np.zeros((n, width + 1, most))
     edges = np.full((n, width + 1, most), -1, np.int32)
     unit, at = np.nonzero(np.arange(width)[None] < lens[:, None])
@@ -144,6 +155,14 @@ def _filtered(codes: np.ndarray, lens: np.ndarray, v: Vocabulary) -> tuple[np.nd
         whole = v.ids[place] >= 0
         u, j, p = unit[whole], at[whole] + size, place[whole]
         weight[u, j, size - 1], edges[u, j, size - 1] = v.weights[p], v.ids[p]
+    return weight, edges
+
+
+def _filtered(codes: np.ndarray, lens: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """For units (rows of `codes`): shares[u, j, l - 1], the running share of paths into j whose last edge has up to l characters,
+    and edges[u, j, l - 1], the piece of that edge."""
+    weight, edges = _lattice(codes, lens, v)
+    n, width, most = len(codes), codes.shape[1], weight.shape[2]
     into = np.zeros((n, width + 1))
     into[:, 0] = 1
     for j in range(1, width + 1):
@@ -157,31 +176,41 @@ def _filtered(codes: np.ndarray, lens: np.ndarray, v: Vocabulary) -> tuple[np.nd
     return shares, edges
 
 
-def _plain(codes: list[int], v: Vocabulary, draw) -> list[tuple[int, int]]:
-    """(start, piece) of one unit, in the logarithmic domain; for units too long for `_filtered`."""
-    n = len(codes)
-    text = "".join(map(chr, [c if c < _OTHER else 0 for c in codes]))  # no piece holds the character 0
-    score, into = [[] for _ in range(n + 1)], [0.0] + [-math.inf] * n
-    for j in range(1, n + 1):
-        options = []
-        for size in range(1, min(LONGEST, j) + 1):
-            found = v.pieces.get(text[j - size : j])
-            i, w = found if found else ((BYTES, FALLBACK) if size == 1 else (None, 0))
-            if i is not None:
-                options.append((into[j - size] + math.log(w), size, i))
-        top = max(o[0] for o in options)
-        into[j] = top + math.log(sum(math.exp(o[0] - top) for o in options))
-        score[j] = options
-    out, j = [], n
+def _in_windows(codes: np.ndarray, v: Vocabulary, draws) -> Iterator[tuple[int, int]]:
+    """(start, piece) of one long unit, last piece first. The lattice is made for a window of positions at a time, forward to filter and again backward to
+    sample; between, a position keeps one number and its scale. `draws(a, b)`: the numbers drawn at positions a to b - 1."""
+    n, most = len(codes), min(v.longest, len(codes))
+    into, scale = np.empty(n + 1), np.zeros(n + 1, np.int32)
+    into[0], now, recent = 1.0, 0, [1.0]  # what leads into the last positions, nearest first, at the present scale
+
+    def window(start: int, end: int) -> tuple[int, np.ndarray, np.ndarray]:
+        a = max(0, start - most + 1)
+        weight, edges = _lattice(codes[None, a:end], np.array([end - a]), v)
+        return a, weight[0], edges[0]
+
+    for start in range(0, n, WINDOW):
+        end = min(n, start + WINDOW)
+        a, weight, _ = window(start, end)
+        for j, row in enumerate(weight[start + 1 - a :].tolist(), start + 1):
+            total = sum(map(mul, row, recent))
+            if not 1 / RESCALE < total < RESCALE:
+                by = RESCALE if total < 1 else 1 / RESCALE
+                total, recent, now = total * by, [x * by for x in recent], now + (1 if total < 1 else -1)
+            into[j], scale[j] = total, now
+            recent = [total, *recent[: most - 1]]
+    j = n
     while j:
-        r, total = draw(j), 0.0
-        for s, size, i in score[j]:
-            total += math.exp(s - into[j])
-            if r < total:
-                break
-        j -= size
-        out.append((j, i))
-    return out
+        start = max(0, j - WINDOW)
+        a, weight, edges = window(start, j)
+        drawn = draws(start + 1, j + 1)
+        while j > start:
+            row = weight[j - a]
+            sizes = np.flatnonzero(row[: min(j, len(row))]) + 1
+            share = np.cumsum(row[sizes - 1] * into[j - sizes] / into[j] * RESCALE ** (scale[j] - scale[j - sizes]).astype(float))
+            size = int(sizes[min(int(np.searchsorted(share, drawn[j - start - 1], "right")), len(sizes) - 1)])
+            piece = int(edges[j - a, size - 1])
+            j -= size
+            yield j, piece
 
 
 def segment(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, v: Vocabulary, seed: int) -> tuple[np.ndarray, np.ndarray]:
@@ -194,9 +223,8 @@ def segment(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, v: Vocabulary,
         seen = codes.copy()
         seen[codes == META] = _OTHER
         seen[codes == 32] = META
-        space, control = codes == 32, codes < 32
         begins = np.zeros(len(codes), bool)
-        begins[1:] = (space[1:] & ~space[:-1]) | control[1:] | control[:-1]
+        begins[1:] = ~v.joined[neighbours(seen[:-1], seen[1:])]
         begins[char_offs[:-1][np.diff(char_offs) > 0]] = True
         start = np.flatnonzero(begins)
         lens = np.diff(np.concatenate((start, [len(codes)])))
@@ -205,9 +233,9 @@ def segment(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, v: Vocabulary,
         named = mixed(np.add.reduceat((seen.astype(np.uint64) + np.uint64(1)) * powers(int(lens.max()))[place], start) + lens.astype(np.uint64))
         base = char_offs[:-1][text]
         for i in np.flatnonzero(lens > WIDE).tolist():
-            s, k = int(start[i]), keys[text[i] : text[i] + 1]
-            draw = lambda j: float(uniform(seed, k, np.array([s + j - base[i]]))[0])  # noqa: E731,B023
-            for at, piece in _plain(seen[s : s + lens[i]].tolist(), v, draw):
+            s, k = int(start[i]), keys[text[i]]
+            draws = lambda a, b: uniform(seed, np.full(b - a, k), np.arange(s + a - base[i], s + b - base[i]))  # noqa: E731,B023
+            for at, piece in _in_windows(seen[s : s + lens[i]], v, draws):
                 chosen[s + at] = piece
         short = np.flatnonzero(lens <= WIDE)
         _, first, inverse = np.unique(named[short], return_index=True, return_inverse=True)
@@ -221,7 +249,7 @@ def segment(buf: np.ndarray, offs: np.ndarray, keys: np.ndarray, v: Vocabulary,
         while cuts[-1] < len(units):
             end = cuts[-1]
             for width in (int(lens[units[end]]), 0):  # units come by length: the last one's width counts
-                end = min(len(units), cuts[-1] + max(1, CELLS // ((width or int(lens[units[end - 1]])) + 1) // LONGEST))
+                end = min(len(units), cuts[-1] + max(1, CELLS // ((width or int(lens[units[end - 1]])) + 1) // v.longest))
             cuts.append(end)
         bounds = np.searchsorted(inverse[by_unit], cuts)
         for b, (a, end) in enumerate(zip(cuts, cuts[1:], strict=False)):
@@ -269,7 +297,8 @@ def _field(part: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def encode(docs: DataFrame, v: Vocabulary, key: str = "doc_id", text: str = "text", seed: int = 0) -> DataFrame:
-    """All columns of `docs` and piece_ids array<int>."""
+    """All columns of `docs` and piece_ids array<int>, which takes the place of a column of that name."""
+    docs = docs.drop("piece_ids")
     shared = docs.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -282,7 +311,8 @@ def encode(docs: DataFrame, v: Vocabulary, key: str = "doc_id", text: str = "tex
 
 
 def decode(df: DataFrame, v: Vocabulary, ids: str = "piece_ids", out: str = "decoded") -> DataFrame:
-    """All columns and the text that the ids stand for; a null list decodes to the empty string."""
+    """All columns and the text that the ids stand for (in the place of a column named `out`); a null list decodes to the empty string."""
+    df = df.drop(out) if out != ids else df
     shared = df.sparkSession.sparkContext.broadcast(v)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

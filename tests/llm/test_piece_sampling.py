@@ -3,6 +3,7 @@ from __future__ import annotations
 import collections
 import math
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -66,9 +67,11 @@ def test_frequencies_follow_path_weights(vocabulary):
     assert chi < cells + 5 * math.sqrt(2 * cells)
 
 
-def test_long_units_take_the_same_law(vocabulary, monkeypatch):
+@pytest.mark.parametrize("window", [2, 3, 4096])
+def test_long_units_take_the_same_law(vocabulary, monkeypatch, window):
     text, n = "things", 4000
     monkeypatch.setattr(S, "WIDE", 0)
+    monkeypatch.setattr(S, "WINDOW", window)
     weights = paths(text, vocabulary)
     total = sum(weights.values())
     got = collections.Counter(map(tuple, run([text] * n, vocabulary)))
@@ -77,6 +80,45 @@ def test_long_units_take_the_same_law(vocabulary, monkeypatch):
             assert abs(got[p] - n * w / total) < 6 * math.sqrt(n * w / total)
 
 
+def test_long_units_draw_as_short_ones_do(vocabulary, monkeypatch):
+    texts = ["thing " * 20, "é日本語" * 30, "a" * 2000, "x\r\ny;\r\n" * 50, "internationalisation" * 7]
+    monkeypatch.setattr(S, "WIDE", 1 << 20)
+    short = run(texts[:2] + texts[3:], vocabulary)
+    monkeypatch.setattr(S, "WIDE", 0)
+    for window in (5, 64):
+        monkeypatch.setattr(S, "WINDOW", window)
+        long = run(texts[:2] + texts[3:], vocabulary)
+        assert sum(a != b for a, b in zip(short, long, strict=True)) <= 1  # but for rounding
+
+
+def test_very_long_units(vocabulary):
+    began = time.perf_counter()
+    for text in ("a" * 100_000, "\u65e5" * 100_000, "ab" * 50_000):
+        assert S.spell(np.array(run([text], vocabulary)[0], int), vocabulary).tobytes().decode() == text
+    assert time.perf_counter() - began < 20
+
+
+def test_pieces_with_control_characters_are_drawn(vocabulary):
+    held = [(p, i) for p, (i, _) in vocabulary.pieces.items() if any(c < " " for c in p) and len(p) > 1]
+    assert held
+    for piece, i in held[:5]:
+        text = piece.replace("▁", " ")
+        assert any(i in ids for ids in run([text] * 3000, vocabulary)), repr(piece)
+
+
+def test_pieces_of_any_length_take_part():
+    long = "abcdefghijklmnopqrstuvwxyz"
+    v = S.Vocabulary({long: (300, 0.03), "abc": (301, 0.3), **{c: (302 + k, 0.9) for k, c in enumerate(long)}}, 0, 400)
+    found = run([long] * 200, v)
+    assert [300] in found and any(len(f) > 1 for f in found)
+
+
+def test_columns_named_like_results(spark, vocabulary):
+    df = spark.createDataFrame([(1, "one two", 5, "x")], "doc_id long, text string, piece_ids int, decoded string")
+    out = S.decode(S.encode(df, vocabulary), vocabulary)
+    assert sorted(out.columns) == ["decoded", "doc_id", "piece_ids", "text"] and out.first()["decoded"] == "one two"
+
+
 def test_tables(spark, vocabulary):
     rows = [(i, t) for i, t in enumerate([*TEXTS, None])]
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
