@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every step is a grouped minimum and a join, so no component is ever held in one task, and the number of steps grows with
-the logarithm of the longest path. Each step is materialised in the shared folder, so a lost executor costs little.
+the logarithm of the longest path. Nodes with very many edges are joined by broadcast (fewer than a stated number can have more than its
+part of all edges), so no hub is one task's work. Each step is materialised in the shared folder, so a lost executor costs little.
 """
 
 from __future__ import annotations
@@ -12,17 +13,26 @@ from pyspark.sql import functions as F
 from lectern.session import checkpointed
 
 MAX_STEPS = 60
+HUBS = 1000
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One step; edges hold u > v."""
+def _star(edges: DataFrame, large: bool, n: int) -> DataFrame:
+    """One step over n edges, which hold u > v."""
+
+    def met(left: DataFrame, least: DataFrame) -> DataFrame:
+        # hubs, fewer than HUBS, by broadcast; the others by an exchange
+        hub = F.col("n") * HUBS > 2 * n
+        hubs = F.broadcast(least.filter(hub))
+        met = left.join(hubs, "u").unionByName(left.join(hubs.select("u"), "u", "left_anti").join(least.filter(~hub), "u"))
+        return met.select(F.col("v").alias("u"), F.col("m").alias("v"))
+
     if large:  # every neighbour above u goes to the least of u and its neighbours
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
-        out = both.filter(F.col("v") > F.col("u")).join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("m", "u").alias("m"), "n")
+        out = met(both.filter(F.col("v") > F.col("u")), least)
     else:  # u and its neighbours below go to the least of them
-        least = edges.groupBy("u").agg(F.min("v").alias("m"))
-        out = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        out = met(edges, least).unionByName(least.select("u", F.col("m").alias("v")))
     return out.filter(F.col("u") > F.col("v")).distinct()
 
 
@@ -35,7 +45,8 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if found[0] == 0 or (found[0], found[1]) == state:
             break
         state = (found[0], found[1])
-        now = checkpointed(_star(_star(now, True), False))
+        stars = checkpointed(_star(now, True, found[0]))
+        now = checkpointed(_star(stars, False, stars.count()))
     else:
         raise RuntimeError(f"components did not settle in {MAX_STEPS} steps")
     roots = now.select(F.col("v").alias("node")).distinct()

@@ -15,7 +15,7 @@
    still hold different components. No pair is given up, and a dense group settles after the first two.
 
 Defined results: null and empty texts and texts without words have no shingles and are linked with nothing; texts of fewer than
-k words are one shingle; repeated rows share an id and a component; ties go to the smallest id; ids must be integers; a row with a null id
+k words are one shingle; repeated rows share an id and a component; an id on different texts links by each of them, and each has the component of its own text; ties go to the smallest id; ids must be integers; a row with a null id
 links nothing, and its component is that of an equal set, else null.
 """
 
@@ -30,9 +30,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.llm.clashes import fresh
 from lectern.llm.components import components
+from lectern.llm.skew import MOST_HOT
 from lectern.llm.textwords import SPACED, Words, chunks, mixed, signed, words_of
-from lectern.session import shared_dir
+from lectern.session import checkpointed, shared_dir
 
 SPARE = 2
 #: Size classes for the number of parts; the ratio of neighbouring bounds must exceed 100 / percent.
@@ -40,7 +42,7 @@ CLASS_RATIO = 1.5
 #: Bounds of a tile, in shingles and in sets.
 TILE_SHINGLES, TILE_SETS = 3_000_000, 4096
 LEAF, FANOUT = 16, 8
-ID_BUCKETS = 1 << 22
+ID_BUCKETS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -118,18 +120,23 @@ def folded(bitmap: np.ndarray, words: int) -> np.ndarray:
     return bitmap
 
 
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Size and two sums of hashes of each set."""
+    total = np.concatenate([np.zeros(0, np.uint64), *sets])
+    at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
+    sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(total + np.uint64(x)), dtype=np.uint64))) for x in (7, 13)]
+    return np.diff(at), *(signed(c[at[1:]] - c[at[:-1]]) for c in sums)
+
+
 def _profiles(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
     """_id, _n, _s1, _s2 (which name the set), _sig."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, buf, offs in chunks(batches, text):
             sets = shingle_sets(words_of(buf, offs, SPACED), rule.k)
-            total = np.concatenate([np.zeros(0, np.uint64), *sets])
-            at = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)
-            sums = [np.concatenate((np.zeros(1, np.uint64), np.cumsum(mixed(total + np.uint64(x)), dtype=np.uint64))) for x in (7, 13)]
-            s1, s2 = (signed(c[at[1:]] - c[at[:-1]]) for c in sums)
+            n, s1, s2 = set_names(sets)
             yield pa.RecordBatch.from_arrays(
-                [part.column(part.schema.get_field_index(key)).cast(pa.int64()), pa.array(np.diff(at)), pa.array(s1), pa.array(s2), pa.array([parity(s).tobytes() for s in sets], pa.binary())],
+                [part.column(part.schema.get_field_index(key)).cast(pa.int64()), pa.array(n), pa.array(s1), pa.array(s2), pa.array([parity(s).tobytes() for s in sets], pa.binary())],
                 ["_id", "_n", "_s1", "_s2", "_sig"],
             )
 
@@ -173,14 +180,14 @@ def _group_links(reps: np.ndarray, sizes: np.ndarray, sigs: list[np.ndarray], ru
     return out
 
 
-def _may_link(shared: DataFrame, rule: Rule, most: int = TILE_SETS) -> DataFrame:
-    """_a, _b: edges whose components are the blocks. `shared`: _key, _rep, _n, _sig."""
+def _may_link(shared: DataFrame, rule: Rule) -> DataFrame:
+    """_a, _b: edges whose components are the blocks. `shared`: _key, _rep, _n, _sig; no key has many."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, members, lead = None, [], None
+        now, members = None, []
 
         def close() -> list[tuple[int, int]]:
-            if lead is not None or len(members) < 2:
+            if len(members) < 2:
                 return []
             return _group_links(np.array([m[0] for m in members]), np.array([m[1] for m in members]), [np.frombuffer(m[2], np.uint64) for m in members], rule)
 
@@ -189,15 +196,8 @@ def _may_link(shared: DataFrame, rule: Rule, most: int = TILE_SETS) -> DataFrame
             for k, rep, n, sig in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if k != now:
                     out += close()
-                    now, members, lead = k, [], None
-                if lead is not None:
-                    out.append((lead, rep))
-                    continue
+                    now, members = k, []
                 members.append((rep, n, sig))
-                if len(members) > most:  # a group too large to compare here is one block, cut into tiles later
-                    lead = members[0][0]
-                    out += [(lead, m[0]) for m in members[1:]]
-                    members = []
             yield _edges(out)
         yield _edges(close())
 
@@ -205,7 +205,7 @@ def _may_link(shared: DataFrame, rule: Rule, most: int = TILE_SETS) -> DataFrame
         return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["_a", "_b"])
 
     rows = shared.select("_key", "_rep", "_n", "_sig").repartition("_key").sortWithinPartitions("_key", "_rep")
-    return rows.mapInArrow(run, "_a long, _b long").distinct()
+    return rows.mapInArrow(run, "_a long, _b long")
 
 
 def _sets(docs: DataFrame, rule: Rule, key: str, text: str) -> DataFrame:
@@ -340,37 +340,55 @@ def _comp_links(links: DataFrame, members: DataFrame) -> DataFrame:
     return links.join(of.withColumnsRenamed({"_id": "_a", "_comp": "_x"}), "_a").join(of.withColumnsRenamed({"_id": "_b", "_comp": "_y"}), "_b").select(F.col("_x").alias("_a"), F.col("_y").alias("_b"))
 
 
-def link_groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text", tile_shingles: int = TILE_SHINGLES, tile_sets: int = TILE_SETS) -> DataFrame:
-    """key, n_shingles, component_id: one row for each row of `docs`."""
+def _parted(docs: DataFrame, key: str, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`docs` in two parts: rows that surely have none of the `ids` (column _id), and the rest.
+
+    Ids fall in ID_BUCKETS buckets, and the table of buckets with an id is broadcast; where more than half of all would be in it, it would keep out
+    little, and the rest is all of `docs`.
+    """
+    bucket = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(ID_BUCKETS))
+    taken = checkpointed(ids.select(bucket(F.col("_id")).alias("b")).distinct())
+    if 2 * taken.count() > ID_BUCKETS:
+        return docs.limit(0), docs
+    taken = F.broadcast(taken)
+    name = fresh("_bucket", docs.columns)
+    marked, same = docs.withColumn(name, bucket(F.col(key))), F.col(name) == F.col("b")
+    return marked.join(taken, same, "left_anti").select(*docs.columns), marked.join(taken, same, "left_semi").select(*docs.columns)
+
+
+def link_groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text", tile_shingles: int = TILE_SHINGLES, tile_sets: int = TILE_SETS, with_name: bool = False) -> DataFrame:
+    """key, n_shingles, component_id: one row for each row of `docs`; if wanted also _n, _s1, _s2, which name its set."""
     store = _Store(docs)
     kind = docs.schema[key].dataType
     profiles = store.put("profiles", _profiles(docs, rule, key, text))
     name = ["_n", "_s1", "_s2"]
+    several = profiles.filter("_n > 0 and _id is not null").groupBy("_id").agg((F.min(F.struct(*name)) != F.max(F.struct(*name))).alias("_several")).filter("_several").select("_id")
+    several = checkpointed(several)
+    if not several.isEmpty():
+        return _each_text(docs, several, rule, key, text, tile_shingles, tile_sets, with_name)
     reps = profiles.filter("_n > 0 and _id is not null").groupBy(*name).agg(F.min("_id").alias("_rep"), F.first("_sig").alias("_sig"), F.count(F.lit(1)).alias("_copies"))
     reps = store.put("reps", reps)
-    bucket = lambda c: F.pmod(F.xxhash64(F.col(c).cast("long")), F.lit(ID_BUCKETS))
-
     # keys of representatives; a bounded table of buckets of other copies keeps most texts out of a join
     many_copies = reps.filter("_copies > 1")
     others = profiles.select("_id", *name).join(many_copies.select(*name, "_rep"), name).filter("_id <> _rep")
-    doubtful = F.broadcast(others.select(bucket("_id").alias("_bucket")).distinct())  # at most ID_BUCKETS rows
-    marked = docs.filter(F.col(key).isNotNull()).select(key, text).withColumn("_bucket", bucket(key))
-    sure = marked.join(doubtful, "_bucket", "left_anti").select(key, text)
-    some = marked.join(doubtful, "_bucket", "left_semi").join(reps.select(F.col("_rep").cast(kind).alias(key)), key, "left_semi").select(key, text)
+    sure, some = _parted(docs.filter(F.col(key).isNotNull()).select(key, text), key, others.select("_id"))
+    some = some.join(reps.select(F.col("_rep").cast(kind).alias(key)), key, "left_semi").select(key, text)
     keyed = _keys(sure.unionByName(some), rule, key, text)
 
-    # keys that more than one has: one exchange, then groups are counted in sorted order (a large group spills, it is not collected)
+    # keys that more than one has: one exchange of two numbers a key, then groups are counted in sorted order (a large group spills, it is not collected)
     alike = Window.partitionBy("_key")
-    shared = keyed.withColumn("_lo", F.min("_rep").over(alike)).withColumn("_hi", F.max("_rep").over(alike)).filter("_lo < _hi").select("_key", "_rep")
+    shared = keyed.withColumn("_lo", F.min("_rep").over(alike)).withColumn("_many", F.count(F.lit(1)).over(alike)).filter("_many > 1")
     shared = store.put("shared", shared)
-    edges = store.put("edges", _may_link(shared.join(reps.select("_rep", "_n", "_sig"), "_rep"), rule, tile_sets))
+    # a group too large to compare is one block, cut into tiles later; no bitmaps are sent for it
+    large = shared.filter((F.col("_many") > tile_sets) & (F.col("_lo") < F.col("_rep"))).select(F.col("_lo").alias("_a"), F.col("_rep").alias("_b"))
+    small = shared.filter(F.col("_many") <= tile_sets).select("_key", "_rep").join(reps.select("_rep", "_n", "_sig"), "_rep")
+    edges = store.put("edges", _may_link(small, rule).unionByName(large).distinct())
     blocks = components(edges, "_a", "_b").select(F.col("node").alias("_id"), F.col("root").alias("_block"))
     blocks = store.put("blocks", blocks.join(reps.select(F.col("_rep").alias("_id"), "_n"), "_id"))
     cuts = blocks.groupBy("_block").agg(F.greatest(F.ceil(F.sum("_n") / tile_shingles), F.ceil(F.count(F.lit(1)) / tile_sets)).cast("int").alias("_tiles"))
 
     # the sets of blocked representatives; a bounded table of id buckets keeps most other texts out of the join
-    wanted = F.broadcast(blocks.select(bucket("_id").alias("_bucket")).distinct())  # at most ID_BUCKETS rows
-    some = docs.withColumn("_bucket", bucket(key)).join(wanted, "_bucket", "left_semi").select(key, text)
+    _, some = _parted(docs.select(key, text), key, blocks.select("_id"))
     sets = _sets(some, rule, key, text).join(blocks, "_id").dropDuplicates(["_id"]).join(cuts, "_block")
     members = store.put("members", sets.withColumn("_tile", F.pmod(F.xxhash64("_id"), F.col("_tiles")).cast("int")).withColumn("_comp", F.col("_id")).withColumn("_side", F.lit(0)))
 
@@ -399,21 +417,67 @@ def link_groups(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "t
 
     # every row by the name of its set; rows alone in set and component keep their own id
     comp = components(links, "_a", "_b").select(F.col("node").alias("_rep"), F.col("root").alias("_root"))
-    named = reps.join(comp, "_rep", "left").filter("_copies > 1 or _root is not null").select(*name, F.coalesce("_root", "_rep").alias("_root"))
-    out = profiles.select("_id", *name).join(named, name, "left")
-    return out.select(F.col("_id").cast(kind).alias(key), F.col("_n").alias("n_shingles"), F.coalesce("_root", "_id").cast(kind).alias("component_id"))
+    named = reps.join(comp, "_rep", "left").filter("_copies > 1 or _root is not null").select(*name, "_copies", F.coalesce("_root", "_rep").alias("_root"))
+    # a set with very many copies is not one task's work: such sets, fewer than MOST_HOT, are broadcast
+    named = store.put("named", named.select(*name, "_copies", "_root"))
+    total = profiles.count()
+    hot = F.broadcast(named.filter(F.col("_copies") * MOST_HOT > total))
+    rows = profiles.select("_id", *name)
+    cold = rows.join(hot.select(*name), name, "left_anti").join(named.filter(F.col("_copies") * MOST_HOT <= total).select(*name, "_root"), name, "left")
+    out = rows.join(hot.select(*name, "_root"), name).unionByName(cold)
+    return out.select(F.col("_id").cast(kind).alias(key), F.col("_n").alias("n_shingles"), F.coalesce("_root", "_id").cast(kind).alias("component_id"), *(name if with_name else []))
+
+
+def _each_text(docs: DataFrame, several: DataFrame, rule: Rule, key: str, text: str, tile_shingles: int, tile_sets: int, with_name: bool) -> DataFrame:
+    """`link_groups` where some ids stand on different texts: each such text gets an id of its own for the join, and components are named by the ids as given."""
+    store, name, kind = _Store(docs), ["_n", "_s1", "_s2"], docs.schema[key].dataType
+    rows = store.put("rows", _named(docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text")), rule, "_id", "_text", name))
+    first, last = rows.agg(F.min("_id"), F.max("_id")).first()
+    own = rows.filter("_n > 0").join(several, "_id").select("_id", *name).distinct().withColumn("_number", F.monotonically_increasing_id())
+    free = F.lit(last + 1) + F.col("_number") if last < 1 << 61 else F.lit(first - 1) - F.col("_number")
+    own = store.put("own", own.select("_id", *name, free.alias("_own")))
+    parted = rows.join(own, ["_id", *name], "left").select(F.coalesce("_own", "_id").alias("_node"), "_text")
+    found = link_groups(parted, rule, "_node", "_text", tile_shingles, tile_sets, True).join(own.select(F.col("_own").alias("_node"), F.col("_id").alias("_given")), "_node", "left")
+    found = store.put("nodes", found.withColumn("_given", F.coalesce("_given", "_node")))
+    least = found.groupBy("component_id").agg(F.min("_given").alias("_least"))
+    out = found.join(least, "component_id", "left")
+    return out.select(F.col("_given").cast(kind).alias(key), "n_shingles", F.col("_least").cast(kind).alias("component_id"), *(name if with_name else []))
 
 
 def one_of_each(docs: DataFrame, rule: Rule, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with one row of each group of linked documents, that of the smallest id; rows without text or id stay.
+    """`docs` with one row of each group of linked documents, one of those with the smallest id; rows without text or id stay.
 
-    Only rows whose id falls in the bucket of a doubtful id take part in the shuffled join; the table of buckets is bounded.
+    Where one id stands on different texts, each text is judged for itself: its row stays if its group has no smaller id, and of equal texts under one id one row stays.
+    Only rows whose id falls in the bucket of a doubtful id take part in the shuffled join.
     """
-    bucket = lambda c: F.pmod(F.xxhash64(c.cast("long")), F.lit(ID_BUCKETS))
-    found = _Store(docs).put("found", link_groups(docs, rule, key, text).select(F.col(key).alias("_id"), F.col("component_id").alias("_root")))
-    doubt = found.filter("_id is not null").groupBy("_id").agg((F.min("_root") != F.col("_id")).alias("_gone"), F.count(F.lit(1)).alias("_rows")).filter("_gone or _rows > 1")
-    wanted = F.broadcast(doubt.select(bucket(F.col("_id")).alias("_bucket")).distinct())  # at most ID_BUCKETS rows
-    marked = docs.withColumn("_bucket", bucket(F.col(key)))
-    sure = marked.join(wanted, "_bucket", "left_anti")
-    some = marked.join(wanted, "_bucket", "left_semi").join(doubt.select(F.col("_id").alias(key), "_gone"), key, "left").filter("_gone is null or not _gone").dropDuplicates([key])
-    return sure.select(*docs.columns).unionByName(some.select(*docs.columns))
+    spark, columns = docs.sparkSession, docs.columns
+    store = _Store(docs)
+    own = {n: fresh(n, columns) for n in ("_gone", "_n", "_s1", "_s2")}
+    groups = store.put("found", link_groups(docs, rule, key, text, with_name=True).select(F.col(key).cast("long").alias("_id"), "_n", "_s1", "_s2", F.col("component_id").cast("long").alias("_root")))
+    by_set = groups.filter("_id is not null").groupBy("_id", "_n", "_s1", "_s2").agg((F.min("_root") < F.col("_id")).alias("_gone"), F.count(F.lit(1)).alias("_rows"))
+    doubt = store.put("doubt", by_set.groupBy("_id").agg(F.count(F.lit(1)).alias("_sets"), F.max("_gone").alias("_some"), F.min("_gone").alias("_all"), F.sum("_rows").alias("_rows")).filter("_some or _rows > 1"))
+    sure, some = _parted(docs, key, doubt.select("_id"))
+    met = some.join(doubt.select(F.col("_id").alias(own["_gone"]), F.col("_all").alias(own["_n"]), ((F.col("_sets") > 1) | (F.col("_rows") > 1)).alias(own["_s1"])), F.col(key).cast("long") == F.col(own["_gone"]), "left")
+    once = met.filter(F.col(own["_gone"]).isNull() | ~F.col(own["_n"]) & ~F.col(own["_s1"])).select(*columns)
+    if doubt.filter("_rows > 1").isEmpty():
+        return sure.unionByName(once)
+    # ids on several rows: of these, sets are made again and rows decided by id and set
+    many = met.filter(F.col(own["_s1"]) & ~F.col(own["_n"])).select(*columns)
+    named = _named(many, rule, key, text, [own[n] for n in ("_n", "_s1", "_s2")])
+    kept = by_set.filter("not _gone").select(F.col("_id").alias(own["_gone"]), *(F.col(n).alias("k" + own[n]) for n in ("_n", "_s1", "_s2")))
+    same = [F.col(own[n]) == F.col("k" + own[n]) for n in ("_n", "_s1", "_s2")]
+    stays = named.filter(F.col(own["_n"]) > 0).join(kept, [F.col(key).cast("long") == F.col(own["_gone"]), *same], "left_semi").dropDuplicates([key, *(own[n] for n in ("_n", "_s1", "_s2"))])
+    empty = named.filter(F.col(own["_n"]) == 0)
+    return sure.unionByName(once).unionByName(stays.select(*columns)).unionByName(empty.select(*columns))
+
+
+def _named(docs: DataFrame, rule: Rule, key: str, text: str, names: list[str]) -> DataFrame:
+    """`docs` with three columns that name the set of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, buf, offs in chunks(batches, text):
+            n, s1, s2 = set_names(shingle_sets(words_of(buf, offs, SPACED), rule.k))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(n), pa.array(s1), pa.array(s2)], [*part.schema.names, *names])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, kinds + "".join(f", `{n}` long" for n in names))

@@ -60,3 +60,11 @@ def test_extra_columns_repeats_and_empty(spark):
     df = spark.createDataFrame([(1, "a b c d e f g", 5), (1, "a b c d e f g", 6), (9, "A b c d e f g", 7)], "doc_id int, text string, component_id int")
     assert sorted(map(tuple, J.link_groups(df, J.Rule()).collect())) == [(1, 3, 1), (1, 3, 1), (9, 3, 1)]
     assert J.link_groups(df.limit(0), J.Rule()).count() == 0
+
+
+def test_ids_on_different_texts(spark):
+    long, other = "a b c d e f g h i j k l", "m n o p q r s t u v w x"
+    rows = [(5, long), (5, other), (5, None), (9, long + " z"), (7, other), (2, other + " y"), (8, "x"), (None, long), (None, "alone here now")]
+    df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
+    got = sorted((r[0] or -1, r[1], r[2] if r[2] is not None else -1) for r in J.link_groups(df, J.Rule(3, 80)).collect())
+    assert got == sorted([(5, 10, 5), (5, 10, 2), (5, 0, 5), (9, 11, 5), (7, 10, 2), (2, 11, 2), (8, 1, 8), (-1, 10, 5), (-1, 1, -1)])
