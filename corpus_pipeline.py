@@ -2,6 +2,10 @@
 
 Every stage is written as Parquet to the folder that the executors share and read again, so a lost executor repeats no earlier stage.
 Near copies are documents whose sets of five-word shingles have a similarity of 0.8 or more.
+
+Defined results: null and empty texts fail the first stage; a null id is a key of its own in every stage, and links nothing; of repeated rows, and of texts with equal
+shingles, one row with the smallest id stays; one id on different texts is decided text by text; nulls in other columns, and columns of any name, pass through (a
+column piece_ids gives way in the last stage); an empty table gives an empty result. Folders of stages stay under spark.checkpoint.dir for whoever cleans that folder.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.llm import decontaminate, ngram_join, piece_sampling, quality_rules, secret_scan
-from lectern.llm.clashes import filtered
+from lectern.llm.clashes import filtered, fresh
 from lectern.session import shared_dir, table
 
 
@@ -35,8 +39,9 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets replaced; n_chars follows the text where it changed."""
-    clean = secret_scan.redact(docs.withColumn("_chars", F.length("text")))
-    changed = F.length("text") != F.col("_chars")
+    before = fresh("_chars", docs.columns)
+    clean = secret_scan.redact(docs.withColumn(before, F.length("text")))
+    changed = F.length("text") != F.col(before)
     return clean.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 
