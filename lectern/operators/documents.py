@@ -3,20 +3,25 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate, pairwise
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.acts import legal_item
-from lectern.functions.texts import has_contacts, language_code
+from lectern.functions import let
+from lectern.functions.texts import has_contacts, language_code, markdown_table
 
 MERGE_CHARS, BLOCK_CHARS, OVERLAP_CHARS = 1500, 2500, 200
 SHORT_CHARS, TAIL_CHARS, LEGAL_SHORT_CHARS = 150, 30, 300
 LINE_MAX, LINE_TARGET, LINE_MIN = 400, 350, 25
 ID_VERSION = "2"
 LEVELS = 7
+_BREAKS = re.compile(r"\n\n+|\n|(?<=[.!?])\s+")
+_SPACES = re.compile(r"\s+")
 
 
 def stacked(blocks: DataFrame, by: str, order: str, level: Column, label: Column, levels: int, clears: Column | None = None) -> Column:
@@ -62,38 +67,43 @@ def with_legal_paths(blocks: DataFrame, by: str = "doc_id", order: str = "id", a
     return marked.withColumn("legal_path", path).drop("_item")
 
 
+def unit_ends(text: str, longest: int) -> list[int]:
+    """Where the units of a text end: after line breaks, sentences and the spaces between, units of more than `longest` characters cut at words, longer words cut."""
+    marks = sorted({0, len(text), *(p for m in _BREAKS.finditer(text) for p in m.span())})
+    ends: list[int] = []
+    for begin, end in pairwise(marks):
+        if end - begin > longest:
+            words = sorted({begin, end, *(p for m in _SPACES.finditer(text, begin, end) for p in m.span())})
+            giants = {p for w in pairwise(words) if w[1] - w[0] > longest for p in w}
+            at = begin
+            while at < end:
+                k = bisect_right(words, at + longest) - 1
+                stop = next((p for p in words[bisect_right(words, at) : k + 1] if p in giants), words[k])
+                at = stop if stop > at else min(at + longest, end)
+                ends.append(at)
+        else:
+            ends.append(end)
+    return ends
+
+
 def split_long(text: str, target: int = MERGE_CHARS, most: int = BLOCK_CHARS, overlap: int = OVERLAP_CHARS) -> list[str]:
-    """Parts of about `target` characters, each beginning with the last `overlap` or more of the one before, in whole units."""
+    """Parts of about `target` characters, each beginning with the last `overlap` or more of the one before, in whole units.
+
+    A part runs from its start to the first unit end `target` or more behind it, or to the one before if that is more than `most` away; the next part starts at
+    the last unit end that leaves `overlap` characters.
+    """
     if len(text) <= most:
         return [text]
-    half, units = target // 2, []
-    for piece in filter(None, re.split(r"(\n\n+|\n|(?<=[.!?])\s+)", text)):
-        if len(piece) <= half:
-            units.append(piece)
-            continue
-        held = ""
-        for word in re.split(r"(\s+)", piece):
-            if len(held) + len(word) <= half:
-                held += word
-                continue
-            units += [held] if held else []
-            held = word if len(word) <= half else ""
-            units += [word[i : i + half] for i in range(0, len(word), half)] if len(word) > half else []
-        units += [held] if held else []
-    parts, now, size = [], [], 0
-    for unit in units:
-        if now and (size >= target or size + len(unit) > most):
-            parts.append("".join(now).strip())
-            keep, tail = len(now), 0
-            while keep and tail < overlap:
-                keep -= 1
-                tail += len(now[keep])
-            now = now[keep:]
-            size = sum(map(len, now))
-        now.append(unit)
-        size += len(unit)
-    parts.append("".join(now).strip())
-    return [p for p in parts if p] or [text]
+    ends = [0, *unit_ends(text, target // 2)]
+    parts, start, done = [], 0, 0
+    while done < len(text):
+        stop = bisect_left(ends, start + target)
+        if stop == len(ends) or ends[stop] > start + most:
+            stop -= 1
+        done = ends[stop]
+        parts.append(text[start:done].strip())
+        start = ends[max(0, bisect_right(ends, done - overlap) - 1)]
+    return list(filter(None, parts)) or [text]
 
 
 def _joinable(a: dict, b: dict) -> bool:
@@ -119,27 +129,39 @@ def _item_run(chunks: list[dict]) -> list[dict]:
     return out
 
 
+def with_breaks(blocks: DataFrame, by: str = "doc_id", order: str = "id") -> DataFrame:
+    """breaks: whether a block can't stand in one chunk with the block before it.
+
+    In a chunk headings come first and nest; then come blocks of one section, legal path and language. A table stands alone.
+    """
+    w = Window.partitionBy(by).orderBy(order)
+    before = {c: F.lag(c).over(w) for c in ("type", "text", "lang", "section", "legal_path")}
+    heading, after_heading = F.col("type") == "heading", before["type"] == "heading"
+    nested = F.slice("section", 1, F.size(before["section"]) + 1) == F.concat(before["section"], F.array(before["text"]))
+    foreign = (before["lang"] != "") & (F.col("lang") != "") & (before["lang"] != F.col("lang"))
+    moved = (before["legal_path"] != F.col("legal_path")) | (before["section"] != F.col("section"))
+    table = (F.col("type") == "table") | (before["type"] == "table")
+    rule = F.when(heading, ~(after_heading & nested)).otherwise(foreign | ~after_heading & moved)
+    return blocks.withColumn("breaks", before["type"].isNull() | table | rule)
+
+
+def _groups(blocks: list[dict]) -> list[list[dict]]:
+    """Blocks between breaks, and these cut where running lengths pass MERGE_CHARS; headings stay with what follows them while it fits."""
+    sums = [0, *accumulate(len(b["text"]) + 2 for b in blocks)]
+    stops = [i for i, b in enumerate(blocks) if b["breaks"]] + [len(blocks)]
+    groups, start = [], 0
+    for stop in stops:
+        while start < stop:
+            leading = next((i for i in range(start, stop) if blocks[i]["type"] != "heading"), stop)
+            end = min(stop, max(start + 1, leading, bisect_right(sums, sums[start] + MERGE_CHARS) - 1))
+            groups.append(blocks[start:end])
+            start = end
+    return groups
+
+
 def _chunks(blocks: list[dict]) -> list[dict]:
     """Chunks of the blocks of one document, in order."""
-    groups: list[list[dict]] = []
-    size = 0
-    for b in blocks:
-        heading, now = b["type"] == "heading", groups[-1] if groups else None
-        new = now is None or b["type"] == "table" or now[-1]["type"] == "table"
-        if not new:
-            prev, content = now[-1], any(x["type"] != "heading" for x in now)
-            other_lang = bool(prev["lang"] and b["lang"] and prev["lang"] != b["lang"])
-            too_long = size + len(b["text"]) + 2 > MERGE_CHARS
-            if heading:
-                nested = [*prev["section"], prev["text"]]
-                new = content or b["section"][: len(nested)] != nested
-            else:
-                new = other_lang or too_long or content and (prev["legal_path"] != b["legal_path"] or prev["section"] != b["section"])
-        if new:
-            groups.append([])
-            size = 0
-        groups[-1].append(b)
-        size += len(b["text"]) + 2
+    groups = _groups(blocks)
     chunks = []
     for g in groups:
         body = [b for b in g if b["type"] != "heading"]
@@ -171,7 +193,8 @@ def chunked(blocks: DataFrame, by: str = "doc_id", order: str = "id") -> DataFra
     by a grouped collection (its size is the document's), and documents are cut on their own.
     """
     clean = blocks.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text <> ''")
-    columns = [F.col(order).cast("long").alias("id"), "type", "text", F.coalesce("lang", F.lit("")).alias("lang"), "section", "legal_path"]
+    clean = with_breaks(clean.withColumn("lang", F.coalesce("lang", F.lit(""))), by, order)
+    columns = [F.col(order).cast("long").alias("id"), "type", "text", "lang", "section", "legal_path", "breaks"]
     packed = clean.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_blocks"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -227,3 +250,52 @@ def fine_lines(chunks: DataFrame, key: str = "chunk_id", text: str = "text", kee
     )
     cut = chunks.select(key, *keep, F.posexplode(joined).alias("idx", "line"))
     return cut.withColumns({"line_id": F.sha1(F.concat_ws(":", key, "idx")), "content_hash": F.sha1("line")})
+
+
+def table_chunks(header: Column, rows: Column, target: int = MERGE_CHARS, most: int = BLOCK_CHARS) -> Column:
+    """A table as Markdown texts: one if it has at most `most` characters, else groups of rows, each under the header and closed by the row that
+    brings it to `target`.
+
+    A group's length is its header's, its rows' and their padding to the group's widest row; a fold over the lengths gives the groups, and texts are made once.
+    """
+    width = lambda cells: F.aggregate(cells, F.lit(0), lambda n, c: n + F.length(c)) + 3 * F.size(cells) + 1
+    zero = F.struct(F.lit(0).alias("chars"), F.lit(0).alias("cells"), F.lit(0).alias("wide"), F.lit(0).alias("n"), F.array().cast("array<int>").alias("ends"), F.lit(0).alias("i"))
+
+    def step(a: Column, row: Column) -> Column:
+        chars, cells, n, i = a["chars"] + width(row) + 1, a["cells"] + F.size(row), a["n"] + 1, a["i"] + 1
+        wide = F.greatest(a["wide"], F.size(row))
+        columns = F.greatest(wide, F.size(header))
+        # padding of rows and header, and the line under the header: six characters a column and one
+        total = chars + 3 * (n * columns - cells) + width(header) + 3 * (columns - F.size(header)) + 1 + 6 * columns + 1
+        full = total >= target
+        pick = lambda yes, no: F.when(full, yes).otherwise(no)
+        return F.struct(pick(F.lit(0), chars).alias("chars"), pick(F.lit(0), cells).alias("cells"), pick(F.lit(0), wide).alias("wide"), pick(F.lit(0), n).alias("n"), pick(F.concat(a["ends"], F.array(i)), a["ends"]).alias("ends"), i.alias("i"))
+
+    def cut(ends: Column) -> Column:
+        bounds = F.array_distinct(F.concat(F.array(F.lit(0)), ends, F.array(F.size(rows))))
+        return F.transform(F.slice(bounds, 2, F.size(bounds)), lambda e, i: markdown_table(header, F.slice(rows, F.get(bounds, i) + 1, e - F.get(bounds, i))))
+
+    whole = let(markdown_table(header, rows), lambda t: F.struct(t.alias("t"), F.length(t).alias("n")))
+    return let(whole, lambda w: F.when(w["n"] <= most, F.array(w["t"])).otherwise(let(F.aggregate(rows, zero, step, lambda a: a["ends"]), cut)))
+
+
+def attributed(line: Column, blocks: Column) -> Column:
+    """The first block (of an array of structs with `text`) that holds a line, or that the line holds; null if none does."""
+    return F.get(F.filter(blocks, lambda b: F.contains(b["text"], line) | ((b["text"] != "") & F.contains(line, b["text"]))), 0)
+
+
+def pages_of(blocks: Column) -> Column:
+    """The distinct pages of a chunk's blocks, in order."""
+    return F.array_sort(F.array_distinct(F.filter(F.transform(blocks, lambda b: b["page"]), lambda p: p.isNotNull())))
+
+
+def boxes_of(blocks: Column) -> Column:
+    """The boxes of all blocks of a chunk, block by block."""
+    return F.flatten(F.transform(blocks, lambda b: F.coalesce(b["boxes"], F.array().cast("array<array<double>>"))))
+
+
+def document_records(chunks: DataFrame, columns: list[str], by: str = "doc_id", order: str = "ord") -> DataFrame:
+    """One row a document: the named columns of its first chunk, and its kind, from the id if the chunk has none."""
+    first = chunks.groupBy(by).agg(F.min_by(F.struct("kind", *columns), order).alias("_c"))
+    kind = F.coalesce("_c.kind", F.when(F.col(by).startswith("page:"), "page").otherwise("file"))
+    return first.select(by, kind.alias("kind"), *[F.col(f"_c.{c}").alias(c) for c in columns])
