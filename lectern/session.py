@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,12 +33,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir of the session.
 
-    A temporary folder is made and set only where the setting is absent, as in local tests.
+    Where it is absent, a local session gets a temporary folder, which driver and executor share there; on a cluster that is an error.
     """
     context = spark.sparkContext
     set_dir = context._jsc.sc().getCheckpointDir()
     found = spark.conf.get("spark.checkpoint.dir", None) or (set_dir.get() if set_dir.isDefined() else None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="lectern-shared-")
     if set_dir.isEmpty():
         context.setCheckpointDir(found)
