@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.texts import lexemes, query_terms
+from lectern.session import shared_dir
+
+#: Asked terms that may be broadcast, and places over which a common term is dealt where there are more.
+MOST_TERMS = 200_000
+SALTS = 32
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -30,6 +36,18 @@ def contains_any(column: Column, texts: Sequence[str]) -> Column:
     return found
 
 
+def dated(column: Column) -> Column:
+    """Whether a text holds a run of four digits, as years do."""
+    return column.rlike(r"\d{4}")
+
+
+def begins_with_any(column: Column, prefixes: Sequence[str]) -> Column:
+    found = F.lit(False)
+    for p in prefixes:
+        found = found | column.startswith(p)
+    return found
+
+
 def grep(lines_: DataFrame, text: str, limit: int, key: str = "doc_id") -> DataFrame:
     """The first `limit` matching lines by key and place: a top-k, not a sort of all."""
     return lines_.filter(contains(F.col("line"), text)).orderBy(key, "idx").limit(limit)
@@ -104,11 +122,59 @@ def postings(texts: DataFrame, key: str, text: str = "text", language: Column |
     return rows.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
 
 
-def matched(index: DataFrame, queries: DataFrame, key: str, query: str = "query_id", language: Column | None = None) -> DataFrame:
+def asked_terms(queries: DataFrame, query: str = "query_id", text: str = "text", language: Column | None = None) -> DataFrame:
+    """query, term: the distinct terms of each question."""
+    terms = lexemes(F.array_join(query_terms(F.col(text)), " "), language if language is not None else F.lit("ro"))
+    return queries.select(query, F.explode(F.array_distinct(terms)).alias("term"))
+
+
+def _met(index: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
+    """Postings with the questions that ask for them. A bounded table of terms is broadcast; else common terms are dealt over SALTS places."""
+    if few:
+        return index.join(F.broadcast(asked), "term")
+    salted = index.withColumn("_salt", F.pmod(F.xxhash64(*index.columns), F.lit(SALTS)).cast("int"))
+    return salted.join(asked.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["term", "_salt"]).drop("_salt")
+
+
+def weight(n: Column, length: Column) -> Column:
+    """What one term adds to a score: 1 + ln(occurrences), over 1 + ln(length), so equal texts score equally."""
+    return (1 + F.log(n)) / (1 + F.log(length))
+
+
+def matched(texts: DataFrame, queries: DataFrame, key: str, query: str = "query_id", text: str = "text", language: Column | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
     """query, key, terms (distinct query terms found), score: texts that hold any term of a query.
 
-    score adds 1 + ln(n) a term and divides by 1 + ln(length): rarer and shorter texts are not favoured beyond that, and equal texts score equally.
+    Only words that some question asks for become postings. Up to `most_terms` asked terms, counted, are broadcast; more are joined.
+    """
+    asked = asked_terms(queries, query, "text", language)
+    few = asked.limit(most_terms + 1).count() <= most_terms
+    wanted = asked.select("term").distinct()
+    cut = texts.select(key, lexemes(F.col(text), language if language is not None else F.lit("ro")).alias("_l"))
+    words_ = cut.select(key, F.size("_l").alias("length"), F.explode("_l").alias("term"))
+    kept = words_.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
+    index = kept.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("n"))
+    return _met(index, asked, few).groupBy(query, key).agg(F.count(F.lit(1)).alias("terms"), F.sum(weight(F.col("n"), F.col("length"))).alias("score"))
+
+
+def matched_lines(lines_: DataFrame, queries: DataFrame, key: str = "chunk_id", line: str = "line_id", text: str = "line", query: str = "query_id", language: Column | None = None, most_terms: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
+    """Full-text search in lines and in what they make up, in one pass over the lines: (query, key, score) and (query, key, line, score).
+
+    Occurrences of asked words are written once, with one row a line that carries its length; a text's occurrences and length are the sums of its lines'.
     """
-    asked = queries.select(query, F.explode(F.array_distinct(lexemes(F.array_join(query_terms(F.col("text")), " "), language if language is not None else F.lit("ro")))).alias("term"))
-    weight = (1 + F.log("n")) / (1 + F.log("length"))
-    return asked.join(index, "term").groupBy(query, key).agg(F.count(F.lit(1)).alias("terms"), F.sum(weight).alias("score"))
+    spark = lines_.sparkSession
+    asked = asked_terms(queries, query, "text", language)
+    few = asked.limit(most_terms + 1).count() <= most_terms
+    end = spark.range(1).select(F.lit("").alias("term"))  # no lexeme is empty: the row of a line's length
+    wanted = asked.select("term").distinct().unionByName(end)
+    cut = lines_.select(key, line, lexemes(F.col(text), language if language is not None else F.lit("ro")).alias("_l"))
+    words_ = cut.select(key, line, F.size("_l").alias("length"), F.explode(F.concat("_l", F.array(F.lit("")))).alias("term"))
+    path = f"{shared_dir(spark)}/hits-{uuid.uuid4().hex}"
+    words_.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy(key, line, "length", "term").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
+    hits = spark.read.parquet(path)
+    found = hits.filter("term <> ''")
+    whole = found.groupBy(key, "term").agg(F.sum("n").alias("n"))
+    sizes = hits.filter("term = ''").groupBy(key).agg(F.sum("length").alias("length"))
+    score = F.sum(weight(F.col("n"), F.col("length"))).alias("score")
+    of_texts = _met(whole.join(sizes, key).select("term", key, "n", "length"), asked, few).groupBy(query, key).agg(score)
+    of_lines = _met(found.select("term", key, line, "n", "length"), asked, few).groupBy(query, key, line).agg(score)
+    return of_texts, of_lines

@@ -169,8 +169,8 @@ def interleaved(base: DataFrame, fresh: DataFrame, query: str, order: str, at: i
 
 
 def stratified(df: DataFrame, by: str, n: int, key: str, seed: int = 0) -> DataFrame:
-    """At most n rows of each stratum, by hash of the key, so the sample is the same on every run."""
-    order = Window.partitionBy(by).orderBy(F.xxhash64(F.col(key), F.lit(seed)), key)
+    """At most n rows of each stratum, those with the least md5 of key and seed, so the sample is the same on every run and in other engines."""
+    order = Window.partitionBy(by).orderBy(F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(seed))), key)
     return df.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= n).drop("_n")
 
 

@@ -5,9 +5,13 @@ A table is a snapshot; a change gives the next snapshot, written by `lectern.sou
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import shared_dir
+
 CHECK_EVERY_HOURS, FULL_EVERY_DAYS, SPREAD_MINUTES, WINDOW_MINUTES = 6, 7, 3, 240
 
 
@@ -135,10 +139,9 @@ def night_slot(now: Column, slot: Column, hour: int = 0) -> Column:
 def scheduled(sources: DataFrame, now: Column, key: str = "id") -> DataFrame:
     """job (check, refresh or null) and new next_check_at for sources with next_check_at, last_full_at, busy and processed.
 
-    The slot is a source's place by id. There are as many rows as sources to visit, so one ordered window is small; for more, slots come from
-    the id itself.
+    The slot is a source's place by id: its place in a range of ids and the sizes of the ranges before, so no task sorts all sources.
     """
-    slotted = sources.withColumn("_slot", F.row_number().over(Window.orderBy(key)) - 1)
+    slotted = numbered(sources, [key], "_slot")
     due = F.col("processed") & (F.col("next_check_at") <= now) & ~F.col("busy")
     full = F.col("last_full_at").isNull() | (F.col("last_full_at") <= now - F.expr(f"INTERVAL {FULL_EVERY_DAYS} DAYS"))
     fresh = F.col("processed") & F.col("next_check_at").isNull()
@@ -146,6 +149,19 @@ def scheduled(sources: DataFrame, now: Column, key: str = "id") -> DataFrame:
     return slotted.withColumns({"job": F.when(due & full, "refresh").when(due, "check"), "next_check_at": at}).drop("_slot")
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """`rows` with their place in the order, from 0. They are dealt by ranges of the order and written; across ranges only their sizes are summed."""
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/numbered-{uuid.uuid4().hex}"
+    rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    sizes = dealt.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    # one row a range; as many ranges as the shuffle has partitions
+    before = sizes.select("_range", F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return dealt.withColumn("_in", inside).join(F.broadcast(before), "_range").withColumn(name, (F.col("_before") + F.col("_in")).cast("long")).drop("_range", "_in", "_before")
+
+
 def source_status(disabled: Column, blocked: Column, job: Column, failed: Column, indexed: Column) -> Column:
     """The first that holds: disabled, blocked, running or queued, failed, indexed, pending."""
     return F.when(disabled, "disabled").when(blocked, "blocked").when(job.isin("running", "queued"), job).when(failed, "failed").when(indexed > 0, "indexed").otherwise("pending")

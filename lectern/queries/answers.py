@@ -9,7 +9,7 @@ from lectern.functions import questions, urls
 from lectern.operators import answers, contacts, corpus, ranking
 from lectern.operators.embedding import continued, embedded
 from lectern.plans.retrieve import retrieve
-from lectern.queries.retrieval import _LINES
+from lectern.queries.retrieval import _ASKED, _LINES
 from lectern.registry import query
 from lectern.session import table
 
@@ -78,22 +78,50 @@ def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("conv_id", answers.status(F.col("s"), F.greatest(F.col("u") - F.col("a"), F.lit(0)), F.col("a")).alias("status"))
 
 
-@query()
+_PROBED = "SELECT p.vec_id AS query_id, e.vec_id, list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM embeddings e, embeddings p WHERE p.vec_id % 20 = 0 AND e.vec_id % 2 = {}"
+_HYBRID = rf"""
+WITH {_LINES}, {_ASKED},
+toks AS (SELECT doc_id, idx, regexp_extract_all(lower(translate(line, 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}\x{{200C}}\x{{200D}}]+') AS w FROM lines),
+dl AS (SELECT doc_id, sum(len(w)) AS length FROM toks GROUP BY doc_id),
+lex AS (SELECT doc_id, idx, len(w) AS length, unnest(list_transform(w, lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{{3}}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END)) AS term FROM toks),
+lh AS (SELECT item_id * 20 AS query_id, term, doc_id, idx, length, count(*) AS n FROM lex JOIN qt USING (term) GROUP BY ALL),
+ls AS (SELECT query_id, doc_id, idx, round(sum((1 + ln(n)) / (1 + ln(length))), 9) AS score FROM lh GROUP BY ALL),
+lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, idx) AS rank FROM ls) WHERE rank <= 60),
+th AS (SELECT query_id, term, doc_id, sum(n) AS n FROM lh GROUP BY ALL),
+ts AS (SELECT query_id, doc_id, round(sum((1 + ln(n)) / (1 + ln(length))), 9) AS score FROM th JOIN dl USING (doc_id) GROUP BY ALL),
+ct AS (SELECT * FROM (SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ts) WHERE rank <= 30),
+cv AS (SELECT query_id, vec_id AS chunk_id, rank FROM ({_PROBED.format(0)}) WHERE rank <= 30),
+lv AS (SELECT query_id, vec_id::VARCHAR AS line_id, vec_id - 1 AS chunk_id, score, rank FROM ({_PROBED.format(1)}) WHERE rank <= 60),
+cr AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY min(rank), chunk_id) AS rank FROM lv GROUP BY query_id, chunk_id),
+u AS (SELECT *, 1.0::DOUBLE AS w, 0 AS place FROM cv UNION ALL SELECT *, 1.0, 1 FROM cr UNION ALL SELECT *, 0.1, 2 FROM ct),
+f AS (SELECT query_id, chunk_id, list_sum(list(w / (60 + rank) ORDER BY place)) AS score, min(place * 1000000 + rank) AS o FROM u GROUP BY ALL),
+r AS (SELECT f.*, text, source, sha1(text) AS hash, CASE doc_id % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS priority FROM f JOIN documents ON doc_id = chunk_id),
+b AS (SELECT *, max(score) OVER (PARTITION BY query_id, hash) AS best, row_number() OVER (PARTITION BY query_id, hash ORDER BY priority DESC, score DESC, o) AS copy FROM r),
+p AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY best DESC, o)::INT AS position FROM b WHERE copy = 1),
+ml AS (SELECT query_id, line_id, chunk_id, score, rank, 0 AS list FROM lv UNION ALL SELECT query_id, doc_id || ':' || idx, doc_id, score, rank, 1 FROM lt),
+mo AS (SELECT query_id, chunk_id, line_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, line_id ORDER BY list, rank) AS n FROM ml) WHERE n = 1),
+m AS (SELECT query_id, chunk_id, least(count(*), 3)::INT AS n FROM mo GROUP BY ALL),
+op AS (SELECT doc_id AS chunk_id, count(*)::INT AS n FROM lines WHERE idx < 3 GROUP BY doc_id)
+SELECT p.query_id, position, p.chunk_id, round(best, 12) AS score, coalesce(m.n, op.n, 0)::INT AS n_matched,
+  'https://' || source || '.example/' || p.chunk_id || CASE WHEN priority > 0 THEN '#page=1' ELSE '#:~:text=' || replace(url_encode(array_to_string(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')[1:8], ' ')), '%2F', '/') END AS link
+FROM p LEFT JOIN m ON m.query_id = p.query_id AND m.chunk_id = p.chunk_id LEFT JOIN op ON op.chunk_id = p.chunk_id WHERE position <= 8
+"""
+
+
+@query(_HYBRID)
 def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every twentieth vector as a question against documents: vectors of even ids are chunks and of odd ids lines, and texts of the
-    benchmark are matched through postings."""
+    benchmark are searched in documents and in their lines."""
     v = table(spark, sf_dir, "embeddings")
     docs = table(spark, sf_dir, "documents")
     probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding")
     chunk_list = ranking.batch_topk(probes, v.filter("vec_id % 2 = 0"), 30).select(F.col("probe").alias("query_id"), F.col("vec_id").alias("chunk_id"), "rank")
     line_list = ranking.batch_topk(probes, v.filter("vec_id % 2 = 1"), 60).select(F.col("probe").alias("query_id"), F.col("vec_id").cast("string").alias("line_id"), (F.col("vec_id") - 1).alias("chunk_id"), "score", "rank")
     asked = table(spark, sf_dir, "benchmark").select((F.col("item_id").cast("long") * 20).alias("query_id"), "text")
-    index = corpus.postings(docs, "doc_id")
-    found = corpus.matched(index, asked, "doc_id", "query_id")
-    texts = ranking.ranked(found, ["query_id"], F.desc(F.round("score", 9)), "doc_id").filter("rank <= 30")
-    text_list = texts.select("query_id", F.col("doc_id").alias("chunk_id"), "rank")
     lines = corpus.lines(docs).select(F.concat_ws(":", "doc_id", "idx").alias("line_id"), F.col("doc_id").alias("chunk_id"), "idx", "line")
-    line_texts = texts.filter("rank <= 10").select("query_id", F.concat_ws(":", "doc_id", F.lit(0)).alias("line_id"), F.col("doc_id").alias("chunk_id"), "score", "rank")
+    texts, of_lines = corpus.matched_lines(lines.withColumn("at", F.struct("idx", "line_id")), asked, line="at")
+    text_list = ranking.ranked(texts, ["query_id"], F.desc(F.round("score", 9)), "chunk_id").filter("rank <= 30").select("query_id", "chunk_id", "rank")
+    line_texts = ranking.ranked(of_lines, ["query_id"], F.desc(F.round("score", 9)), "chunk_id", "at").filter("rank <= 60").select("query_id", F.col("at.line_id").alias("line_id"), "chunk_id", "score", "rank")
     chunks = docs.select(F.col("doc_id").alias("chunk_id"), F.when(F.col("doc_id") % 3 == 0, "page").otherwise("file").alias("kind"), F.when(F.col("doc_id") % 3 == 1, "decizie").alias("doc_type"), F.concat(F.lit("https://"), "source", F.lit(".example/"), "doc_id").alias("url"), "text", F.sha1("text").alias("content_hash"), F.lit(1).alias("page"))
     out = retrieve(chunk_list, line_list, text_list, line_texts, chunks, lines)
     return out.select("query_id", "position", "chunk_id", F.round("score", 12).alias("score"), F.size("matched").alias("n_matched"), "link")

@@ -151,18 +151,32 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.with_context(rows, corpus.contains(F.col("line"), "license"), 2)
 
 
+#: Terms of the items of the benchmark.
+_ASKED = r"""q AS (SELECT item_id, list_filter(list_transform(string_split_regex(trim(text), '\s+'), lambda t: regexp_replace(regexp_replace(t, '[&|!()\\:*''"]', '', 'g'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: length(t) >= 3 AND lower(t) NOT IN ('cat','cât','cum','unde','care','pentru','este','sunt','cine','cand','când','daca','dacă','acest','aceasta','aceste','acesti','acești')) AS t FROM benchmark),
+qt AS (SELECT DISTINCT item_id, CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{3}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END AS term
+  FROM (SELECT item_id, unnest(regexp_extract_all(lower(translate(array_to_string(t, ' '), 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{L}\p{N}\p{M}\p{Pc}\x{200C}\x{200D}]+')) AS x FROM q))
+"""
+
+
 @query(r"""
 WITH toks AS (SELECT doc_id, regexp_extract_all(lower(translate(text, 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{L}\p{N}\p{M}\p{Pc}\x{200C}\x{200D}]+') AS w FROM documents),
 lex AS (SELECT doc_id, len(w) AS length, unnest(list_transform(w, lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{3}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END)) AS term FROM toks),
 idx AS (SELECT term, doc_id, length, count(*) AS n FROM lex GROUP BY ALL),
-q AS (SELECT item_id, list_filter(list_transform(string_split_regex(trim(text), '\s+'), lambda t: regexp_replace(regexp_replace(t, '[&|!()\\:*''"]', '', 'g'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: length(t) >= 3 AND lower(t) NOT IN ('cat','cât','cum','unde','care','pentru','este','sunt','cine','cand','când','daca','dacă','acest','aceasta','aceste','acesti','acești')) AS t FROM benchmark),
-qt AS (SELECT DISTINCT item_id, CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{3}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END AS term
-  FROM (SELECT item_id, unnest(regexp_extract_all(lower(translate(array_to_string(t, ' '), 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{L}\p{N}\p{M}\p{Pc}\x{200C}\x{200D}]+')) AS x FROM q))
-SELECT item_id, doc_id, count(*) AS terms FROM qt JOIN idx USING (term) GROUP BY ALL
+""" + _ASKED + r"""SELECT item_id, doc_id, count(*) AS terms FROM qt JOIN idx USING (term) GROUP BY ALL
 """)
 def postings_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = corpus.postings(table(spark, sf_dir, "documents"), "doc_id")
-    return corpus.matched(index, table(spark, sf_dir, "benchmark"), "doc_id", "item_id").select("item_id", "doc_id", "terms")
+    return corpus.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id").select("item_id", "doc_id", "terms")
+
+
+@query(r"""
+WITH toks AS (SELECT doc_id, regexp_extract_all(lower(translate(text, 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{L}\p{N}\p{M}\p{Pc}\x{200C}\x{200D}]+') AS w FROM documents WHERE lang = 'en'),
+lex AS (SELECT doc_id, unnest(list_transform(w, lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{3}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END)) AS term FROM toks)
+SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS texts FROM lex GROUP BY term
+""".replace("\\\\", "\\"))
+def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of the inverted index of English documents."""
+    index = corpus.postings(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id")
+    return index.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("texts"))
 
 
 @query("SELECT doc_id, source, n_chars, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_doc_id FROM documents")

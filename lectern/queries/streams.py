@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.queries.analytics import RATE_LIMITED
 from lectern.registry import query
 from lectern.streaming import usage
 
@@ -24,6 +25,6 @@ def stream_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.drained(usage.new_visitors(_events(spark, sf_dir)), "append")
 
 
-@query()
+@query(RATE_LIMITED)
 def stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.drained(usage.accepted(_events(spark, sf_dir), 3, 21600), "update")

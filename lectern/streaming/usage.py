@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import uuid
+from collections import deque
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,19 +58,25 @@ def new_visitors(events: DataFrame) -> DataFrame:
 
 
 def limiter(limit: int, seconds: float) -> Callable[[tuple, Iterator[pd.DataFrame], GroupState], Iterator[pd.DataFrame]]:
-    """Accepted events of a key; the state is the times of the last `limit` accepted ones. Events of one batch are taken in time order."""
+    """Accepted events of a key; the state is the times of the last `limit` accepted ones. Events of one batch are taken in time order.
+
+    Of a key's events in a batch only number and time are held, sixteen bytes each; a trigger's `maxFilesPerTrigger` or `maxBytesPerTrigger` bounds a batch.
+    """
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        recent = list(state.get[0]) if state.exists else []
-        rows = pd.concat(list(frames)).sort_values(["at", "event_id"])
+        recent = deque(state.get[0] if state.exists else [])
+        parts = [(f["at"].to_numpy(), f["event_id"].to_numpy()) for f in frames]
+        at, ident = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((ident, at))
         keep = []
-        for t in rows["at"]:
-            recent = [x for x in recent if x > t - seconds]
-            keep.append(len(recent) < limit)
-            if keep[-1]:
-                recent.append(t)
-        state.update((recent[-limit:],))
-        yield pd.DataFrame({"user_id": key[0], "event_id": rows.loc[keep, "event_id"].tolist()}) if any(keep) else pd.DataFrame({"user_id": [], "event_id": []}, dtype="int64")
+        for i in order.tolist():
+            while recent and recent[0] <= at[i] - seconds:
+                recent.popleft()
+            if len(recent) < limit:
+                recent.append(float(at[i]))
+                keep.append(i)
+        state.update((list(recent),))
+        yield pd.DataFrame({"user_id": np.full(len(keep), key[0], np.int64), "event_id": ident[keep].astype(np.int64)})
 
     return run
 
