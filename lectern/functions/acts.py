@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from lectern.functions import let
+from lectern.functions.texts import folded, words
 
 # Types of acts, months, legal items.
 ACT_TYPES = {
@@ -130,6 +131,13 @@ def numbers_backed(claim: Column, evidence: Column) -> Column:
     return F.size(F.array_except(claim_numbers(claim), have)) == 0
 
 
+def copied_from(value: Column, evidence: Column) -> Column:
+    """Whether an address or opening hours come from the evidence: all its numbers are there, and all its words of three letters or more, accents aside."""
+    plain = lambda t: F.filter(words(folded(t)), lambda w: (F.length(w) >= 3) & ~w.rlike(r"^\d+$"))
+    have = F.flatten(F.transform(evidence, plain))
+    return numbers_backed(value, evidence) & (F.size(F.array_except(plain(value), have)) == 0)
+
+
 def citation_label(kind: Column, title: Column, doc_type: Column, number: Column, date: Column, legal_path: Column, section: Column) -> Column:
     """How a chunk is cited: the act with number and date, or its title, and the place within."""
     filled = lambda c: c.isNotNull() & (c != "")

@@ -5,6 +5,7 @@ Patterns are Unicode-aware: (?U) makes \\w, \\b and \\d so, (?iu) folds case bey
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 
 import pandas as pd
@@ -115,11 +116,43 @@ def _series(f: Callable[[str], str]):
     return run
 
 
+def _bare_letters() -> tuple[str, str]:
+    """All letters below U+2000 that are one letter with marks, and these letters."""
+    marked = [(chr(c), unicodedata.normalize("NFKD", chr(c))) for c in range(0xC0, 0x2000)]
+    pairs = [(c, d[0]) for c, d in marked if len(d) > 1 and not unicodedata.combining(d[0]) and all(map(unicodedata.combining, d[1:]))]
+    return "".join(c for c, _ in pairs), "".join(d for _, d in pairs)
+
+
 def unaccented(text: Column) -> Column:
     """Accents and other combining marks removed, all else kept."""
-    import unicodedata
+    return F.regexp_replace(F.translate(text, *_bare_letters()), r"\p{Mn}", "")
+
+
+def folded(text: Column) -> Column:
+    """For comparing words: no accents, lower case."""
+    return unaccented(F.lower(text))
+
 
-    return _series(lambda t: "".join(c for c in unicodedata.normalize("NFKD", t) if not unicodedata.combining(c)))(text)
+def parsed_time(text: Column) -> Column:
+    """The instant of an ISO 8601 text; one without a zone is UTC, anything else is null."""
+    ok = F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")
+    whole = F.regexp_replace(F.trim(text), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    zoned = F.when(whole.rlike(r"(Z|[T ].*[+-]\d{2}:\d{2})$"), whole).when(whole.rlike("[T ]"), F.concat(whole, F.lit("Z"))).otherwise(F.concat(whole, F.lit("T00:00:00Z")))
+    return F.when(ok, F.try_to_timestamp(zoned))
+
+
+def shown_time(at: Column) -> Column:
+    """An instant in seconds, UTC, as ISO 8601."""
+    return F.concat(F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("+00:00"))
+
+
+def current_item(log: Column) -> Column:
+    """What a stage works on, from the lines of its log: outcome and name of the last item line; null without one."""
+    item = r"\[\d+/\d+]\s+(\S+)(?:\s+\(ocr\))?\s+(\S+)"
+    last = F.get(F.reverse(F.filter(log, lambda x: x.rlike(item))), 0)
+    target = F.regexp_replace(F.regexp_extract(last, item, 2), "/+$", "")
+    name = F.regexp_extract(target, "([^/]*)$", 1)
+    return F.when(last.isNotNull(), F.substring(F.concat_ws(" ", F.regexp_extract(last, item, 1), F.when(name == "", target).otherwise(name)), 1, 120))
 
 
 # Suffixes that light stemming removes, longest first, by language of the row.
@@ -143,8 +176,6 @@ LATIN_ALIKE, CYRILLIC_ALIKE = "aceopxyABCEHKMOPTX", "асеорхуАВСЕНК
 
 def _one_script(word: str) -> str:
     """A word of two scripts in the script of most of its letters, if all its other letters have a likeness there."""
-    import unicodedata
-
     kinds = ["" if not c.isalpha() else unicodedata.name(c, "").partition(" ")[0] for c in word]
     latin, cyrillic = kinds.count("LATIN"), kinds.count("CYRILLIC")
     if not latin or not cyrillic or latin == cyrillic:
@@ -159,7 +190,6 @@ def _one_script(word: str) -> str:
 def normalised(text: Column) -> Column:
     """Composed characters, repaired letters, words of one script and single spaces in trimmed lines."""
     import re
-    import unicodedata
 
     repairs = str.maketrans(REPAIRS)
 

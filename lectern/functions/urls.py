@@ -15,6 +15,15 @@ DOCUMENT_TYPES = [
     "application/rtf", "text/rtf", "text/csv", "application/zip", "application/x-zip", "application/x-rar", "application/vnd.rar", "application/x-7z",
 ]
 DOCUMENT_HOSTS = ["drive.google.com", "docs.google.com", "actelocale.gov.md", "legis.md"]
+EXPORT_FORMATS = {"document": "docx", "spreadsheets": "xlsx", "presentation": "pdf"}
+DRIVE_FILE = r"drive\.google\.com/(?:file/d/|open\?id=|uc\?.*\bid=)([\w-]+)"
+DRIVE_DOCUMENT = r"docs\.google\.com/(document|spreadsheets|presentation)/d/([\w-]+)"
+FILE_NAME = r"""(?i)filename\*?=(?:UTF-8'')?"?([^";]+)"""
+TYPE_EXTENSIONS = {
+    "application/pdf": ".pdf", "application/msword": ".doc", "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx", "application/vnd.ms-excel": ".xls",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ".xlsx", "application/vnd.ms-powerpoint": ".ppt", "application/rtf": ".rtf", "text/csv": ".csv", "text/html": ".html", "text/plain": ".txt", "application/zip": ".zip",
+}
+CRAWL_DEPTH, SHALLOW_DEPTH, CRAWL_PAGES = 4, 2, 2000
 TRACKING = r"(?i)^(utm_\w+|fbclid|gclid|yclid|_ga|mc_cid|mc_eid)$"
 TRAP = (
     r"(?i)/wp-(admin|login|json)|/xmlrpc|/feed/?$|/cdn-cgi/|/(login|logout|register)\b|/tag/|/author/|/calendar|/print/"
@@ -91,7 +100,9 @@ def deep_link(url: Column, kind: Column, text: Column, page: Column) -> Column:
     paged = (page > 0) & ~F.lower(part(url, "path")).rlike(r"(?:\.html?|/)$")
     is_pdf = (extension(url) == ".pdf") | F.coalesce(paged & (kind == "file"), F.lit(False))
     start = F.array_join(F.slice(F.filter(F.split(text, r"(?U)\s+"), lambda w: w != ""), 1, 8), " ")
-    quoted = F.replace(F.replace(F.url_encode(start), F.lit("+"), F.lit("%20")), F.lit("%2F"), F.lit("/"))
+    quoted = F.url_encode(start)
+    for a, b in (("+", "%20"), ("%2F", "/"), ("*", "%2A"), ("%7E", "~")):  # as addresses are quoted, not forms
+        quoted = F.replace(quoted, F.lit(a), F.lit(b))
     return (
         F.when(url == "", "")
         .when(is_pdf, F.concat(url, F.lit("#page="), F.when(page > 0, page).otherwise(1)))
@@ -116,3 +127,41 @@ def resolved(link: Column, base: Column) -> Column:
         .when(link.startswith("/"), F.concat(root, link))
         .otherwise(F.concat(root, F.when(folder == "", "/").otherwise(folder), link))
     )
+
+
+def direct_download(url: Column) -> Column:
+    """The address of the file behind a viewer's link; other links as they are."""
+    file, kind, document = F.regexp_extract(url, DRIVE_FILE, 1), F.regexp_extract(url, DRIVE_DOCUMENT, 1), F.regexp_extract(url, DRIVE_DOCUMENT, 2)
+    form = F.create_map(*[F.lit(x) for pair in EXPORT_FORMATS.items() for x in pair])
+    return (
+        F.when(file != "", F.concat(F.lit("https://drive.google.com/uc?export=download&id="), file))
+        .when(kind != "", F.concat(F.lit("https://docs.google.com/"), kind, F.lit("/d/"), document, F.lit("/export?format="), F.try_element_at(form, kind)))
+        .otherwise(url)
+    )
+
+
+def file_extension(url: Column, disposition: Column, content_type: Column) -> Column:
+    """Of a download: that of a document's address, else that of the name it is sent under, else that of its type; empty if none is known."""
+    sent = F.lower(F.regexp_extract(F.try_url_decode(F.regexp_extract(F.coalesce(disposition, F.lit("")), FILE_NAME, 1)), r"[^/.][^/]*?(\.[^./]+)$", 1))
+    kinds = F.create_map(*[F.lit(x) for pair in TYPE_EXTENSIONS.items() for x in pair])
+    return F.when(is_document(url), extension(url)).when(F.coalesce(sent, F.lit("")) != "", sent).otherwise(F.coalesce(F.try_element_at(kinds, content_type), F.lit("")))
+
+
+def entered(url: Column) -> Column:
+    """An address as a user types it: a scheme if it has none, a host in lower case, no closing slash but that of the root, no fragment. Null unless it is
+    http(s) with a dotted host."""
+    trimmed = F.trim(url)
+    whole = F.when(trimmed.rlike(r"(?i)^[a-z][a-z0-9+.-]*://"), trimmed).otherwise(F.concat(F.lit("https://"), trimmed))
+    path, port, query = F.rtrim(part(whole, "path"), F.lit("/")), part(whole, "port"), part(whole, "query")
+    shown = F.concat(F.lower(part(whole, "scheme")), F.lit("://"), host(whole), F.when(port == "", "").otherwise(F.concat(F.lit(":"), port)), F.when(path == "", "/").otherwise(path), F.when(query == "", "").otherwise(F.concat(F.lit("?"), query)))
+    return F.when(F.lower(part(whole, "scheme")).isin("http", "https") & F.contains(host(whole), F.lit(".")), shown)
+
+
+def is_root(url: Column) -> Column:
+    return part(url, "path").isin("", "/")
+
+
+def crawl_limits(url: Column, kind: Column) -> Column:
+    """struct<depth,pages>: a whole site from its root, a shallow crawl from a deeper page, none for a document."""
+    depth = F.when(is_root(url), CRAWL_DEPTH).otherwise(SHALLOW_DEPTH)
+    return F.when(kind != "document", F.struct(depth.alias("depth"), F.lit(CRAWL_PAGES).alias("pages")))

@@ -251,3 +251,24 @@ def eta(progress: DataFrame, job: str, at: str, percent: str) -> DataFrame:
 def low_rated(feedback: DataFrame, most: int, rating: str, updated: str, n: int) -> DataFrame:
     """The worst rated answers, the latest first among equals."""
     return feedback.filter(F.col(rating) <= most).orderBy(rating, F.desc(updated)).limit(n)
+
+
+def share(flag: Column) -> Column:
+    """The share of true values in percent, rounded; nulls count neither way, and without values it is null."""
+    return F.round(100 * F.avg(flag.cast("int")), 0).cast("int")
+
+
+def priced_by_prefix(df: DataFrame, price_list: DataFrame, model: str) -> DataFrame:
+    """Rows with the price of the longest listed name that their model begins with, by an equality on prefixes."""
+    names = df.select(model).distinct()
+    prefixes = names.select(model, F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(model))), lambda i: F.substring(F.col(model), F.lit(1), i))).alias("model_name"))
+    best = prefixes.join(price_list, "model_name").groupBy(model).agg(F.max_by(F.struct("price_in", "price_out"), F.length("model_name")).alias("_p"))
+    return df.join(best, model, "left").select(*df.columns, F.col("_p.price_in").alias("price_in"), F.col("_p.price_out").alias("price_out"))
+
+
+def known_names(*tables: DataFrame) -> DataFrame:
+    """All names of one-column tables, each once."""
+    out = tables[0].toDF("name")
+    for t in tables[1:]:
+        out = out.unionByName(t.toDF("name"))
+    return out.filter("name is not null").distinct()

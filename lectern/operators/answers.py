@@ -56,7 +56,7 @@ def cited(sentences: DataFrame, lines: DataFrame, answer: str = "answer_id") ->
 
     sentences: answer, sentence (0-based), refs; lines: answer, ref, quote, site. Sentences without a valid ref drop out.
     """
-    refs = sentences.select(answer, "sentence", F.posexplode("refs").alias("_at", "ref")).dropDuplicates([answer, "sentence", "ref"])
+    refs = sentences.select(answer, "sentence", F.posexplode("refs").alias("_at", "ref")).groupBy(answer, "sentence", "ref").agg(F.min("_at").alias("_at"))
     known = refs.join(lines, [answer, "ref"])
     first = known.groupBy(answer, "quote", "site").agg(F.min(F.struct("sentence", "_at")).alias("_first"))
     numbered = first.withColumn("citation", F.row_number().over(Window.partitionBy(answer).orderBy("_first", "quote", "site")))
@@ -114,3 +114,58 @@ def verified_contacts(found: DataFrame, lines: DataFrame, key: str) -> DataFrame
     email = F.exists("texts", lambda t: F.contains(F.lower(t), F.lower("email")))
     ok = joined.withColumns({"phone": F.when(phone, F.col("phone")), "email": F.when(email, F.col("email"))})
     return ok.filter("phone is not null or email is not null").drop("texts")
+
+
+def needs_rewrite(lang: Column, turns_before: Column) -> Column:
+    """A question in another language than the corpus, or one within a conversation, is asked anew before the search."""
+    return (lang != "ro") | (turns_before > 0)
+
+
+def needs_second_pass(verdict: Column, conflict: Column) -> Column:
+    """A partial answer, or one with a conflict unless it was refused, is worth a second search."""
+    return (verdict == "partial") | ((verdict != "refused") & conflict)
+
+
+def good_answer(status_: Column, verified: Column, citations: Column) -> Column:
+    """Answered, verified and with a citation."""
+    return (status_ == "answered") & verified & (citations > 0)
+
+
+def parsed_frames(text: Column) -> Column:
+    """array<struct<event,data>> of a text of server-sent events; lines of data are joined, a frame without an event is a message, other fields are left out."""
+    lines = lambda f, name: F.transform(F.filter(F.split(f, r"\r?\n"), lambda x: x.startswith(name + ":")), lambda x: F.regexp_replace(x, f"^{name}: ?", ""))
+    frames = F.filter(F.split(text, r"\r?\n\r?\n"), lambda f: f != "")
+    return F.filter(F.transform(frames, lambda f: F.struct(F.coalesce(F.get(F.reverse(lines(f, "event")), 0), F.lit("message")).alias("event"), F.array_join(lines(f, "data"), "\n").alias("data"))), lambda x: (x["data"] != "") | (x["event"] != "message"))
+
+
+def trimmed(items: Column, most: int) -> Column:
+    """struct<items,truncated>: the leading elements whose JSON array has at most `most` characters, and whether any were dropped.
+
+    The length of the array is the sum of its elements' and the marks between.
+    """
+    sizes = F.transform(items, lambda x: F.length(F.to_json(F.struct(x.alias("x")))) - 6 + 1)  # without {"x":}, with a comma
+    fits = F.aggregate(sizes, F.struct(F.lit(1).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")), lambda a, s: F.struct((a["used"] + s).alias("used"), F.when(a["open"] & (a["used"] + s <= most), a["n"] + 1).otherwise(a["n"]).alias("n"), (a["open"] & (a["used"] + s <= most)).alias("open")), lambda a: a["n"])
+    return F.struct(F.slice(items, F.lit(1), fits).alias("items"), (fits < F.size(items)).alias("truncated"))
+
+
+def focused(exact: DataFrame, matched: DataFrame, chunk: str, line: str, order: str) -> DataFrame:
+    """chunk, lines: the lines to show of each chunk, those found word for word before those that a search matched, a line once."""
+    both = exact.select(chunk, line, order, F.lit(0).alias("_s")).unionByName(matched.select(chunk, line, order, F.lit(1).alias("_s")))
+    first = both.groupBy(chunk, line).agg(F.min(F.struct("_s", order)).alias("_at"))
+    return first.groupBy(chunk).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", line))), lambda x: x[line]).alias("lines"))
+
+
+def unused(retrieved: Column, cited_: Column) -> Column:
+    """Sites that a search found and the answer does not cite, each once."""
+    return F.array_sort(F.array_except(F.array_distinct(retrieved), cited_))
+
+
+def with_contacts(text: Column, status_: Column, names: Column, not_found: Column, partial: Column) -> Column:
+    """An answer that ends with the contacts that can help; one that was not found becomes a sentence about them. `{names}` stands for the names."""
+    filled = lambda t: F.replace(t, F.lit("{names}"), F.array_join(names, ", "))
+    return F.when(F.size(names) == 0, text).when(status_ == "not_found", filled(not_found)).when(status_ == "partial", F.concat_ws(" ", text, filled(partial))).otherwise(text)
+
+
+def gap_facts(answers: DataFrame, answer: str, asked: str, status_: str, missing: str, sites: str) -> DataFrame:
+    """What answers leave open: a row for each partial or missing answer, with its missing parts and sites as stable JSON."""
+    return answers.filter(F.col(status_).isin("partial", "not_found")).select(answer, asked, F.col(status_).alias("status"), F.to_json(F.array_distinct(missing)).alias("missing"), F.to_json(F.array_sort(F.array_distinct(sites))).alias("sites"))

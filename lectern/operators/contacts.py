@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.texts import emails, phones
@@ -58,3 +58,22 @@ def deduplicated(found: DataFrame) -> DataFrame:
     columns = [c for c in found.columns if c != "contact_id"]
     order = F.struct((~F.col("url").rlike(CONTACT_PAGE)).alias("p"), F.length("url").alias("n"), F.col("url").alias("u"), F.array_join("line_ids", ",").alias("l"))
     return found.groupBy("contact_id").agg(F.min_by(F.struct(*columns), order).alias("_c")).select("contact_id", "_c.*")
+
+
+#: Fixed value: what the names of a whole city's pages say in general.
+GENERAL = r"(?iuU)\b(Primăria|Primaria)( municipiului)? Chișinău|\bПримэри[яи]|\bМэри[яи] Кишин"
+
+
+def embed_text(name: Column, area: Column, about: Column) -> Column:
+    """What a card is found by: its name, area and description, without what many cards say."""
+    parts = [F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), GENERAL, ""), r"^[ .:|-]+|[ .:|-]+$", "") for c in (name, area, about)]
+    return F.array_join(F.filter(F.array(*parts), lambda p: p != ""), ". ")
+
+
+def picked(near: DataFrame, general: DataFrame, question: str, card: str, score: str, least: float, most: int = 2) -> DataFrame:
+    """The best `most` cards of each question at or above `least`; a question without any gets the general card (one row or none)."""
+    place = F.row_number().over(Window.partitionBy(question).orderBy(F.desc(score), card))
+    good = near.filter(F.col(score) >= least).withColumn("place", place).filter(F.col("place") <= most).select(question, card, "place")
+    rest = near.select(question).distinct().join(good.select(question).distinct(), question, "left_anti")
+    one = general.select(card).limit(1).withColumn("place", F.lit(1))
+    return good.unionByName(rest.withColumn("place", F.lit(1)).join(F.broadcast(one), "place").select(question, card, "place"))

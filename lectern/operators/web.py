@@ -14,6 +14,10 @@ DROPPED = "script style noscript template svg iframe nav footer aside form selec
 BLOCKS = {"h1": ("heading", 1), "h2": ("heading", 2), "h3": ("heading", 3), "h4": ("heading", 4), "h5": ("heading", 5), "h6": ("heading", 6), "li": ("list_item", None), "tr": ("table", None)}
 BREAKS = "p div section article main ul ol dl dt dd table tr li h1 h2 h3 h4 h5 h6 br hr blockquote pre header td th body html address figure figcaption".split()
 ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+#: A list of two items, the second a price in lei.
+PRICE_LIST = r"(?is)<ul\b[^>]*>\s*<li\b[^>]*>\s*([^<]*?)\s*</li>\s*<li\b[^>]*>\s*(\d[\d\s.,]*?)\s*(lei|mdl)\.?\s*</li>\s*</ul>"
+#: Rules of robots that may be broadcast.
+MOST_RULES = 100_000
 BOILERPLATE_SHARE, MIN_PAGES, MIN_PAGE_CHARS = 0.30, 3, 200
 
 
@@ -137,3 +141,51 @@ def ranked_pages(pages: DataFrame, site: str, order: list[Column | str], n: int)
     """The first n pages of each site, as its key pages."""
     w = Window.partitionBy(site).orderBy(*order)
     return pages.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= n)
+
+
+def allowed(pages: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
+    """`pages` with `allowed` and `delay` by the rules of their host: host, prefix, allow, delay. The longest prefix of the path and query counts, and
+    allowing on a tie; a page without a rule is allowed.
+
+    Prefixes of a path as long as a host's rules make the join an equality on host and prefix, so a host with any share of all pages is dealt by path.
+    """
+    target = F.concat(urls.part(F.col(url), "path"), F.when(urls.part(F.col(url), "query") == "", "").otherwise(F.concat(F.lit("?"), urls.part(F.col(url), "query"))))
+    lengths = rules.groupBy("host").agg(F.array_sort(F.collect_set(F.length("prefix"))).alias("_lengths"), F.max("delay").alias("delay"))
+    addresses = pages.select(url).distinct().select(url, urls.host(F.col(url)).alias("host"), F.when(target == "", "/").otherwise(target).alias("_t"))
+    cut = addresses.join(F.broadcast(lengths) if rules.limit(MOST_RULES + 1).count() <= MOST_RULES else lengths, "host", "left")
+    keys = cut.select(url, "host", F.explode(F.filter("_lengths", lambda n: n <= F.length("_t"))).alias("_n"), "_t").select(url, "host", F.substring("_t", F.lit(1), F.col("_n")).alias("prefix"), "_n")
+    best = keys.join(rules.select("host", "prefix", "allow"), ["host", "prefix"]).groupBy(url).agg(F.max(F.struct("_n", "allow")).alias("_best"))
+    verdict = cut.select(url, "delay").join(best, url, "left").select(url, F.coalesce("_best.allow", F.lit(True)).alias("allowed"), "delay")
+    return pages.join(verdict, url, "left")
+
+
+def embedded_records(html: Column) -> Column:
+    """Records that a page carries in hidden text areas: array<map<string,string>> of those with a title; nested values are JSON texts."""
+    islands = F.regexp_extract_all(html, F.lit(r"(?is)<textarea\b(?=[^>]*\shidden\b)[^>]*>(.*?)</textarea\s*>"), F.lit(1))
+    plain = lambda t: F.replace(F.replace(F.replace(F.replace(t, F.lit("&quot;"), F.lit('"')), F.lit("&lt;"), F.lit("<")), F.lit("&gt;"), F.lit(">")), F.lit("&amp;"), F.lit("&"))
+    records = F.flatten(F.transform(islands, lambda t: F.coalesce(F.from_json(plain(t), "array<map<string,string>>"), F.array().cast("array<map<string,string>>"))))
+    return F.filter(records, lambda r: r.isNotNull() & (F.trim(F.coalesce(F.try_element_at(r, F.lit("title")), F.lit(""))) != ""))
+
+
+def record_blocks(record: Column) -> Column:
+    """Blocks of an embedded record: array<struct<type,level,text>>: its title, its texts without tags, fee and term where no text tells the fees, its attachments."""
+    squashed = lambda t: F.regexp_replace(F.regexp_replace(t, r"(?U)\s+", " "), "^ | $", "")
+    block = lambda kind, text, level=None: F.struct(F.lit(kind).alias("type"), F.lit(level).cast("int").alias("level"), text.alias("text"))
+    filled = lambda c: F.coalesce(F.trim(c) != "", F.lit(False))
+    value = lambda k: F.try_element_at(record, F.lit(k))
+    texts = F.filter(F.map_entries(record), lambda e: e["key"].endswith("_html") & filled(e["value"]))
+    pieces = F.flatten(F.transform(texts, lambda e: F.filter(F.transform(F.split(F.regexp_replace(F.regexp_replace(e["value"], r"(?i)<(?:br|/?p|/?li|/?ul|/?ol|/?div)\b[^>]*>", "\x01"), "<[^>]*>", ""), "\x01"), squashed), lambda t: t != "")))
+    short = F.array(*[F.when(filled(value(k)) & ~filled(value("fees_html")), block("paragraph", F.concat(F.lit(label + ": "), squashed(value(k))))) for k, label in (("fee", "Tarif"), ("term", "Termen"))])
+    attached = F.coalesce(F.from_json(value("appendix"), "array<struct<title:string,url:string>>"), F.array().cast("array<struct<title:string,url:string>>"))
+    links = F.transform(F.filter(attached, lambda a: filled(a["url"])), lambda a: block("list_item", F.concat(F.when(filled(a["title"]), a["title"]).otherwise("Anexă"), F.lit(": "), a["url"])))
+    return F.concat(F.array(block("heading", squashed(value("title")), 2)), F.transform(pieces, lambda t: block("paragraph", t)), F.filter(short, lambda b: b.isNotNull()), links)
+
+
+def with_price_lines(html: Column) -> Column:
+    """A page whose lists of a label and a price are one labelled paragraph each."""
+    return F.regexp_replace(html, PRICE_LIST, "<p>$1: $2 $3</p>")
+
+
+def with_toggle_headings(html: Column) -> Column:
+    """A page whose toggle titles are headings."""
+    return F.regexp_replace(html, r"(?is)<summary\b[^>]*>(.*?)</summary\s*>", "<h3>$1</h3>")

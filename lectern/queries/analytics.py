@@ -140,27 +140,35 @@ def suggested_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, CASE WHEN length(text) < 80 AND before IS NOT NULL THEN substr(before, 1, 300) || chr(10) || text ELSE text END AS query FROM (
+SELECT conv_id, turn, CASE WHEN length(text) < 80 AND before IS NOT NULL THEN substr(before, 1, 300) || ' ' || text ELSE text END AS query FROM (
   SELECT conv_id, turn, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role = 'user')
 """)
 def followup_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = table(spark, sf_dir, "conversations").filter("role = 'user'")
     before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
-    joined = F.concat(F.substring(before, 1, 300), F.lit("\n"), F.col("text"))
+    joined = F.concat(F.substring(before, 1, 300), F.lit(" "), F.col("text"))
     return asked.select("conv_id", "turn", F.when((F.length("text") < 80) & before.isNotNull(), joined).otherwise(F.col("text")).alias("query"))
 
 
 @query("""
-SELECT conv_id, turn, coalesce(array_to_string(list_transform(list((role, substr(text, 1, 50))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), lambda x: x[1] || ': ' || x[2]), chr(10)), '') AS context FROM conversations
+SELECT conv_id, turn, coalesce(array_to_string(list_transform(list((role, substr(text, 1, 300))) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN 4 PRECEDING AND 1 PRECEDING), lambda x: x[1] || ': ' || x[2]), chr(10)), '') AS context FROM conversations
 """)
 def conversation_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The four turns before each turn, each cut to 50 characters."""
+    """The four turns before each turn, each cut to 300 characters."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-4, -1)
-    said = F.collect_list(F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 50))).over(w)
+    said = F.collect_list(F.concat(F.col("role"), F.lit(": "), F.substring("text", 1, 300))).over(w)
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(said, "\n").alias("context"))
 
 
-@query()
+@query("""
+WITH RECURSIVE e AS (SELECT label, vec_id, embedding::DOUBLE[] AS v, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS i FROM embeddings),
+r(label, i, vec_id, leader, heads) AS (
+  SELECT label, i, vec_id, vec_id, [{'id': vec_id, 'v': v}] FROM e WHERE i = 1
+  UNION ALL SELECT label, i, vec_id, coalesce(near, vec_id), CASE WHEN near IS NULL THEN list_append(heads, {'id': vec_id, 'v': v}) ELSE heads END
+  FROM (SELECT e.label, e.i, e.vec_id, e.v, r.heads, list_filter(r.heads, lambda h: list_dot_product(h.v, e.v) >= 0.6)[1].id AS near FROM r JOIN e ON e.label = r.label AND e.i = r.i + 1)
+)
+SELECT label, vec_id, leader FROM r
+""")
 def gap_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy leaders by label, oldest first."""
     return analytics.leaders(table(spark, sf_dir, "embeddings"), "label", ["vec_id"], "vec_id", "embedding", 0.6)
@@ -194,7 +202,19 @@ def unique_visitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.first_seen(table(spark, sf_dir, "events"), "user_id", "ts")
 
 
-@query()
+#: Accepted events by recursion: after an accepted event, the times of the last three accepted ones decide about the next.
+RATE_LIMITED = """
+WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
+r(user_id, i, event_id, recent, ok) AS (
+  SELECT user_id, i, event_id, [t], true FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.i, e.event_id, CASE WHEN len(list_filter(r.recent, lambda x: x > e.t - 21600000000)) < 3 THEN list_append(list_filter(r.recent, lambda x: x > e.t - 21600000000), e.t) ELSE r.recent END,
+    len(list_filter(r.recent, lambda x: x > e.t - 21600000000)) < 3 FROM r JOIN e ON e.user_id = r.user_id AND e.i = r.i + 1
+)
+SELECT user_id, event_id FROM r WHERE ok
+"""
+
+
+@query(RATE_LIMITED)
 def rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.accepted(table(spark, sf_dir, "events"), "user_id", "ts", "event_id", 3, 21600)
 
@@ -232,7 +252,7 @@ def index_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").agg(F.concat(F.max("ts").cast("string"), F.lit("/"), F.count(F.lit(1))).alias("version"))
 
 
-@query()
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5(doc_id || ':7'), doc_id) AS n FROM documents) WHERE n <= 10")
 def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.stratified(table(spark, sf_dir, "documents").select("doc_id", "source"), "source", 10, "doc_id", 7)
 
@@ -255,10 +275,21 @@ def low_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.low_rated(e, 3, "value", "_u", 25).select("user_id", "event_id", "value")
 
 
-@query()
+@query("""
+WITH RECURSIVE o AS (SELECT o_custkey, floor(epoch(o_orderdate))::BIGINT AS t0, o_orderkey, 100.0::DOUBLE * row_number() OVER w / count(*) OVER (PARTITION BY o_custkey) AS percent, min(floor(epoch(o_orderdate))::BIGINT) OVER (PARTITION BY o_custkey) AS began,
+  row_number() OVER w AS i FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)),
+r(o_custkey, i, t0, p, eta) AS (
+  SELECT o_custkey, i, t0, percent, NULL::DOUBLE FROM o WHERE i = 1
+  UNION ALL SELECT o.o_custkey, o.i, o.t0, o.percent, CASE WHEN o.t0 > o.began THEN CASE WHEN r.eta IS NULL THEN (100.0::DOUBLE - o.percent) * (o.t0 - o.began) / o.percent
+    ELSE 0.5::DOUBLE * ((100.0::DOUBLE - o.percent) * (o.t0 - o.began) / o.percent) + 0.5::DOUBLE * greatest(0.0::DOUBLE, r.eta - (o.t0 - r.t0)) END END
+  FROM r JOIN o ON o.o_custkey = r.o_custkey AND o.i = r.i + 1
+)
+SELECT o_custkey, t0 AS "at", round(eta, 4) AS eta FROM r
+""")
 def job_etas(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders of a customer as reports of a job, its lines as progress."""
-    orders = table(spark, sf_dir, "orders").select("o_custkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", F.unix_seconds(F.col("o_orderdate").cast("timestamp")).alias("at"))
     n = F.count(F.lit(1)).over(Window.partitionBy("o_custkey"))
-    done = F.row_number().over(Window.partitionBy("o_custkey").orderBy("at"))
-    return analytics.eta(orders.select("o_custkey", "at", (100.0 * done / n).alias("percent")), "o_custkey", "at", "percent")
+    done = F.row_number().over(Window.partitionBy("o_custkey").orderBy("at", "o_orderkey"))
+    out = analytics.eta(orders.select("o_custkey", "at", (100.0 * done / n).alias("percent")), "o_custkey", "at", "percent")
+    return out.select("o_custkey", F.col("at").cast("long").alias("at"), F.round("eta", 4).alias("eta"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions import acts, texts
 from lectern.operators import documents
+from lectern.queries.retrieval import _LINES
 from lectern.registry import query
 from lectern.session import table
 
@@ -115,7 +116,29 @@ def chunk_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "ord", "chunk_id", "content_hash", F.length("text").alias("n_chars"), "lang", "has_contacts")
 
 
-@query()
+@query(rf"""
+WITH RECURSIVE {_LINES},
+s AS (SELECT doc_id, idx, j, trim(parts[j]) AS t FROM (SELECT doc_id, idx, CASE WHEN length(line) > 400 THEN string_split(regexp_replace(line, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) ELSE [line] END AS parts FROM lines), LATERAL unnest(range(1, len(parts) + 1)) AS u(j) WHERE trim(parts[j]) <> ''),
+w AS (SELECT doc_id, idx, j, string_split_regex(t, '\s+') AS ws FROM s WHERE length(t) > 400),
+k(doc_id, idx, j, m, now, size, line) AS (
+  SELECT doc_id, idx, j, 1, ws[1], length(ws[1]) + 1, NULL::VARCHAR FROM w
+  UNION ALL SELECT w.doc_id, w.idx, w.j, m + 1, CASE WHEN now <> '' AND size + length(ws[m + 1]) + 1 > 350 THEN ws[m + 1] WHEN now = '' THEN ws[m + 1] ELSE now || ' ' || ws[m + 1] END,
+    CASE WHEN now <> '' AND size + length(ws[m + 1]) + 1 > 350 THEN length(ws[m + 1]) ELSE size + length(ws[m + 1]) + 1 END, CASE WHEN now <> '' AND size + length(ws[m + 1]) + 1 > 350 THEN now END
+  FROM k JOIN w ON w.doc_id = k.doc_id AND w.idx = k.idx AND w.j = k.j WHERE m < len(ws)
+),
+x AS (SELECT doc_id, idx, j, 0 AS m, t FROM s WHERE length(t) <= 400 UNION ALL SELECT doc_id, idx, j, m, line FROM k WHERE line IS NOT NULL
+  UNION ALL SELECT k.doc_id, k.idx, k.j, m + 1, now FROM k JOIN w ON w.doc_id = k.doc_id AND w.idx = k.idx AND w.j = k.j WHERE m = len(ws) AND now <> ''),
+p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY idx, j, m) AS p, count(*) OVER (PARTITION BY doc_id) AS n, t FROM x),
+r(doc_id, p, held, line) AS (
+  SELECT doc_id, p, CASE WHEN length(t) < 25 THEN t ELSE '' END, CASE WHEN length(t) >= 25 THEN t END FROM p WHERE p = 1
+  UNION ALL SELECT doc_id, p, CASE WHEN length(t) < 25 THEN t ELSE '' END, CASE WHEN length(t) >= 25 THEN t END FROM (SELECT p.doc_id, p.p, CASE WHEN r.held = '' THEN p.t ELSE r.held || ' ' || p.t END AS t FROM r JOIN p ON p.doc_id = r.doc_id AND p.p = r.p + 1)
+),
+o AS (SELECT doc_id, line, row_number() OVER (PARTITION BY doc_id ORDER BY p) - 1 AS idx, count(*) OVER (PARTITION BY doc_id) AS n FROM r WHERE line IS NOT NULL),
+h AS (SELECT r.doc_id, held FROM r JOIN p ON p.doc_id = r.doc_id AND p.p = r.p WHERE p.p = p.n AND held <> ''),
+f AS (SELECT o.doc_id, o.idx, CASE WHEN o.idx = o.n - 1 AND held IS NOT NULL THEN line || ' ' || held ELSE line END AS line FROM o LEFT JOIN h ON h.doc_id = o.doc_id
+  UNION ALL SELECT doc_id, 0, held FROM h WHERE doc_id NOT IN (SELECT doc_id FROM o))
+SELECT doc_id, idx::INT AS idx, sha1(doc_id || ':' || idx) AS line_id, sha1(line) AS content_hash, length(line)::INT AS n_chars FROM f
+""")
 def fine_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = documents.fine_lines(table(spark, sf_dir, "documents"), "doc_id")
     return found.select("doc_id", "idx", "line_id", "content_hash", F.length("line").alias("n_chars"))
