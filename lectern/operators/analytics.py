@@ -14,6 +14,7 @@ from lectern.session import shared_dir
 
 TIME_ZONE = "Europe/Chisinau"
 MILLION = 1_000_000
+LEADER_BLOCK = 4096
 
 
 def local_day(at: Column, zone: str = TIME_ZONE) -> Column:
@@ -118,36 +119,80 @@ def chosen(candidates: DataFrame, qualifies: Column, least: int = 2) -> DataFram
     return candidates.filter(fine & (F.col("asked_count") >= least))
 
 
-def leaders(rows: DataFrame, by: str, order: list[str], key: str, vector: str, threshold: float, strict: bool = False) -> DataFrame:
-    """key and leader: in order, a row joins the first leader that it is close to, else it leads.
+def leaders(rows: DataFrame, by: str, order: list[str], key: str, vector: str, threshold: float, strict: bool = False, block: int = LEADER_BLOCK) -> DataFrame:
+    """by, key and leader: in order, a row joins the first leader that it is close to, else it leads.
 
-    The result depends on order, so a partition of `by` is worked through in one task, in batches: a batch is compared with the leaders so far
-    by one matrix product; only leaders' vectors are held.
+    Rounds over written tables, each of bounded pieces. The first `block` rows of each group that are still open are close to no leader so far, so they settle among
+    themselves, in order; then all other open rows are compared, in pieces of `block`, with the leaders that came of it, and those close to one join the first of
+    them. A group is done after about as many rounds as it has blocks of leaders, and no task ever holds a group.
     """
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heads: dict[object, tuple[list, list]] = {}
-        for frame in frames:
-            if not len(frame):
-                continue
-            out = []
-            v = np.stack([np.asarray(x, float) for x in frame[vector]])
-            for i, (group, k) in enumerate(zip(frame[by], frame[key], strict=True)):
-                ids, vectors = heads.setdefault(group, ([], []))
-                near = -1
-                if ids:
-                    dots = np.asarray(vectors) @ v[i] if len(vectors) < 64 else np.concatenate([np.asarray(vectors[a : a + 4096]) @ v[i] for a in range(0, len(vectors), 4096)])
-                    close = np.flatnonzero(dots > threshold if strict else dots >= threshold)
-                    near = int(close[0]) if len(close) else -1
-                if near < 0:
-                    ids.append(k)
-                    vectors.append(v[i])
-                out.append(ids[near] if near >= 0 else k)
-            yield pd.DataFrame({by: frame[by], key: frame[key], "leader": out})
-
-    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in (by, key)) + f", leader {rows.schema[key].dataType.simpleString()}"
-    packed = rows.select(by, *dict.fromkeys([*order, key]), vector).repartition(by).sortWithinPartitions(by, *order, key)
-    return packed.select(by, key, vector).mapInPandas(run, kinds)
+    spark = rows.sparkSession
+    base = f"{shared_dir(spark)}/leaders-{uuid.uuid4().hex}"
+    kind = lambda c: rows.schema[c].dataType.simpleString()
+    place = F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate([*order, key])])
+    columns = ["_g", "_k", "_at", "_v"]
+
+    def put(name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(f"{base}/{name}")
+        return spark.read.parquet(f"{base}/{name}")
+
+    def near(v: np.ndarray, heads: np.ndarray) -> np.ndarray:
+        """The first head that each row is close to, or -1."""
+        dots = v @ heads.T
+        close = dots > threshold if strict else dots >= threshold
+        return np.where(close.any(1), close.argmax(1), -1)
+
+    def settle(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("_n")
+        v = np.stack([np.asarray(x, float) for x in frame["_v"]])
+        heads: list[int] = []
+        lead = []
+        for i in range(len(v)):
+            found = int(near(v[i : i + 1], v[heads])[0]) if heads else -1
+            if found < 0:
+                heads.append(i)
+            lead.append(i if found < 0 else heads[found])
+        return frame.assign(_leader=frame["_k"].to_numpy()[lead], _head=np.array(lead) == np.arange(len(v)))
+
+    def compare(left: pd.DataFrame, heads: pd.DataFrame) -> pd.DataFrame:
+        if not len(left):
+            return left.assign(_leader=None)[["_g", "_k", "_at", "_v", "_leader"]].iloc[:0]
+        found = np.full(len(left), -1)
+        if len(heads):
+            heads = heads.sort_values("_n")
+            found = near(np.stack([np.asarray(x, float) for x in left["_v"]]), np.stack([np.asarray(x, float) for x in heads["_v"]]))
+            names = heads["_k"].to_numpy()[found]
+        out = left[["_g", "_k", "_at", "_v"]].copy()
+        out["_leader"] = pd.Series([names[i] if f >= 0 else None for i, f in enumerate(found)], index=out.index, dtype=object)
+        return out
+
+    # rows are dealt to pieces by hash, as many pieces as a group's size asks for
+    packed = rows.select(F.col(by).alias("_g"), F.col(key).alias("_k"), place.alias("_at"), F.col(vector).alias("_v"))
+    open_ = put("open-0", packed)
+    schema = f"_g {kind(by)}, _k {kind(key)}, _at {packed.schema['_at'].dataType.simpleString()}, _v {kind(vector)}"
+    done = []
+    number = 0
+    while not open_.isEmpty():
+        first = F.row_number().over(Window.partitionBy("_g").orderBy("_at"))
+        top = open_.withColumn("_n", first).filter(F.col("_n") <= block)
+        settled = put(f"settled-{number}", top.groupBy("_g").applyInPandas(settle, f"{schema}, _n int, _leader {kind(key)}, _head boolean"))
+        done.append(settled.select("_g", "_k", "_leader"))
+        sizes = open_.groupBy("_g").agg(F.count(F.lit(1)).alias("_size")).filter(F.col("_size") > block)
+        if sizes.isEmpty():
+            break
+        pieces = sizes.select("_g", F.ceil(F.col("_size") / block).cast("int").alias("_pieces"))
+        ends = settled.groupBy("_g").agg(F.max("_at").alias("_end"))
+        left = open_.join(pieces, "_g").join(ends, "_g").filter(F.col("_at") > F.col("_end"))
+        left = left.withColumn("_piece", F.pmod(F.xxhash64("_k"), F.col("_pieces"))).select(*columns, "_piece")
+        heads = settled.filter("_head").join(pieces, "_g").withColumn("_piece", F.explode(F.sequence(F.lit(0), F.col("_pieces") - 1))).select("_g", "_k", "_v", "_n", "_piece")
+        met = put(f"met-{number}", left.groupBy("_g", "_piece").cogroup(heads.groupBy("_g", "_piece")).applyInPandas(compare, f"{schema}, _leader {kind(key)}"))
+        done.append(met.filter("_leader is not null").select("_g", "_k", "_leader"))
+        open_ = met.filter("_leader is null").drop("_leader")
+        number += 1
+    out = spark.createDataFrame([], f"_g {kind(by)}, _k {kind(key)}, _leader {kind(key)}")
+    for part in done:
+        out = out.unionByName(part)
+    return out.select(F.col("_g").alias(by), F.col("_k").alias(key), F.col("_leader").alias("leader"))
 
 
 def gap_items(members: DataFrame, group: str, order: list[str], status: str, missing: Column, sites: Column, most_missing: int = 10) -> DataFrame:

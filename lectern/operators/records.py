@@ -118,9 +118,19 @@ def versions(history: DataFrame, key: str, order: str, sha: str) -> DataFrame:
 
 
 def primary_documents(rows: DataFrame, sha: str, discovered: str, key: str) -> DataFrame:
-    """One row a content: the one found first, with all its addresses in order of discovery."""
+    """One row a content: the address found first, and how many it has. A grouped minimum, whatever the number of addresses."""
     first = F.min(F.struct(discovered, key))
-    return rows.groupBy(sha).agg(first[key].alias("primary"), F.transform(F.array_sort(F.collect_list(F.struct(discovered, key))), lambda s: s[key]).alias("sources"))
+    return rows.groupBy(sha).agg(first[key].alias("primary"), F.count(F.lit(1)).alias("addresses"))
+
+
+def active_sources(documents: DataFrame, files: DataFrame, sources: DataFrame, sha: str, key: str, depth: str) -> DataFrame:
+    """Addresses of documents that are downloaded and parsed, with `primary` for the one of each content that stands least deep, unknown depths last, then by key.
+
+    documents: key, sha, status; files: sha, parsed; sources: key, depth.
+    """
+    ready = documents.filter("status = 'downloaded'").join(files.filter("parsed").select(sha), sha, "left_semi").join(sources.select(key, depth), key, "left")
+    best = ready.groupBy(sha).agg(F.min(F.struct(F.col(depth).isNull().alias("u"), F.col(depth).alias("d"), F.col(key).alias("k"))).alias("_b"))
+    return ready.join(best, sha).withColumn("primary", F.col(key) == F.col("_b.k")).drop("_b")
 
 
 def next_check(next_at: Column, last_at: Column, now: Column) -> Column:

@@ -86,11 +86,23 @@ def version_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.versions(history, "l_suppkey", "at", "l_returnflag").groupBy("l_suppkey").agg(F.max("version").cast("long").alias("versions"))
 
 
-@query("SELECT sha1(text) AS hash, min(doc_id) AS \"primary\", array_to_string(list(doc_id ORDER BY doc_id), ',') AS sources FROM documents GROUP BY 1")
+@query("SELECT sha1(text) AS hash, min(doc_id) AS \"primary\", count(*) AS addresses FROM documents GROUP BY 1")
 def primary_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.sha1("text").alias("hash"), F.col("doc_id").alias("found"), "doc_id")
-    out = records.primary_documents(docs, "hash", "found", "doc_id")
-    return out.withColumn("sources", F.array_join(F.transform("sources", lambda x: x.cast("string")), ","))
+    return records.primary_documents(docs, "hash", "found", "doc_id")
+
+
+@query("""
+WITH d AS (SELECT doc_id, sha1(text) AS hash, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE n_chars % 5 END AS depth FROM documents WHERE doc_id % 3 <> 0),
+f AS (SELECT sha1(text) AS hash FROM documents GROUP BY 1 HAVING bool_or(doc_id % 2 = 0))
+SELECT doc_id, hash, depth, row_number() OVER (PARTITION BY hash ORDER BY depth NULLS LAST, doc_id) = 1 AS "primary" FROM d WHERE hash IN (SELECT hash FROM f)
+""")
+def active_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of parsed contents, by depth; texts stand in for files."""
+    k = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha1("text").alias("hash"), F.when(k % 3 == 0, "failed").otherwise("downloaded").alias("status"), F.when(k % 7 != 0, F.col("n_chars") % 5).alias("depth"))
+    files = docs.groupBy("hash").agg(F.bool_or(k % 2 == 0).alias("parsed"))
+    return records.active_sources(docs.select("doc_id", "hash", "status"), files, docs.select("doc_id", "depth"), "hash", "doc_id", "depth").select("doc_id", "hash", "depth", "primary")
 
 
 @query("""

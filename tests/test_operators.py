@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import uuid
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -102,6 +103,22 @@ def test_leaders_are_greedy(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 4}
 
 
+@pytest.mark.parametrize("block", [3, 16, 4096])
+def test_leaders_of_large_groups_settle_in_rounds(spark, block):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(90, 4))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = [(int(i), "a" if i % 3 else "b", int(rng.integers(0, 5)), v[i].tolist()) for i in range(90)]
+    df = spark.createDataFrame(rows, "k int, grp string, o int, v array<double>").repartition(3)
+    want = {}
+    heads: dict = {"a": [], "b": []}
+    for k, g, _, x in sorted(rows, key=lambda r: (r[2], r[0])):
+        want[k] = next((h for h, y in heads[g] if np.dot(x, y) >= 0.8), k)
+        if want[k] == k:
+            heads[g].append((k, x))
+    assert {r["k"]: r["leader"] for r in analytics.leaders(df, "grp", ["o"], "k", "v", 0.8, block=block).collect()} == want
+
+
 def test_rejected_hits_do_not_count(spark):
     rows = [(1, i, t) for i, t in enumerate([0, 1, 2, 3, 59, 60, 61, 62])]
     df = spark.createDataFrame(rows, "user_id long, event_id long, s long").withColumn("ts", F.timestamp_seconds("s"))
