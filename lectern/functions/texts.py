@@ -54,6 +54,13 @@ def detected_language(text: Column) -> Column:
     )
 
 
+def question_language(text: Column, chosen: Column, letters: int = 5) -> Column:
+    """The language of a question; of one with fewer than `letters` letters, and of Ukrainian ones, that of the page it is asked on and Russian."""
+    n = script_counts(text)
+    found = detected_language(text)
+    return F.when(n["cyrillic"] + n["latin"] < letters, chosen).otherwise(F.when(found == "uk", "ru").otherwise(F.coalesce(found, chosen)))
+
+
 def language_code(code: Column, fallback: Column) -> Column:
     """A two-letter code from a tag such as ru-RU or ron, else the language of a fallback text, else ro."""
     head = F.split_part(F.translate(F.lower(F.trim(code)), "_", "-"), F.lit("-"), F.lit(1))

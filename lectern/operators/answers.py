@@ -169,3 +169,15 @@ def with_contacts(text: Column, status_: Column, names: Column, not_found: Colum
 def gap_facts(answers: DataFrame, answer: str, asked: str, status_: str, missing: str, sites: str) -> DataFrame:
     """What answers leave open: a row for each partial or missing answer, with its missing parts and sites as stable JSON."""
     return answers.filter(F.col(status_).isin("partial", "not_found")).select(answer, asked, F.col(status_).alias("status"), F.to_json(F.array_distinct(missing)).alias("missing"), F.to_json(F.array_sort(F.array_distinct(sites))).alias("sites"))
+
+
+def windows(lines: DataFrame, hits: DataFrame, source: str, number: str, place: str, most: int = 2, wide: int = 5, narrow: int = 2, first: int = 4) -> DataFrame:
+    """Lines of each source around its best `most` hits: `wide` lines about them in the first sources, `narrow` in the others; a source without hits shows its beginning.
+
+    lines: source, number (from 1), place (of the source, from 1); hits: source, number, rank.
+    """
+    best = hits.withColumn("_p", F.row_number().over(Window.partitionBy(source).orderBy("rank", number))).filter(F.col("_p") <= most).select(source, F.col(number).alias("_hit"))
+    near = best.groupBy(source).agg(F.collect_list("_hit").alias("_hits"))  # at most `most` numbers
+    radius = F.when(F.col(place) <= first, wide).otherwise(narrow)
+    known = F.coalesce("_hits", F.array(F.lit(1).cast(lines.schema[number].dataType)))
+    return lines.join(near, source, "left").filter(F.exists(known, lambda h: F.abs(F.col(number) - h) <= radius)).drop("_hits")

@@ -111,8 +111,21 @@ def mentions(lines_: DataFrame, texts: Sequence[str], known: DataFrame | None =
 
 
 def next_items(rows: DataFrame, key: str, order: str, item: str) -> DataFrame:
-    """Every row with the item that follows it in its document."""
-    return rows.withColumn(f"next_{item}", F.lead(item).over(Window.partitionBy(key).orderBy(order)))
+    """Every row with the item that follows it in its document.
+
+    Rows are dealt by ranges of document and order and written, so a document of any size is spread; the first rows of the ranges (one a range) tell what follows
+    their last rows.
+    """
+    spark = rows.sparkSession
+    path = f"{shared_dir(spark)}/following-{uuid.uuid4().hex}"
+    rows.repartitionByRange(key, order).withColumn("_range", F.spark_partition_id()).write.parquet(path)
+    dealt = spark.read.parquet(path)
+    first = dealt.groupBy("_range").agg(F.min(F.struct(F.col(key).alias("k"), F.col(order).alias("o"), F.col(item).alias("x"))).alias("_f"))
+    after = first.select("_range", F.lead("_f").over(Window.orderBy("_range")).alias("_after"))
+    within = F.lead(F.struct(F.col(key).alias("k"), F.col(item).alias("x"))).over(Window.partitionBy("_range").orderBy(key, order))
+    met = dealt.withColumn("_next", within).join(F.broadcast(after), "_range")
+    follows = F.coalesce("_next", F.struct("_after.k", "_after.x"))
+    return met.withColumn(f"next_{item}", F.when(follows["k"].eqNullSafe(F.col(key)), follows["x"])).select(*rows.columns, f"next_{item}")
 
 
 def postings(texts: DataFrame, key: str, text: str = "text", language: Column | None = None) -> DataFrame:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.operators.corpus import next_items
+
 DIMENSIONS = 64
 
 
@@ -46,7 +48,8 @@ def embedded(rows: DataFrame, cache: DataFrame, embed: Callable[[list[str]], np.
 
 def continued(results: DataFrame, chunks: DataFrame, query: str, order: str, doc: str, position: str, text: str) -> DataFrame:
     """Results of each question with the next chunk of a document put in after one that ends with a colon, unless it is a result already."""
-    following = chunks.withColumn("_next", F.lead(F.struct(position, text)).over(Window.partitionBy(doc).orderBy(position))).select(doc, position, "_next")
+    items = chunks.select(doc, position, F.struct(position, text).alias("_item"))
+    following = next_items(items, doc, position, "_item").select(doc, position, F.col("next__item").alias("_next"))
     base = results.withColumn("continuation", F.lit(False)).withColumn("_half", F.lit(0))
     more = results.filter(F.rtrim(text).endswith(":")).join(following, [doc, position]).filter("_next is not null")
     more = more.select(query, order, doc, F.col(f"_next.{position}").alias(position), F.col(f"_next.{text}").alias(text), F.lit(True).alias("continuation"), F.lit(1).alias("_half"))

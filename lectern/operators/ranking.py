@@ -144,7 +144,9 @@ def first_wins(df: DataFrame, key: Column, *order: Column | str) -> DataFrame:
     if not order:
         raise ValueError("an order is needed")
     first = F.row_number().over(Window.partitionBy("_key").orderBy(*order))
-    return keyed.withColumn("_n", first).filter("_n = 1 or _key is null").drop("_n", "_key")
+    # rows without a key need no comparison, so they stay where they are
+    once = keyed.filter("_key is not null").withColumn("_n", first).filter("_n = 1").drop("_n")
+    return once.unionByName(keyed.filter("_key is null")).drop("_key")
 
 
 def newest_first(df: DataFrame, date: str, order: str) -> list[Column]:

@@ -1,3 +1,3 @@
 """Registered queries of the engine, by subject."""
 
-from lectern.queries import analytics, answers, documents, records, retrieval, rules, streams, web  # noqa: F401
+from lectern.queries import analytics, answers, checks, documents, records, retrieval, rules, streams, web  # noqa: F401

@@ -131,12 +131,12 @@ def hybrid_retrieve(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH r AS (SELECT source, doc_id, text FROM documents WHERE doc_id % 3 = 0),
 n AS (SELECT source, doc_id, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next FROM documents),
 a AS (SELECT source, doc_id, doc_id AS o, false AS continuation FROM r UNION ALL
-  SELECT r.source, n.next, r.doc_id, true FROM r JOIN n ON n.source = r.source AND n.doc_id = r.doc_id WHERE r.doc_id % 2 = 0 AND n.next IS NOT NULL AND n.next % 3 <> 0)
+  SELECT r.source, n.next, r.doc_id, true FROM r JOIN n ON n.source = r.source AND n.doc_id = r.doc_id WHERE (r.doc_id % 2 = 0 OR suffix(rtrim(r.text), ':')) AND n.next IS NOT NULL AND n.next % 3 <> 0)
 SELECT source, doc_id, continuation, row_number() OVER (PARTITION BY source ORDER BY o, continuation)::INT AS place FROM a
 """)
 def continuations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third document as a result; those with an even id are made to end with a colon."""
-    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 2 == 0, "it follows:").otherwise("it ends.").alias("text"))
+    docs = table(spark, sf_dir, "documents").select("source", "doc_id", F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(": "))).otherwise(F.col("text")).alias("text"))
     results = docs.filter("doc_id % 3 = 0").select(F.col("source").alias("q"), F.col("doc_id").alias("o"), "source", "doc_id", "text")
     return continued(results, docs, "q", "o", "source", "doc_id", "text").select("source", "doc_id", "continuation", "place")
 
