@@ -221,17 +221,21 @@ def parse(lines: DataFrame, model: Model, block_lines: int = BLOCK_LINES) -> Dat
         for frame, starts in _runs(frames):
             obs, before, last = (frame[c].to_numpy() for c in ("_obs", "_before", "_last"))
             states, rows, changed = [], [], []
-            for a, b in zip(starts, starts[1:], strict=False):
-                found = decoded(obs[a:b], shared.value, int(before[a]), int(last[a]))
+            for a, b in zip(starts, starts[1:], strict=False):  # the row at a tells the borders of the block
+                found = decoded(obs[a + 1 : b], shared.value, int(before[a]), int(last[a]))
                 states.append(found)
-                rows.append(np.arange(b - a))
+                rows.append(np.arange(b - a - 1))
                 changed.append(np.concatenate(([int(before[a])], found[:-1])) != found)
             states = np.concatenate(states)
+            frame = frame.drop(frame.index[starts[:-1]])
             opens = np.concatenate(changed) | (frame["_mark"].to_numpy() == states)
             yield pd.DataFrame({"_key": frame["_key"].to_numpy(), "_block": frame["_block"].to_numpy(), "_row": np.concatenate(rows), "_line": frame["_line"].to_numpy(), "role": np.array(ROLES)[states], "opens": opens})
 
-    joined = blocks.join(fixed, ["_key", "_block"]).repartition("_key", "_block").sortWithinPartitions(*sort).drop("_at")
-    return _written(joined.mapInPandas(decode, f"_key {kind}, _block long, _row int, _line string, role string, opens boolean"))
+    # borders come as a first row of each block: a join by the keys of the repartition would stand in for it, and may become a broadcast that leaves lines where they are
+    no = lambda c: F.lit(None).cast(blocks.schema[c].dataType).alias(c)
+    heads = fixed.select("_key", "_block", no("_at"), no("_line"), F.lit(-1).alias("_obs"), F.lit(-1).alias("_mark"), "_before", "_last")
+    met = blocks.withColumns({"_before": F.lit(-1), "_last": F.lit(-1)}).unionByName(heads).repartition("_key", "_block").sortWithinPartitions(*sort).drop("_at")
+    return _written(met.mapInPandas(decode, f"_key {kind}, _block long, _row int, _line string, role string, opens boolean"))
 
 
 def turns(parsed: DataFrame) -> DataFrame:

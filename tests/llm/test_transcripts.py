@@ -37,9 +37,9 @@ def test_markers(spark):
     assert [C.KINDS[k] for k in got] == ["user", "assistant", "assistant", "system", "user", "none", "none", "assistant", "none", "user"]
 
 
-@pytest.mark.parametrize("block_lines", [1, 7, 4096])
-def test_roles_of_held_out_conversations(spark, sf, block_lines):
-    talks = spark.read.parquet(f"{sf}/conversations.parquet")
+@pytest.mark.parametrize("block_lines,parts,size", [(1, 1, "sf0.001"), (7, 1, "sf0.001"), (4096, 1, "sf0.001"), (4096, 6, "sf0.1"), (20, 6, "sf0.1")])
+def test_roles_of_held_out_conversations(spark, block_lines, parts, size):
+    talks = spark.read.parquet(f"/root/testdata/{size}/conversations.parquet").repartition(parts)
     lines = C.lines_of(C.as_transcript(talks), "conv_id", ["turn"], "text", "role")
     m = C.fit(lines.filter("_key % 5 != 0"))
     parsed = C.parse(lines, m, block_lines).collect()
