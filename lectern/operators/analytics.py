@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lectern.session import shared_dir
+from lectern.session import dealt, shared_dir
 
 TIME_ZONE = "Europe/Chisinau"
 MILLION = 1_000_000
@@ -260,7 +260,7 @@ def accepted(events: DataFrame, key: str, at: str, ident: str, limit: int, secon
                     recent.append(t)
             yield frame.loc[keep, [key, ident]]
 
-    rows = events.select(key, ident, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_t")).repartition(key).sortWithinPartitions(key, "_t", ident)
+    rows = dealt(events.select(key, ident, (F.unix_micros(F.col(at).cast("timestamp")) / 1e6).alias("_t")), [key], ["_t", ident])
     return rows.mapInPandas(run, f"{key} {events.schema[key].dataType.simpleString()}, {ident} {events.schema[ident].dataType.simpleString()}")
 
 

@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lectern.session import dealt
+
 
 def greedy_budget(df: DataFrame, query: str, order: str, item: str, size: str, most: int) -> DataFrame:
     """Items of each question taken in order while they fit; one that does not is skipped and smaller ones may still fit; the first is always taken.
@@ -31,7 +33,8 @@ def greedy_budget(df: DataFrame, query: str, order: str, item: str, size: str, m
             yield pa.RecordBatch.from_arrays([kept.column(0), pa.array(numbers, pa.int32()), kept.column(1), kept.column(2)], [query, "source_no", item, size])
 
     kind = lambda c: df.schema[c].dataType.simpleString()
-    rows = df.select(F.col(query).alias("_q"), F.col(item).alias("_i"), F.col(size).cast("long").alias("_s"), F.col(order).alias("_o")).repartition("_q").sortWithinPartitions("_q", "_o", "_i", "_s")
+    rows = df.select(F.col(query).alias("_q"), F.col(item).alias("_i"), F.col(size).cast("long").alias("_s"), F.col(order).alias("_o"))
+    rows = dealt(rows, ["_q"], ["_o", "_i", "_s"])
     return rows.select("_q", "_i", "_s").mapInArrow(run, f"`{query}` {kind(query)}, source_no int, `{item}` {kind(item)}, `{size}` long")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +52,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """`df` materialised in the shared folder with its lineage cut; survives lost executors."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def dealt(df: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """`df` with all rows of a key in one partition, sorted by key and order, for work that streams over them.
+
+    The rows are written first: if `df` were a join by the same keys, the planner would leave its partitioning in place of the new one, and
+    adaptive execution may then turn the join into a broadcast that deals nothing.
+    """
+    path = f"{shared_dir(df.sparkSession)}/dealt-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path).repartition(*by).sortWithinPartitions(*by, *order)
