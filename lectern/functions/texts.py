@@ -5,6 +5,7 @@ Patterns are Unicode-aware: (?U) makes \\w, \\b and \\d so, (?iu) folds case bey
 
 from __future__ import annotations
 
+import html.entities as entities
 import unicodedata
 from collections.abc import Callable
 
@@ -140,6 +141,28 @@ def folded(text: Column) -> Column:
     return unaccented(F.lower(text))
 
 
+def _names() -> Column:
+    """Names of single characters below U+3000, with their semicolons."""
+    pairs = [(n, c) for n, c in entities.html5.items() if n.endswith(";") and len(c) == 1 and ord(c) < 0x3000 and len(n) <= 9]
+    return F.map_from_arrays(F.lit([n for n, _ in pairs]), F.lit([c for _, c in pairs]))
+
+
+def unescaped(text: Column) -> Column:
+    """Character references decoded once: decimal, hexadecimal and named ones; unknown ones stay."""
+    pattern = r"&(?:#[0-9]{1,7}|#[xX][0-9a-fA-F]{1,6}|[a-zA-Z][a-zA-Z0-9]{1,7});"
+    names = _names()
+
+    def decoded(ref: Column) -> Column:
+        body = F.substring(ref, 2, 100)
+        code = F.when(body.rlike("^#[xX]"), F.conv(F.regexp_extract(body, "^#[xX](.*);$", 1), 16, 10)).when(body.startswith("#"), F.regexp_extract(body, "^#(.*);$", 1)).try_cast("int")
+        valid = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.coalesce(F.when(valid, F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")), F.try_element_at(names, body), ref)
+
+    parts = F.split(text, pattern, -1)
+    refs = F.concat(F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), decoded), F.array(F.lit("")))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(F.zip_with(parts, refs, lambda a, b: F.concat(a, b)), "")).otherwise(text)
+
+
 def parsed_time(text: Column) -> Column:
     """The instant of an ISO 8601 text; one without a zone is UTC, anything else is null."""
     ok = F.trim(text).rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?)?$")

@@ -6,14 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import urls
-from lectern.functions.texts import has_contacts
+from lectern.functions.texts import collapsed, has_contacts, unescaped
 from lectern.operators.documents import with_sections
 
 # Elements whose content is no text of a page, and elements that begin and end a block.
 DROPPED = "script style noscript template svg iframe nav footer aside form select button".split()
 BLOCKS = {"h1": ("heading", 1), "h2": ("heading", 2), "h3": ("heading", 3), "h4": ("heading", 4), "h5": ("heading", 5), "h6": ("heading", 6), "li": ("list_item", None), "tr": ("table", None)}
 BREAKS = "p div section article main ul ol dl dt dd table tr li h1 h2 h3 h4 h5 h6 br hr blockquote pre header td th body html address figure figcaption".split()
-ENTITIES = {"&nbsp;": " ", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 #: A list of two items, the second a price in lei.
 PRICE_LIST = r"(?is)<ul\b[^>]*>\s*<li\b[^>]*>\s*([^<]*?)\s*</li>\s*<li\b[^>]*>\s*(\d[\d\s.,]*?)\s*(lei|mdl)\.?\s*</li>\s*</ul>"
 #: Rules of robots that may be broadcast.
@@ -32,9 +31,7 @@ def blocks(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tup
     body = F.regexp_replace(body, rf"(?i)<({'|'.join(BLOCKS)})\b[^>]*>", "\x01$1\x02")
     body = F.regexp_replace(body, rf"(?i)</?(?:{'|'.join(BREAKS)})\b[^>]*>", "\x01")
     body = F.regexp_replace(body, r"<[a-zA-Z/!][^>]*>", "")
-    for name, char in ENTITIES.items():
-        body = F.replace(body, F.lit(name), F.lit(char))
-    pieces = F.transform(F.split(body, "\x01", -1), lambda p: F.struct(F.lower(F.when(F.contains(p, F.lit("\x02")), F.split_part(p, F.lit("\x02"), F.lit(1))).otherwise("")).alias("tag"), F.regexp_replace(F.regexp_replace(F.regexp_replace(p, "^[^\x02]*\x02", ""), r"\s+", " "), "^ | $", "").alias("text")))
+    pieces = F.transform(F.split(body, "\x01", -1), lambda p: F.struct(F.lower(F.when(F.contains(p, F.lit("\x02")), F.split_part(p, F.lit("\x02"), F.lit(1))).otherwise("")).alias("tag"), collapsed(unescaped(F.regexp_replace(p, "^[^\x02]*\x02", ""))).alias("text")))
     rows = pages.select(key, *keep, F.posexplode(F.filter(pieces, lambda p: p["text"] != "")).alias("id", "_b"))
     kinds, levels = F.lit("paragraph"), F.lit(None).cast("int")
     for tag, (kind, level) in BLOCKS.items():

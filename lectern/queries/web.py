@@ -16,6 +16,10 @@ _KEY = f"regexp_replace(lower({_part(2)}), '^www\\.', '') || CASE WHEN {_part(3)
 _HOST = f"lower({_part(2)})"
 
 
+#: The references of the given pages, for the SQL.
+_REFERENCES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
+
+
 def _blocks_sql() -> str:
     body = r"regexp_replace(html, '(?is)<!--.*?-->|<head\b.*?</head\s*>', '', 'g')"
     for t in web.DROPPED:
@@ -23,7 +27,7 @@ def _blocks_sql() -> str:
     body = rf"regexp_replace({body}, '(?i)<({'|'.join(web.BLOCKS)})\b[^>]*>', chr(1) || '\1' || chr(2), 'g')"
     body = rf"regexp_replace({body}, '(?i)</?(?:{'|'.join(web.BREAKS)})\b[^>]*>', chr(1), 'g')"
     body = rf"regexp_replace({body}, '<[a-zA-Z/!][^>]*>', '', 'g')"
-    for name, char in web.ENTITIES.items():
+    for name, char in _REFERENCES.items():
         body = f"replace({body}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
     kind = "CASE " + " ".join(f"WHEN tag = '{t}' THEN '{k}'" for t, (k, _) in web.BLOCKS.items()) + " ELSE 'paragraph' END"
     level = "CASE " + " ".join(f"WHEN tag = '{t}' THEN {n}" for t, (_, n) in web.BLOCKS.items() if n) + " END"

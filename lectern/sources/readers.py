@@ -16,9 +16,9 @@ PARSED_DOCUMENT = (
 
 
 def html_files(spark: SparkSession, path: str) -> DataFrame:
-    """path and html of crawled pages, bytes taken as UTF-8."""
+    """path and html of crawled pages, bytes taken as UTF-8; bytes that are none become replacement characters."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.html").option("recursiveFileLookup", "true").load(path)
-    return files.select("path", F.col("content").cast("string").alias("html"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("html"))
 
 
 def parsed_documents(spark: SparkSession, path: str) -> DataFrame:

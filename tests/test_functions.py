@@ -99,3 +99,13 @@ def test_vectors(spark):
     df = spark.createDataFrame([([3.0, 4.0], [4.0, 3.0]), ([0.0, 0.0], [1.0, 0.0]), (None, [1.0, 0.0])], "a array<double>, b array<double>")
     assert [r[0] for r in df.select(vectors.cosine(F.col("a"), F.col("b"))).collect()] == [pytest.approx(0.96), None, None]
     assert df.select(vectors.normalised(F.col("a"))).first()[0] == [pytest.approx(0.6), pytest.approx(0.8)]
+
+
+def test_character_references(spark):
+    import html
+
+    texts_ = ["a &amp; b", "&#233;&#xE9;&eacute;", "&amp;lt; &bad; & &#0; &#x110000; &copy;&nbsp;x", "none", "&#128512;", "&hellip;&mdash;&laquo;&raquo;", "&;&#;&#x;"]
+    df = spark.createDataFrame([(t,) for t in texts_], "t string")
+    got = [r[0] for r in df.select(texts.unescaped(F.col("t"))).collect()]
+    assert got[:2] == [html.unescape(t) for t in texts_[:2]] and got[3:] == [html.unescape(t) for t in texts_[3:]]
+    assert got[2] == "&lt; &bad; & &#0; &#x110000; ©\xa0x"
