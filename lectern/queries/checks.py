@@ -10,6 +10,7 @@ from lectern.operators import answers, corpus, ranking, records, web
 from lectern.queries.retrieval import _LINES
 from lectern.registry import query
 from lectern.session import table
+from lectern.sources import readers
 
 _LATIN, _CYRILLIC = "len(regexp_extract_all({0}, '\\p{{Latin}}'))", "len(regexp_extract_all({0}, '\\p{{Cyrillic}}'))"
 
@@ -228,3 +229,12 @@ def untranslated_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("conv_id") % 3
     quotes = table(spark, sf_dir, "conversations").select(F.col("text").alias("quote"), F.when(k == 0, "ro").when(k == 1, "ru").otherwise("en").alias("quote_lang"), F.when(F.col("turn") % 2 == 1, "done").alias("translation"))
     return answers.untranslated(quotes, F.lit("ro"))
+
+
+@query("""
+SELECT doc_id % 4 AS pair, count(*) AS measured FROM (SELECT d.doc_id, quality, toxic FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id) WHERE quality IS DISTINCT FROM 0 AND toxic IS DISTINCT FROM 1 GROUP BY 1
+""")
+def measured_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases made of documents, without negative ones (of low quality) and those taken out (toxic)."""
+    cases = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left").select("doc_id", (F.col("quality") == 0).alias("is_negative"), (F.col("toxic") == 1).alias("exclude_from_metric"))
+    return readers.measured(cases).groupBy((F.col("doc_id") % 4).alias("pair")).agg(F.count(F.lit(1)).alias("measured"))

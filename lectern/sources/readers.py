@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions.texts import markdown_table
+
 BLOCK = (
     "struct<id:int,type:string,level:int,text:string,marker:string,page:int,section:array<string>,lang:string,has_contacts:boolean,header:array<string>,rows:array<array<string>>,"
     "bboxes:array<struct<page:int,l:double,t:double,r:double,b:double,origin:string>>>"
@@ -66,12 +68,28 @@ def site_settings(spark: SparkSession, toml_text: str) -> DataFrame:
     import tomllib
 
     found = tomllib.loads(toml_text)
-    base = {"max_pages": 1000, "max_depth": 5, "delay": 1.0} | found.get("defaults", {})
+    base = {"max_pages": 2000, "max_depth": 4, "delay": 0.5} | found.get("defaults", {})
     rows = [base | s for s in found.get("sites", [])]
     return spark.createDataFrame([(r["id"], r["url"], int(r["max_pages"]), int(r["max_depth"]), float(r["delay"])) for r in rows], "id string, url string, max_pages int, max_depth int, delay double")
 
 
+EVALUATION_CASE = "id string, query string, query_lang string, line_lang string, gold_line_id string, gold_chunk_id string, site string, is_negative boolean, exclude_from_metric boolean"
+
+
+def evaluation_cases(spark: SparkSession, yaml_text: str) -> DataFrame:
+    """Cases of an evaluation set, a list in YAML of some dozens of entries, parsed on the driver; other fields of a case are left out."""
+    import yaml
+
+    names = [c.split()[0] for c in EVALUATION_CASE.split(", ")]
+    return spark.createDataFrame([tuple(case.get(n) for n in names) for case in yaml.safe_load(yaml_text) or []], EVALUATION_CASE)
+
+
+def measured(cases: DataFrame) -> DataFrame:
+    """Cases that count for a score: neither negative ones nor those taken out."""
+    return cases.filter(~F.coalesce(F.col("is_negative"), F.lit(False)) & ~F.coalesce(F.col("exclude_from_metric"), F.lit(False)))
+
+
 def markdown(documents: DataFrame, key: str = "doc_id") -> DataFrame:
     """Parsed documents as Markdown text."""
-    shown = F.transform("blocks", lambda b: F.when(b["type"] == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce(b["level"], F.lit(1))), F.lit(" "), b["text"])).when(b["type"] == "list_item", F.concat(F.coalesce(b["marker"], F.lit("-")), F.lit(" "), b["text"])).otherwise(b["text"]))
+    shown = F.transform("blocks", lambda b: F.when(b["type"] == "heading", F.concat(F.repeat(F.lit("#"), F.coalesce(b["level"], F.lit(1))), F.lit(" "), b["text"])).when(b["type"] == "list_item", F.concat(F.coalesce(b["marker"], F.lit("-")), F.lit(" "), b["text"])).when((b["type"] == "table") & (F.size(b["rows"]) > 0), markdown_table(F.coalesce(b["header"], F.array().cast("array<string>")), b["rows"])).otherwise(b["text"]))
     return documents.select(key, F.array_join(F.filter(shown, lambda t: t.isNotNull()), "\n\n").alias("markdown"))

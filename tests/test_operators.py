@@ -339,3 +339,11 @@ def test_contacts_need_cited_lines(spark):
     assert [tuple(r) for r in answers.verified_contacts(found, lines, "k").collect()] == [(1, "(022) 20-15-00", "A@b.md")]
     quotes = spark.createDataFrame([("q", "ru", None), ("q", "ru", ""), ("r", "ro", None), ("s", "ru", "t")], "quote string, quote_lang string, translation string")
     assert [tuple(r) for r in answers.untranslated(quotes, F.lit("ro")).collect()] == [("q", "ru")]
+
+
+def test_evaluation_sets(spark):
+    pytest.importorskip("yaml")
+    text = "- {id: a, query: 'one?', query_lang: ro, other: 1}\n- {id: b, query: 'two?', is_negative: true}\n- {id: c, query: 'three?', exclude_from_metric: true}\n"
+    cases = readers.evaluation_cases(spark, text)
+    assert cases.count() == 3 and [r["id"] for r in readers.measured(cases).collect()] == ["a"]
+    assert readers.evaluation_cases(spark, "").count() == 0
