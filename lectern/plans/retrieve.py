@@ -46,8 +46,9 @@ def retrieve(chunk_vectors: DataFrame, line_vectors: DataFrame, chunk_texts: Dat
     from `chunks`; copies of a content are one result, official acts before other files before pages, with the best score of the copies.
     """
     fused = ranking.rrf([(chunk_vectors, weights.vector, "vec_rank"), (chunk_ranking(line_vectors), weights.line, "line_rank"), (chunk_texts, weights.text, "fts_rank")], "chunk_id", "query_id")
-    rows = fused.join(chunks, "chunk_id")
-    rows = rows.withColumns({"_hash": F.coalesce("content_hash", F.sha1("text"), F.col("chunk_id").cast("string")), "_priority": ranking.kind_priority(F.col("kind"), F.col("doc_type"))})
+    # only hashes and priorities go through the windows; texts are fetched for the chosen rows
+    narrow = chunks.select("chunk_id", F.coalesce("content_hash", F.sha1("text"), F.col("chunk_id").cast("string")).alias("_hash"), ranking.kind_priority(F.col("kind"), F.col("doc_type")).alias("_priority"))
+    rows = fused.join(narrow, "chunk_id")
     order = Window.partitionBy("query_id", "_hash").orderBy(F.desc("_priority"), F.desc("score"), "_first")
     best = rows.withColumn("_best", F.max("score").over(Window.partitionBy("query_id", "_hash"))).withColumn("_n", F.row_number().over(order)).filter("_n = 1")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("_best"), "_first"))
@@ -57,5 +58,5 @@ def retrieve(chunk_vectors: DataFrame, line_vectors: DataFrame, chunk_texts: Dat
     # chunks without a matched line show their first three
     bare = found.filter("matched is null").select("chunk_id").distinct()
     opening = lines.filter("idx < 3").join(bare, "chunk_id", "left_semi").groupBy("chunk_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "line_id"))), lambda x: F.struct(x["line_id"].alias("line_id"), F.lit(0.0).alias("score"))).alias("_opening"))
-    full = found.join(opening, "chunk_id", "left")
+    full = found.join(opening, "chunk_id", "left").join(chunks.select("chunk_id", "url", "kind", "text", "page"), "chunk_id")
     return full.select("query_id", "position", "chunk_id", "score", "vec_rank", "line_rank", "fts_rank", F.coalesce("matched", "_opening", F.array().cast("array<struct<line_id:string,score:double>>")).alias("matched"), deep_link(F.col("url"), F.col("kind"), F.col("text"), F.col("page")).alias("link"))
