@@ -139,8 +139,10 @@ def test_both_ways_of_decontamination_agree(spark):
     items = [(f"i{i}", " ".join(passage[: 10 + i])) for i in range(25)] + [("short", "x"), (None, "a b c"), ("twice", "u v w"), ("twice", " ".join(f"t{i}" for i in range(12)))]
     text = " ".join(["start", *passage[3:20], "mid", "a b c", *passage, "end"])
     docs = [(None, text, 1), (None, "nothing", 2), (7, "", 3), (8, "x", 4), (9, text, 5), (9, "u v w u v w", 6), (10, None, 7), (11, " ".join(passage[:9]), 8)]
+    docs += [(12, " ".join(f"z{i % 977}" for i in range(200_000)) + " " + " ".join(passage), 9), (9, text, 10), (9, text, 11)]
     d = spark.createDataFrame(docs, "doc_id long, text string, __n int").coalesce(1)
     b = spark.createDataFrame(items, "item_id string, text string")
     broadcast, exchanged = ({r["__n"]: r for r in decontaminate.find(d, b, max_bytes=m, carry=d.columns).collect()} for m in (1 << 20, 0))
     assert len(exchanged) == len(docs) and exchanged == broadcast
-    assert exchanged[1]["n_hit"] > 50 and exchanged[4]["items"] == ["short"]
+    assert exchanged[1]["n_hit"] > 50 and exchanged[4]["items"] == ["short"] and exchanged[9]["n_hit"] == 40
+    assert exchanged[10]["n_hit"] == exchanged[11]["n_hit"] == exchanged[5]["n_hit"]
