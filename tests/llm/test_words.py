@@ -144,5 +144,5 @@ def test_both_ways_of_decontamination_agree(spark):
     b = spark.createDataFrame(items, "item_id string, text string")
     broadcast, exchanged = ({r["__n"]: r for r in decontaminate.find(d, b, max_bytes=m, carry=d.columns).collect()} for m in (1 << 20, 0))
     assert len(exchanged) == len(docs) and exchanged == broadcast
-    assert exchanged[1]["n_hit"] > 50 and exchanged[4]["items"] == ["short"] and exchanged[9]["n_hit"] == 40
+    assert exchanged[1]["n_hit"] > 50 and exchanged[4]["items"] == ["short"] and exchanged[9]["n_hit"] == 34
     assert exchanged[10]["n_hit"] == exchanged[11]["n_hit"] == exchanged[5]["n_hit"]
