@@ -26,7 +26,7 @@ NUMBER = (
     r"(?:nr\.?[\s_-]*)?(\d+(?:[/.-]\d+)*(?:\s*-\s*(?!din\b)[a-zA-Zа-яА-Я]{1,3}\b)?)"
 )
 _REFERENCE = r"(?!\s+(?:din\s+(?:legea|codul|hot[ăa]r|decizi|ordin)|al\s+legii|закона|кодекса|постановления|решения))"
-#: level, pattern, label of each kind of legal item, tried in this order; {n} is the first group that took part.
+#: level, pattern, label of each kind of legal item, by language as their labels differ, tried in this order; {n} is the first group that took part.
 LEGAL_ITEMS = [
     (0, r"^\s*anexa\b(?:\s+(?:nr\.?|n\.|№))?\s*([0-9]+[a-zA-Zа-яА-Я0-9/.-]*)?", "Anexa nr. {n}", "Anexa"),
     (0, r"^\s*приложение\b(?:\s+(?:nr\.?|n\.|№))?\s*([0-9]+[a-zA-Zа-яА-Я0-9/.-]*)?", "Приложение № {n}", "Приложение"),

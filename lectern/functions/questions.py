@@ -34,7 +34,6 @@ SMALL_TALK = (
     r"|что умеешь|что вы умеете)[\s!.,?)(]*)+$"
 )
 ACT_NUMBER = r"(?iuU)\b\d+(?:/\d+(?:-\d+)?|-[a-zа-я]{1,2})\b"
-
 ROLE = r"(?iuU)\b(membr[ui]\w*|președint\w*|vicepreședint\w*|secretar\w*|coordonator\w*|член\w*|председател\w*|секретар\w*|заместител\w*)"
 NUMBERED_NAME = r"(?U)^\s*\d+[.)]\s+[A-ZĂÂÎȘȚА-ЯЁ][\w-]+\s+[A-ZĂÂÎȘȚА-ЯЁ][\w-]+\s*[,–—-]"
 NO_QUESTION_LINE = r"(?iu)^(pagin[aă]|pagina|anexa|articolul|capitolul|data|nr\.)"

@@ -26,6 +26,7 @@ PHONE = r"(?U)(?:(?:\+373|0)\s*\(?\d{2,3}\)?[\s.-]*\d{2,3}[\s.-]*\d{2,4})"
 EMAIL = r"(?U)\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b"
 PERSONAL = r"(?U)[\w.+-]+@[\w-]+(?:\.[\w-]+)+|\+?\d[\d\s().-]{5,}\d"
 MASK, MASKED_LENGTH = "•••", 200
+ITEM_LINE = r"\[\d+/\d+]\s+(\S+)(?:\s+\(ocr\))?\s+(\S+)"
 
 
 def words(text: Column) -> Column:
@@ -178,11 +179,10 @@ def shown_time(at: Column) -> Column:
 
 def current_item(log: Column) -> Column:
     """What a stage works on, from the lines of its log: outcome and name of the last item line; null without one."""
-    item = r"\[\d+/\d+]\s+(\S+)(?:\s+\(ocr\))?\s+(\S+)"
-    last = F.get(F.reverse(F.filter(log, lambda x: x.rlike(item))), 0)
-    target = F.regexp_replace(F.regexp_extract(last, item, 2), "/+$", "")
+    last = F.get(F.reverse(F.filter(log, lambda x: x.rlike(ITEM_LINE))), 0)
+    target = F.regexp_replace(F.regexp_extract(last, ITEM_LINE, 2), "/+$", "")
     name = F.regexp_extract(target, "([^/]*)$", 1)
-    return F.when(last.isNotNull(), F.substring(F.concat_ws(" ", F.regexp_extract(last, item, 1), F.when(name == "", target).otherwise(name)), 1, 120))
+    return F.when(last.isNotNull(), F.substring(F.concat_ws(" ", F.regexp_extract(last, ITEM_LINE, 1), F.when(name == "", target).otherwise(name)), 1, 120))
 
 
 # Suffixes that light stemming removes, longest first, by language of the row.
