@@ -13,13 +13,15 @@ from lectern.session import shared_dir
 
 #: Asked terms that may be broadcast, and places over which a common term is dealt where there are more.
 MOST_TERMS = 200_000
+#: Distinct asked terms that are filtered by name before words become rows.
+NAMED_TERMS = 10_000
 SALTS = 32
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
     """key, idx (0-based among lines that are not blank), line, line_id and content_hash."""
     trimmed = F.transform(F.split(F.col(text), "\n", -1), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", ""))
-    cut = docs.select(key, *keep, F.posexplode(F.filter(trimmed, lambda t: t != "")).alias("idx", "line"))
+    cut = docs.select(key, *keep, F.posexplode_outer(F.filter(trimmed, lambda t: t != "")).alias("idx", "line")).filter("line is not null")
     return cut.withColumns({"line_id": F.sha1(F.concat_ws(":", key, "idx")), "content_hash": F.sha1("line")})
 
 
@@ -131,7 +133,7 @@ def next_items(rows: DataFrame, key: str, order: str, item: str) -> DataFrame:
 def postings(texts: DataFrame, key: str, text: str = "text", language: Column | None = None) -> DataFrame:
     """term, key, n (occurrences), first (position from 0) and length (lexemes of the text): the inverted index."""
     cut = texts.select(key, lexemes(F.col(text), language if language is not None else F.lit("ro")).alias("_l"))
-    rows = cut.select(key, F.size("_l").alias("length"), F.posexplode("_l").alias("_at", "term"))
+    rows = cut.select(key, F.size("_l").alias("length"), F.posexplode_outer("_l").alias("_at", "term")).filter("term is not null")
     return rows.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
 
 
@@ -141,6 +143,12 @@ def asked_terms(queries: DataFrame, query: str = "query_id", text: str = "text",
     return queries.select(query, F.explode(F.array_distinct(terms)).alias("term"))
 
 
+def _asked_only(lexemes_: Column, asked: DataFrame) -> Column:
+    """An array of lexemes without those that no question asks for, where the distinct asked terms are few enough to be named; else as it is, for the join that follows."""
+    terms = [r[0] for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
+    return F.filter(lexemes_, lambda w: w.isin(terms)) if len(terms) <= NAMED_TERMS else lexemes_
+
+
 def _met(index: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
     """Postings with the questions that ask for them. A bounded table of terms is broadcast; else common terms are dealt over SALTS places."""
     if few:
@@ -163,7 +171,8 @@ def matched(texts: DataFrame, queries: DataFrame, key: str, query: str = "query_
     few = asked.limit(most_terms + 1).count() <= most_terms
     wanted = asked.select("term").distinct()
     cut = texts.select(key, lexemes(F.col(text), language if language is not None else F.lit("ro")).alias("_l"))
-    words_ = cut.select(key, F.size("_l").alias("length"), F.explode("_l").alias("term"))
+    # an outer explode, as the planner would make the words once more to see whether there are any
+    words_ = cut.select(key, F.size("_l").alias("length"), F.explode_outer(_asked_only(F.col("_l"), asked)).alias("term")).filter("term is not null")
     kept = words_.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
     index = kept.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("n"))
     return _met(index, asked, few).groupBy(query, key).agg(F.count(F.lit(1)).alias("terms"), F.sum(weight(F.col("n"), F.col("length"))).alias("score"))
@@ -180,7 +189,7 @@ def matched_lines(lines_: DataFrame, queries: DataFrame, key: str = "chunk_id",
     end = spark.range(1).select(F.lit("").alias("term"))  # no lexeme is empty: the row of a line's length
     wanted = asked.select("term").distinct().unionByName(end)
     cut = lines_.select(key, line, lexemes(F.col(text), language if language is not None else F.lit("ro")).alias("_l"))
-    words_ = cut.select(key, line, F.size("_l").alias("length"), F.explode(F.concat("_l", F.array(F.lit("")))).alias("term"))
+    words_ = cut.select(key, line, F.size("_l").alias("length"), F.explode_outer(F.concat(_asked_only(F.col("_l"), asked), F.array(F.lit("")))).alias("term"))
     path = f"{shared_dir(spark)}/hits-{uuid.uuid4().hex}"
     words_.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy(key, line, "length", "term").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
     hits = spark.read.parquet(path)
