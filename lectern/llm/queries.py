@@ -1,4 +1,4 @@
-"""The queries of this subpackage: op1_ to op10_, with production parameters over whole tables."""
+"""The queries of this subpackage: op1_ to op13_, with production parameters over whole tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, knn_quality, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, site_tree, transcripts, warc
+from lectern.llm import decontaminate, knn_quality, merkle, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, site_tree, transcripts, warc
 from lectern.llm.queries_sql import ORACLE
 from lectern.session import shared_dir, table
 
@@ -65,6 +65,12 @@ def op10_piece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_sampling.digests(table(spark, sf_dir, "documents"), piece_sampling.load())
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of all documents is tampered with; each is checked against the root of the untouched table."""
+    m = merkle.build(table(spark, sf_dir, "documents"), changes=merkle.lower_every_third("doc_id", "text"))
+    return merkle.audit(m).select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 

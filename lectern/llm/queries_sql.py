@@ -131,4 +131,52 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha256(h) AS payload_digest,
 FROM f
 """
 
-ORACLE = {"op5_warc_chunks": OP5, "op1_secret_scan": OP1, "op2_ngram_join": OP2, "op4_rendezvous_shards": OP4, "op8_decontaminate": OP8}
+_CRC = "xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(regexp_extract_all(hex(encode({x})), '..'), lambda h: ('0x' || h)::BIGINT)), lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])))"
+
+
+def _leaf(text: str) -> str:
+    said = [f"CASE WHEN {x} IS NULL THEN '-' ELSE octet_length(encode({x}::VARCHAR)) || ':' || {x} END" for x in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256({' || '.join(said)})"
+
+
+def _nodes(name: str, leaves: str) -> str:
+    """All nodes of the trees over `leaves` (part, idx, h), and of each node what stands beside it in its run."""
+    return f"""
+{name}_n(part, lvl, idx, h) AS (
+  SELECT part, 0, idx, h FROM {leaves}
+  UNION ALL SELECT part, lvl + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)) FROM (SELECT *, count(*) OVER (PARTITION BY part) AS c FROM {name}_n) WHERE c > 1 GROUP BY part, lvl, idx // 8
+),
+{name}_top AS (SELECT part, arg_max(h, lvl) AS h, max(lvl) AS tall FROM {name}_n GROUP BY part),
+{name}_side AS (
+  SELECT part, lvl, idx, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  FROM {name}_n JOIN {name}_top USING (part) WHERE lvl < tall WINDOW w AS (PARTITION BY part, lvl, idx // 8 ORDER BY idx)
+)"""
+
+
+OP13 = f"""
+WITH RECURSIVE crc(k, i, c) AS (
+  SELECT k, 0, k FROM (SELECT unnest(range(256)) AS k)
+  UNION ALL SELECT k, i + 1, {_CRC_STEP.format(c="c")} FROM crc WHERE i < 8
+),
+tab AS MATERIALIZED (SELECT list(c ORDER BY k) AS t FROM crc WHERE i = 8),
+d AS (
+  SELECT *, CASE WHEN {_CRC.format(x="doc_id::VARCHAR")} % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS after FROM documents, tab
+),
+x AS MATERIALIZED (SELECT doc_id, lang, coalesce('=' || lang, '') AS part, {_leaf("text")} AS leaf, {_leaf("after")} AS changed FROM d),
+p AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY part ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM x),
+low AS (SELECT part, pos AS idx, leaf AS h FROM p), {_nodes("a", "low")},
+high AS (SELECT 1 AS part, row_number() OVER (ORDER BY part) - 1 AS idx, h, part AS name FROM a_top), {_nodes("b", "high")},
+steps AS (
+  SELECT p.part, p.pos, lvl AS step, l, r FROM p JOIN a_side s ON s.part = p.part AND s.idx = p.pos // pow(8, lvl)::BIGINT
+  UNION ALL SELECT p.part, p.pos, 1000 + lvl, l, r FROM p JOIN high ON high.name = p.part JOIN b_side s ON s.idx = high.idx // pow(8, lvl)::BIGINT
+),
+paths AS (SELECT part, pos, sha256(string_agg(l || r, '' ORDER BY step)) AS proof, list({{'l': l, 'h': '', 'r': r}} ORDER BY step) AS path FROM steps GROUP BY part, pos),
+out AS (
+  SELECT doc_id, leaf, a_top.h AS subroot, (SELECT h FROM b_top) AS root, coalesce(proof, sha256('')) AS proof_sha256,
+         list_reduce(list_concat([{{'l': '', 'h': changed, 'r': ''}}], coalesce(path, [])), lambda m, n: {{'l': '', 'h': sha256(n.l || m.h || n.r), 'r': ''}}).h AS folded_root
+  FROM p JOIN a_top USING (part) LEFT JOIN paths USING (part, pos)
+)
+SELECT *, folded_root = root AS verified FROM out
+"""
+
+ORACLE = {"op13_merkle_manifest": OP13, "op5_warc_chunks": OP5, "op1_secret_scan": OP1, "op2_ngram_join": OP2, "op4_rendezvous_shards": OP4, "op8_decontaminate": OP8}
