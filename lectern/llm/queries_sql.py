@@ -148,7 +148,7 @@ def _nodes(name: str, leaves: str) -> str:
 ),
 {name}_top AS (SELECT part, arg_max(h, lvl) AS h, max(lvl) AS tall FROM {name}_n GROUP BY part),
 {name}_side AS (
-  SELECT part, lvl, idx, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
+  SELECT part, lvl, idx, coalesce(string_agg({name}_n.h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS l, coalesce(string_agg({name}_n.h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS r
   FROM {name}_n JOIN {name}_top USING (part) WHERE lvl < tall WINDOW w AS (PARTITION BY part, lvl, idx // 8 ORDER BY idx)
 )"""
 
