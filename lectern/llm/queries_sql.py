@@ -179,4 +179,32 @@ out AS (
 SELECT *, folded_root = root AS verified FROM out
 """
 
-ORACLE = {"op13_merkle_manifest": OP13, "op5_warc_chunks": OP5, "op1_secret_scan": OP1, "op2_ngram_join": OP2, "op4_rendezvous_shards": OP4, "op8_decontaminate": OP8}
+_SHARE = "1 + (1000000000::HUGEINT * ({c} + 1)) // {n}"
+
+OP11 = f"""
+WITH d AS (
+  SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source, row_number() OVER () AS r,
+         regexp_extract_all({_LOW}, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') AS w
+  FROM documents
+),
+tok AS (SELECT lang, source, r, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS c FROM tok GROUP BY ALL HAVING count(DISTINCT r) >= 3),
+langs AS (SELECT lang, count(*) AS v, sum(c) AS n FROM kept GROUP BY lang),
+cnt AS (SELECT lang, source, term, count(*) AS c FROM tok JOIN kept USING (lang, term) GROUP BY ALL),
+sums AS (SELECT lang, source, sum(c) AS n FROM cnt GROUP BY ALL),
+groups AS (SELECT lang, source, coalesce(n, 0) AS n FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN sums USING (lang, source)),
+p AS (
+  SELECT lang, source, term, coalesce(cnt.c, 0) AS c, {_SHARE.format(c="coalesce(cnt.c, 0)", n="(groups.n + langs.v)")} AS p, {_SHARE.format(c="kept.c", n="(langs.n + langs.v)")} AS q
+  FROM groups JOIN kept USING (lang) JOIN langs USING (lang) LEFT JOIN cnt USING (lang, source, term)
+),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+said AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE c > 0 AND p > q
+),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM said)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
+
+ORACLE = {"op11_source_divergence": OP11, "op13_merkle_manifest": OP13, "op5_warc_chunks": OP5, "op1_secret_scan": OP1, "op2_ngram_join": OP2, "op4_rendezvous_shards": OP4, "op8_decontaminate": OP8}
