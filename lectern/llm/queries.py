@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lectern.llm import decontaminate, divergence, knn_quality, merkle, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, site_tree, transcripts, warc
+from lectern.llm import decontaminate, divergence, knn_quality, merkle, mixing, ngram_join, piece_sampling, quality_rules, secret_scan, sharding, site_tree, transcripts, warc
 from lectern.llm.queries_sql import ORACLE
 from lectern.session import shared_dir, table
 
@@ -69,6 +69,11 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document names one source here, so every pattern is a source and every network one arc; the rows come through the flow all the same."""
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A third of all documents is tampered with; each is checked against the root of the untouched table."""
     m = merkle.build(table(spark, sf_dir, "documents"), changes=merkle.lower_every_third("doc_id", "text"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from lectern.llm import mixing as X
 from lectern.llm import secret_scan as S
 from lectern.llm import sharding as H
 
@@ -207,4 +208,25 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY
 SELECT lang, source, part, item, value::BIGINT AS value, rank::INT AS rank FROM ranked WHERE part = 'pair' OR rank <= 200
 """
 
-ORACLE = {"op11_source_divergence": OP11, "op13_merkle_manifest": OP13, "op5_warc_chunks": OP5, "op1_secret_scan": OP1, "op2_ngram_join": OP2, "op4_rendezvous_shards": OP4, "op8_decontaminate": OP8}
+OP12 = f"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('{X.SEED}:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))), 1, 15))::BIGINT AS seed
+  FROM documents
+),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, [{", ".join(map(str, X.WEIGHTS))}][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(X.WEIGHTS)} + 1] AS weight FROM d GROUP BY source),
+full_first AS (
+  SELECT *, {X.PASSES} * source_size AS most, row_number() OVER w AS k, coalesce(sum({X.PASSES} * source_size) OVER before, 0) AS filled, sum(weight) OVER () - coalesce(sum(weight) OVER before, 0) AS open
+  FROM s WINDOW w AS (ORDER BY source_size / weight, source), before AS (ORDER BY source_size / weight, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+),
+level AS (SELECT arg_min(({X.SHARE} * (SELECT sum(size) FROM d) - filled) / open, k) AS level FROM full_first WHERE most >= weight * ({X.SHARE} * (SELECT sum(size) FROM d) - filled) / open),
+t AS (SELECT source, source_size, least(most::DOUBLE, weight * level)::DOUBLE AS target, floor(least(most::DOUBLE, weight * level) + 0.5)::BIGINT AS flow FROM full_first, level),
+r AS (
+  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN flow // source_size ELSE 0 END AS passes, CASE WHEN source_size > 0 THEN flow % source_size ELSE 0 END AS rest,
+         sum(size) OVER (PARTITION BY d.source ORDER BY seed RANGE UNBOUNDED PRECEDING) AS upto, sum(size) OVER (PARTITION BY d.source, seed) AS here
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+)
+SELECT doc_id, size, source_size, target, (passes * size + CASE WHEN upto <= rest THEN size WHEN upto - here >= rest THEN 0 ELSE (2 * (rest - (upto - here)) * size + here) // (2 * here) END)::BIGINT AS taken FROM r
+"""
+
+ORACLE = {"op12_source_mix": OP12, "op11_source_divergence": OP11, "op13_merkle_manifest": OP13, "op5_warc_chunks": OP5, "op1_secret_scan": OP1, "op2_ngram_join": OP2, "op4_rendezvous_shards": OP4, "op8_decontaminate": OP8}
