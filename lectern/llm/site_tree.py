@@ -3,15 +3,18 @@
 The DOMs of all pages of a host are merged by element path (tag with class, id and role; digits in these count alike). Every merged node
 gets an importance from 0 to 1: half of it from its presentation, the entropy of the layouts seen under it, half from its content,
 the entropy of the texts seen in it. A node that looks and reads the same on page after page has none; one with a fixed layout and changing
-texts, such as a menu, an advert or a footer, has about half. A node seen on fewer than MIN_PAGES pages counts as UNKNOWN.
+texts, such as a menu, an advert or a footer, has about half. As a few pages prove little, UNKNOWN counts as the importance of DOUBT further pages; a node of
+one page has just that.
 
 A block of text stays if its prior weight times the importance of its branch is not below LOW. The importance of a branch is the least one of the
 nodes that the block stands in; inside an article or main element it is WITHIN times that of the nodes from there inwards, in proportion to the
 importance of the article itself, and an article that is itself the same on page after page is a copy, not a template: its insides are not judged.
-Prior weights: SURROUNDINGS for elements that by tag or role are navigation, footers, asides, forms or dialogs, NAMED for whole class
-tokens or ids that name a sidebar, header, notice and the like, UNWANTED for those of adverts and cookies, REMARKS for those of reader comments (which
-vary as much as articles do, so that entropy can't tell them apart), OUTSIDE for blocks outside the articles of a page that has some, LINKS for blocks outside
-articles that are mostly links, 1 else. An outermost article or main element is free of the names around it. Text of scripts, styles, titles and controls is no text of a page.
+Outside the articles of a page the weight is OUTSIDE where they hold at least half of its text, BESIDE where they hold some, so there a fixed layout
+is enough to go, whatever the tags and names; and LINKS for blocks that are mostly links. Tags and names lower it further: SURROUNDINGS for elements that by tag
+or role are navigation, footers, asides, forms or dialogs; and by the words that a class token or id begins or ends with, NAMED for sidebars, menus, notices and the like (UNWANTED
+inside an article), HEADED for headers, UNWANTED for adverts and cookies, REMARKS for reader comments (which vary as much as articles do, so that entropy
+can't tell them apart). An outermost article or main element is free of its own names and of those around it; a form that holds half of a page's
+text, and without an article a named element that does, lowers nothing. Text of scripts, styles, titles and controls is no text of a page.
 
 Each page is parsed once; blocks and nodes are written to the shared folder. Counts are grouped sums with partial aggregation, so a host may
 hold any share of all pages. The importances of at most MAX_BROADCAST_NODES nodes, those with the most pages, go to the tasks as two arrays; those of further
@@ -38,16 +41,20 @@ from pyspark.sql import functions as F
 
 from lectern.session import shared_dir
 
-MIN_PAGES = 3
-#: Share of presentation (the rest is content) in a node's importance, the importance of nodes on too few pages, and the one below which a block goes.
+MIN_PAGES = 2
+#: Share of presentation (the rest is content) in a node's importance, the importance of nodes on too few pages, the number of pages that it counts for
+#: beside those seen, and the importance below which a block goes.
 PRESENTATION_SHARE = 0.5
 UNKNOWN = 0.5
+DOUBT = 3
 LOW = 0.2
 #: Prior weights.
-OUTSIDE = 0.6
+OUTSIDE = 0.35
+BESIDE = 0.6
 WITHIN = 0.66
 LINKS = 0.5
-NAMED = 0.4
+HEADED = 0.45
+NAMED = 0.35
 SURROUNDINGS = 0.3
 UNWANTED = 0.3
 REMARKS = 0.1
@@ -61,13 +68,15 @@ BLOCK = frozenset("address article aside blockquote body br caption center dd de
 SILENT_TAGS = frozenset("script style noscript template iframe svg math head title button select textarea input object embed canvas".split())
 SURROUNDING_TAGS = frozenset("nav footer aside form menu dialog".split())
 SURROUNDING_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+HEADED_WORDS = frozenset("banner header head masthead comment".split())
 NAMED_WORDS = frozenset(
-    "banner promo promotion nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar side aside rail widget widgets header masthead footer foot copyright notice notices overlay search share sharing social related recommended skip toolbar site-header site-footer main-nav main-menu nav-menu side-bar related-posts related-articles share-buttons social-share".split()
+    "alert alerts breadcrumb breadcrumbs copyright foot footer menu nav navbar navigation notice notices overlay pager pagination promo promotion rail recommended related search share sharing side sidebar skip social teaser teasers toolbar widget widgets".split()
 )
-UNWANTED_WORDS = frozenset(
-    "ad ads advert adverts advertisement advertising adsbygoogle ad-slot ad-container ad-banner banner-ad sponsor sponsored cookie cookies cookie-notice cookie-banner cookie-bar cookie-consent consent gdpr popup modal newsletter newsletter-signup subscribe subscription signup login".split()
-)
-REMARKS_WORDS = frozenset("comment comments comment-list comment-form comments-area reply replies respond discussion disqus disqus_thread".split())
+UNWANTED_WORDS = frozenset("ad ads advert adverts advertisement advertising adsbygoogle sponsor sponsored cookie cookies consent gdpr popup modal newsletter subscribe subscription signup login".split())
+REMARKS_WORDS = frozenset("comments reply replies respond discussion disqus".split())
+REMARKS_NAMES = frozenset("comment-list comment-form comment-area comment-thread".split())
+#: A name that begins so tells of something beside its element.
+BESIDE_WORDS = frozenset("has with without no not".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPES = frozenset("html body div article section main ul ol dl table td th nav footer header aside form blockquote".split())
 _ANY_P = {"p"}
@@ -83,6 +92,7 @@ _BEGINS = re.compile("</?[a-zA-Z]")
 _ENDS = {name: re.compile(rf"</{name}(?=[\s/>])", re.I) for name in RAW}
 _NAMES = re.compile(r"""\s(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
+_WORDS = re.compile("[a-z]+")
 _DIGITS = re.compile(r"\d+")
 _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _MASK, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
@@ -94,6 +104,17 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def named(token: str) -> float:
+    """The prior weight of a class token or id by the words it begins and ends with."""
+    words = _WORDS.findall(token)
+    if not words or not BESIDE_WORDS.isdisjoint(words):
+        return 1.0
+    ends = {words[0], words[-1]}
+    if not REMARKS_WORDS.isdisjoint(ends) or "-".join(words[:2]) in REMARKS_NAMES:
+        return REMARKS
+    return next((weight for known, weight in ((UNWANTED_WORDS, UNWANTED), (NAMED_WORDS, NAMED), (HEADED_WORDS, HEADED)) if not known.isdisjoint(ends)), 1.0)
+
+
 def element(name: str, attributes: str) -> tuple[str, float, float]:
     """Name with class, id and role, and the prior weights by tag and role, and by names."""
     label, by_tag, by_name = name, 0.0 if name in SILENT_TAGS else SURROUNDINGS if name in SURROUNDING_TAGS else 1.0, 1.0
@@ -103,10 +124,8 @@ def element(name: str, attributes: str) -> tuple[str, float, float]:
             label += {"class": ".", "id": "#", "role": "@"}[key] + _DIGITS.sub("0", value)
             if key == "role":
                 by_tag = min(by_tag, SURROUNDINGS) if value in SURROUNDING_ROLES else by_tag
-            elif name not in ("html", "body", "article", "main"):
-                for words, weight in ((NAMED_WORDS, NAMED), (UNWANTED_WORDS, UNWANTED), (REMARKS_WORDS, REMARKS)):
-                    if weight < by_name and not words.isdisjoint(value.split()):
-                        by_name = weight
+            elif name not in ("html", "body"):
+                by_name = min([by_name, *(named(token) for token in value.split())])
     return label, by_tag, by_name
 
 
@@ -127,13 +146,14 @@ class Parsed:
 class _Open:
     """An open element."""
 
-    __slots__ = ("name", "by_tag", "by_name", "link", "node", "layout", "content")
+    __slots__ = ("name", "by_tag", "by_name", "link", "node", "layout", "content", "wrap", "before")
 
-    def __init__(self, name: str, by_tag: float, by_name: float, link: bool, node: int):
-        self.name, self.by_tag, self.by_name, self.link, self.node, self.layout, self.content = name, by_tag, by_name, link, node, 0, 0
+    def __init__(self, name: str, by_tag: float, by_name: float, link: bool, node: int, wrap: int = -1, before: int = 0):
+        self.name, self.by_tag, self.by_name, self.link, self.node, self.layout, self.content, self.wrap, self.before = name, by_tag, by_name, link, node, 0, 0, wrap, before
 
 
-def parse(page: str, host: str = "", low: float = LOW) -> Parsed:
+def parse(page: str, host: str = "", low: float = LOW, free: frozenset[int] = frozenset()) -> Parsed:
+    """`free` has the numbers of forms and named elements that hold most of the page and so don't lower the weight of what is in them."""
     root = xxhash.xxh64_intdigest(host.encode("utf-8", "replace"))
     ids, parents, articles, layouts, contents = [root], [-1], [-1], [0], [0]
     place = {root: 0}
@@ -146,6 +166,8 @@ def parse(page: str, host: str = "", low: float = LOW) -> Parsed:
     parts: list[str] = []
     first: tuple[int, float, int] | None = None  # node, weight, article
     blank, linked = True, 0
+    seen = wraps = 0  # characters of text so far, forms and named elements so far
+    wide: list[tuple[int, str, int]] = []  # number and name of each such element and the characters in it
 
     def flush() -> None:
         nonlocal first, blank, linked
@@ -158,6 +180,8 @@ def parse(page: str, host: str = "", low: float = LOW) -> Parsed:
 
     def pop() -> _Open:
         gone = stack.pop()
+        if gone.wrap >= 0:
+            wide.append((gone.wrap, gone.name, seen - gone.before))
         if gone.name in SCOPES:
             inner.pop()
             scopes[gone.name] -= 1
@@ -208,6 +232,8 @@ def parse(page: str, host: str = "", low: float = LOW) -> Parsed:
                 first = here
             if solid:
                 blank = False
+                if top.by_tag:
+                    seen += len(text)
                 top.layout = (top.layout * _STEP + _TEXT) & _MASK
                 top.content = (top.content * _STEP + (xxhash.xxh64_intdigest(" ".join(text.split())) | 1)) & _MASK
             parts.append(text)
@@ -251,9 +277,18 @@ def parse(page: str, host: str = "", low: float = LOW) -> Parsed:
             articles.append(node if article < 0 and name in ("article", "main") else article)
             layouts.append(0)
             contents.append(0)
-        if articles[node] != node:  # the names of classes around an article say nothing about it
+        wrap = -1
+        if name == "form" or REMARKS < by_name < 1.0:
+            wrap, wraps = wraps, wraps + 1
+            if wrap in free:
+                by_tag, by_name = 1.0, 1.0
+        if articles[node] == node:  # the names of an article and of what is around it say nothing about it
+            by_name = 1.0
+        elif article >= 0 and by_name == NAMED:  # inside an article a sidebar is as good as an advert
+            by_name = min(UNWANTED, top.by_name)
+        else:
             by_name = min(by_name, top.by_name)
-        top = _Open(name, min(by_tag, top.by_tag), by_name, top.link or name == "a", node)
+        top = _Open(name, min(by_tag, top.by_tag), by_name, top.link or name == "a", node, wrap, seen)
         stack.append(top)
         if name in SCOPES:
             inner.append({})
@@ -266,12 +301,17 @@ def parse(page: str, host: str = "", low: float = LOW) -> Parsed:
     flush()
     while len(stack) > 1:
         pop()
+    alone = not any(articles[node] >= 0 for _, _, node, _, _ in blocks)
+    most = frozenset(k for k, name, chars in wide if 2 * chars >= seen > 0 and (alone or name == "form")) | free
+    if most != free:
+        return parse(page, host, low, most)
     layouts[0], contents[0] = stack[0].layout, stack[0].content
 
     # nodes with text only; where a node has some, so have those around it
     kept = [i for i, c in enumerate(contents) if c]
     new = {i: k for k, i in enumerate(kept)} | {-1: -1}
-    outside = OUTSIDE if any(articles[node] >= 0 and weight >= low for _, weight, node, _, _ in blocks) else 1.0
+    inside = sum(chars for _, weight, node, _, chars in blocks if articles[node] >= 0 and weight * WITHIN >= low)
+    outside = 1.0 if not inside else OUTSIDE if 2 * inside >= seen else BESIDE
     weights = [weight * (1.0 if articles[node] >= 0 else outside * (LINKS if 2 * links > chars else 1.0)) for _, weight, node, links, chars in blocks]
     of = lambda values: [values[i] for i in kept]
     return Parsed([b[0] for b in blocks], weights, [new[b[2]] for b in blocks], of(ids), [new[p] for p in of(parents)], [new[a] for a in of(articles)], of(layouts), of(contents))
@@ -321,14 +361,14 @@ def observations(pages: DataFrame) -> DataFrame:
     return pages.select(F.explode(F.arrays_zip("ids", "layouts", "contents")).alias("o")).select(F.col("o.ids").alias("node"), F.col("o.layouts").alias("layout"), F.col("o.contents").alias("content"))
 
 
-def style_tree(seen: DataFrame, min_pages: int = MIN_PAGES, share: float = PRESENTATION_SHARE) -> DataFrame:
-    """node, pages, importance of every merged node that `min_pages` pages or more have."""
+def style_tree(seen: DataFrame, min_pages: int = MIN_PAGES, share: float = PRESENTATION_SHARE, doubt: float = DOUBT) -> DataFrame:
+    """node, pages, importance of every merged node that `min_pages` pages or more have; UNKNOWN counts as the importance of `doubt` pages more."""
     both = seen.select("node", F.explode(F.array(F.struct(F.lit(share).alias("w"), F.lit(0).alias("kind"), F.col("layout").alias("value")), F.struct(F.lit(1 - share).alias("w"), F.lit(1).alias("kind"), F.col("content").alias("value")))).alias("x"))
     counts = both.groupBy("node", "x.kind", "x.w", "x.value").agg(F.count(F.lit(1)).alias("c"))
     # entropy over the most that so many pages can have, from 0 (always the same) to 1 (always different)
     sums = counts.groupBy("node").agg((F.sum("c") / 2).cast("long").alias("pages"), F.sum(F.col("w") * F.col("c") * F.log("c")).alias("s"))
     value = (F.log("pages") - F.col("s") / F.col("pages")) / F.log("pages")
-    return sums.filter(F.col("pages") >= max(2, min_pages)).select("node", "pages", F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)).alias("importance"))
+    return sums.filter(F.col("pages") >= max(2, min_pages)).select("node", "pages", ((F.least(F.lit(1.0), F.greatest(F.lit(0.0), value)) * F.col("pages") + UNKNOWN * doubt) / (F.col("pages") + doubt)).alias("importance"))
 
 
 def branches(importance: list[float], parents: list[int], articles: list[int], low: float = LOW) -> list[float]:
