@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lectern.functions.stemming import index_words
+
 # Fixed values.
 RO_WORDS = ["și", "si", "în", "de", "la", "cu", "pentru", "din", "privind", "care", "este", "al", "ale", "sau"]
 EN_WORDS = ["the", "and", "of", "to", "for", "with", "is", "are", "on", "your", "you", "by", "from", "this"]
@@ -185,18 +187,14 @@ def current_item(log: Column) -> Column:
     return F.when(last.isNotNull(), F.substring(F.concat_ws(" ", F.regexp_extract(last, ITEM_LINE, 1), F.when(name == "", target).otherwise(name)), 1, 120))
 
 
-# Suffixes that light stemming removes, longest first, by language of the row.
-SUFFIXES = {
-    "ro": "urilor ilor elor ului iile uri ile lor lui ul le ea ei ii iei e i a".split(),
-    "ru": "иями ами ями ого его ому ему ыми ими ией иях ах ях ов ев ей ам ям ом ем ой ый ий ая яя ое ее ые ие ых их ую юю у ю а я о е ы и ь".split(),
-}
+def lexemes(text: Column, language: Column) -> Column:
+    """The stems of a text in order; Russian rows by the Russian rules and without stop words, all others by the Romanian ones."""
 
+    @F.pandas_udf("array<string>")
+    def run(s: pd.Series, lang: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else [w for w in index_words(t, k) if w] for t, k in zip(s, lang, strict=True)], dtype=object)
 
-def lexemes(text: Column, language: Column) -> Column:
-    """Folded and lightly stemmed words, for matching; Russian rows by the Russian suffixes, all others by the Romanian."""
-    folded = words(F.lower(F.translate(text, "ăâîșşțţĂÂÎȘŞȚŢ", "aaissttAAISSTT")))
-    stem = lambda w, lang: F.when(F.length(w) > 4, F.regexp_replace(w, f"(?<=.{{3}})(?:{'|'.join(SUFFIXES[lang])})$", "")).otherwise(w)
-    return F.when(language == "ru", F.transform(folded, lambda w: stem(w, "ru"))).otherwise(F.transform(folded, lambda w: stem(w, "ro")))
+    return run(text, language)
 
 
 # Characters repaired in all texts, and letters that look alike in two scripts.

@@ -3,19 +3,22 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.texts import lexemes, query_terms
-from lectern.session import shared_dir
+from lectern.functions.stemming import index_words
+from lectern.functions.texts import lexemes, query_terms, unaccented, words
+from lectern.session import checkpointed, shared_dir
 
-#: Asked terms that may be broadcast, and places over which a common term is dealt where there are more.
+#: Asked terms that are searched in one pass.
 MOST_TERMS = 200_000
-#: Distinct asked terms that are filtered by name before words become rows.
-NAMED_TERMS = 10_000
-SALTS = 32
+#: What a cover of words of the lowest weight counts.
+COVER = 0.1
 
 
 def lines(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: Sequence[str] = ()) -> DataFrame:
@@ -130,6 +133,12 @@ def next_items(rows: DataFrame, key: str, order: str, item: str) -> DataFrame:
     return met.withColumn(f"next_{item}", F.when(follows["k"].eqNullSafe(F.col(key)), follows["x"])).select(*rows.columns, f"next_{item}")
 
 
+def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
+    """The distinct words of all texts, lower-cased and without accents."""
+    found = F.array_distinct(words(F.regexp_replace(F.lower(unaccented(F.col(text))), "ß", "ss")))
+    return docs.select(F.explode(found).alias("word")).distinct()
+
+
 def postings(texts: DataFrame, key: str, text: str = "text", language: Column | None = None) -> DataFrame:
     """term, key, n (occurrences), first (position from 0) and length (lexemes of the text): the inverted index."""
     cut = texts.select(key, lexemes(F.col(text), language if language is not None else F.lit("ro")).alias("_l"))
@@ -137,66 +146,111 @@ def postings(texts: DataFrame, key: str, text: str = "text", language: Column |
     return rows.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("n"), F.min("_at").alias("first"))
 
 
-def asked_terms(queries: DataFrame, query: str = "query_id", text: str = "text", language: Column | None = None) -> DataFrame:
-    """query, term: the distinct terms of each question."""
-    terms = lexemes(F.array_join(query_terms(F.col(text)), " "), language if language is not None else F.lit("ro"))
-    return queries.select(query, F.explode(F.array_distinct(terms)).alias("term"))
-
-
-def _asked_only(lexemes_: Column, asked: DataFrame) -> Column:
-    """An array of lexemes without those that no question asks for, where the distinct asked terms are few enough to be named; else as it is, for the join that follows."""
-    terms = [r[0] for r in asked.select("term").distinct().limit(NAMED_TERMS + 1).collect()]
-    return F.filter(lexemes_, lambda w: w.isin(terms)) if len(terms) <= NAMED_TERMS else lexemes_
-
-
-def _met(index: DataFrame, asked: DataFrame, few: bool) -> DataFrame:
-    """Postings with the questions that ask for them. A bounded table of terms is broadcast; else common terms are dealt over SALTS places."""
-    if few:
-        return index.join(F.broadcast(asked), "term")
-    salted = index.withColumn("_salt", F.pmod(F.xxhash64(*index.columns), F.lit(SALTS)).cast("int"))
-    return salted.join(asked.withColumn("_salt", F.explode(F.array(*map(F.lit, range(SALTS))))), ["term", "_salt"]).drop("_salt")
+def asked_terms(queries: DataFrame, query: str = "query_id", text: str = "text") -> DataFrame:
+    """query, term: the distinct terms of each question by the Romanian and by the Russian rules, as it may be in either.
 
+    A term of several words is a phrase: its words with a space between, where a word that the index leaves out is empty.
+    """
 
-def weight(n: Column, length: Column) -> Column:
-    """What one term adds to a score: 1 + ln(occurrences), over 1 + ln(length), so equal texts score equally."""
-    return (1 + F.log(n)) / (1 + F.log(length))
-
-
-def matched(texts: DataFrame, queries: DataFrame, key: str, query: str = "query_id", text: str = "text", language: Column | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
-    """query, key, terms (distinct query terms found), score: texts that hold any term of a query.
-
-    Only words that some question asks for become postings. Up to `most_terms` asked terms, counted, are broadcast; more are joined.
+    @F.pandas_udf("array<string>")
+    def alternatives(terms: pd.Series) -> pd.Series:
+        return pd.Series([sorted({" ".join(index_words(t, rules)).strip() for t in ts for rules in ("ro", "ru")} - {""}) if ts is not None else [] for ts in terms], dtype=object)
+
+    return queries.select(query, F.explode(alternatives(query_terms(F.col(text)))).alias("term"))
+
+
+def covers(ends: Sequence[tuple[int, int]]) -> int:
+    """The number of minimal covers among occurrences (end, begin): each is the first to end at or after a place, from its last beginning; the next begins after it."""
+    n, last = 0, -1
+    for end, back in sorted((end, -begin) for end, begin in ends):
+        if -back > last:
+            n, last = n + 1, -back
+    return n
+
+
+class _Asked:
+    """Asked terms by their first words, and the questions that ask for each."""
+
+    def __init__(self, terms: Sequence[str], askers: Sequence[Sequence[int]]):
+        self.words: dict[str, list[tuple[tuple[str, ...], int]]] = {}
+        self.askers = askers
+        for i, t in enumerate(terms):
+            words = tuple(t.split(" "))
+            self.words.setdefault(words[0], []).append((words, i))
+
+    def found(self, words: Sequence[str]) -> dict[int, tuple[int, int]]:
+        """question: (terms found, covers)."""
+        hits: dict[int, list[tuple[int, int]]] = {}
+        long = False
+        for i, w in enumerate(words):
+            for term, t in self.words.get(w, ()):
+                if len(term) == 1:
+                    hits.setdefault(t, []).append((i, i))
+                elif len(words) >= i + len(term) and all(a in ("", b) for a, b in zip(term, words[i:], strict=False)):
+                    hits.setdefault(t, []).append((i + len(term) - 1, i))
+                    long = True
+        out: dict[int, list] = {}
+        for t, ends in hits.items():
+            for q in self.askers[t]:
+                out.setdefault(q, []).append(ends)
+        # single words stand at places of their own
+        return {q: (len(lists), covers([e for ends in lists for e in ends]) if long and len(lists) > 1 else sum(map(len, lists))) for q, lists in out.items()}
+
+
+def matched(texts: DataFrame, queries: DataFrame, key: str | Sequence[str], query: str = "query_id", text: str = "text", language: Column | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
+    """query, key, terms (distinct query terms found), score: texts that hold any term of a query, ranked by cover density.
+
+    A question's terms are alternatives, so every minimal cover is one occurrence of a term that holds no other, and counts COVER. Asked terms go to all tasks, at most
+    `most_terms` at a time: questions beyond that are searched in further passes over the texts. A text never leaves its task, only what is found in it.
     """
-    asked = asked_terms(queries, query, "text", language)
-    few = asked.limit(most_terms + 1).count() <= most_terms
-    wanted = asked.select("term").distinct()
-    cut = texts.select(key, lexemes(F.col(text), language if language is not None else F.lit("ro")).alias("_l"))
-    # an outer explode, as the planner would make the words once more to see whether there are any
-    words_ = cut.select(key, F.size("_l").alias("length"), F.explode_outer(_asked_only(F.col("_l"), asked)).alias("term")).filter("term is not null")
-    kept = words_.join(F.broadcast(wanted) if few else wanted, "term", "left_semi")
-    index = kept.groupBy("term", key, "length").agg(F.count(F.lit(1)).alias("n"))
-    return _met(index, asked, few).groupBy(query, key).agg(F.count(F.lit(1)).alias("terms"), F.sum(weight(F.col("n"), F.col("length"))).alias("score"))
+    spark = texts.sparkSession
+    keys = [key] if isinstance(key, str) else list(key)
+    asked = checkpointed(asked_terms(queries, query))
+    passes = max(1, -(-asked.count() // most_terms))
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = ", ".join([f"{query} {kind(queries, query)}", *(f"{k} {kind(texts, k)}" for k in keys), "terms long", "score double"])
+    rows = texts.select(*keys, F.col(text).alias("_text"), (language if language is not None else F.lit("ro")).alias("_lang"))
+    out = None
+    for i in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64(query), F.lit(passes)) == i).toArrow()
+        names, codes = _coded(part["term"])
+        ids, asker = _coded(part[query])
+        askers = [[] for _ in names]
+        for t, q in zip(codes, asker, strict=True):
+            askers[t].append(q)
+        shared = spark.sparkContext.broadcast((names.to_pylist(), askers, ids))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            terms, askers, ids = shared.value
+            index = _Asked(terms, askers)
+            for batch in batches:
+                found, at = [], []
+                for row, (t, lang) in enumerate(zip(batch.column("_text"), batch.column("_lang"), strict=True)):
+                    if t.is_valid:
+                        hits = index.found(index_words(t.as_py(), lang.as_py()))
+                        found += [(q, *x) for q, x in hits.items()]
+                        at += [row] * len(hits)
+                qs, ns, cs = (pa.array([x[k] for x in found], pa.int64()) for k in range(3))
+                yield pa.RecordBatch.from_arrays([ids.take(qs), *(batch.column(k).take(pa.array(at, pa.int64())) for k in keys), ns, pc.multiply(cs.cast(pa.float64()), COVER)], [query, *keys, "terms", "score"])
+
+        here = rows.mapInArrow(run, schema)
+        out = here if out is None else out.unionByName(here)
+    return out
+
+
+def _coded(column: pa.ChunkedArray) -> tuple[pa.Array, list[int]]:
+    """Distinct values, and the place among them of each."""
+    whole = column.combine_chunks().dictionary_encode()
+    whole = whole.combine_chunks() if isinstance(whole, pa.ChunkedArray) else whole
+    return whole.dictionary, whole.indices.to_pylist()
 
 
 def matched_lines(lines_: DataFrame, queries: DataFrame, key: str = "chunk_id", line: str = "line_id", text: str = "line", query: str = "query_id", language: Column | None = None, most_terms: int = MOST_TERMS) -> tuple[DataFrame, DataFrame]:
     """Full-text search in lines and in what they make up, in one pass over the lines: (query, key, score) and (query, key, line, score).
 
-    Occurrences of asked words are written once, with one row a line that carries its length; a text's occurrences and length are the sums of its lines'.
+    What is found in lines is written once; a text's covers are those of its lines.
     """
-    spark = lines_.sparkSession
-    asked = asked_terms(queries, query, "text", language)
-    few = asked.limit(most_terms + 1).count() <= most_terms
-    end = spark.range(1).select(F.lit("").alias("term"))  # no lexeme is empty: the row of a line's length
-    wanted = asked.select("term").distinct().unionByName(end)
-    cut = lines_.select(key, line, lexemes(F.col(text), language if language is not None else F.lit("ro")).alias("_l"))
-    words_ = cut.select(key, line, F.size("_l").alias("length"), F.explode_outer(F.concat(_asked_only(F.col("_l"), asked), F.array(F.lit("")))).alias("term"))
-    path = f"{shared_dir(spark)}/hits-{uuid.uuid4().hex}"
-    words_.join(F.broadcast(wanted) if few else wanted, "term", "left_semi").groupBy(key, line, "length", "term").agg(F.count(F.lit(1)).alias("n")).write.parquet(path)
-    hits = spark.read.parquet(path)
-    found = hits.filter("term <> ''")
-    whole = found.groupBy(key, "term").agg(F.sum("n").alias("n"))
-    sizes = hits.filter("term = ''").groupBy(key).agg(F.sum("length").alias("length"))
-    score = F.sum(weight(F.col("n"), F.col("length"))).alias("score")
-    of_texts = _met(whole.join(sizes, key).select("term", key, "n", "length"), asked, few).groupBy(query, key).agg(score)
-    of_lines = _met(found.select("term", key, line, "n", "length"), asked, few).groupBy(query, key, line).agg(score)
-    return of_texts, of_lines
+    path = f"{shared_dir(lines_.sparkSession)}/hits-{uuid.uuid4().hex}"
+    matched(lines_, queries, [key, line], query, text, language, most_terms).write.parquet(path)
+    hits = lines_.sparkSession.read.parquet(path)
+    return hits.groupBy(query, key).agg(F.sum("score").alias("score")), hits.select(query, key, line, "score")

@@ -11,9 +11,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions.vectors import dot
+from lectern.session import checkpointed
 
 RRF_K = 60
 VECTORS_IN_BLOCK = 2048
+#: Numbers of probes that go to all tasks at a time (32 MB).
+MOST_PROBES = 4 << 20
 
 
 def filtered(df: DataFrame, **wanted: object) -> DataFrame:
@@ -39,59 +42,90 @@ def vector_topk(vectors: DataFrame, probe: Sequence[float], k: int, key: str = "
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), key)))  # k rows
 
 
-def batch_topk(probes: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", per_block: int = VECTORS_IN_BLOCK) -> DataFrame:
+def batch_topk(probes: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most_probes: int = MOST_PROBES) -> DataFrame:
     """probe, key, score, rank: the k best rows for every probe (probe, vector), exactly.
 
-    Probes and rows are packed into blocks; every pair of blocks meets once, as a matrix product that keeps k rows a probe, and
-    a last window takes the best of the blocks. Work is rows times probes, in bounded pieces on all executors.
+    Vectors stay where they are read: probes go to all tasks (at most `most_probes` numbers at a time, further ones in further passes over the vectors), a task keeps the k
+    best rows of each probe over all its batches, and a last window takes the best of the tasks. Scores are compared to twelve digits, ties go to the least key.
     """
     order = Window.partitionBy("probe").orderBy(F.desc(F.round("score", 12)), key)
-    return _best_of_blocks(probes, vectors, k, key, vector, per_block).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return _best_of_tasks(probes, vectors, k, key, vector, most_probes, 12).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def boosted_topk(probes: DataFrame, vectors: DataFrame, k: int, label: str, bonus: float, least: float, key: str = "vec_id", vector: str = "embedding", per_block: int = VECTORS_IN_BLOCK) -> DataFrame:
+def boosted_topk(probes: DataFrame, vectors: DataFrame, k: int, label: str, bonus: float, least: float, key: str = "vec_id", vector: str = "embedding", most_probes: int = MOST_PROBES) -> DataFrame:
     """probe, key, score, rank: the k best rows for every probe (probe, vector, label), exactly, where rows of the probe's label have a bonus; none scores below `least`.
 
-    The bonus is added inside the block products, so no row is left out before it counts. Scores are rounded to nine digits before the bonus.
+    The bonus is added before a task chooses, so no row is left out before it counts. Scores are rounded to nine digits before the bonus.
     """
-    found = _best_of_blocks(probes, vectors, k, key, vector, per_block, label, bonus)
+    found = _best_of_tasks(probes, vectors, k, key, vector, most_probes, 9, label, bonus)
     score = F.round("score", 9) + F.when(F.col("_same"), bonus).otherwise(0.0)
     order = Window.partitionBy("probe").orderBy(F.desc("score"), key)
     return found.withColumn("score", score).filter(F.col("score") >= least).drop("_same").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
-def _best_of_blocks(probes: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, per_block: int, label: str | None = None, bonus: float = 0.0) -> DataFrame:
-    """probe, key, score (and, with a label, _same: of the probe's label): at least the k best rows of every pair of blocks."""
-    n = max(1, -(-vectors.count() // per_block))
-    m = max(1, -(-probes.count() // per_block))
-    fields = [F.col(label).alias("l")] if label else []
-    packed = lambda df, i, blocks, name: df.filter(F.col(vector).isNotNull()).groupBy(F.pmod(F.xxhash64(i), F.lit(blocks)).alias(name)).agg(F.collect_list(F.struct(*fields, F.col(i).alias("i"), F.col(vector).cast("array<double>").alias("v"))).alias(f"{name}s"))
-    left = packed(probes, "probe", m, "_p").withColumn("_v", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = left.join(packed(vectors, key, n, "_v"), "_v").select("_ps", "_vs")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for a, b in zip(batch.column(0), batch.column(1), strict=True):
-                ids = []
-                for part in (a, b):
-                    v = part.values.field("v")
-                    ids.append((part.values.field("i"), np.asarray(v.flatten()).reshape(len(v), -1)))
-                (pi, p), (vi, v) = ids
-                plain = score = p @ v.T
-                if label:
-                    known = pc.unique(b.values.field("l")).drop_null()
-                    one, other = (np.asarray(pc.index_in(part.values.field("l"), known).fill_null(none)) for part, none in ((a, -1), (b, -2)))
-                    same = one[:, None] == other[None, :]
-                    score = plain + bonus * same
-                top = np.argsort(-score, axis=1, kind="stable")[:, : max(k, 1)] if k >= v.shape[0] else np.argpartition(-score, k - 1, axis=1)[:, :k]
-                # all that tie with the last one kept go on, so the choice among ties is left to the window
-                least = np.take_along_axis(score, top, 1).min(1, keepdims=True)
-                r, c = np.nonzero(score >= least - (2e-9 if label else 0))  # with a bonus, scores that round alike tie too
-                found = [pi.take(pa.array(r)), vi.take(pa.array(c)), pa.array(plain[r, c])]
-                yield pa.RecordBatch.from_arrays(found + ([pa.array(same[r, c])] if label else []), ["probe", key, "score"] + (["_same"] if label else []))
-
+def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
+
+
+class _Best:
+    """The k best candidates of each probe so far: scores rounded down the line, ties to the least key."""
+
+    def __init__(self, probes: int, k: int, digits: int):
+        self.k, self.digits = k, digits
+        self.floor = np.full(probes, -np.inf)
+        self.held: tuple[np.ndarray, ...] | None = None  # probe, key, score, of the probe's label
+
+    def add(self, keys: np.ndarray, score: np.ndarray, same: np.ndarray | None, bonus: float) -> None:
+        shown = score if same is None else score + bonus * same
+        p, c = np.nonzero(shown >= self.floor[:, None] - 2 * 10.0**-self.digits)
+        if not len(p):
+            return
+        new = (p, keys[c], score[p, c], np.zeros(len(p), bool) if same is None else same[p, c])
+        p, key, plain, alike = new if self.held is None else (np.concatenate(x) for x in zip(self.held, new, strict=True))
+        value = np.round(plain, self.digits) + bonus * alike
+        order = np.lexsort((key, -value, p))
+        first = np.flatnonzero(np.diff(p[order], prepend=-1))
+        place = np.arange(len(p)) - np.repeat(first, np.diff(first, append=len(p)))
+        kept, last = order[place < self.k], order[place == self.k - 1]
+        self.held = (p[kept], key[kept], plain[kept], alike[kept])
+        self.floor[p[last]] = value[last]
+
+
+def _best_of_tasks(probes: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, most_probes: int, digits: int, label: str | None = None, bonus: float = 0.0) -> DataFrame:
+    """probe, key, score (and, with a label, _same: of the probe's label): the k best rows that each task has for each probe."""
+    spark, fields = vectors.sparkSession, [label] if label else []
+    asked = checkpointed(probes.filter(F.col(vector).isNotNull()).select("probe", *fields, F.col(vector).cast("array<double>").alias(vector)))
+    passes = max(1, -(-(asked.agg(F.sum(F.size(vector))).first()[0] or 0) // most_probes))
+    rows = vectors.filter(F.col(vector).isNotNull()).select(key, *fields, F.col(vector).cast("array<double>").alias(vector))
     kinds = f"probe {probes.schema['probe'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double" + (", _same boolean" if label else "")
-    return pairs.mapInArrow(run, kinds)
+    out = None
+    for i in range(passes):
+        part = asked.filter(F.pmod(F.xxhash64("probe"), F.lit(passes)) == i).toArrow().combine_chunks()
+        shared = spark.sparkContext.broadcast((part["probe"].combine_chunks(), _matrix(part[vector]) if len(part) else None, part[label].combine_chunks() if label else None))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            names, p, labels = shared.value
+            if p is None:
+                return
+            best = _Best(len(names), k, digits)
+            for batch in batches:
+                for at in range(0, len(batch), VECTORS_IN_BLOCK):
+                    block = batch.slice(at, VECTORS_IN_BLOCK)
+                    same = None
+                    if label:
+                        known = pc.unique(block.column(label)).drop_null()
+                        one, other = (np.asarray(pc.index_in(x, known).fill_null(none)) for x, none in ((labels, -1), (block.column(label), -2)))
+                        same = one[:, None] == other[None, :]
+                    best.add(block.column(key).to_numpy(zero_copy_only=False), p @ _matrix(block.column(vector)).T, same, bonus)
+            if best.held is not None:
+                at, keys, plain, alike = best.held
+                found = [names.take(pa.array(at)), pa.array(keys, batch.schema.field(key).type), pa.array(plain)]
+                yield pa.RecordBatch.from_arrays(found + ([pa.array(alike)] if label else []), ["probe", key, "score"] + (["_same"] if label else []))
+
+        here = rows.mapInArrow(run, kinds)
+        out = here if out is None else out.unionByName(here)
+    return out
 
 
 def ranked(df: DataFrame, by: list[str], *order: Column | str) -> DataFrame:

@@ -9,7 +9,8 @@ from lectern.functions import questions, urls
 from lectern.operators import answers, contacts, corpus, ranking
 from lectern.operators.embedding import continued, embedded
 from lectern.plans.retrieve import retrieve
-from lectern.queries.retrieval import _ASKED, _LINES
+from lectern.queries.retrieval import _ASKED, _LINES, _TERMS
+from lectern.queries.stems_sql import WORDS, density, romanian
 from lectern.registry import query
 from lectern.session import table
 
@@ -81,14 +82,12 @@ def answer_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PROBED = "SELECT p.vec_id AS query_id, e.vec_id, list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score, row_number() OVER (PARTITION BY p.vec_id ORDER BY round(list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]), 12) DESC, e.vec_id) AS rank FROM embeddings e, embeddings p WHERE p.vec_id % 20 = 0 AND e.vec_id % 2 = {}"
 _HYBRID = rf"""
 WITH {_LINES}, {_ASKED},
-toks AS (SELECT doc_id, idx, regexp_extract_all(lower(translate(line, 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{{L}}\p{{N}}\p{{M}}\p{{Pc}}\x{{200C}}\x{{200D}}]+') AS w FROM lines),
-dl AS (SELECT doc_id, sum(len(w)) AS length FROM toks GROUP BY doc_id),
-lex AS (SELECT doc_id, idx, len(w) AS length, unnest(list_transform(w, lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{{3}}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END)) AS term FROM toks),
-lh AS (SELECT item_id * 20 AS query_id, term, doc_id, idx, length, count(*) AS n FROM lex JOIN qt USING (term) GROUP BY ALL),
-ls AS (SELECT query_id, doc_id, idx, round(sum((1 + ln(n)) / (1 + ln(length))), 9) AS score FROM lh GROUP BY ALL),
-lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id, idx) AS rank FROM ls) WHERE rank <= 60),
-th AS (SELECT query_id, term, doc_id, sum(n) AS n FROM lh GROUP BY ALL),
-ts AS (SELECT query_id, doc_id, round(sum((1 + ln(n)) / (1 + ln(length))), 9) AS score FROM th JOIN dl USING (doc_id) GROUP BY ALL),
+toks AS (SELECT doc_id, idx, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, idx, {WORDS.format("line")} AS w FROM lines)),
+vocabulary AS (SELECT w FROM toks UNION SELECT w FROM qw), {romanian("vocabulary", "stems")}, {_TERMS},
+t AS (SELECT doc_id, idx, pos, s FROM toks JOIN stems USING (w)), {density("t", "alts", "doc_id, idx")},
+ls AS (SELECT item_id * 20 AS query_id, doc_id, idx, 0.1::DOUBLE * covers AS score FROM found),
+lt AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id, idx) AS rank FROM ls) WHERE rank <= 60),
+ts AS (SELECT query_id, doc_id, round(sum(score), 9) AS score FROM ls GROUP BY ALL),
 ct AS (SELECT * FROM (SELECT query_id, doc_id AS chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM ts) WHERE rank <= 30),
 cv AS (SELECT query_id, vec_id AS chunk_id, rank FROM ({_PROBED.format(0)}) WHERE rank <= 30),
 lv AS (SELECT query_id, vec_id::VARCHAR AS line_id, vec_id - 1 AS chunk_id, score, rank FROM ({_PROBED.format(1)}) WHERE rank <= 60),

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lectern.functions import texts
+from lectern.functions.stemming import RU_STOP_WORDS
 from lectern.functions.vectors import mean
 from lectern.operators import corpus, ranking
 from lectern.plans import gather
+from lectern.queries.stems_sql import WORDS, density, romanian, russian
 from lectern.registry import query
 from lectern.session import table
 
@@ -153,32 +156,46 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 #: Terms of the items of the benchmark.
 _ASKED = r"""q AS (SELECT item_id, list_filter(list_transform(string_split_regex(trim(text), '\s+'), lambda t: regexp_replace(regexp_replace(t, '[&|!()\\:*''"]', '', 'g'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: length(t) >= 3 AND lower(t) NOT IN ('cat','cât','cum','unde','care','pentru','este','sunt','cine','cand','când','daca','dacă','acest','aceasta','aceste','acesti','acești')) AS t FROM benchmark),
-qt AS (SELECT DISTINCT item_id, CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{3}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END AS term
-  FROM (SELECT item_id, unnest(regexp_extract_all(lower(translate(array_to_string(t, ' '), 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{L}\p{N}\p{M}\p{Pc}\x{200C}\x{200D}]+')) AS x FROM q))
-"""
+qw AS (SELECT item_id, k, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS j, len(w) AS n FROM (SELECT item_id, k, %s AS w FROM (SELECT item_id, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM q)))""" % WORDS.format("x")
+#: Each word by the Romanian rules, and as it is, as the Russian ones leave Latin words; a term is its words with spaces.
+_TERMS = """
+alts AS (SELECT DISTINCT item_id, term, unnest(string_split(term, ' ')) AS word, generate_subscripts(string_split(term, ' '), 1) - 1 AS j, n FROM (
+  SELECT item_id, k, any_value(n) AS n, string_agg(s, ' ' ORDER BY j) AS term FROM qw JOIN stems USING (w) GROUP BY item_id, k UNION ALL SELECT item_id, k, any_value(n), string_agg(w, ' ' ORDER BY j) FROM qw GROUP BY item_id, k))"""
 
 
-@query(r"""
-WITH toks AS (SELECT doc_id, regexp_extract_all(lower(translate(text, 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{L}\p{N}\p{M}\p{Pc}\x{200C}\x{200D}]+') AS w FROM documents),
-lex AS (SELECT doc_id, len(w) AS length, unnest(list_transform(w, lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{3}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END)) AS term FROM toks),
-idx AS (SELECT term, doc_id, length, count(*) AS n FROM lex GROUP BY ALL),
-""" + _ASKED + r"""SELECT item_id, doc_id, count(*) AS terms FROM qt JOIN idx USING (term) GROUP BY ALL
+@query(f"""
+WITH {_ASKED},
+toks AS (SELECT doc_id, unnest(w) AS w, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents)),
+vocabulary AS (SELECT w FROM toks UNION SELECT w FROM qw), {romanian("vocabulary", "stems")}, {_TERMS},
+t AS (SELECT doc_id, pos, s FROM toks JOIN stems USING (w)), {density("t", "alts", "doc_id")}
+SELECT item_id, doc_id, terms, round(0.1::DOUBLE * covers, 6) AS score FROM found
 """)
 def postings_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpus.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id").select("item_id", "doc_id", "terms")
+    """Full-text search of the benchmark's items in all documents, by number of terms and by cover density."""
+    found = corpus.matched(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id", language=F.col("lang"))
+    return found.select("item_id", "doc_id", "terms", F.round("score", 6).alias("score"))
 
 
-@query(r"""
-WITH toks AS (SELECT doc_id, regexp_extract_all(lower(translate(text, 'ăâîșşțţĂÂÎȘŞȚŢ', 'aaissttAAISSTT')), '[\p{L}\p{N}\p{M}\p{Pc}\x{200C}\x{200D}]+') AS w FROM documents WHERE lang = 'en'),
-lex AS (SELECT doc_id, unnest(list_transform(w, lambda x: CASE WHEN length(x) > 4 THEN regexp_replace(x, '^(.{3}.*?)(urilor|ilor|elor|ului|iile|uri|ile|lor|lui|ul|le|ea|ei|ii|iei|e|i|a)$', '\1') ELSE x END)) AS term FROM toks)
-SELECT term, count(*) AS occurrences, count(DISTINCT doc_id) AS texts FROM lex GROUP BY term
-""".replace("\\\\", "\\"))
+@query(f"""
+WITH toks AS (SELECT doc_id, unnest({WORDS.format("text")}) AS w FROM documents), {romanian("toks", "stems")}
+SELECT s AS term, count(*) AS occurrences, count(DISTINCT doc_id) AS texts FROM toks JOIN stems USING (w) GROUP BY s
+""")
 def term_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of the inverted index of English documents."""
-    index = corpus.postings(table(spark, sf_dir, "documents").filter("lang = 'en'"), "doc_id")
+    """Terms of the inverted index of all documents."""
+    index = corpus.postings(table(spark, sf_dir, "documents"), "doc_id", language=F.col("lang"))
     return index.groupBy("term").agg(F.sum("n").alias("occurrences"), F.count(F.lit(1)).alias("texts"))
 
 
+@query(f"""
+WITH words AS (SELECT DISTINCT translate(unnest({WORDS.format("text")}), 'abcdefghijklmnopqrstuvwxyz', 'абцдефгхийклмнопярстувшыьюя') AS w FROM documents), {russian("words", "stems")}
+SELECT w AS word, s AS stem FROM stems WHERE s <> '' AND w NOT IN ({", ".join(f"'{w}'" for w in sorted(RU_STOP_WORDS))})
+""")
+def russian_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of all documents in Cyrillic letters, and their stems by the Russian rules."""
+    words = corpus.vocabulary(table(spark, sf_dir, "documents")).select(F.translate("word", "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшыьюя").alias("word")).distinct()
+    return words.select("word", F.get(texts.lexemes(F.col("word"), F.lit("ru")), 0).alias("stem")).filter("stem is not null")
+
+
 @query("SELECT doc_id, source, n_chars, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_doc_id FROM documents")
 def next_chunk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.next_items(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "source", "doc_id", "doc_id")

@@ -24,14 +24,14 @@ def test_a_bonus_counts_for_every_row(spark, tmp_path):
     assert got[20, 1] == 7  # a null label has no bonus
 
 
-@pytest.mark.parametrize("per_block", [7, 1000])
-def test_boosted_topk_is_exact(spark, per_block):
+@pytest.mark.parametrize("most_probes", [64, 1 << 20])
+def test_boosted_topk_is_exact(spark, most_probes):
     rng = np.random.default_rng(3)
     v = rng.normal(size=(120, 4)).round(1)
     label = rng.integers(0, 3, 120).tolist()
     df = spark.createDataFrame([(i, v[i].tolist(), label[i]) for i in range(120)], "vec_id long, embedding array<double>, label int")
     probes = df.filter("vec_id < 9").withColumnRenamed("vec_id", "probe")
-    got = {(r["probe"], r["rank"]): r["vec_id"] for r in ranking.boosted_topk(probes, df, 3, "label", 0.5, 0.3, per_block=per_block).collect()}
+    got = {(r["probe"], r["rank"]): r["vec_id"] for r in ranking.boosted_topk(probes, df, 3, "label", 0.5, 0.3, most_probes=most_probes).collect()}
     for p in range(9):
         scores = sorted((-(round(float(v[p] @ v[i]), 9) + 0.5 * (label[i] == label[p])), i) for i in range(120))
         assert [got.get((p, k + 1)) for k in range(3)] == [i if -s >= 0.3 else None for s, i in scores[:3]]
