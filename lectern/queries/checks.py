@@ -26,13 +26,13 @@ def valid_phones(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT conv_id, turn, regexp_matches(text, '(?i)^[^a-z0-9_]*(who|which|when)\\b') AS now, false AS talk FROM conversations WHERE role = 'user' AND NOT regexp_matches(text, '[^\\x00-\\x7F]')
+SELECT conv_id, turn, regexp_matches(text, '(?i)^[^\\p{L}\\p{N}_]*(who|which|when)($|[^\\p{L}\\p{N}_])') AS now, false AS talk FROM conversations WHERE role = 'user'
 UNION ALL SELECT conv_id, -1, conv_id % 2 = 0, conv_id % 2 = 1 FROM conversations GROUP BY conv_id
 """.replace("\\\\", "\\"))
 def question_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions about the current state, and small talk: those asked, and one written for each conversation."""
     c = table(spark, sf_dir, "conversations")
-    asked = c.filter("role = 'user'").filter(~F.col("text").rlike(r"[^\x00-\x7F]")).select("conv_id", "turn", "text")
+    asked = c.filter("role = 'user'").select("conv_id", "turn", "text")
     written = c.select("conv_id").distinct().select("conv_id", F.lit(-1).cast("long").alias("turn"), F.when(F.col("conv_id") % 2 == 0, "Кто сейчас примар города?").otherwise("Bună ziua!").alias("text"))
     both = asked.unionByName(written)
     return both.select("conv_id", "turn", questions.asks_for_now(F.col("text")).alias("now"), questions.small_talk(F.col("text")).alias("talk"))
@@ -50,13 +50,12 @@ def rosters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(r"""
-SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text || ' ş ţ Ş Ţ'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), 'ş', 'ș', 'g').replace('ţ', 'ț').replace('Ş', 'Ș').replace('Ţ', 'Ț'), chr(10) || ' ') AS text FROM documents WHERE doc_id % 5 = 0 AND NOT regexp_matches(text, '[^\x00-\x{24F}\x{2013}-\x{2026}]') AND NOT regexp_matches(text, '[\x0b-\x0d\x1c-\x1f\x85\xa0\xad]')
+SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(nfc_normalize(text || ' ş ţ Ş Ţ'), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), 'ş', 'ș', 'g').replace('ţ', 'ț').replace('Ş', 'Ș').replace('Ţ', 'Ț'), chr(10) || ' ') AS text FROM documents
 """)
 def normalised_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of Latin letters, every fifth, with letters to repair at their end."""
+    """All documents, with letters to repair at their end."""
     t = F.concat("text", F.lit(" ş ţ Ş Ţ"))
-    plain = ~F.col("text").rlike(r"[^\x00-\x{24F}\x{2013}-\x{2026}]") & ~F.col("text").rlike(r"[\x0b-\x0d\x1c-\x1f\x85\xa0\xad]")
-    return table(spark, sf_dir, "documents").filter("doc_id % 5 = 0").filter(plain).select("doc_id", texts.normalised(t).alias("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", texts.normalised(t).alias("text"))
 
 
 @query("""
@@ -185,14 +184,14 @@ def interleaved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_LINES}, k AS (SELECT *, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS k FROM lines WHERE doc_id % 4 = 0),
+WITH {_LINES}, k AS (SELECT *, lower(trim(regexp_replace(line, '\\s+', ' ', 'g'))) AS k FROM lines),
 o AS (SELECT *, row_number() OVER (PARTITION BY doc_id, k ORDER BY idx) AS n FROM k WHERE regexp_matches(k, '\\p{{L}}')),
 g AS (SELECT *, lag(idx) OVER (PARTITION BY doc_id ORDER BY idx) AS before FROM o WHERE n = 1)
 SELECT doc_id, sha1(string_agg(CASE WHEN before <> idx - 1 THEN '…' || chr(10) ELSE '' END || 'S' || doc_id || '.L' || idx || ': ' || line, chr(10) ORDER BY idx)) AS prompt FROM g GROUP BY doc_id
 """.replace("\\\\", "\\"))
 def prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The prompt text of every fourth document: each of its lines once, marks where some are left out."""
-    rows = corpus.lines(table(spark, sf_dir, "documents").filter("doc_id % 4 = 0")).select("doc_id", "idx", "line").withColumn("q", F.col("doc_id"))
+    """The prompt text of every document: each of its lines once, marks where some are left out."""
+    rows = corpus.lines(table(spark, sf_dir, "documents")).select("doc_id", "idx", "line").withColumn("q", F.col("doc_id"))
     shown = answers.shown_lines(rows, "q", "doc_id", "idx", "line")
     return answers.rendered(shown, "q", "doc_id", "idx", "line").select("doc_id", F.sha1("prompt").alias("prompt"))
 

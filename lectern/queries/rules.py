@@ -134,15 +134,10 @@ def copied_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", acts.copied_from(plain(value), F.array(plain(shown))).alias("copied"))
 
 
-@query(r"""
-SELECT doc_id, lower(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(replace(lower(substr(text, 1, 400)),
-  'é', 'e'), 'è', 'e'), 'ê', 'e'), 'ç', 'c'), 'ü', 'u'), 'ö', 'o'), 'ä', 'a'), 'ñ', 'n'), 'ó', 'o'), 'í', 'i'), 'á', 'a'), 'ú', 'u'), 'à', 'a'), 'â', 'a'), 'î', 'i'), 'û', 'u')) AS folded FROM documents WHERE NOT regexp_matches(lower(substr(text, 1, 400)), '[^\x00-\x7Féèêçüöäñóíáúàâîûß–—…“”’«»]')
-""")
+@query("SELECT doc_id, strip_accents(lower(text)) AS folded FROM documents")
 def folded_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first characters of documents without accents, of those in the letters that the check knows."""
-    start = F.substring("text", 1, 400)
-    known = ~F.lower(start).rlike("[^\\x00-\\x7Féèêçüöäñóíáúàâîûß–—…“”’«»]")
-    return table(spark, sf_dir, "documents").filter(known).select("doc_id", texts.folded(start).alias("folded"))
+    """All documents without accents, in lower case."""
+    return table(spark, sf_dir, "documents").select("doc_id", texts.folded(F.col("text")).alias("folded"))
 
 
 @query(f"""
@@ -273,15 +268,14 @@ def table_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-WITH {_LINES}, b AS (SELECT doc_id, min(idx) FILTER (contains(line, 'and')) AS first_and FROM lines GROUP BY doc_id)
-SELECT l.doc_id, l.idx, (SELECT min(k.idx) FROM lines k WHERE k.doc_id = l.doc_id AND (contains(k.line, substr(l.line, 1, 12)) OR contains(substr(l.line, 1, 12), k.line)))::INT AS block FROM lines l WHERE l.idx < 4
+WITH {_LINES}, b AS (SELECT doc_id, idx, line FROM lines WHERE idx % 3 <> 1)
+SELECT l.doc_id, l.idx, min(b.idx)::INT AS block FROM lines l LEFT JOIN b ON b.doc_id = l.doc_id AND (contains(b.line, l.line) OR contains(l.line, b.line)) GROUP BY l.doc_id, l.idx
 """)
 def attributed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The beginnings of the first lines of each document, and the first line that holds them."""
-    rows = corpus.lines(table(spark, sf_dir, "documents")).select("doc_id", "idx", "line")
-    packed = rows.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("line").alias("text")))).alias("bs"))
-    found = rows.filter("idx < 4").join(packed, "doc_id")
-    return found.select("doc_id", "idx", documents.attributed(F.substring("line", 1, 12), F.col("bs"))["idx"].alias("block"))
+    """Every line of each document, and the first block (two lines in three are one) that holds it or that it holds."""
+    rows = corpus.lines(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("idx", F.col("line").alias("text")))).alias("ls"))
+    blocks = F.filter("ls", lambda b: b["idx"] % 3 != 1)
+    return rows.select("doc_id", F.inline(F.transform("ls", lambda x: F.struct(x["idx"].alias("idx"), documents.attributed(x["text"], blocks)["idx"].alias("block")))))
 
 
 @query("""
