@@ -35,6 +35,8 @@ SLICE_TERMS = 1024
 TILE = 256
 CELLS = 1 << 20
 CHUNK_BYTES = 4 << 20
+#: Rows of counts that a task holds before it sends them on.
+HELD_ROWS = 1_000_000
 #: Terms are runs of letters: A-Z, a-z and all characters above ASCII.
 LETTERS = ALNUM.copy()
 LETTERS[48:58] = False
@@ -53,7 +55,7 @@ def _terms(buf: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, pa.Dictionary
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """lang, source, term, n, docs: the counts of one chunk of texts."""
+    """lang, source, term, n, docs: counts of one chunk of texts."""
     for part, buf, offs in chunks(batches, "text", CHUNK_BYTES):
         text_of, words = _terms(buf, offs)
         if not len(words):
@@ -70,6 +72,26 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*columns, pa.array(np.add.reduceat(n[order], first)), pa.array(np.diff(first, append=len(order)))], ["lang", "source", "term", "n", "docs"])
 
 
+def _gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a task, added up while they are few."""
+    held, rows = [], 0
+    for batch in _counted(batches):
+        held.append(batch)
+        rows += len(batch)
+        if rows > HELD_ROWS:
+            held = _added(held)
+            rows = sum(map(len, held))
+            if 2 * rows > HELD_ROWS:
+                yield from held
+                held, rows = [], 0
+    yield from _added(held) if held else []
+
+
+def _added(batches: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+    sums = pa.Table.from_batches(batches).group_by(["lang", "source", "term"], use_threads=False).aggregate([("n", "sum"), ("docs", "sum")])
+    return sums.rename_columns({"n_sum": "n", "docs_sum": "docs"}).select(["lang", "source", "term", "n", "docs"]).to_batches(max_chunksize=1 << 16)
+
+
 def _share(count: np.ndarray, of: np.ndarray) -> np.ndarray:
     """1 + floor(SHARE * (count + 1) / of) by long division, three digits at a time."""
     rest, out = count + 1, np.zeros_like(count)
@@ -132,39 +154,38 @@ def _tile_values(tile: int) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
     return found
 
 
-def counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text") -> DataFrame:
-    """lang, source, term, n occurrences and the number of docs with it."""
+def counts(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS) -> DataFrame:
+    """lang, source, term, n occurrences there and total ones in the language, for terms in at least min_docs documents of the language.
+
+    Counts are dealt once, by language and term; a term has at most a row for each source and task that met it. `first` marks one row of each term.
+    """
     texts = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source"), F.col(text).alias("text"))
-    parts = texts.mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
-    return parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    parts = texts.mapInArrow(_gathered, "lang string, source string, term string, n long, docs long").repartition("lang", "term")
+    sums = parts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    term = Window.partitionBy("lang", "term")
+    marked = sums.withColumn("total", F.sum("n").over(term)).withColumn("docs", F.sum("docs").over(term)).withColumn("first", F.row_number().over(term.orderBy("source")) == 1)
+    return marked.filter(F.col("docs") >= min_docs).drop("docs")
 
 
 def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str = "text", min_docs: int = MIN_DOCS, top: int = TOP_TERMS, slice_terms: int = SLICE_TERMS, tile: int = TILE) -> DataFrame:
     """lang, source, part, item, value, rank: all other sources of each group by part `pair`, its `top` own terms by part `term`."""
-    counted = checkpointed(counts(docs, lang, source, text))
-    kept = checkpointed(counted.groupBy("lang", "term").agg(F.sum("n").alias("total"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs).drop("docs"))
-    langs = checkpointed(kept.groupBy("lang").agg(F.count(F.lit(1)).alias("v"), F.sum("total").alias("lang_n")))
-    slices = F.ceil(F.col("v") / slice_terms)
-    placed = joined_by_count(kept, langs, "lang", "v").withColumn("slice", F.pmod(F.xxhash64("term"), slices))
-    placed = placed.withColumn("pos", F.row_number().over(Window.partitionBy("lang", "slice").orderBy(F.desc("total"), "term")) - 1)
-    placed = checkpointed(placed.select("lang", "term", "total", "slice", "pos"))
-    own = counted.select("lang", "source", "term", "n").join(placed, ["lang", "term"])
-    own = checkpointed(own)
-
+    own = checkpointed(counts(docs, lang, source, text, min_docs))
+    langs = checkpointed(own.groupBy("lang").agg(F.count_if("first").alias("v"), F.sum("n").alias("lang_n")))
     sums = own.groupBy("lang", "source").agg(F.sum("n").alias("group_n"), F.count(F.lit(1)).alias("kept_terms"))
     groups = docs.select(F.coalesce(lang, F.lit("")).alias("lang"), F.coalesce(source, F.lit("")).alias("source")).distinct()
     groups = groups.join(sums, ["lang", "source"], "left").join(langs, "lang", "left").na.fill(0, ["group_n", "kept_terms", "v", "lang_n"])
     order = Window.partitionBy("lang").orderBy("source")
     groups = checkpointed(groups.withColumn("idx", F.row_number().over(order) - 1).withColumn("tiles", F.expr(f"(count(1) OVER (PARTITION BY lang) - 1) div {tile} + 1")))
-
     rows = joined_by_count(own, groups, ["lang", "source"], "kept_terms")
-    rows = checkpointed(rows.select("lang", "source", "term", "n", "total", "slice", "pos", "group_n", "v", "lang_n", "idx", "tiles"))
-    return _pairs(rows, placed, groups, slice_terms, tile).unionByName(_terms_apart(rows, top))
+    return _pairs(rows, groups, slice_terms, tile).unionByName(_terms_apart(rows, top))
 
 
-def _pairs(rows: DataFrame, placed: DataFrame, groups: DataFrame, slice_terms: int, tile: int) -> DataFrame:
-    sets = rows.groupBy("lang", "slice", "idx", "tiles", "n", F.expr("pos div 64").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(pos % 64 AS INT))")).alias("bits"))
-    sizes = placed.groupBy("lang", "slice").agg(F.count(F.lit(1)).alias("bits"))
+def _pairs(rows: DataFrame, groups: DataFrame, slice_terms: int, tile: int) -> DataFrame:
+    # ids of a slice are places in the order of its terms; a slice has about slice_terms terms, with a row for each source that has it
+    placed = rows.withColumn("slice", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / slice_terms)))
+    placed = placed.withColumn("pos", F.dense_rank().over(Window.partitionBy("lang", "slice").orderBy(F.desc("total"), "term")) - 1)
+    sets = placed.groupBy("lang", "slice", "idx", "tiles", "n", F.expr("cast(pos div 64 as bigint)").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, pos % 64)")).alias("bits"))
+    sizes = rows.filter("first").groupBy("lang", F.pmod(F.xxhash64("term"), F.ceil(F.col("v") / slice_terms)).alias("slice")).agg(F.count(F.lit(1)).alias("bits"))
     last = F.greatest(F.ceil(F.col("v") / slice_terms), F.lit(1)) - 1
     names = groups.select("lang", "idx", "tiles", (F.col("group_n") + F.col("v")).alias("n"), F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("slice"))
     names = names.join(sizes, ["lang", "slice"], "left").na.fill(0, ["bits"]).withColumn("word", F.lit(-1).cast("long"))
