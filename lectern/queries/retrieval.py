@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import texts
 from lectern.functions.stemming import RU_STOP_WORDS
 from lectern.functions.vectors import mean
-from lectern.operators import corpus, ranking
+from lectern.operators import corpus, ranking, trigrams
 from lectern.plans import gather
 from lectern.queries.stems_sql import WORDS, density, romanian, russian
 from lectern.registry import query
-from lectern.session import table
+from lectern.session import shared_dir, table
 
 
 def _probe(vectors: DataFrame, vec_id: int) -> list[float]:
@@ -154,6 +156,18 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.with_context(rows, corpus.contains(F.col("line"), "license"), 2)
 
 
+@query(f"""
+WITH {_LINES}, t AS (SELECT item_id, lower(substr(text, 4, (1 + item_id % 12)::INT)) AS t FROM benchmark)
+SELECT * EXCLUDE n FROM (SELECT item_id, doc_id, idx, row_number() OVER (PARTITION BY item_id ORDER BY doc_id, idx) AS n FROM lines JOIN t ON t <> '' AND contains(lower(line), t)) WHERE n <= 50
+""")
+def indexed_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A piece of each benchmark item, of one to twelve characters, in the lines of all documents, by an index: its first fifty lines."""
+    path = f"{shared_dir(spark)}/trigrams-{uuid.uuid4().hex}"
+    trigrams.build(corpus.lines(table(spark, sf_dir, "documents")), path)
+    pieces = table(spark, sf_dir, "benchmark").select("item_id", F.substring(F.col("text"), F.lit(4), (1 + F.col("item_id") % 12).cast("int")).alias("text"))
+    return trigrams.search(spark, path, pieces, 50, name="item_id").select("item_id", "doc_id", "idx")
+
+
 #: Terms of the items of the benchmark.
 _ASKED = r"""q AS (SELECT item_id, list_filter(list_transform(string_split_regex(trim(text), '\s+'), lambda t: regexp_replace(regexp_replace(t, '[&|!()\\:*''"]', '', 'g'), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g')), lambda t: length(t) >= 3 AND lower(t) NOT IN ('cat','cât','cum','unde','care','pentru','este','sunt','cine','cand','când','daca','dacă','acest','aceasta','aceste','acesti','acești')) AS t FROM benchmark),
 qw AS (SELECT item_id, k, unnest(w) AS w, generate_subscripts(w, 1) - 1 AS j, len(w) AS n FROM (SELECT item_id, k, %s AS w FROM (SELECT item_id, unnest(t) AS x, generate_subscripts(t, 1) AS k FROM q)))""" % WORDS.format("x")

@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import random
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.stemming import index_words, romanian, russian
-from lectern.operators import corpus, ranking
+from lectern.operators import corpus, ranking, trigrams
 
 # Samples as published with the rules (word, stem).
 RUSSIAN = """вавиловка вавиловк|вагнера вагнер|вагон вагон|вагона вагон|вагоне вагон|вагонов вагон|вагоном вагон|вагоны вагон|важная важн|важнее важн|важнейшие важн|важнейшими важн|важничал важнича|важно важн|важного важн|важной важн|важном важн|важному важн|важности важност|важностию важност|важность важност|важностью важност|важную важн|важны важн|важные важн|важный важн|важным важн|важных важн|вазах ваз|вазы ваз|вакса вакс|вакханка вакханк|вал вал|валандался валанда|валентина валентин|валериановых валерианов|валерию валер|валетами валет|п п|па па|пава пав|павел павел|павильон павильон|павильонам павильон|павла павл|павлиний павлин|павлиньи павлин|павлиньим павлин|павлович павлович|павловна павловн|павловне павловн|павловной павловн|павловну павловн|павловны павловн|павловцы павловц|павлу павл|павлыч павлыч|павлыча павлыч|пагубная пагубн|падает пада|падай пада|падал пада|падала пада|падаль падал|падать пада|падаю пада|падают пада|падающего пада|падающие пада|падеж падеж|падение паден|падением паден|падении паден|падений паден|падения паден|паденье паден|паденья паден|падет падет|падут падут|падучая падуч|падчерицей падчериц|падчерицы падчериц|падшая падш|падшей падш|падшему падш|падший падш|падшим падш|падших падш|падшую падш|паек паек|пазуха пазух|пазуху пазух|пай па|пакет пакет|пакетом пакет|пакеты пакет|пакостей пакост|пакостит пакост|пакостно пакостн|пал пал"""
@@ -84,3 +85,20 @@ def test_nearest_with_ties(spark, most, name):
     before, _, after = plan.rpartition("MapInArrow")
     assert before and after.count("Exchange") <= 1  # that of the test's own repartition
     assert ranking.batch_topk(probes.limit(0), df, 5).count() == 0 == ranking.batch_topk(probes, df.limit(0), 5).count()
+
+
+def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path):
+    r = random.Random(9)
+    rows = [(d, i, "".join(r.choice(["Ab", "bA", "é", "%", "_", "ca", " ", "ABC"]) for _ in range(r.randint(0, 12)))) for d in range(60) for i in range(r.randint(1, 6))]
+    lines = spark.createDataFrame(rows, "doc_id long, idx int, line string")
+    trigrams.build(lines, f"file://{tmp_path}/index")
+    texts = ["", "a", "%_", "abc", "ABCab", "éab", "ab%ca_", "nowhere", "abababababab", None, "caca ca", "c"]
+    asked = spark.createDataFrame(list(enumerate(texts)), "text_id int, text string")
+    want = {(k, d, i) for k, t in enumerate(texts) if t for d, i, line in rows if t.lower() in line.lower()}
+    got = trigrams.search(spark, f"file://{tmp_path}/index", asked)
+    assert {(x["text_id"], x["doc_id"], x["idx"]) for x in got.collect()} == want and len(want) > 50
+    first = trigrams.search(spark, f"file://{tmp_path}/index", asked, 2).collect()
+    assert {(x["text_id"], x["doc_id"], x["idx"]) for x in first} == {x for k in range(len(texts)) for x in sorted(w for w in want if w[0] == k)[:2]}
+    one = trigrams.search(spark, f"file://{tmp_path}/index", asked.filter("text_id = 6"))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
