@@ -3,8 +3,9 @@
 1. Every text becomes a set of 64-bit shingle hashes, its size, two sums that name it and a parity bitmap. Equal sets fall
    together at once: one representative each goes on.
 2. Exact candidates. Sets with Jaccard p/100 differ in at most d = (100-p)(|A|+|B|)/(100+p) shingles. Cut by
-   hash into d + 1 + SPARE parts, two such sets agree in more than SPARE parts, so they share the key of a part that
-   is not empty (a set with more than SPARE empty parts also gives keys for these). Sets that share a key may be linked
+   hash into more than d parts, a set with more than d parts that are not empty agrees with the other in one of these, so they share its key.
+   Parts are enough for nearly all sets to be so; those that are not also give their least shingles as keys, as many as two linked
+   sets can't differ in, so two such sets share one of these. No key is that of an empty part. Sets that share a key may be linked
    only if their parity bitmaps differ in at most d bits; sets so joined, directly or by others, form a block. A group
    that shares a key is compared with regard to components found so far; one of more than TILE_SETS is a block as it is.
 3. Blocks over a bound are cut into tiles.
@@ -21,6 +22,7 @@ links nothing, and its component is that of an equal set, else null.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,6 +38,7 @@ from lectern.llm.skew import MOST_HOT
 from lectern.llm.textwords import SPACED, Words, chunks, mixed, signed, words_of
 from lectern.session import checkpointed, shared_dir
 
+#: Parts beyond those that linked sets can differ in, besides those that are likely to be empty.
 SPARE = 2
 #: Size classes for the number of parts; the ratio of neighbouring bounds must exceed 100 / percent.
 CLASS_RATIO = 1.5
@@ -62,7 +65,13 @@ class Rule:
 
     def parts(self, bound: int) -> int:
         """Parts for sets smaller than `bound`."""
-        return (100 - self.percent) * 2 * (bound - 1) // (100 + self.percent) + 1 + SPARE
+        most = self.differing(bound - 1, bound - 1)
+        empty = most * math.exp(-(100 + self.percent) / (2 * (100 - self.percent))) if self.percent < 100 else 0.0
+        return most + 1 + SPARE + math.ceil(empty + 4 * math.sqrt(empty))
+
+    def differing(self, n: int, other: int) -> int:
+        """The most shingles in which linked sets of these sizes differ."""
+        return (100 - self.percent) * (n + other) // (100 + self.percent)
 
     def needed(self, sizes: np.ndarray | int) -> np.ndarray | int:
         """The least overlap of linked sets, from the sum of their sizes (rounded up)."""
@@ -85,7 +94,7 @@ def part_keys(s: np.ndarray, rule: Rule, bounds: list[int]) -> np.ndarray:
     """The blocking keys of a set of size class c, and of class c + 1 where larger partners can be there."""
     n = len(s)
     c = int(np.searchsorted(bounds, n, "right")) - 1
-    keys = []
+    keys, few = [], False
     m1 = mixed(s + np.uint64(0x51ED2701))
     for at in (c, c + 1):
         if at > c and 100 * n < rule.percent * bounds[at]:
@@ -98,9 +107,9 @@ def part_keys(s: np.ndarray, rule: Rule, bounds: list[int]) -> np.ndarray:
         salt = np.uint64(at * 1_000_003)
         named = mixed(part[begins].astype(np.uint64) + (salt << np.uint64(24)))
         keys.append(mixed(np.add.reduceat(m1[order], begins) + named))
-        if m - len(begins) > SPARE:
-            empty = np.setdiff1d(np.arange(m), part[begins])
-            keys.append(mixed(empty.astype(np.uint64) + (salt << np.uint64(24)) + np.uint64(1 << 60)))
+        few |= len(begins) <= rule.differing(n, min(100 * n // rule.percent, bounds[at + 1] - 1))
+    if few:
+        keys.append(mixed(s[: n + rule.percent * n // -100 + 1] + np.uint64(1 << 60)))
     return np.concatenate(keys)
 
 

@@ -68,3 +68,28 @@ def test_ids_on_different_texts(spark):
     df = spark.createDataFrame(rows, "doc_id int, text string").repartition(4)
     got = sorted((r[0] or -1, r[1], r[2] if r[2] is not None else -1) for r in J.link_groups(df, J.Rule(3, 80)).collect())
     assert got == sorted([(5, 10, 5), (5, 10, 2), (5, 0, 5), (9, 11, 5), (7, 10, 2), (2, 11, 2), (8, 1, 8), (-1, 10, 5), (-1, 1, -1)])
+
+
+@pytest.mark.parametrize("k,percent", [(3, 90), (5, 80)])
+@pytest.mark.parametrize("n,times", [(4, 20_000), (12, 20_000), (18, 5000), (400, 800), (1499, 200), (1501, 200)])
+def test_unrelated_sets_share_no_key(k, percent, n, times):
+    r = np.random.default_rng(n)
+    rule = J.Rule(k, percent)
+    bounds = rule.class_bounds(1 << 14)
+    keys = np.concatenate([J.part_keys(np.unique(r.integers(0, 2**64, n, np.uint64)), rule, bounds) for _ in range(times)])
+    assert len(np.unique(keys)) == len(keys)
+
+
+def test_unlinked_short_texts_make_no_pairs_of_tiles(spark):
+    from pathlib import Path
+
+    from lectern.session import shared_dir
+
+    r = random.Random(6)
+    rows = [(i, " ".join(f"w{r.randrange(10**6)}" for _ in range(16))) for i in range(20_000)]
+    base = Path(shared_dir(spark).removeprefix("file://"))
+    before = set(base.glob("ngram-join-*"))
+    got = J.link_groups(spark.createDataFrame(rows, "doc_id long, text string"), J.Rule(5, 80), tile_sets=64)
+    assert got.filter("component_id <> doc_id").count() == 0
+    (folder,) = set(base.glob("ngram-join-*")) - before
+    assert not (folder / "many").exists() and spark.read.parquet(f"file://{folder}/shared").count() == 0 == spark.read.parquet(f"file://{folder}/members").count()
