@@ -32,7 +32,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 META = 0x2581
 SHIFT, FALLBACK = 2.7, 1e-6
 WIDE = 48  # longer units are filtered in windows; beyond this, products could leave the range of doubles
-WINDOW, RESCALE = 4096, 1e100
+WINDOW, RESCALE = 4096, 2.0**332  # a power of two, so scaled sums are the same doubles
 JOINED_BITS = 22
 CELLS = 1 << 20  # of a block's tables: units by positions by lengths of edges
 CHUNK_BYTES = 1 << 20
@@ -168,11 +168,11 @@ def _filtered(codes: np.ndarray, lens: np.ndarray, v: Vocabulary) -> tuple[np.nd
     for j in range(1, width + 1):
         k = min(j, most)
         weight[:, j, :k] *= into[:, j - k : j][:, ::-1]
-        into[:, j] = weight[:, j, :k].sum(1)
-    weight /= np.maximum(into[..., None], 1e-300)
-    shares = np.cumsum(weight, axis=2, dtype=np.float32)
+        into[:, j] = np.cumsum(weight[:, j, :k], axis=1)[:, -1]  # added in order, as in windows
+    shares = np.cumsum(weight, axis=2)
+    shares /= np.maximum(into[..., None], 1e-300)
     last = most - 1 - np.argmax(weight[..., ::-1] > 0, axis=2)
-    np.put_along_axis(shares, last[..., None], np.float32(2), axis=2)  # the last possible edge takes what rounding leaves
+    np.put_along_axis(shares, last[..., None], 2.0, axis=2)  # the last possible edge takes what rounding leaves
     return shares, edges
 
 
@@ -206,7 +206,7 @@ def _in_windows(codes: np.ndarray, v: Vocabulary, draws) -> Iterator[tuple[int,
         while j > start:
             row = weight[j - a]
             sizes = np.flatnonzero(row[: min(j, len(row))]) + 1
-            share = np.cumsum(row[sizes - 1] * into[j - sizes] / into[j] * RESCALE ** (scale[j] - scale[j - sizes]).astype(float))
+            share = np.cumsum(row[sizes - 1] * into[j - sizes] * RESCALE ** (scale[j] - scale[j - sizes]).astype(float)) / into[j]
             size = int(sizes[min(int(np.searchsorted(share, drawn[j - start - 1], "right")), len(sizes) - 1)])
             piece = int(edges[j - a, size - 1])
             j -= size
