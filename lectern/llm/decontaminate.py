@@ -28,8 +28,8 @@ from lectern.session import shared_dir
 SPAN = 10
 GRAM = 5
 MAX_BROADCAST_BYTES = 32 << 20
-#: The bitmap of stretches has 2 ** (64 - PRINT_SHIFT) bits, 8 MB.
-PRINT_SHIFT = 38
+#: Bits for each print in a bitmap of prints, and the bits of one bitmap at least and at most (128 MB; beyond that it keeps out less, and loses nothing).
+BITS_A_PRINT, LEAST_BITS, MOST_BITS = 16, 1 << 20, 1 << 30
 RESULTS = ["n_words", "n_hit", "items"]
 
 
@@ -142,8 +142,29 @@ def broadcast_hits(docs: DataFrame, index: Index, carried: list[str], text: str
     return docs.select(*dict.fromkeys([*carried, text])).mapInArrow(run, _schema(docs, carried))
 
 
-def _windows(df: DataFrame, key: str, text: str, span: int, lengths: list[int] | None = None, bits: np.ndarray | None = None) -> DataFrame:
-    """key, at, n, print of stretches of n words: those of `span` words and short texts as a whole, or with `lengths` all stretches of so many words whose bit is set."""
+def least_grams(words: Words, gram: int = GRAM, span: int = SPAN) -> np.ndarray:
+    """The least k-gram hash of the `span` words from each word on: the fingerprint that winnowing keeps of this window. Wrong near the ends of texts."""
+    g = words.grams(gram)
+    most = len(g) - (span - gram)
+    if most <= 0:
+        return np.zeros(0, np.uint64)
+    out = g[:most].copy()
+    for j in range(1, span - gram + 1):
+        np.minimum(out, g[j : j + most], out=out)
+    return out
+
+
+def _set_bits(bitmap: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    place = prints >> np.uint64(64 - int(len(bitmap) * 64).bit_length() + 1)
+    return (bitmap[place >> np.uint64(6)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def _windows(df: DataFrame, key: str, text: str, span: int, lengths: list[int] | None = None, bits: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """key, at, n, print, finger of stretches of n words: those of `span` words and short texts as a whole, or with `lengths` all stretches of so many words that `bits` allow.
+
+    finger is the winnowed fingerprint of a stretch of `span` words and the print of a shorter one. Of a document's stretches those go on whose finger is one of the
+    benchmark's, and whose print is.
+    """
     shared = df.sparkSession.sparkContext.broadcast(bits) if bits is not None else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,20 +178,25 @@ def _windows(df: DataFrame, key: str, text: str, span: int, lengths: list[int] |
                 if lengths is None and n < span:
                     ok &= counts[: len(g)] == n
                 at = np.flatnonzero(ok)
+                fingers = least_grams(words, GRAM, span) if n == span else g
                 if shared is not None:
-                    at = at[(shared.value[g[at] >> np.uint64(PRINT_SHIFT + 6)] >> (g[at] >> np.uint64(PRINT_SHIFT) & np.uint64(63)) & np.uint64(1)).astype(bool)]
+                    at = at[_set_bits(shared.value[0], fingers[at])]
+                    at = at[_set_bits(shared.value[1], g[at])]
                 rows = text_of[at]
                 keys = part.column(part.schema.get_field_index(key)).take(pa.array(rows))
-                yield pa.RecordBatch.from_arrays([keys, pa.array(at - words.first[rows], pa.int64()), pa.array(np.full(len(at), n), pa.int32()), pa.array(signed(g[at]))], [key, "at", "n", "print"])
+                yield pa.RecordBatch.from_arrays([keys, pa.array(at - words.first[rows], pa.int64()), pa.array(np.full(len(at), n), pa.int32()), pa.array(signed(g[at])), pa.array(signed(fingers[at]))], [key, "at", "n", "print", "finger"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, at long, n int, print long")
+    return df.select(key, text).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, at long, n int, print long, finger long")
 
 
-def _bits(prints: DataFrame) -> np.ndarray:
-    """A bitmap of fixed size over the leading bits of `print`."""
-    lead = F.shiftrightunsigned("print", PRINT_SHIFT)
-    words = prints.select(F.shiftrightunsigned(lead, 6).alias("w"), F.expr(f"shiftleft(1L, cast(shiftrightunsigned(print, {PRINT_SHIFT}) & 63 as int))").alias("b")).groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
-    out = np.zeros(1 << (64 - PRINT_SHIFT - 6), np.uint64)
+def _bits(prints: DataFrame, column: str) -> np.ndarray:
+    """A bitmap over the leading bits of a column of hashes, of a size by their number."""
+    distinct = prints.select(column).distinct()
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << (BITS_A_PRINT * distinct.count()).bit_length()))
+    lead = F.shiftrightunsigned(column, 65 - size.bit_length())
+    words = distinct.select(F.shiftrightunsigned(lead, 6).alias("w"), F.lit(1).cast("long").alias("one"), (lead.bitwiseAND(F.lit(63))).cast("int").alias("k"))
+    words = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, k)")).alias("b")).toArrow()
+    out = np.zeros(size // 64, np.uint64)
     out[words["w"].to_numpy()] = words["b"].to_numpy().view(np.uint64)
     return out
 
@@ -178,10 +204,11 @@ def _bits(prints: DataFrame) -> np.ndarray:
 def exchange_hits(docs: DataFrame, benchmark: DataFrame, carried: list[str], text: str = "text", item: str = "item_id", span: int = SPAN) -> DataFrame:
     """The same for a benchmark too large to broadcast.
 
-    A run of `span` or more equal words is a run of equal stretches of `span` words, and an item of fewer words is one stretch, so
+    Winnowed fingerprints of both sides meet in a bitmap whose size follows their number: a document's window of `span` words goes on only if its fingerprint is
+    one of a benchmark window. What goes on is extended by an exact join of whole stretches. A run of `span` or more equal words is a run of equal stretches of `span` words, and an item of fewer words is one stretch, so
     the hit words of a document are those of its stretches that some item has too. These meet in a join with one row for each
     stretch of the benchmark; no texts are exchanged, and ids only where a document really holds a stretch of the item. Stretches with the same items count once a
-    document. Rows have a number of their own, written with them, so ids may be null or repeated; a bitmap of fixed size keeps most other stretches out of the shuffle.
+    document. Rows have a number of their own, written with them, so ids may be null or repeated.
     """
     spark = docs.sparkSession
     base = f"{shared_dir(spark)}/decontaminate-{uuid.uuid4().hex}"
@@ -200,14 +227,16 @@ def exchange_hits(docs: DataFrame, benchmark: DataFrame, carried: list[str], tex
     rows = put("rows", docs.select(*columns).mapInArrow(counted, kinds).withColumn("__row", F.monotonically_increasing_id()))
 
     items = benchmark.select(F.coalesce(F.col(item).cast("string"), F.lit("")).alias("_item"), F.col(text).alias("_text"))
-    prints = put("prints", _windows(items, "_item", "_text", span).select("n", "print", "_item").distinct())
+    prints = put("prints", _windows(items, "_item", "_text", span).select("n", "print", "finger", "_item").distinct())
+    allowed = _bits(prints, "finger"), _bits(prints, "print")
+    prints = prints.drop("finger")
     # which items have a stretch, as a signature: their number and two sums of hashes
     same = ["_c", "_x", "_y"]
     sets = put("sets", prints.groupBy("n", "print").agg(F.count(F.lit(1)).alias("_c"), F.bit_xor(F.xxhash64("_item")).alias("_x"), F.bit_xor(F.xxhash64("_item", F.lit(1))).alias("_y")))
     members = sets.groupBy(*same).agg(F.min(F.struct("n", "print")).alias("_r")).select(*same, "_r.*").join(prints, ["n", "print"]).select(*same, "_item")
     lengths = sorted(r[0] for r in sets.select("n").distinct().collect())
 
-    matched = put("matched", _windows(rows, "__row", text, span, lengths, _bits(sets)).join(sets, ["n", "print"]).select("__row", "at", "n", *same))
+    matched = put("matched", _windows(rows, "__row", text, span, lengths, allowed).join(sets, ["n", "print"]).select("__row", "at", "n", *same))
     ends = matched.groupBy("__row", "at").agg((F.col("at") + F.max("n")).alias("_end"))
     before = F.max("_end").over(Window.partitionBy("__row").orderBy("at").rowsBetween(Window.unboundedPreceding, -1))
     new = F.greatest(F.lit(0), F.col("_end") - F.greatest("at", F.coalesce("_before", F.lit(0))))

@@ -132,6 +132,7 @@ def test_decontamination(spark, max_bytes):
     assert got == brute.contamination(docs, items)
     assert any(v[-1] for v in got.values())
     assert not any(r["contaminated"] for r in decontaminate.digest_columns(decontaminate.find(d, b.limit(0), max_bytes=max_bytes)).collect())
+    assert decontaminate.find(d.limit(0), b, max_bytes=max_bytes).count() == 0
 
 
 def test_both_ways_of_decontamination_agree(spark):
