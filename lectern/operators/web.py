@@ -6,13 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import urls
-from lectern.functions.texts import collapsed, has_contacts, unescaped
+from lectern.functions.texts import has_contacts
 from lectern.operators.documents import with_sections
+from lectern.operators.page_blocks import typed_blocks
 
-# Elements whose content is no text of a page, and elements that begin and end a block.
-DROPPED = "script style noscript template svg iframe nav footer aside form select button".split()
-BLOCKS = {"h1": ("heading", 1), "h2": ("heading", 2), "h3": ("heading", 3), "h4": ("heading", 4), "h5": ("heading", 5), "h6": ("heading", 6), "li": ("list_item", None), "tr": ("table", None)}
-BREAKS = "p div section article main ul ol dl dt dd table tr li h1 h2 h3 h4 h5 h6 br hr blockquote pre header td th body html address figure figcaption".split()
 #: A list of two items, the second a price in lei.
 PRICE_LIST = r"(?is)<ul\b[^>]*>\s*<li\b[^>]*>\s*([^<]*?)\s*</li>\s*<li\b[^>]*>\s*(\d[\d\s.,]*?)\s*(lei|mdl)\.?\s*</li>\s*</ul>"
 #: Rules of robots that may be broadcast.
@@ -21,23 +18,8 @@ BOILERPLATE_SHARE, MIN_PAGES, MIN_PAGE_CHARS = 0.30, 3, 200
 
 
 def blocks(pages: DataFrame, key: str = "page_id", html: str = "html", keep: tuple[str, ...] = ()) -> DataFrame:
-    """key, id, type, level, text of the typed blocks of each page, in order, by column expressions only.
-
-    Tags that begin or end a block become separators that name the block; all other tags go. An unclosed element ends where the next block begins.
-    """
-    body = F.regexp_replace(F.col(html), r"(?is)<!--.*?-->|<head\b.*?</head\s*>", "")
-    for tag in DROPPED:
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", "\x01")
-    body = F.regexp_replace(body, rf"(?i)<({'|'.join(BLOCKS)})\b[^>]*>", "\x01$1\x02")
-    body = F.regexp_replace(body, rf"(?i)</?(?:{'|'.join(BREAKS)})\b[^>]*>", "\x01")
-    body = F.regexp_replace(body, r"<[a-zA-Z/!][^>]*>", "")
-    pieces = F.transform(F.split(body, "\x01", -1), lambda p: F.struct(F.lower(F.when(F.contains(p, F.lit("\x02")), F.split_part(p, F.lit("\x02"), F.lit(1))).otherwise("")).alias("tag"), collapsed(unescaped(F.regexp_replace(p, "^[^\x02]*\x02", ""))).alias("text")))
-    rows = pages.select(key, *keep, F.posexplode(F.filter(pieces, lambda p: p["text"] != "")).alias("id", "_b"))
-    kinds, levels = F.lit("paragraph"), F.lit(None).cast("int")
-    for tag, (kind, level) in BLOCKS.items():
-        kinds = F.when(F.col("_b.tag") == tag, kind).otherwise(kinds)
-        levels = F.when(F.col("_b.tag") == tag, F.lit(level).cast("int")).otherwise(levels)
-    return rows.select(key, *keep, "id", kinds.alias("type"), levels.alias("level"), F.col("_b.text").alias("text"))
+    """key, id, type, level, text of the typed blocks of each page, in order."""
+    return typed_blocks(pages, key, html, keep).select(key, *keep, "id", "type", "level", "text")
 
 
 def repeated_blocks(rows: DataFrame, site: str = "site", page: str = "page_id", share: float = BOILERPLATE_SHARE, min_pages: int = MIN_PAGES) -> DataFrame:

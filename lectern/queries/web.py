@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import urls
-from lectern.operators import ranking, web
+from lectern.operators import page_blocks, ranking, web
+from lectern.operators.page_blocks import typed_blocks
 from lectern.registry import query
 from lectern.session import table
 
@@ -20,17 +21,21 @@ _HOST = f"lower({_part(2)})"
 _REFERENCES = {"&nbsp;": "\u00a0", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'", "&copy;": "©", "&middot;": "·", "&amp;": "&"}
 
 
+_KINDS = {**{h: ("heading", n) for h, n in page_blocks.HEADINGS.items()}, "li": ("list_item", None)}
+
+
 def _blocks_sql() -> str:
+    """Blocks of pages without tables and toggles, by patterns."""
     body = r"regexp_replace(html, '(?is)<!--.*?-->|<head\b.*?</head\s*>', '', 'g')"
-    for t in web.DROPPED:
+    for t in sorted(page_blocks.DROPPED - {'head'}):
         body = rf"regexp_replace({body}, '(?is)<{t}\b[^>]*>.*?</{t}\s*>', chr(1), 'g')"
-    body = rf"regexp_replace({body}, '(?i)<({'|'.join(web.BLOCKS)})\b[^>]*>', chr(1) || '\1' || chr(2), 'g')"
-    body = rf"regexp_replace({body}, '(?i)</?(?:{'|'.join(web.BREAKS)})\b[^>]*>', chr(1), 'g')"
+    body = rf"regexp_replace({body}, '(?i)<({'|'.join(_KINDS)})\b[^>]*>', chr(1) || '\1' || chr(2), 'g')"
+    body = rf"regexp_replace({body}, '(?i)</?(?:{'|'.join(sorted(page_blocks.BREAKS))})\b[^>]*>', chr(1), 'g')"
     body = rf"regexp_replace({body}, '<[a-zA-Z/!][^>]*>', '', 'g')"
     for name, char in _REFERENCES.items():
         body = f"replace({body}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
-    kind = "CASE " + " ".join(f"WHEN tag = '{t}' THEN '{k}'" for t, (k, _) in web.BLOCKS.items()) + " ELSE 'paragraph' END"
-    level = "CASE " + " ".join(f"WHEN tag = '{t}' THEN {n}" for t, (_, n) in web.BLOCKS.items() if n) + " END"
+    kind = "CASE " + " ".join(f"WHEN tag = '{t}' THEN '{k}'" for t, (k, _) in _KINDS.items()) + " ELSE 'paragraph' END"
+    level = "CASE " + " ".join(f"WHEN tag = '{t}' THEN {n}" for t, (_, n) in _KINDS.items() if n) + " END"
     return rf"""raw AS (SELECT page_id, url, string_split({body}, chr(1)) AS ps FROM pages),
 pieces AS (SELECT page_id, url, i, CASE WHEN contains(ps[i], chr(2)) THEN lower(split_part(ps[i], chr(2), 1)) ELSE '' END AS tag,
   regexp_replace(regexp_replace(CASE WHEN contains(ps[i], chr(2)) THEN substr(ps[i], strpos(ps[i], chr(2)) + 1) ELSE ps[i] END, '\s+', ' ', 'g'), '^ | $', '', 'g') AS text
@@ -52,6 +57,18 @@ def html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("page_id", "id", "type", "level", F.sha1("text").alias("hash"), F.length("text").alias("n"))
 
 
+@query("""
+SELECT o_custkey, count(*)::INT * 2 AS n_rows, md5('| Order | State | State |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || o_orderkey || ' | ' || o_orderstatus || ' & co | ' || o_orderpriority || ' |' || chr(10) || '| ' || o_orderkey || ' | ' || o_orderkey % 7 || ' |  |', chr(10) ORDER BY o_orderkey)) AS hash FROM orders GROUP BY o_custkey
+""")
+def page_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page with a table of the orders of each customer, whose cells span rows and columns, as a typed block."""
+    row = F.concat(F.lit("<tr><td rowspan=2>"), "o_orderkey", F.lit("<td>"), "o_orderstatus", F.lit(" &amp; co</td><td>\n"), "o_orderpriority", F.lit("</td></tr><tr><td>"), F.col("o_orderkey") % 7, F.lit("</td><td></td></tr>"))
+    o = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("r")))), lambda x: x["r"]), "").alias("rows"))
+    pages = o.select("o_custkey", F.concat(F.lit("<nav><table><tr><td>menu</table></nav><h1>Orders</h1><table><tr><th>Order</th><th colspan='2'>State</th></tr>"), "rows", F.lit("</table>")).alias("html"))
+    found = typed_blocks(pages, "o_custkey").filter("type = 'table'")
+    return found.select("o_custkey", F.size("rows").alias("n_rows"), F.md5("text").alias("hash"))
+
+
 _SITE = f"regexp_replace({_HOST}, '^www\\.', '')"
 
 
