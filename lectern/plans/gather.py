@@ -17,6 +17,8 @@ WEIGHTS = {"question": 1.0, "question_beside_rewrite": 0.5, "ro": 1.0, "ru": 0.2
 TOP = 12
 FRESH = {"later": 3, "newer": 2, "fresh_terms": 1}
 FRESH_MOST, FRESH_AFTER = 4, 6
+#: Chunks that a second round adds to a question.
+SECOND_MOST = 8
 
 
 def fused(lists: Mapping[str, DataFrame], rewritten: bool = True) -> DataFrame:
@@ -65,3 +67,23 @@ def refreshed(chosen: DataFrame, fresh: Mapping[str, DataFrame], about_now: Data
     new = new.withColumn("position", place).filter(F.col("position") <= FRESH_MOST).join(acts, "query_id", "left_semi")
     columns = [c for c in chosen.columns if c != "score"]
     return ranking.interleaved(chosen.select(*columns), new.select(*columns), "query_id", "position", FRESH_AFTER)
+
+
+def second_round(first: DataFrame, again: DataFrame, chunks: DataFrame, asked: DataFrame, most: int = SECOND_MOST) -> DataFrame:
+    """`first` (query_id, chunk_id, position, content_hash and more), and for the questions of `asked` up to `most` chunks of a second search after them.
+
+    again: candidates of the second search (query_id, chunk_id, position), made for the questions of `asked` only. Chunks and contents of the first round are left out,
+    and of one content the best placed chunk counts. `round` tells where a chunk comes from.
+    """
+    hashes = F.coalesce("content_hash", F.col("chunk_id").cast("string"))
+    known = first.select("query_id", "chunk_id", hashes.alias("_hash"))
+    rows = again.select("query_id", "chunk_id", "position").join(asked.select("query_id").distinct(), "query_id", "left_semi")
+    rows = rows.join(known.drop("_hash"), ["query_id", "chunk_id"], "left_anti").join(chunks, "chunk_id").withColumn("_hash", hashes)
+    rows = rows.join(known.drop("chunk_id"), ["query_id", "_hash"], "left_anti")
+    once = F.row_number().over(Window.partitionBy("query_id", "_hash").orderBy("position"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("position"))
+    new = rows.withColumn("_n", once).filter("_n = 1").withColumn("_p", place).filter(F.col("_p") <= most)
+    last = first.groupBy("query_id").agg(F.max("position").alias("_last"))
+    new = new.join(last, "query_id", "left").withColumn("position", (F.coalesce("_last", F.lit(0)) + F.col("_p")).cast(first.schema["position"].dataType))
+    columns = ["query_id", "chunk_id", "position", "content_hash"]
+    return first.select(*columns, F.lit(1).alias("round")).unionByName(new.select(*columns, F.lit(2).alias("round")))

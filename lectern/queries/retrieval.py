@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from lectern.operators import corpus, ranking, trigrams
 from lectern.plans import gather
 from lectern.queries.stems_sql import WORDS, density, romanian, russian
 from lectern.registry import query
-from lectern.session import shared_dir, table
+from lectern.session import checkpointed, shared_dir, table
 
 
 def _probe(vectors: DataFrame, vec_id: int) -> list[float]:
@@ -278,3 +279,62 @@ def gathered(spark: SparkSession, sf_dir: str) -> DataFrame:
     lists = {"question": found("vec_id % 4 = 1"), "ro": found("vec_id % 4 = 0"), "ru": found("vec_id % 4 = 1 and label < 5")}
     chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha1("text").alias("content_hash"), F.col("n_chars").alias("date"))
     return gather.picked(gather.fused(lists), chunks).select("query_id", "chunk_id", "position")
+
+
+_FIRST = f"""u AS (SELECT *, 0.5::DOUBLE AS w, 0 AS place FROM ({_LIST.format(1)}) WHERE rank <= 10 UNION ALL SELECT *, 1.0::DOUBLE, 1 FROM ({_LIST.format("1 - 1")}) WHERE rank <= 10),
+f AS (SELECT query_id, chunk_id, list_sum(list(w / (60 + rank) ORDER BY place)) AS score, min(place * 1000000 + rank) AS o FROM u GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) AS position FROM f),
+j AS (SELECT r.*, n_chars AS date, sha1(text) AS hash, row_number() OVER (PARTITION BY query_id, sha1(text) ORDER BY position) AS copy FROM r JOIN documents ON doc_id = chunk_id),
+d AS (SELECT query_id, chunk_id, date, hash, row_number() OVER (PARTITION BY query_id ORDER BY position)::INT AS position FROM j WHERE copy = 1),
+k AS (SELECT *, max(CASE WHEN position <= 12 THEN date END) OVER (PARTITION BY query_id) AS kept, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN position > 12 THEN date END DESC NULLS LAST, position) AS newest FROM d),
+chosen AS (SELECT * FROM k WHERE position <= 12 OR (newest = 1 AND date > kept))"""
+
+
+def _first_round(spark: SparkSession, sf_dir: str) -> tuple[Callable[..., DataFrame], DataFrame, DataFrame]:
+    """Searches by a part of the vectors, chunks, and the first round for every twentieth vector."""
+    v = table(spark, sf_dir, "embeddings")
+    probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding")
+
+    def found(cond: str, most: int = 10, asked: DataFrame | None = None) -> DataFrame:
+        own = probes if asked is None else probes.join(asked.select(F.col("query_id").alias("probe")), "probe", "left_semi")
+        return ranking.batch_topk(own, v.filter(cond), most).select(F.col("probe").alias("query_id"), F.col("vec_id").alias("chunk_id"), "rank")
+
+    chunks = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.sha1("text").alias("content_hash"), F.col("n_chars").alias("date"), (F.col("doc_id") % 3 == 1).alias("is_act"))
+    return found, chunks, gather.picked(gather.fused({"question": found("vec_id % 4 = 1"), "ro": found("vec_id % 4 = 0")}), chunks)
+
+
+@query(f"""
+WITH {_FIRST}, asked AS (SELECT query_id FROM chosen WHERE position = 1 AND date < 1500),
+u2 AS (SELECT *, 0.5::DOUBLE AS w, 0 AS place FROM ({_LIST.format(2)}) WHERE rank <= 10 UNION ALL SELECT *, 1.0::DOUBLE, 1 FROM ({_LIST.format(3)}) WHERE rank <= 10),
+f2 AS (SELECT query_id, chunk_id, list_sum(list(w / (60 + rank) ORDER BY place)) AS score, min(place * 1000000 + rank) AS o FROM u2 WHERE query_id IN (SELECT query_id FROM asked) GROUP BY ALL),
+r2 AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, o) AS position FROM f2),
+j2 AS (SELECT r2.*, row_number() OVER (PARTITION BY query_id, sha1(text) ORDER BY position) AS copy FROM r2 JOIN documents ON doc_id = chunk_id WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.query_id = r2.query_id AND (c.chunk_id = r2.chunk_id OR c.hash = sha1(text)))),
+n2 AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY position) AS n FROM j2 WHERE copy = 1)
+SELECT query_id, chunk_id, position, 1 AS round FROM chosen UNION ALL
+SELECT query_id, chunk_id, (n + (SELECT max(position) FROM chosen c WHERE c.query_id = n2.query_id))::INT, 2 FROM n2 WHERE n <= 8
+""")
+def gathered_twice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A second search for the questions whose first source is short, its chunks after those of the first round."""
+    found, chunks, first = _first_round(spark, sf_dir)
+    first = checkpointed(first)
+    asked = first.filter("position = 1 and date < 1500").select("query_id")
+    again = gather.fused({"question": found("vec_id % 4 = 2", asked=asked), "ro": found("vec_id % 4 = 3", asked=asked)})
+    return gather.second_round(first, again, chunks, asked).select("query_id", "chunk_id", "position", "round")
+
+
+@query(f"""
+WITH {_FIRST}, lists AS (SELECT *, 0 AS k, 3 AS most FROM ({_LIST.format(2)}) WHERE rank <= 6 UNION ALL SELECT *, 1, 2 FROM ({_LIST.format(3)}) WHERE rank <= 6 UNION ALL SELECT *, 2, 1 FROM ({_LIST.format("1 AND e.label < 5")}) WHERE rank <= 6),
+l AS (SELECT lists.*, sha1(text) AS hash, row_number() OVER (PARTITION BY query_id, k ORDER BY rank) AS p FROM lists JOIN documents ON doc_id = chunk_id WHERE NOT EXISTS (SELECT 1 FROM chosen c WHERE c.query_id = lists.query_id AND c.chunk_id = lists.chunk_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id, hash ORDER BY k, p) AS copy FROM l WHERE p <= most),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY k, p) AS position FROM o WHERE copy = 1 AND NOT EXISTS (SELECT 1 FROM chosen c WHERE c.query_id = o.query_id AND c.hash = o.hash)),
+m AS (SELECT query_id, chunk_id, 1 AS part, position FROM n WHERE position <= 4 AND (query_id % 3 = 0 OR query_id IN (SELECT query_id FROM chosen WHERE chunk_id % 3 = 1))
+  UNION ALL SELECT query_id, chunk_id, CASE WHEN row_number() OVER (PARTITION BY query_id ORDER BY position) <= 6 THEN 0 ELSE 2 END, position FROM chosen)
+SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY part, position)::INT AS place FROM m
+""")
+def refreshed_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fresh acts of three further searches among the sources of the first round; every third question asks about now."""
+    found, chunks, first = _first_round(spark, sf_dir)
+    first = checkpointed(first)
+    listed = lambda cond: found(cond, 6).withColumnRenamed("rank", "position").join(chunks, "chunk_id")
+    fresh = {"later": listed("vec_id % 4 = 2"), "newer": listed("vec_id % 4 = 3"), "fresh_terms": listed("vec_id % 4 = 1 and label < 5")}
+    return gather.refreshed(first, fresh, first.filter("query_id % 3 = 0").select("query_id").distinct()).select("query_id", "chunk_id", F.col("place").cast("int").alias("place"))
