@@ -76,12 +76,15 @@ class _Best:
         self.floor = np.full(probes, -np.inf)
         self.held: tuple[np.ndarray, ...] | None = None  # probe, key, score, of the probe's label
 
-    def add(self, keys: np.ndarray, score: np.ndarray, same: np.ndarray | None, bonus: float) -> None:
+    def add(self, keys: np.ndarray, score: np.ndarray, same: np.ndarray | None = None, bonus: float = 0.0, probes: np.ndarray | None = None) -> None:
+        """Candidates `keys` (columns of score) for all probes, or for those of `probes` (rows of score)."""
         shown = score if same is None else score + bonus * same
-        p, c = np.nonzero(shown >= self.floor[:, None] - 2 * 10.0**-self.digits)
-        if not len(p):
+        floor = self.floor if probes is None else self.floor[probes]
+        r, c = np.nonzero(shown >= floor[:, None] - 2 * 10.0**-self.digits)
+        if not len(r):
             return
-        new = (p, keys[c], score[p, c], np.zeros(len(p), bool) if same is None else same[p, c])
+        p = r if probes is None else probes[r]
+        new = (p, keys[c], score[r, c], np.zeros(len(r), bool) if same is None else same[r, c])
         p, key, plain, alike = new if self.held is None else (np.concatenate(x) for x in zip(self.held, new, strict=True))
         value = np.round(plain, self.digits) + bonus * alike
         order = np.lexsort((key, -value, p))

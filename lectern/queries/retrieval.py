@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from lectern.functions import texts
 from lectern.functions.stemming import RU_STOP_WORDS
 from lectern.functions.vectors import mean
-from lectern.operators import corpus, ranking, trigrams
+from lectern.operators import corpus, inverted, ranking, trigrams
 from lectern.plans import gather
 from lectern.queries.stems_sql import WORDS, density, romanian, russian
 from lectern.registry import query
@@ -38,18 +38,30 @@ def vector_topk_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.vector_topk(v, _probe(v, 1), 10, label=[1, 3, 5], site=None).withColumn("score", F.round("score", 9))
 
 
-@query("""
+_NEAREST = """
 SELECT probe, vec_id, round(score, 9) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY probe ORDER BY round(score, 12) DESC, vec_id)::INT AS rank
   FROM (SELECT p.vec_id AS probe, e.vec_id, list_dot_product(e.embedding::DOUBLE[], p.embedding::DOUBLE[]) AS score FROM embeddings e, embeddings p WHERE p.vec_id % 20 = 0)
 ) WHERE rank <= 5
-""")
+"""
+
+
+@query(_NEAREST)
 def vector_batch_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = table(spark, sf_dir, "embeddings")
     probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding")
     return ranking.batch_topk(probes, v, 5).withColumn("score", F.round("score", 9))
 
 
+@query(_NEAREST)
+def vector_inverted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by inverted lists: the eight most promising lists of each probe, then those whose bound can matter."""
+    v = table(spark, sf_dir, "embeddings")
+    index = inverted.build(v, f"{shared_dir(spark)}/lists-{uuid.uuid4().hex}", 32)
+    probes = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("probe"), "embedding")
+    return inverted.topk(index, probes, 5, 8, exact=True).withColumn("score", F.round("score", 9))
+
+
 _RANKED = "SELECT vec_id, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM ({}) ORDER BY score DESC, vec_id LIMIT {}"
 
 

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions.stemming import index_words, romanian, russian
-from lectern.operators import corpus, ranking, trigrams
+from lectern.operators import corpus, inverted, ranking, trigrams
 
 # Samples as published with the rules (word, stem).
 RUSSIAN = """вавиловка вавиловк|вагнера вагнер|вагон вагон|вагона вагон|вагоне вагон|вагонов вагон|вагоном вагон|вагоны вагон|важная важн|важнее важн|важнейшие важн|важнейшими важн|важничал важнича|важно важн|важного важн|важной важн|важном важн|важному важн|важности важност|важностию важност|важность важност|важностью важност|важную важн|важны важн|важные важн|важный важн|важным важн|важных важн|вазах ваз|вазы ваз|вакса вакс|вакханка вакханк|вал вал|валандался валанда|валентина валентин|валериановых валерианов|валерию валер|валетами валет|п п|па па|пава пав|павел павел|павильон павильон|павильонам павильон|павла павл|павлиний павлин|павлиньи павлин|павлиньим павлин|павлович павлович|павловна павловн|павловне павловн|павловной павловн|павловну павловн|павловны павловн|павловцы павловц|павлу павл|павлыч павлыч|павлыча павлыч|пагубная пагубн|падает пада|падай пада|падал пада|падала пада|падаль падал|падать пада|падаю пада|падают пада|падающего пада|падающие пада|падеж падеж|падение паден|падением паден|падении паден|падений паден|падения паден|паденье паден|паденья паден|падет падет|падут падут|падучая падуч|падчерицей падчериц|падчерицы падчериц|падшая падш|падшей падш|падшему падш|падший падш|падшим падш|падших падш|падшую падш|паек паек|пазуха пазух|пазуху пазух|пай па|пакет пакет|пакетом пакет|пакеты пакет|пакостей пакост|пакостит пакост|пакостно пакостн|пал пал"""
@@ -102,3 +102,21 @@ def test_indexed_search_finds_what_a_scan_finds(spark, tmp_path):
     one = trigrams.search(spark, f"file://{tmp_path}/index", asked.filter("text_id = 6"))
     plan = one._jdf.queryExecution().executedPlan().toString()
     assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan)
+
+
+@pytest.mark.parametrize("lists", [1, 4])
+def test_inverted_lists(spark, sf, tmp_path, lists):
+    v = spark.read.parquet(f"{sf}/../sf0.01/embeddings.parquet").select("vec_id", "embedding")
+    v = v.unionByName(v.filter("vec_id < 30").withColumn("vec_id", F.col("vec_id") + 10**6)).unionByName(spark.createDataFrame([(-1, None)], v.schema))
+    index = inverted.build(v, f"file://{tmp_path}/lists", 16)
+    probes = v.filter("vec_id % 20 = 0").selectExpr("vec_id as probe", "embedding")
+    want = {(r["probe"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in ranking.batch_topk(probes, v, 5).collect()}
+    exact = {(r["probe"], r["rank"]): (r["vec_id"], round(r["score"], 9)) for r in inverted.topk(index, probes, 5, lists, exact=True).collect()}
+    assert exact == want
+    near = {(r["probe"], r["vec_id"]) for r in inverted.topk(index, probes, 5, 3 * lists).collect()}
+    recall = len(near & {(p, x) for (p, _), (x, _) in want.items()}) / len(want)
+    print(f"recall with {3 * lists} of 16 lists: {recall:.3f}")
+    assert recall >= (0.9 if lists == 4 else 0.4)
+    assert inverted.topk(index, probes.limit(0), 5, 2).count() == 0
+    empty = inverted.build(v.limit(0), f"file://{tmp_path}/none", 4)
+    assert inverted.topk(empty, probes, 5, 2).count() == 0
