@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.acts import legal_item
+from lectern.functions.acts import citation_label, legal_item
 from lectern.functions import let
 from lectern.functions.texts import has_contacts, language_code, markdown_table
 
@@ -171,7 +171,7 @@ def _chunks(blocks: list[dict]) -> list[dict]:
         lang = next((b["lang"] for b in body if b["lang"]), g[0]["lang"])
         shared = {"section": section, "legal_path": path, "lang": lang, "first_block": g[0]["id"], "last_block": g[-1]["id"], "is_table": g[0]["type"] == "table"}
         text = "\n\n".join(b["text"] for b in g).strip()
-        chunks += [shared | {"text": t, "part": i} for i, t in enumerate(split_long(text))]
+        chunks += [shared | {"text": t, "part": i} for i, t in enumerate(g[0].get("parts") or split_long(text))]
     out: list[dict] = []
     for c in _item_run(chunks):
         last = out[-1] if out else None
@@ -189,12 +189,18 @@ CHUNK_COLUMNS = "ord int, text string, section array<string>, legal_path array<s
 def chunked(blocks: DataFrame, by: str = "doc_id", order: str = "id") -> DataFrame:
     """Chunks of every document, with ids, hashes and contact flags.
 
-    blocks: by, id, type (heading, paragraph, list_item or table), level, text, lang, section, legal_path. A document's blocks are packed into one row
-    by a grouped collection (its size is the document's), and documents are cut on their own.
+    blocks: by, id, type (heading, paragraph, list_item or table), level, text, lang, section, legal_path, and header and rows if tables have them: a long
+    table becomes groups of rows, each under the header. A document's blocks are packed into one row by a grouped collection (its size is the document's), and documents
+    are cut on their own.
     """
+    if {"header", "rows"} <= set(blocks.columns):
+        typed = (F.col("type") == "table") & (F.size("rows") > 0)
+        blocks = blocks.withColumn("parts", F.when(typed, table_chunks(F.col("header"), F.col("rows")))).withColumn("text", F.when(typed, F.array_join("parts", "\n\n")).otherwise(F.col("text")))
+    else:
+        blocks = blocks.withColumn("parts", F.lit(None).cast("array<string>"))
     clean = blocks.withColumn("text", F.regexp_replace("text", r"(?U)^\s+|\s+$", "")).filter("text <> ''")
     clean = with_breaks(clean.withColumn("lang", F.coalesce("lang", F.lit(""))), by, order)
-    columns = [F.col(order).cast("long").alias("id"), "type", "text", "lang", "section", "legal_path", "breaks"]
+    columns = [F.col(order).cast("long").alias("id"), "type", "text", "lang", "section", "legal_path", "breaks", "parts"]
     packed = clean.groupBy(by).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("_blocks"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +208,7 @@ def chunked(blocks: DataFrame, by: str = "doc_id", order: str = "id") -> DataFra
         for frame in frames:
             rows = []
             for key, items in zip(frame[by], frame["_blocks"], strict=True):
-                items = [{k: (list(v) if k in ("section", "legal_path") else v) for k, v in x.items()} for x in items]
+                items = [{k: (list(v) if k in ("section", "legal_path", "parts") and v is not None else v) for k, v in x.items()} for x in items]
                 rows += [{by: key, "ord": i} | {n: c[n] for n in names if n != "ord"} for i, c in enumerate(_chunks(items))]
             yield pd.DataFrame(rows, columns=[by, *names])
 
@@ -211,6 +217,26 @@ def chunked(blocks: DataFrame, by: str = "doc_id", order: str = "id") -> DataFra
     return found.withColumns({"chunk_id": ident, "content_hash": F.sha1("text"), "has_contacts": has_contacts(F.col("text")), "lang": language_code(F.col("lang"), F.col("text"))})
 
 
+def described_chunks(chunks: DataFrame, blocks: DataFrame, about: DataFrame, by: str = "doc_id", order: str = "id") -> DataFrame:
+    """`chunks` with block_ids, pages, boxes and contacts of the blocks from first_block to last_block, and with citation_label and embed_text.
+
+    blocks: by, id, and page, boxes, has_contacts; about: one row a document with kind, title, doc_type, number, date. A block finds its chunk by one look back over the starts of the
+    document's chunks, so no block meets all chunks; parts of one long text share their blocks.
+    """
+    spans = chunks.select(by, F.col("first_block").alias("_at"), F.col("last_block").alias("_last")).distinct()
+    starts = spans.select(by, F.col("_at").alias("_id"), F.struct("_at", "_last").alias("_span"), F.lit(None).cast(blocks.select(F.struct(order, "page", "boxes", "has_contacts").alias("b")).schema["b"].dataType).alias("_b"))
+    rows = blocks.select(by, F.col(order).cast("long").alias("_id"), F.lit(None).cast(starts.schema["_span"].dataType).alias("_span"), F.struct(order, "page", "boxes", "has_contacts").alias("_b"))
+    back = Window.partitionBy(by).orderBy("_id", F.col("_b").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    met = starts.unionByName(rows).withColumn("_span", F.last("_span", ignorenulls=True).over(back)).filter("_b is not null and _id <= _span._last")
+    held = met.groupBy(by, F.col("_span._at").alias("first_block")).agg(F.array_sort(F.collect_list(F.struct("_id", "_b"))).alias("_bs"))
+    own = F.transform("_bs", lambda x: x["_b"])
+    held = held.select(by, "first_block", F.transform("_bs", lambda x: x["_id"]).alias("block_ids"), pages_of(own).alias("pages"), boxes_of(own).alias("boxes"), F.exists("_bs", lambda x: F.coalesce(x["_b"]["has_contacts"], F.lit(False))).alias("_contacts"))
+    full = chunks.join(held, [by, "first_block"], "left").join(about.select(by, "kind", "title", "doc_type", "number", "date"), by, "left")
+    label = citation_label(F.col("kind"), F.col("title"), F.col("doc_type"), F.col("number"), F.col("date"), F.col("legal_path"), F.col("section"))
+    named = full.withColumn("citation_label", label).withColumn("has_contacts", F.col("has_contacts") | F.coalesce("_contacts", F.lit(False)))
+    return named.withColumn("embed_text", F.concat_ws("\n", F.coalesce("title", F.lit("")), "citation_label", "text")).drop("_contacts")
+
+
 def text_blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """Plain texts as blocks: one paragraph a line that is not blank."""
     trimmed = F.filter(F.transform(F.split(text, "\n", -1), lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != "")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lectern.functions import acts, texts
-from lectern.operators import documents
+from lectern.operators import corpus, documents
 from lectern.queries.retrieval import _LINES
 from lectern.registry import query
 from lectern.session import table
@@ -110,6 +110,28 @@ def legal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return items.select("l_orderkey", "l_linenumber", F.array_join(path, ">").alias("path"))
 
 
+@query(f"""
+WITH {_LINES}, b AS (SELECT doc_id, idx, line, idx // 3 AS c FROM lines WHERE idx % 12 < 9), d AS (SELECT *, CASE doc_id % 3 WHEN 0 THEN 'page' ELSE 'file' END AS kind FROM documents)
+SELECT doc_id, c * 3 AS first_block, string_agg(idx, ',' ORDER BY idx) AS blocks, array_to_string(list_sort(list_distinct(list(idx // 2))), ',') AS pages, count(*)::INT * 2 AS n_boxes, bool_or(idx % 5 = 4) AS has_contacts,
+  CASE WHEN any_value(kind) = 'page' THEN any_value(source) WHEN doc_id % 3 = 1 THEN 'Decizie nr. ' || doc_id ELSE any_value(source) END || ' › ' || any_value(lang) AS label,
+  sha1(any_value(source) || chr(10) || label || chr(10) || 'text') AS hash
+FROM b JOIN d USING (doc_id) GROUP BY doc_id, c
+""")
+def chunk_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines as blocks, nine in twelve of them in chunks of three: the chunks' blocks, pages, boxes, contacts and labels."""
+    docs = table(spark, sf_dir, "documents")
+    lines = corpus.lines(docs, keep=("lang",)).select("doc_id", F.col("idx").alias("id"), "lang")
+    blocks = lines.select("doc_id", "id", F.expr("id div 2").alias("page"), F.array(F.array(F.col("id").cast("double")), F.array(F.lit(0.5))).alias("boxes"), (F.col("id") % 5 == 4).alias("has_contacts"))
+    spans = lines.filter("id % 12 < 9").groupBy("doc_id", "lang", F.expr("id div 3").alias("c")).agg(F.max("id").cast("long").alias("last_block"))
+    none = F.array().cast("array<string>")
+    chunks = spans.select("doc_id", (F.col("c") * 3).alias("first_block"), "last_block", F.lit("text").alias("text"), F.array("lang").alias("section"), none.alias("legal_path"), F.lit(False).alias("has_contacts"))
+    act = F.col("doc_id") % 3 == 1
+    about = docs.select("doc_id", F.when(F.col("doc_id") % 3 == 0, "page").otherwise("file").alias("kind"), F.col("source").alias("title"), F.when(act, "decizie").alias("doc_type"), F.when(act, F.col("doc_id").cast("string")).alias("number"), F.lit(None).cast("string").alias("date"))
+    out = documents.described_chunks(chunks, blocks, about)
+    said = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return out.select("doc_id", "first_block", said("block_ids").alias("blocks"), said("pages").alias("pages"), F.size("boxes").alias("n_boxes"), "has_contacts", F.col("citation_label").alias("label"), F.sha1("embed_text").alias("hash"))
+
+
 @query()
 def chunk_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = documents.chunked(documents.text_blocks(table(spark, sf_dir, "documents")))

@@ -347,3 +347,20 @@ def test_evaluation_sets(spark):
     cases = readers.evaluation_cases(spark, text)
     assert cases.count() == 3 and [r["id"] for r in readers.measured(cases).collect()] == ["a"]
     assert readers.evaluation_cases(spark, "").count() == 0
+
+
+def test_tables_and_places_of_chunks(spark):
+    none: list = []
+    rows = [[f"r{i}", "x" * 300] for i in range(20)]
+    blocks = [(1, 0, "heading", 1, "T", "ro", none, none, None, None, 1, [[1.0]], False), (1, 1, "paragraph", None, "Text " * 60, "ro", ["T"], none, None, None, 1, [[2.0]], True), (1, 2, "table", None, "", "ro", ["T"], none, ["a", "b"], rows, 2, None, None)]
+    kinds = "doc_id long, id long, type string, level int, text string, lang string, section array<string>, legal_path array<string>, header array<string>, rows array<array<string>>, page int, boxes array<array<double>>, has_contacts boolean"
+    df = spark.createDataFrame(blocks, kinds).withColumn("text", F.when(F.col("type") == "table", "| a |").otherwise(F.col("text")))
+    about = spark.createDataFrame([(1, "file", "Title", "decizie", "4/1", None)], "doc_id long, kind string, title string, doc_type string, number string, date string")
+    got = documents.described_chunks(documents.chunked(df), df, about).orderBy("ord").collect()
+    tables = [r for r in got if r["is_table"]]
+    assert len(tables) > 1 and all(r["text"].startswith("| a | b |\n| --- | --- |\n") for r in tables) and [r["part"] for r in tables] == list(range(len(tables)))
+    assert sum(r["text"].count("| r") for r in tables) == 20
+    first = got[0]
+    assert (first["block_ids"], first["pages"], first["boxes"], first["has_contacts"]) == ([0, 1], [1], [[1.0], [2.0]], True)
+    assert first["citation_label"] == "Decizie nr. 4/1 › T" and first["embed_text"] == f"Title\n{first['citation_label']}\n{first['text']}"
+    assert all(r["block_ids"] == [2] and r["pages"] == [2] and r["boxes"] == [] and not r["has_contacts"] for r in tables)
