@@ -33,11 +33,13 @@ def stream_rate_limited(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.drained(usage.accepted(_events(spark, sf_dir), 3, 21600), "update")
 
 
-def _written(rows: DataFrame, place: Column) -> DataFrame:
-    """`rows` as a stream over four files, read one at a time: what belongs together comes in several batches and out of order."""
+def _written(rows: DataFrame, place: Column, last: DataFrame | None = None) -> DataFrame:
+    """`rows` as a stream over four files, read one at a time: what belongs together comes in several batches and out of order. `last` comes after all others."""
     spark = rows.sparkSession
     path = f"{shared_dir(spark)}/chunks-{uuid.uuid4().hex}"
     rows.withColumn("_f", (place % 4).cast("int")).repartition(4, "_f").drop("_f").write.parquet(path)
+    if last is not None:
+        last.coalesce(1).write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
@@ -72,7 +74,7 @@ def stream_live_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = c.filter("turn % 3 <> 1").select("id", F.concat(F.lit("L"), "turn").alias("value"), "turn", at.alias("at"))
     # a last line, an hour later, of an answer that is nobody's lets time pass
     later = spark.range(1).select(F.lit("none").alias("id"), F.lit("L").alias("value"), F.lit(0).cast("long").alias("turn"), (at + F.expr("INTERVAL 1 HOUR")).alias("at"))
-    lines = lines.select("id", "value", F.col("turn").cast("long").alias("turn"), "at").unionByName(later)
-    stream = frames.live_answers(_written(pieces, F.col("seq")), _written(lines, F.when(F.col("id") == "none", 3).otherwise(F.col("turn") % 3)))
+    lines = lines.select("id", "value", F.col("turn").cast("long").alias("turn"), "at")
+    stream = frames.live_answers(_written(pieces, F.col("seq")), _written(lines, F.col("turn"), later))
     shown = usage.drained(stream, "append").filter("event = 'sentence'")
     return shown.select(F.col("id").cast("long").alias("conv_id"), F.col("index").alias("place"), F.sha1("value").alias("hash"))
