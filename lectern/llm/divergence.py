@@ -34,9 +34,9 @@ TOP_TERMS = 200
 SLICE_TERMS = 1024
 TILE = 256
 CELLS = 1 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 #: Rows of counts that a task holds before it sends them on.
-HELD_ROWS = 1_000_000
+HELD_ROWS = 400_000
 #: Terms are runs of letters: A-Z, a-z and all characters above ASCII.
 LETTERS = ALNUM.copy()
 LETTERS[48:58] = False
