@@ -317,3 +317,37 @@ def known_names(*tables: DataFrame) -> DataFrame:
     for t in tables[1:]:
         out = out.unionByName(t.toDF("name"))
     return out.filter("name is not null").distinct()
+
+
+def sorted_heads(decisions: DataFrame) -> DataFrame:
+    """head, group: where decisions in batches (batch, n, head, label, known) put the heads of wording groups.
+
+    A label names the group `known`, or where that is null a new one, whose id is the head with the least n of its batch and label. Batches are bounded, so a label's
+    rows are few; of a head with several decisions that of the last batch counts.
+    """
+    named = decisions.groupBy("batch", "label").agg(F.min_by("head", "n").alias("_first"), F.max("known").alias("_known"))
+    placed = decisions.join(named, ["batch", "label"]).select("head", "batch", F.coalesce("_known", "_first").alias("group"))
+    return placed.groupBy("head").agg(F.max_by("group", "batch").alias("group"))
+
+
+#: Orders of the list of gaps; the newest question and the group's id break ties.
+GAP_ORDERS = {"count": ["count"], "recent": [], "partial": ["partial", "count"], "not_found": ["not_found", "count"]}
+
+
+def gap_list(rows: DataFrame, groups: DataFrame, order: str = "count", most: int = 50, hidden: bool = False) -> DataFrame:
+    """group, count, last_asked, partial, not_found (numbers of such answers) of the first `most` groups of questions without a full answer.
+
+    rows: answer_id, head (of its wording group), created_at, status, hidden, rechecked; groups: as from `sorted_heads`, a head without a decision is its own group. Groups with a hidden member
+    are left out unless wanted, and so are those whose last re-check was answered.
+    """
+    joined = rows.join(groups, "head", "left").withColumn("group", F.coalesce("group", "head"))
+    items = joined.groupBy("group").agg(
+        F.count(F.lit(1)).alias("count"),
+        F.max("created_at").alias("last_asked"),
+        F.count_if(F.col("status") == "partial").alias("partial"),
+        F.count_if(F.col("status") == "not_found").alias("not_found"),
+        F.max(F.coalesce("hidden", F.lit(False))).alias("_hidden"),
+        F.max_by("rechecked", F.when(F.col("rechecked").isNotNull(), F.struct("created_at", "answer_id"))).alias("_rechecked"),
+    )
+    shown = items.filter((F.lit(hidden) | ~F.col("_hidden")) & ~F.col("_rechecked").eqNullSafe("answered")).drop("_hidden", "_rechecked")
+    return shown.orderBy(*[F.desc(c) for c in GAP_ORDERS[order]], F.desc("last_asked"), "group").limit(most)

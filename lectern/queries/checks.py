@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lectern.functions import acts, questions, texts
-from lectern.operators import answers, corpus, ranking, records, web
+from lectern.operators import analytics, answers, corpus, ranking, records, web
 from lectern.queries.retrieval import _LINES
 from lectern.registry import query
-from lectern.session import table
+from lectern.session import checkpointed, table
 from lectern.sources import readers
 
 _LATIN, _CYRILLIC = "len(regexp_extract_all({0}, '\\p{{Latin}}'))", "len(regexp_extract_all({0}, '\\p{{Cyrillic}}'))"
@@ -161,6 +161,34 @@ def decided_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.grouped_decisions(rows, decisions, "key", "grp").select("c_custkey", "grp")
 
 
+@query("""
+WITH r AS (SELECT event_id AS answer_id, min(event_id) OVER (PARTITION BY user_id, event_type) AS head, ts, ['partial', 'not_found', 'refused'][(event_id % 3 + 1)::INT] AS status, event_id % 97 = 0 AS hidden, CASE WHEN event_id % 11 = 0 THEN CASE WHEN event_id % 2 = 0 THEN 'answered' ELSE 'partial' END END AS rechecked FROM events),
+d AS (SELECT DISTINCT head, head % 50 AS batch, head % 7 AS label FROM r WHERE head % 4 > 0),
+f AS (SELECT batch, label, CASE WHEN label = 0 THEN batch ELSE min(head) END AS grp FROM d GROUP BY batch, label),
+g AS (SELECT r.*, coalesce(f.grp, r.head) AS grp FROM r LEFT JOIN d ON d.head = r.head LEFT JOIN f ON f.batch = d.batch AND f.label = d.label),
+i AS (SELECT grp, count(*) AS n, max(ts) AS last_asked, count(*) FILTER (status = 'partial') AS partial, count(*) FILTER (status = 'not_found') AS not_found, bool_or(hidden) AS hid, arg_max(rechecked, (ts, answer_id)) FILTER (rechecked IS NOT NULL) AS re FROM g GROUP BY grp),
+s AS (SELECT * FROM i WHERE NOT hid AND re IS DISTINCT FROM 'answered')
+SELECT o AS ordered, grp, n, partial, not_found FROM (
+  SELECT 'count' AS o, *, row_number() OVER (ORDER BY n DESC, last_asked DESC, grp) AS k FROM s UNION ALL SELECT 'recent', *, row_number() OVER (ORDER BY last_asked DESC, grp) FROM s
+  UNION ALL SELECT 'partial', *, row_number() OVER (ORDER BY partial DESC, n DESC, last_asked DESC, grp) FROM s UNION ALL SELECT 'not_found', *, row_number() OVER (ORDER BY not_found DESC, n DESC, last_asked DESC, grp) FROM s) WHERE k <= 50
+""")
+def gap_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as questions, their wording groups sorted into groups by decisions in batches, and the list of groups in its four orders."""
+    k = F.col("event_id")
+    head = F.min("event_id").over(Window.partitionBy("user_id", "event_type"))
+    status = F.get(F.array(*map(F.lit, ["partial", "not_found", "refused"])), (k % 3).cast("int"))
+    rechecked = F.when(k % 11 == 0, F.when(k % 2 == 0, "answered").otherwise("partial"))
+    rows = checkpointed(table(spark, sf_dir, "events").select(k.alias("answer_id"), head.alias("head"), F.col("ts").alias("created_at"), status.alias("status"), (k % 97 == 0).alias("hidden"), rechecked.alias("rechecked")))
+    batch, label = F.col("head") % 50, F.col("head") % 7
+    decisions = rows.select("head").distinct().filter("head % 4 > 0").select(batch.alias("batch"), F.col("head").alias("n"), "head", label.alias("label"), F.when(label == 0, batch).alias("known"))
+    groups = checkpointed(analytics.sorted_heads(decisions))
+    out = None
+    for order in analytics.GAP_ORDERS:
+        part = analytics.gap_list(rows, groups, order).select(F.lit(order).alias("ordered"), F.col("group").alias("grp"), F.col("count").alias("n"), "partial", "not_found")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("""
 WITH r AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 3 > 0 THEN o_orderdate END AS d FROM orders)
 SELECT o_custkey, o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY d DESC NULLS LAST, o_orderkey)::INT AS place FROM r

@@ -48,3 +48,14 @@ def test_large_groups_are_not_packed_into_rows(spark):
     assert sorted((r["g"] or "", r["source_no"], r["id"]) for r in budget.collect()) == [("", 1, 2), ("", 2, 5), ("hot", 1, 0), ("hot", 2, 1)]
     for plan in (ranks, budget):
         assert "collect_list" not in plan._jdf.queryExecution().toString()
+
+
+def test_decisions_in_batches_name_groups(spark):
+    rows = [(1, 1, 10, "N1", None), (1, 2, 11, "G1", 5), (1, 3, 12, "N1", None), (2, 1, 13, "N1", None), (2, 2, 10, "G1", 11), (2, 3, None, "N2", None)]
+    got = {r["head"]: r["group"] for r in analytics.sorted_heads(spark.createDataFrame(rows, "batch int, n int, head int, label string, known int")).collect()}
+    assert got == {10: 11, 11: 5, 12: 10, 13: 13, None: None}  # a head that is sorted again is where the last batch put it
+    asked = spark.createDataFrame([(1, 10, 1, "partial", False, None), (2, 12, 2, "not_found", None, "partial"), (3, 99, 3, "partial", True, None), (4, 13, 4, "partial", False, "answered"), (5, 98, 5, "partial", False, None)], "answer_id int, head int, created_at int, status string, hidden boolean, rechecked string")
+    decided = spark.createDataFrame([(10, 10), (12, 10)], "head int, group int")
+    listed = lambda **more: [(r["group"], r["count"], r["last_asked"]) for r in analytics.gap_list(asked, decided, **more).collect()]
+    assert listed() == [(10, 2, 2), (98, 1, 5)] and listed(order="recent") == [(98, 1, 5), (10, 2, 2)] and listed(most=1) == [(10, 2, 2)]
+    assert listed(hidden=True) == [(10, 2, 2), (98, 1, 5), (99, 1, 3)] and listed(order="not_found") == [(10, 2, 2), (98, 1, 5)]
