@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -169,32 +170,49 @@ def covers(ends: Sequence[tuple[int, int]]) -> int:
 
 
 class _Asked:
-    """Asked terms by their first words, and the questions that ask for each."""
+    """Asked terms, single words and phrases, and the questions that ask for each."""
 
     def __init__(self, terms: Sequence[str], askers: Sequence[Sequence[int]]):
-        self.words: dict[str, list[tuple[tuple[str, ...], int]]] = {}
-        self.askers = askers
+        self.single: dict[str, int] = {}
+        self.phrases: dict[str, list[tuple[tuple[str, ...], int]]] = {}
+        self.askers = [np.array(q, np.int64) for q in askers]
+        self.terms: dict[int, list[int]] = {}
         for i, t in enumerate(terms):
             words = tuple(t.split(" "))
-            self.words.setdefault(words[0], []).append((words, i))
-
-    def found(self, words: Sequence[str]) -> dict[int, tuple[int, int]]:
-        """question: (terms found, covers)."""
-        hits: dict[int, list[tuple[int, int]]] = {}
-        long = False
-        for i, w in enumerate(words):
-            for term, t in self.words.get(w, ()):
-                if len(term) == 1:
-                    hits.setdefault(t, []).append((i, i))
-                elif len(words) >= i + len(term) and all(a in ("", b) for a, b in zip(term, words[i:], strict=False)):
-                    hits.setdefault(t, []).append((i + len(term) - 1, i))
-                    long = True
-        out: dict[int, list] = {}
-        for t, ends in hits.items():
-            for q in self.askers[t]:
-                out.setdefault(q, []).append(ends)
-        # single words stand at places of their own
-        return {q: (len(lists), covers([e for ends in lists for e in ends]) if long and len(lists) > 1 else sum(map(len, lists))) for q, lists in out.items()}
+            if len(words) == 1:
+                self.single[t] = i
+            else:
+                self.phrases.setdefault(words[0], []).append((words, i))
+            for q in askers[i]:
+                self.terms.setdefault(q, []).append(i)
+
+    def found(self, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Questions, and for each the terms found and the covers."""
+        counts = Counter(words)
+        hits = {self.single[w]: n for w, n in counts.items() if w in self.single}
+        ends: dict[int, list[tuple[int, int]]] = {}
+        if not self.phrases.keys().isdisjoint(counts):
+            for i, w in enumerate(words):
+                for term, t in self.phrases.get(w, ()):
+                    if len(words) >= i + len(term) and all(x in ("", y) for x, y in zip(term, words[i:], strict=False)):
+                        ends.setdefault(t, []).append((i + len(term) - 1, i))
+        hits |= {t: len(e) for t, e in ends.items()}
+        if not hits:
+            return (np.zeros(0, np.int64),) * 3
+        asked = [self.askers[t] for t in hits]
+        q = np.concatenate(asked)
+        terms = np.bincount(q)
+        total = np.bincount(q, np.repeat(list(hits.values()), [len(x) for x in asked])).astype(np.int64)
+        if ends:  # words of a phrase may be asked for by themselves
+            places: dict[str, list[int]] = {}
+            for i, w in enumerate(words):
+                places.setdefault(w, []).append(i)
+            own = {t: w for w, t in self.single.items() if t in hits}
+            for x in np.unique(np.concatenate([self.askers[t] for t in ends])).tolist():
+                mine = [e for t in self.terms[x] if t in hits for e in (ends[t] if t in ends else [(i, i) for i in places[own[t]]])]
+                total[x] = covers(mine)
+        at = np.flatnonzero(terms)
+        return at, terms[at], total[at]
 
 
 def matched(texts: DataFrame, queries: DataFrame, key: str | Sequence[str], query: str = "query_id", text: str = "text", language: Column | None = None, most_terms: int = MOST_TERMS) -> DataFrame:
@@ -224,14 +242,15 @@ def matched(texts: DataFrame, queries: DataFrame, key: str | Sequence[str], quer
             terms, askers, ids = shared.value
             index = _Asked(terms, askers)
             for batch in batches:
-                found, at = [], []
+                none = np.zeros(0, np.int64)
+                found, at = [(none, none, none)], [none]
                 for row, (t, lang) in enumerate(zip(batch.column("_text"), batch.column("_lang"), strict=True)):
                     if t.is_valid:
-                        hits = index.found(index_words(t.as_py(), lang.as_py()))
-                        found += [(q, *x) for q, x in hits.items()]
-                        at += [row] * len(hits)
-                qs, ns, cs = (pa.array([x[k] for x in found], pa.int64()) for k in range(3))
-                yield pa.RecordBatch.from_arrays([ids.take(qs), *(batch.column(k).take(pa.array(at, pa.int64())) for k in keys), ns, pc.multiply(cs.cast(pa.float64()), COVER)], [query, *keys, "terms", "score"])
+                        found.append(index.found(index_words(t.as_py(), lang.as_py())))
+                        at.append(np.full(len(found[-1][0]), row))
+                qs, ns, cs = (np.concatenate([x[k] for x in found]) for k in range(3))
+                rows_of = pa.array(np.concatenate(at))
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(qs)), *(batch.column(k).take(rows_of) for k in keys), pa.array(ns), pa.array(cs * COVER)], [query, *keys, "terms", "score"])
 
         here = rows.mapInArrow(run, schema)
         out = here if out is None else out.unionByName(here)
