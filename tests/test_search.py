@@ -1,4 +1,4 @@
-"""Stems against published samples, cover density against its definition, search in one and in many passes, nearest vectors."""
+"""Stems against samples recalled from those published, cover density against its definition, search in one and in many passes, nearest vectors."""
 
 from __future__ import annotations
 
@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lectern.functions.stemming import index_words, romanian, russian
 from lectern.operators import corpus, inverted, ranking, trigrams
 
-# Samples as published with the rules (word, stem).
+# Word and stem, recalled from the samples published with the rules; the vocabularies themselves are not at hand.
 RUSSIAN = """вавиловка вавиловк|вагнера вагнер|вагон вагон|вагона вагон|вагоне вагон|вагонов вагон|вагоном вагон|вагоны вагон|важная важн|важнее важн|важнейшие важн|важнейшими важн|важничал важнича|важно важн|важного важн|важной важн|важном важн|важному важн|важности важност|важностию важност|важность важност|важностью важност|важную важн|важны важн|важные важн|важный важн|важным важн|важных важн|вазах ваз|вазы ваз|вакса вакс|вакханка вакханк|вал вал|валандался валанда|валентина валентин|валериановых валерианов|валерию валер|валетами валет|п п|па па|пава пав|павел павел|павильон павильон|павильонам павильон|павла павл|павлиний павлин|павлиньи павлин|павлиньим павлин|павлович павлович|павловна павловн|павловне павловн|павловной павловн|павловну павловн|павловны павловн|павловцы павловц|павлу павл|павлыч павлыч|павлыча павлыч|пагубная пагубн|падает пада|падай пада|падал пада|падала пада|падаль падал|падать пада|падаю пада|падают пада|падающего пада|падающие пада|падеж падеж|падение паден|падением паден|падении паден|падений паден|падения паден|паденье паден|паденья паден|падет падет|падут падут|падучая падуч|падчерицей падчериц|падчерицы падчериц|падшая падш|падшей падш|падшему падш|падший падш|падшим падш|падших падш|падшую падш|паек паек|пазуха пазух|пазуху пазух|пай па|пакет пакет|пакетом пакет|пакеты пакет|пакостей пакост|пакостит пакост|пакостно пакостн|пал пал"""
 ROMANIAN = """abruptă abrupt|absent absent|absentă absent|absente absent|absența absenț|absență absenț|absenți absenț|absolut absol|absoluta absol|absolută absol|absolute absol|absolutul absol|absolutului absol|absoluți absoluț|absolve absolv|absolvenți absolvenț|absolvenții absolvenț|absolvi absolv|absolvire absolv|absolvit absolv|absolvită absolv|absolviți absolv|absorbant absorb|absorbantă absorb|absorbi absorb|absorbit absorb|absorbite absorb|absorbiți absorb|absorbția absorbț|abstinent abstinent|abstract abstract|abstractă abstract|abstracte abstract|abstractiza abstractiz|abstractizare abstractiz|abstractizat abstractiz|abstractizăm abstractiz|abstracție abstracț|abstracții abstracț|ocol ocol|ocolea ocol|ocolesc ocol|ocolește ocol|ocoli ocol|ocolim ocol|ocolind ocol|ocolire ocol|ocolit ocol|ocolită ocol|ocoliți ocol|ocolul ocol|ocoluri ocolur|ocolurile ocolur|ocrotit ocrot|ocrotite ocrot|ocrotirea ocrot|ocroti ocrot"""
 
