@@ -94,9 +94,8 @@ def _read(spark: SparkSession, index: Lists, names: pa.Array, p: np.ndarray, wan
                 at = np.flatnonzero(own == i)
                 for x in range(0, len(at), ROWS_IN_BLOCK):
                     part = batch.take(pa.array(at[x : x + ROWS_IN_BLOCK]))
-                    best.add(part.column(0).to_numpy(zero_copy_only=False), p[asked[i]] @ _matrix(part.column(1)).T, probes=asked[i])
-        if best.held is not None:
-            at, keys, score, _ = best.held
+                    best.scan(part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1)), p, asked[i])
+        for at, keys, score, _ in best.rows():
             yield pa.RecordBatch.from_arrays([names.take(pa.array(at)), pa.array(keys), pa.array(score)], ["probe", "key", "score"])
 
     return spark.read.parquet(index.path).filter(F.col("list").isin(lists)).select("key", "v", "list").mapInArrow(run, kinds)

@@ -15,8 +15,10 @@ from lectern.session import checkpointed
 
 RRF_K = 60
 VECTORS_IN_BLOCK = 2048
-#: Numbers of probes that go to all tasks at a time (32 MB).
+#: Numbers of probes that go to all tasks at a time (32 MB), or places for what a task finds for them (70 MB).
 MOST_PROBES = 4 << 20
+#: Scores that a task computes at a time (8 MB), and rows that it gives at a time.
+CELLS, ROWS_OUT = 1 << 20, 1 << 16
 
 
 def filtered(df: DataFrame, **wanted: object) -> DataFrame:
@@ -45,7 +47,7 @@ def vector_topk(vectors: DataFrame, probe: Sequence[float], k: int, key: str = "
 def batch_topk(probes: DataFrame, vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "embedding", most_probes: int = MOST_PROBES) -> DataFrame:
     """probe, key, score, rank: the k best rows for every probe (probe, vector), exactly.
 
-    Vectors stay where they are read: probes go to all tasks (at most `most_probes` numbers at a time, further ones in further passes over the vectors), a task keeps the k
+    Vectors stay where they are read: probes go to all tasks (at most `most_probes` numbers, or k places each, at a time, further ones in further passes over the vectors), a task keeps the k
     best rows of each probe over all its batches, and a last window takes the best of the tasks. Scores are compared to twelve digits, ties go to the least key.
     """
     order = Window.partitionBy("probe").orderBy(F.desc(F.round("score", 12)), key)
@@ -69,37 +71,68 @@ def _matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
 
 
 class _Best:
-    """The k best candidates of each probe so far: scores rounded down the line, ties to the least key."""
+    """The k best candidates of each probe so far: scores rounded down the line, ties to the least key.
+
+    What is held is k places a probe; scores are computed a tile of CELLS at a time, so memory is that of the places however many probes and vectors meet.
+    """
 
     def __init__(self, probes: int, k: int, digits: int):
         self.k, self.digits = k, digits
         self.floor = np.full(probes, -np.inf)
-        self.held: tuple[np.ndarray, ...] | None = None  # probe, key, score, of the probe's label
+        self.held: tuple[np.ndarray, ...] | None = None  # of each probe k places: key, score, of the probe's label
+        self.count = np.zeros(probes, np.int64)  # places taken
 
-    def add(self, keys: np.ndarray, score: np.ndarray, same: np.ndarray | None = None, bonus: float = 0.0, probes: np.ndarray | None = None) -> None:
-        """Candidates `keys` (columns of score) for all probes, or for those of `probes` (rows of score)."""
-        shown = score if same is None else score + bonus * same
-        floor = self.floor if probes is None else self.floor[probes]
-        r, c = np.nonzero(shown >= floor[:, None] - 2 * 10.0**-self.digits)
+    def scan(self, keys: np.ndarray, vectors: np.ndarray, asked: np.ndarray, probes: np.ndarray | None = None, labels: tuple[np.ndarray, np.ndarray] | None = None, bonus: float = 0.0) -> None:
+        """Candidates `keys` with their vectors for all probes `asked`, or for those numbered `probes`; labels: codes of the probes' and of the vectors'."""
+        rows = np.arange(len(asked)) if probes is None else probes
+        if not len(keys) or not len(rows):
+            return
+        step = max(1, CELLS // len(keys))
+        for at in range(0, len(rows), step):
+            part = rows[at : at + step]
+            self._add(keys, asked[part] @ vectors.T, part, None if labels is None else labels[0][part, None] == labels[1][None, :], bonus)
+
+    def _add(self, keys: np.ndarray, score: np.ndarray, probes: np.ndarray, same: np.ndarray | None, bonus: float) -> None:
+        shown, slack = score if same is None else score + bonus * same, 2 * 10.0**-self.digits
+        good = shown >= self.floor[probes, None] - slack
+        if score.shape[1] > self.k and np.count_nonzero(good) > 2 * self.k * len(probes):  # as long as little is known
+            known = np.where(np.isnan(shown), -np.inf, shown)
+            good &= shown >= np.partition(known, -self.k, axis=1)[:, -self.k, None] - slack
+        r, c = np.nonzero(good)
         if not len(r):
             return
-        p = r if probes is None else probes[r]
-        new = (p, keys[c], score[r, c], np.zeros(len(r), bool) if same is None else same[r, c])
-        p, key, plain, alike = new if self.held is None else (np.concatenate(x) for x in zip(self.held, new, strict=True))
+        if self.held is None:
+            self.held = tuple(np.zeros((len(self.floor), self.k), kind) for kind in (keys.dtype, np.float64, bool))
+        own, r = np.unique(r, return_inverse=True)
+        at = probes[own]
+        old, place = np.nonzero(np.arange(self.k) < self.count[at, None])
+        new = (r, keys[c], score[own[r], c], np.zeros(len(r), bool) if same is None else same[own[r], c])
+        p, key, plain, alike = (np.concatenate(x) for x in zip((old, *(h[at[old], place] for h in self.held)), new, strict=True))
         value = np.round(plain, self.digits) + bonus * alike
         order = np.lexsort((key, -value, p))
         first = np.flatnonzero(np.diff(p[order], prepend=-1))
         place = np.arange(len(p)) - np.repeat(first, np.diff(first, append=len(p)))
-        kept, last = order[place < self.k], order[place == self.k - 1]
-        self.held = (p[kept], key[kept], plain[kept], alike[kept])
-        self.floor[p[last]] = value[last]
+        kept, place = order[place < self.k], place[place < self.k]
+        for held, x in zip(self.held, (key, plain, alike), strict=True):
+            held[at[p[kept]], place] = x[kept]
+        self.count[at] = np.minimum(np.bincount(p, minlength=len(at)), self.k)
+        last = kept[place == self.k - 1]
+        self.floor[at[p[last]]] = value[last]
+
+    def rows(self) -> Iterator[tuple[np.ndarray, ...]]:
+        """Probe, key, score, of the probe's label: of some probes at a time."""
+        step = max(1, ROWS_OUT // max(1, self.k))
+        for at in range(0, len(self.count) if self.held is not None else 0, step):
+            p, place = np.nonzero(np.arange(self.k) < self.count[at : at + step, None])
+            if len(p):
+                yield p + at, *(h[p + at, place] for h in self.held)
 
 
 def _best_of_tasks(probes: DataFrame, vectors: DataFrame, k: int, key: str, vector: str, most_probes: int, digits: int, label: str | None = None, bonus: float = 0.0) -> DataFrame:
     """probe, key, score (and, with a label, _same: of the probe's label): the k best rows that each task has for each probe."""
     spark, fields = vectors.sparkSession, [label] if label else []
     asked = checkpointed(probes.filter(F.col(vector).isNotNull()).select("probe", *fields, F.col(vector).cast("array<double>").alias(vector)))
-    passes = max(1, -(-(asked.agg(F.sum(F.size(vector))).first()[0] or 0) // most_probes))
+    passes = max(1, -(-(asked.agg(F.sum(F.greatest(F.size(vector), F.lit(k)))).first()[0] or 0) // most_probes))
     rows = vectors.filter(F.col(vector).isNotNull()).select(key, *fields, F.col(vector).cast("array<double>").alias(vector))
     kinds = f"probe {probes.schema['probe'].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double" + (", _same boolean" if label else "")
     out = None
@@ -115,14 +148,12 @@ def _best_of_tasks(probes: DataFrame, vectors: DataFrame, k: int, key: str, vect
             for batch in batches:
                 for at in range(0, len(batch), VECTORS_IN_BLOCK):
                     block = batch.slice(at, VECTORS_IN_BLOCK)
-                    same = None
+                    codes = None
                     if label:
                         known = pc.unique(block.column(label)).drop_null()
-                        one, other = (np.asarray(pc.index_in(x, known).fill_null(none)) for x, none in ((labels, -1), (block.column(label), -2)))
-                        same = one[:, None] == other[None, :]
-                    best.add(block.column(key).to_numpy(zero_copy_only=False), p @ _matrix(block.column(vector)).T, same, bonus)
-            if best.held is not None:
-                at, keys, plain, alike = best.held
+                        codes = tuple(np.asarray(pc.index_in(x, known).fill_null(none)) for x, none in ((labels, -1), (block.column(label), -2)))
+                    best.scan(block.column(key).to_numpy(zero_copy_only=False), _matrix(block.column(vector)), p, labels=codes, bonus=bonus)
+            for at, keys, plain, alike in best.rows():
                 found = [names.take(pa.array(at)), pa.array(keys, batch.schema.field(key).type), pa.array(plain)]
                 yield pa.RecordBatch.from_arrays(found + ([pa.array(alike)] if label else []), ["probe", key, "score"] + (["_same"] if label else []))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tracemalloc
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -59,3 +61,27 @@ def test_decisions_in_batches_name_groups(spark):
     listed = lambda **more: [(r["group"], r["count"], r["last_asked"]) for r in analytics.gap_list(asked, decided, **more).collect()]
     assert listed() == [(10, 2, 2), (98, 1, 5)] and listed(order="recent") == [(98, 1, 5), (10, 2, 2)] and listed(most=1) == [(10, 2, 2)]
     assert listed(hidden=True) == [(10, 2, 2), (98, 1, 5), (99, 1, 3)] and listed(order="not_found") == [(10, 2, 2), (98, 1, 5)]
+
+
+def test_scores_are_held_a_tile_at_a_time():
+    rng = np.random.default_rng(5)
+    asked, v = rng.normal(size=(4000, 8)).round(1), np.repeat(rng.normal(size=(1000, 8)).round(1), 2, axis=0)  # each vector twice
+    labels = rng.integers(0, 3, 4000), rng.integers(0, 3, 2000)
+    tracemalloc.start()
+    best = ranking._Best(len(asked), 3, 9)
+    for at in range(0, 2000, 500):
+        best.scan(np.arange(at, at + 500), v[at : at + 500], asked, labels=(labels[0], labels[1][at : at + 500]), bonus=0.5)
+    got = [tuple(x.tolist() for x in part) for part in best.rows()]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 150 << 20  # 8,000,000 scores are 64 MB, and what is compared of them several times that
+    found = [(p, k) for part in got for p, k in zip(*part[:2], strict=True)]
+    value = np.round(asked @ v.T, 9) + 0.5 * (labels[0][:, None] == labels[1][None, :])
+    assert found == [(p, int(k)) for p in range(4000) for k in np.lexsort((np.arange(2000), -value[p]))[:3]]
+
+
+def test_some_probes_and_scores_that_are_no_numbers():
+    best = ranking._Best(3, 2, 12)
+    best.scan(np.array([7, 8, 9]), np.array([[np.nan], [1.0], [2.0]]), np.array([[1.0], [1.0], [-1.0]]), np.array([0, 2]))
+    best.scan(np.array([1]), np.array([[2.0]]), np.array([[1.0], [1.0], [-1.0]]), np.array([0]))
+    assert [tuple(x.tolist() for x in part[:3]) for part in best.rows()] == [([0, 0, 2, 2], [1, 9, 8, 9], [2.0, 2.0, -1.0, -2.0])]
