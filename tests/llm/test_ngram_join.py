@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from lectern.llm import ngram_join as J
+from lectern.llm.components import components
+from lectern.session import shared_dir
 from tests.llm import brute
 
 
@@ -93,3 +96,25 @@ def test_unlinked_short_texts_make_no_pairs_of_tiles(spark):
     assert got.filter("component_id <> doc_id").count() == 0
     (folder,) = set(base.glob("ngram-join-*")) - before
     assert not (folder / "many").exists() and spark.read.parquet(f"file://{folder}/shared").count() == 0 == spark.read.parquet(f"file://{folder}/members").count()
+
+
+def test_a_small_edge_table_is_settled_in_one_pass(spark):
+    rng = np.random.default_rng(4)
+    chain = [(i, i + 1) for i in range(300)]
+    edges = [*chain, *((int(a), int(b)) for a, b in rng.integers(-400, 2000, (900, 2)) if a < -1 or a > 301 and b > 301), (-5, -5)]
+    df = spark.createDataFrame(edges, "a int, b int").repartition(4)
+    folder = Path(shared_dir(spark).removeprefix("file://"))
+    steps = lambda: len(list(folder.glob("*/rdd-*")))
+    before = steps()
+    got = {(r["node"], r["root"]) for r in components(df, "a", "b").collect()}
+    assert steps() - before <= 2
+    assert got == {(r["node"], r["root"]) for r in components(df, "a", "b", few=0).collect()}  # by steps
+    root = {x: x for e in edges if e[0] != e[1] for x in e}
+    for _ in range(len(root)):
+        old = dict(root)
+        for a, b in edges:
+            if a != b:
+                root[a] = root[b] = min(root[a], root[b])
+        if root == old:
+            break
+    assert got == set(root.items())
