@@ -5,9 +5,11 @@ from __future__ import annotations
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import texts
 from lectern.operators import analytics, answers, ranking
 from lectern.queries import retrieval
 
@@ -85,3 +87,13 @@ def test_some_probes_and_scores_that_are_no_numbers():
     best.scan(np.array([7, 8, 9]), np.array([[np.nan], [1.0], [2.0]]), np.array([[1.0], [1.0], [-1.0]]), np.array([0, 2]))
     best.scan(np.array([1]), np.array([[2.0]]), np.array([[1.0], [1.0], [-1.0]]), np.array([0]))
     assert [tuple(x.tolist() for x in part[:3]) for part in best.rows()] == [([0, 0, 2, 2], [1, 9, 8, 9], [2.0, 2.0, -1.0, -2.0])]
+
+
+def test_texts_of_a_batch_are_a_few_objects_at_a_time(spark):
+    most = []
+    kept = texts._pieces(300, pa.list_(pa.string()), lambda at, n: most.append(n) or [None if i % 7 == 0 else [str(i)] for i in range(at, min(at + n, 300))])
+    assert max(most) <= 128 and kept.to_pylist() == [None if i % 7 == 0 else [str(i)] for i in range(300)]
+    assert texts._pieces(0, pa.string(), lambda at, n: []).to_pylist() == []
+    df = spark.range(300).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("casele  ş "), "id")).alias("t"), F.when(F.col("id") % 2 > 0, "ru").alias("l"))
+    got = {r["id"]: (r["n"], r["w"]) for r in df.select("id", texts.normalised(F.col("t")).alias("n"), texts.lexemes(F.col("t"), F.col("l")).alias("w")).collect()}
+    assert all(got[i] == (None, None) if i % 7 == 0 else got[i][0] == f"casele ș {i}" and got[i][1][-1] == str(i) for i in range(300))
