@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +22,7 @@ ACT_TYPES = {
     "proces-verbal": "proces(?:ul)?[- ]verbal|протокол",
     "anunt": "anun[țt](?:ul)?|объявлени[ея]",
 }
+ACT_BEGINS = "".join(sorted({p[0] for ps in ACT_TYPES.values() for p in ps.split("|")}))
 MONTHS_RO = "ianuarie februarie martie aprilie mai iunie iulie august septembrie octombrie noiembrie decembrie".split()
 MONTHS_RU = "января февраля марта апреля мая июня июля августа сентября октября ноября декабря".split()
 NUMBER = (
@@ -53,9 +57,9 @@ THOUSANDS, NUMERAL = r"(?<=\d)[\s .](?=\d{3}\b)", r"\d+(?:[.,]\d+)?"
 
 
 def act_type(text: Column) -> Column:
-    """The type named first in a text; null if none is."""
-    spots = [F.struct(F.nullif(F.regexp_instr(text, F.lit(rf"(?iuU)\b(?:{p})\b")), F.lit(0)).alias("at"), F.lit(name).alias("name")) for name, p in ACT_TYPES.items()]
-    return F.array_min(F.filter(F.array(*spots), lambda s: s["at"].isNotNull()))["name"]
+    """The type named first in a text; null if none is. One search finds it, as no two types begin alike, and the word found tells which it is."""
+    named = lambda m: reduce(lambda c, kind: c.when(m.rlike(rf"(?iu)^(?:{kind[1]})"), kind[0]), ACT_TYPES.items(), F.when(m == "", None))
+    return let(F.regexp_extract(text, rf"(?iuU)(?=[{ACT_BEGINS}])\b(?:{'|'.join(ACT_TYPES.values())})\b", 0), named)
 
 
 def act_numbers(text: Column) -> Column:
@@ -65,28 +69,33 @@ def act_numbers(text: Column) -> Column:
 def reconciled_number(link: Column, head: Column) -> Column:
     """The number of a link, written as in the document's head where the digits agree; without one, the head's first."""
     digits = lambda c: F.regexp_replace(c, r"\D", "")
-    heads, own = act_numbers(head), F.get(act_numbers(link), 0)
-    return F.when(own.isNull(), F.get(heads, 0)).otherwise(F.coalesce(F.get(F.filter(heads, lambda n: digits(n) == digits(own)), 0), own))
+    both = F.struct(act_numbers(head).alias("heads"), F.get(act_numbers(link), 0).alias("own"))
+    same = lambda b: let(digits(b["own"]), lambda d: F.get(F.filter(b["heads"], lambda n: digits(n) == d), 0))
+    return let(both, lambda b: F.when(b["own"].isNull(), F.get(b["heads"], 0)).otherwise(F.coalesce(same(b), b["own"])))
 
 
 def act_date(text: Column) -> Column:
-    """The earliest date of a text, yyyy-mm-dd, in figures or month words; dashes and underlines also count as spaces. Only ranges are checked."""
+    """The earliest date of a text, yyyy-mm-dd, in figures or month words; dashes and underlines also count as spaces. Only ranges are checked.
+
+    A text without a year is not searched, and parts are taken from a date that was found. A look at the digit comes before that at the word's border, which costs more.
+    """
     month = F.create_map(*[F.lit(x) for names in (MONTHS_RO, MONTHS_RU) for i, m in enumerate(names, 1) for x in (m, i)])
-    figures = r"(?U)\b(\d{1,2})[./_-](\d{1,2})[./_-](\d{4})\b"
-    named = rf"(?iuU)\b(\d{{1,2}})\s+({'|'.join(MONTHS_RO + MONTHS_RU)})\s+(\d{{4}})\b"
+    figures = r"(?U)(?=\d)\b(\d{1,2})[./_-](\d{1,2})[./_-](\d{4})\b"
+    named = rf"(?iuU)(?=\d)\b(\d{{1,2}})\s+({'|'.join(MONTHS_RO + MONTHS_RU)})\s+(\d{{4}})\b"
 
-    def found(t: Column) -> list[Column]:
-        group = lambda p, i: F.regexp_extract(t, p, i)
-        parts = [(figures, group(figures, 2).try_cast("int")), (named, F.try_element_at(month, F.lower(group(named, 2))))]
-        return [F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), group(p, 3).try_cast("int").alias("y"), m.alias("m"), group(p, 1).try_cast("int").alias("d")) for p, m in parts]
+    def first(t: Column, p: str, number: Callable[[Column], Column]) -> Column:
+        part = lambda m, i: F.regexp_extract(m, p, i)
+        spot = lambda m: F.struct(F.regexp_instr(t, F.lit(p)).alias("at"), part(m, 3).try_cast("int").alias("y"), number(part(m, 2)).alias("m"), part(m, 1).try_cast("int").alias("d"))
+        return let(F.regexp_extract(t, p, 0), lambda m: F.when(m != "", spot(m)))
 
     def earliest(v: Column) -> Column:
-        spots = F.array(*found(v["t"]), *found(v["u"]))
-        return F.array_min(F.filter(spots, lambda s: (s["at"] > 0) & s["y"].between(1990, 2100) & s["m"].between(1, 12) & s["d"].between(1, 31)))
+        in_figures, in_words = lambda n: n.try_cast("int"), lambda n: F.try_element_at(month, F.lower(n))
+        spots = F.array(*[first(t, p, number) for t in (v["t"], v["u"]) for p, number in ((figures, in_figures), (named, in_words))])
+        return F.array_min(F.filter(spots, lambda s: s["y"].between(1990, 2100) & s["m"].between(1, 12) & s["d"].between(1, 31)))
 
-    both = let(text, lambda t: F.struct(t.alias("t"), F.regexp_replace(t, "[-_]+", " ").alias("u")))
+    both = let(text, lambda t: F.struct(t.alias("t"), F.when(t.rlike("[-_]"), F.regexp_replace(t, "[-_]+", " ")).alias("u")))
     shown = lambda b: F.when(b.isNotNull(), F.format_string("%04d-%02d-%02d", b["y"], b["m"], b["d"]))
-    return let(both, lambda v: let(earliest(v), shown))
+    return F.when(text.rlike("199[0-9]|20[0-9]{2}|2100"), let(both, lambda v: let(earliest(v), shown)))
 
 
 def legal_item(text: Column) -> Column:

@@ -45,18 +45,20 @@ def heads(blocks: DataFrame, by: str = "doc_id", order: str = "id") -> DataFrame
     head, heading = at < HEAD_BLOCKS, F.col("type") == "heading"
     fit = heading & (F.length(text) >= LEAST_TITLE) & ~text.rlike(LETTERHEAD)
     first = lambda cond: F.min_by(F.when(cond, text), F.when(cond, at))
-    body = blocks.filter(head & F.trim(text).rlike(BODY)).groupBy(F.col(by).alias("_b")).agg(F.min(order).alias("_body"))
     trimmed = F.trim(text)
     own = F.when(trimmed.rlike(ACT_LINE), F.get(F.split(trimmed, SUBJECT_INSIDE, 2), 0)).when((F.length(trimmed) <= SHORT_LINE) & trimmed.rlike(OWN_LINE), trimmed)
-    above = blocks.join(body, blocks[by] == F.col("_b"), "left").withColumn("_own", F.when(head & (F.col("_body").isNull() | (at < F.col("_body"))), own))
-    listed = lambda cond, c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct(at.alias("i"), c.alias("t"))))), lambda x: x["t"]), "\n")
-    return above.groupBy(by).agg(
+    listed = lambda cond, c: F.array_sort(F.collect_list(F.when(cond, F.struct(at.alias("i"), c.alias("t")))))
+    shown = lambda rows: F.array_join(F.transform(rows, lambda x: x["t"]), "\n")
+    found = blocks.withColumn("_own", F.when(head, own)).groupBy(by).agg(
         F.substring(first(head & text.rlike(SUBJECT)), 1, TITLE_CHARS).alias("subject"),
         first(fit).alias("heading"),
         first(heading).alias("any_heading"),
-        listed(head & heading, text).alias("headings"),
-        listed(F.col("_own").isNotNull(), F.col("_own")).alias("own"),
+        listed(head & heading, text).alias("_headings"),
+        listed(F.col("_own").isNotNull(), F.col("_own")).alias("_own"),
+        F.min(F.when(head & trimmed.rlike(BODY), at)).alias("_body"),
     )
+    above = F.filter("_own", lambda x: F.col("_body").isNull() | (x["i"] < F.col("_body")))
+    return found.select(by, "subject", "heading", "any_heading", shown(F.col("_headings")).alias("headings"), shown(above).alias("own"))
 
 
 def described(blocks: DataFrame, sources: DataFrame, by: str = "doc_id", order: str = "id", link_order: str = "place") -> DataFrame:
@@ -67,8 +69,8 @@ def described(blocks: DataFrame, sources: DataFrame, by: str = "doc_id", order:
     both = heads(blocks, by, order).join(link_texts(sources, by, link_order), by, "left")
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
     kind = F.coalesce(*[acts.act_type(text(c)) for c in ("headings", "own", "anchors", "files")])
+    found = both.select(by, F.coalesce("subject", "heading", "longest", "any_heading").alias("title"), kind.alias("doc_type"), "files", "own", "anchors")
     number = F.coalesce(acts.reconciled_number(text("files"), text("own")), F.get(acts.act_numbers(text("anchors")), 0))
     date = F.coalesce(*[acts.act_date(text(c)) for c in ("own", "files", "anchors")])
-    found = both.select(by, F.coalesce("subject", "heading", "longest", "any_heading").alias("title"), kind.alias("doc_type"), number.alias("_n"), date.alias("_d"))
     act = F.col("doc_type").isNotNull()
-    return found.select(by, "title", "doc_type", F.when(act, F.col("_n")).alias("number"), F.when(act, F.col("_d")).alias("date"))
+    return found.select(by, "title", "doc_type", F.when(act, number).alias("number"), F.when(act, date).alias("date"))

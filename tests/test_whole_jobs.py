@@ -9,8 +9,8 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lectern.functions import texts
-from lectern.operators import analytics, answers, ranking
+from lectern.functions import acts, texts
+from lectern.operators import analytics, answers, ranking, titles
 from lectern.queries import retrieval
 
 
@@ -97,3 +97,18 @@ def test_texts_of_a_batch_are_a_few_objects_at_a_time(spark):
     df = spark.range(300).coalesce(1).select("id", F.when(F.col("id") % 7 > 0, F.concat(F.lit("casele  ş "), "id")).alias("t"), F.when(F.col("id") % 2 > 0, "ru").alias("l"))
     got = {r["id"]: (r["n"], r["w"]) for r in df.select("id", texts.normalised(F.col("t")).alias("n"), texts.lexemes(F.col("t"), F.col("l")).alias("w")).collect()}
     assert all(got[i] == (None, None) if i % 7 == 0 else got[i][0] == f"casele ș {i}" and got[i][1][-1] == str(i) for i in range(300))
+
+
+def test_documents_are_described_from_one_look_at_their_blocks(spark):
+    rows = [(1, 0, "heading", "Primăria"), (1, 1, "paragraph", "DECIZIE nr. 3"), (1, 2, "paragraph", "Cu privire la apă"), (1, 3, "paragraph", "din 01.02.2006"), (2, 0, "paragraph", "ORDIN nr. 4"), (2, 1, "paragraph", "din 5 mai 2020")]
+    found = titles.heads(spark.createDataFrame(rows, "doc_id int, id int, type string, text string"))
+    assert {r["doc_id"]: r["own"] for r in found.collect()} == {1: "DECIZIE nr. 3", 2: "ORDIN nr. 4\ndin 5 mai 2020"}
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_an_act_is_found_by_few_searches(spark):
+    df = spark.createDataFrame([("Legea din 31.13.2019, 7_mai_2021; decizia",), ("٣.٠١.٢٠٢٠ 3.01.2020",), ("xordin 12-03-1999",), (None,)], "t string")
+    found = df.select(acts.act_type(F.col("t")).alias("kind"), acts.act_date(F.col("t")).alias("date"))
+    assert [tuple(r) for r in found.collect()] == [("lege", "2021-05-07"), (None, None), (None, "1999-03-12"), (None, None)]
+    plan = df.select(acts.act_type(F.col("t")).alias("kind"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_instr") + plan.count("regexp_extract") == 1  # one a type before
