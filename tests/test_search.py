@@ -120,3 +120,25 @@ def test_inverted_lists(spark, sf, tmp_path, lists):
     assert inverted.topk(index, probes.limit(0), 5, 2).count() == 0
     empty = inverted.build(v.limit(0), f"file://{tmp_path}/none", 4)
     assert inverted.topk(empty, probes, 5, 2).count() == 0
+
+
+def test_postings_are_lists_of_pieces(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(d, 0, "".join(r.choice("abcdé😀 ") for _ in range(r.randint(0, 40)))) for d in range(1200)] + [(2000, 0, "xyz" * 50)]
+    trigrams.build(spark.createDataFrame(rows, "doc_id long, idx int, line string").coalesce(1), f"file://{tmp_path}/index")
+    postings = spark.read.parquet(f"file://{tmp_path}/index/postings")
+    assert postings.count() == len({line[i : i + 3] for _, _, line in rows for i in range(len(line) - 2)})  # one of each gram and document before
+
+
+def test_grams_of_pieces_by_slices(monkeypatch):
+    r = random.Random(2)
+    texts = ["".join(r.choice("abcé😀") for _ in range(r.choice([0, 2, 3, 9]))) for _ in range(300)]
+    blocks, pieces = [i // 64 for i in range(300)], [i % 64 // 4 for i in range(300)]
+    batch = trigrams.pa.RecordBatch.from_pydict({"block": trigrams.pa.array(blocks, "int64"), "piece": trigrams.pa.array(pieces, "int32"), "text": texts})
+    code = lambda g: ord(g[0]) << 42 | ord(g[1]) << 21 | ord(g[2])
+    want = {(code(t[i : i + 3]), b, p) for t, b, p in zip(texts, blocks, pieces, strict=True) for i in range(len(t) - 2)}
+    for chars, lines in [(1 << 21, 1 << 12), (1, 1 << 12), (50, 7)]:
+        monkeypatch.setattr(trigrams, "SLICE_CHARS", chars)
+        monkeypatch.setattr(trigrams, "SLICE_LINES", lines)
+        found = [x for part in trigrams._postings(iter([batch])) for x in part.to_pylist()]
+        assert {(x["gram"], x["block"], p) for x in found for p in x["pieces"]} == want and all(x["n"] == len(x["pieces"]) for x in found)
