@@ -12,12 +12,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lectern.functions.stemming import index_words
-from lectern.functions.texts import lexemes, query_terms, unaccented, words
+from lectern.functions.stemming import index_words, plain_words
+from lectern.functions.texts import lexemes, query_terms
 from lectern.session import checkpointed, shared_dir
 
 #: Asked terms that are searched in one pass.
 MOST_TERMS = 200_000
+#: Distinct words that a task holds before it gives them on.
+MOST_WORDS = 200_000
 #: What a cover of words of the lowest weight counts.
 COVER = 0.1
 
@@ -135,9 +137,24 @@ def next_items(rows: DataFrame, key: str, order: str, item: str) -> DataFrame:
 
 
 def vocabulary(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The distinct words of all texts, lower-cased and without accents."""
-    found = F.array_distinct(words(F.regexp_replace(F.lower(unaccented(F.col(text))), "ß", "ss")))
-    return docs.select(F.explode(found).alias("word")).distinct()
+    """The distinct words of all texts, lower-cased and without accents.
+
+    Texts are read one after another; of a batch, the distinct words so far are held, at most `MOST_WORDS` and those of one text.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        given = lambda words: pa.RecordBatch.from_arrays([pa.array(list(words), pa.string())], ["word"])
+        for batch in batches:
+            held: set[str] = set()
+            for t in batch.column(0):
+                if t.is_valid:
+                    held.update(plain_words(t.as_py()))
+                if len(held) > MOST_WORDS:
+                    yield given(held)
+                    held = set()
+            yield given(held)
+
+    return docs.select(text).mapInArrow(run, "word string").distinct()
 
 
 def postings(texts: DataFrame, key: str, text: str = "text", language: Column | None = None) -> DataFrame:

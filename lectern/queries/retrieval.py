@@ -220,7 +220,7 @@ SELECT w AS word, s AS stem FROM stems WHERE s <> '' AND w NOT IN ({", ".join(f"
 def russian_stems(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words of all documents in Cyrillic letters, and their stems by the Russian rules."""
     words = corpus.vocabulary(table(spark, sf_dir, "documents")).select(F.translate("word", "abcdefghijklmnopqrstuvwxyz", "абцдефгхийклмнопярстувшыьюя").alias("word")).distinct()
-    return words.select("word", F.get(texts.lexemes(F.col("word"), F.lit("ru")), 0).alias("stem")).filter("stem is not null")
+    return words.select("word", F.explode(F.slice(texts.lexemes(F.col("word"), F.lit("ru")), 1, 1)).alias("stem"))
 
 
 @query("SELECT doc_id, source, n_chars, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_doc_id FROM documents")

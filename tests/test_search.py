@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lectern.functions.stemming import index_words, romanian, russian
 from lectern.operators import corpus, inverted, ranking, trigrams
+from lectern.queries import retrieval
 
 # Word and stem, recalled from the samples published with the rules; the vocabularies themselves are not at hand.
 RUSSIAN = """вавиловка вавиловк|вагнера вагнер|вагон вагон|вагона вагон|вагоне вагон|вагонов вагон|вагоном вагон|вагоны вагон|важная важн|важнее важн|важнейшие важн|важнейшими важн|важничал важнича|важно важн|важного важн|важной важн|важном важн|важному важн|важности важност|важностию важност|важность важност|важностью важност|важную важн|важны важн|важные важн|важный важн|важным важн|важных важн|вазах ваз|вазы ваз|вакса вакс|вакханка вакханк|вал вал|валандался валанда|валентина валентин|валериановых валерианов|валерию валер|валетами валет|п п|па па|пава пав|павел павел|павильон павильон|павильонам павильон|павла павл|павлиний павлин|павлиньи павлин|павлиньим павлин|павлович павлович|павловна павловн|павловне павловн|павловной павловн|павловну павловн|павловны павловн|павловцы павловц|павлу павл|павлыч павлыч|павлыча павлыч|пагубная пагубн|падает пада|падай пада|падал пада|падала пада|падаль падал|падать пада|падаю пада|падают пада|падающего пада|падающие пада|падеж падеж|падение паден|падением паден|падении паден|падений паден|падения паден|паденье паден|паденья паден|падет падет|падут падут|падучая падуч|падчерицей падчериц|падчерицы падчериц|падшая падш|падшей падш|падшему падш|падший падш|падшим падш|падших падш|падшую падш|паек паек|пазуха пазух|пазуху пазух|пай па|пакет пакет|пакетом пакет|пакеты пакет|пакостей пакост|пакостит пакост|пакостно пакостн|пал пал"""
@@ -142,3 +143,16 @@ def test_grams_of_pieces_by_slices(monkeypatch):
         monkeypatch.setattr(trigrams, "SLICE_LINES", lines)
         found = [x for part in trigrams._postings(iter([batch])) for x in part.to_pylist()]
         assert {(x["gram"], x["block"], p) for x in found for p in x["pieces"]} == want and all(x["n"] == len(x["pieces"]) for x in found)
+
+
+def test_words_of_an_index_are_plain(spark, tmp_path):
+    df = spark.createDataFrame([(1, "x² ΟΔΟΣ Ångström", "en"), (2, "Straße _a x²", "de"), (3, None, None), (4, "", "ru")], "doc_id long, text string, lang string")
+    found = sorted(r["word"] for r in corpus.vocabulary(df).collect())
+    assert found == sorted(["x²", "οδοσ", "angstrom", "strasse", "_a"])
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    plan = retrieval.russian_stems(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # a filter on the stem took all stems twice
+
+
+def test_combined_suffixes_of_nine_letters():
+    assert [romanian(w) for w in ("abaoăivităiabilitati", "adiieaabilitate", "amabilitate", "sensibilitate")] == ["abaoăivităi", "adiie", "amabil", "sensibil"]
