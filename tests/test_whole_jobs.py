@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lectern.functions import acts, texts
-from lectern.operators import analytics, answers, ranking, titles
+from lectern.operators import analytics, answers, documents, ranking, titles
 from lectern.queries import retrieval
 
 
@@ -112,3 +112,20 @@ def test_an_act_is_found_by_few_searches(spark):
     assert [tuple(r) for r in found.collect()] == [("lege", "2021-05-07"), (None, None), (None, "1999-03-12"), (None, None)]
     plan = df.select(acts.act_type(F.col("t")).alias("kind"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_instr") + plan.count("regexp_extract") == 1  # one a type before
+
+
+def test_long_tables_are_cut_in_one_look_at_each_row(spark):
+    rows = [[str(i), None if i == 0 else "x", *["y"] * (i % 3 == 0)] for i in range(400)]
+    df = spark.createDataFrame([(["a", "b"], rows), (["a"], [["1"], ["2", None, "3"]]), (["a"], []), ([], []), (["a"], None)], "h array<string>, r array<array<string>>")
+    kept, small, bare, none, null = (r["t"] for r in df.select(documents.table_chunks(F.col("h"), F.col("r"), 300, 600).alias("t")).collect())
+    assert small == ["| a |  |  |\n| --- | --- | --- |\n| 1 |  |  |\n| 2 | 3 |"] and bare == ["| a |\n| --- |"] and none == [""] and null is None
+    line = lambda r, n: "| " + " | ".join(c for c in [*r, *[""] * (n - len(r))] if c is not None) + " |"
+    text = lambda rs: "\n".join([line(["a", "b"], n := max(2, *map(len, rs))), line(["---"] * n, n), *(line(r, n) for r in rs)]) if rs else ""
+    want, group = [], []
+    for r in rows:  # a cell that is null stopped the cuts before
+        group.append(r)
+        if len(text(group)) >= 300:
+            want, group = [*want, text(group)], []
+    assert kept == (want + [text(group)] if group else want)
+    plan = df.select(texts.markdown_table(F.col("h"), F.col("r")).alias("t"))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("array_max") == 1  # the widest row was looked for in every row
