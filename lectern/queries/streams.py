@@ -52,7 +52,8 @@ def stream_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     framed = F.array_join(F.transform(pieces, lambda p: F.concat(F.lit("event: delta\r\ndata: "), F.to_json(F.struct(p.alias("text"))), F.lit("\r\n\r\n"))), "")
     whole = turns.select("id", F.encode(framed, "UTF-8").alias("b"))
     chunks = whole.select("id", F.posexplode(cut(F.col("b"), 61, F.octet_length("b"))).alias("seq", "chunk")).withColumn("seq", F.col("seq").cast("long"))
-    found = usage.drained(frames.events_of_bytes(_written(chunks, F.col("seq") + F.length("id"))), "append").filter("event = 'value'")
+    groups = turns.count() // frames.TOGETHER + 1
+    found = usage.drained(frames.events_of_bytes(_written(chunks, F.col("seq") + F.length("id")), groups).filter("event = 'value'"), "append")
     key = F.split("id", ":")
     out = found.groupBy("id").agg(F.max(F.when(F.col("path") == "role", F.col("value"))).alias("role"), F.max(F.when(F.col("path") == "text", F.col("value"))).alias("text"))
     return out.select(key[0].cast("long").alias("conv_id"), key[1].cast("long").alias("turn"), "role", F.sha1("text").alias("hash"))

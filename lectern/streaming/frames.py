@@ -20,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lectern.streaming.json_events import Event, Reader
 
+#: Connections whose state is kept together.
+TOGETHER = 64
 #: How long a sentence waits for the lines that it cites.
 PATIENCE_MS = 60_000
 
@@ -73,28 +75,49 @@ class Ordered:
         return out
 
 
+class Connection:
+    """The JSON events of `delta` frames, and other frames as they are, of one sequence of chunks."""
+
+    def __init__(self, state: list | None = None):
+        order, frames, reader, self.n = state or [None, None, "", 0]
+        self.order, self.frames, self.reader = Ordered(order), Frames(frames), Reader(reader)
+
+    def state(self) -> list:
+        return [self.order.state(), self.frames.state(), self.reader.state(), self.n]
+
+    def put(self, seq: int, chunk: bytes) -> list[tuple[int, Event]]:
+        found: list[Event] = []
+        for held in self.order.put(seq, base64.b64encode(chunk).decode()):
+            for event, data in self.frames.feed(base64.b64decode(held)):
+                found += self.reader.feed(json.loads(data)["text"]) if event == "delta" else [(event, "", data)]
+        self.n += len(found)
+        return list(zip(range(self.n - len(found), self.n), found, strict=True))
+
+
 def _frames(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    order, frames, json_, n = json.loads(state.get[0]) if state.exists else [None, None, "", 0]
-    order, frames, reader = Ordered(order), Frames(frames), Reader(json_)
-    rows: list[tuple[int, Event]] = []
+    held = {i: s for i, s in json.loads(state.get[0])} if state.exists else {}
+    met: dict[str | None, Connection] = {}
+    rows: list[tuple] = []
     for part in parts:
-        for seq, chunk in zip(part["seq"], part["chunk"], strict=True):
-            for held in order.put(int(seq), base64.b64encode(chunk or b"").decode()):
-                for event, data in frames.feed(base64.b64decode(held)):
-                    if event == "delta":
-                        for found in reader.feed(json.loads(data)["text"]):
-                            rows.append((n, found))
-                            n += 1
-                    else:
-                        rows.append((n, (event, "", data)))
-                        n += 1
-    state.update((json.dumps([order.state(), frames.state(), reader.state(), n]),))
-    yield pd.DataFrame({"id": key[0], "no": [i for i, _ in rows], "event": [e[0] for _, e in rows], "path": [e[1] for _, e in rows], "value": [e[2] for _, e in rows]})
-
-
-def events_of_bytes(chunks: DataFrame) -> DataFrame:
-    """id, no, event, path, value: the JSON events of the texts of `delta` frames, and other frames as they are, of chunks (id string, seq long from 0, chunk binary)."""
-    return chunks.groupBy("id").applyInPandasWithState(_frames, "id string, no long, event string, path string, value string", "held string", "append", GroupStateTimeout.NoTimeout)
+        for ident, seq, chunk in zip(part["id"], part["seq"], part["chunk"], strict=True):
+            if ident not in met:
+                met[ident] = Connection(held.get(ident))
+            rows += [(ident, n, *found) for n, found in met[ident].put(int(seq), chunk or b"")]
+    held |= {i: c.state() for i, c in met.items()}
+    state.update((json.dumps(list(held.items())),))
+    if rows:
+        yield pd.DataFrame(rows, columns=["id", "no", "event", "path", "value"])
+
+
+def events_of_bytes(chunks: DataFrame, groups: int | None = None) -> DataFrame:
+    """id, no, event, path, value: the JSON events of the texts of `delta` frames, and other frames as they are, of chunks (id string, seq long from 0, chunk binary).
+
+    A call for one connection's news costs more than the news of many, so connections are dealt to `groups` that are called and kept as one; without it, each is its own. A
+    group's state is written whole when any of its connections has news: about `TOGETHER` of them are right where most have some. `groups` stays as it is while the stream lives.
+    """
+    group = F.col("id") if groups is None else F.pmod(F.xxhash64("id"), F.lit(groups))
+    dealt = chunks.select("id", "seq", "chunk", group.alias("_group"))
+    return dealt.groupBy("_group").applyInPandasWithState(_frames, "id string, no long, event string, path string, value string", "held string", "append", GroupStateTimeout.NoTimeout)
 
 
 class Live:

@@ -5,7 +5,8 @@ from __future__ import annotations
 import json
 import random
 
-from lectern.streaming.frames import Frames, Live, Ordered
+from lectern.streaming import usage
+from lectern.streaming.frames import Frames, Live, Ordered, events_of_bytes
 
 STREAM = "event: delta\r\ndata: {\"text\": \"Știri și țări\"}\r\n\r\ndata: a\ndata:b\n\n: note\n\nid: 7\nevent: done\n\nevent: x\ndata: 日本語😀\n\nevent: open\ndata: never".encode()
 WANT = [("delta", '{"text": "Știri și țări"}'), ("message", "a\nb"), ("done", ""), ("x", "日本語😀")]
@@ -82,3 +83,18 @@ def test_what_never_comes_is_left_out():
     assert joined(told(live, [("late", None)])) == [("citation", 0, "L2"), ("delta", 0, "Second."), ("sentence", 0, "Second.")]
     refused = Live()
     assert told(refused, [("line", "L1"), ("piece", json.dumps({**ANSWER, "verdict": "not_found"}))]) == []
+
+
+def test_connections_of_a_group_are_kept_together(spark, tmp_path):
+    whole = "".join(f"event: delta\r\ndata: {json.dumps({'text': t})}\r\n\r\n" for t in ('{"role": "us', 'er", "te', 'xt": "a \\"b\\" \\\\', '"}')) + "event: done\n\n"
+    want = [("text", "role", "us"), ("text", "role", "er"), ("value", "role", "user"), ("text", "text", 'a "b" \\'), ("value", "text", 'a "b" \\'), ("end", "", ""), ("done", "", "")]
+    ids = ["a", "b", "null", None, "d\"'"]
+    rows = [(i, at // (7 + n), whole[at : at + 7 + n].encode()) for n, i in enumerate(ids) for at in range(0, len(whole), 7 + n)]
+    for batch in range(3):  # out of order, and one chunk in every batch
+        part = [r for r in rows if (r[1] + len(r[0] or "")) % 3 == batch] + rows[:1]
+        spark.createDataFrame(part, "id string, seq long, chunk binary").coalesce(1).write.mode("append").parquet(f"{tmp_path}/chunks")
+    stream = spark.readStream.schema("id string, seq long, chunk binary").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/chunks")
+    for groups in (None, 2):
+        found = usage.drained(events_of_bytes(stream, groups), "append").collect()
+        got = {i: [tuple(r)[2:] for r in sorted((r for r in found if r["id"] == i), key=lambda r: r["no"])] for i in ids}
+        assert got == dict.fromkeys(ids, want) and len(found) == len(ids) * len(want)
