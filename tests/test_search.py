@@ -9,6 +9,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lectern.functions import stemming
 from lectern.functions.stemming import index_words, romanian, russian
 from lectern.operators import corpus, inverted, ranking, trigrams
 from lectern.queries import retrieval
@@ -156,3 +157,14 @@ def test_words_of_an_index_are_plain(spark, tmp_path):
 
 def test_combined_suffixes_of_nine_letters():
     assert [romanian(w) for w in ("abaoăivităiabilitati", "adiieaabilitate", "amabilitate", "sensibilitate")] == ["abaoăivităi", "adiie", "amabil", "sensibil"]
+
+
+def test_letters_are_made_plain_in_one_step():
+    for text in ("ǿ ø Ø é", "Știință, Straße; Ἀθῆναι ё", "á ǽ æ"):
+        assert stemming._plain(text) == text.translate(stemming._PLAIN)
+    stemming._stem.cache_clear()
+    for again in range(2):  # as many words as the texts of sf0.1 have in each quarter; a smaller cache forgot all of them
+        for n in range(80_000):
+            stemming._stem(f"w{n}", False)
+    assert stemming._stem.cache_info().misses == 80_000
+    stemming._stem.cache_clear()
